@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, packing, url_rules
+from tidemark.llm import exact_dedup, near_dedup, packing, url_rules
 from tidemark.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,8 @@ ORACLES["op6_url_rules"] = """
            CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' ELSE 'allow' END AS verdict
     FROM judged
 """
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_groups(table(spark, sf_dir, "documents"), words=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
