@@ -55,3 +55,15 @@ def lower_ascii(column: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def after_scheme(url: Column) -> Column:
+    """What follows the first '://'; empty for null or where there is none."""
+    text = F.coalesce(url.cast("string"), F.lit(""))
+    at = F.instr(text, "://")
+    return F.when(at > 0, F.substring(text, at + 3, F.length(text))).otherwise(F.lit(""))
+
+
+def host_of(rest: Column) -> Column:
+    """The host at the start of after_scheme()'s result, A-Z in lower case."""
+    return lower_ascii(F.regexp_extract(rest, r"^[^/?#]*", 0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, near_dedup, packing, url_rules
+from tidemark.llm import exact_dedup, html_text, near_dedup, packing, url_rules
 from tidemark.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,7 @@ ORACLES["op6_url_rules"] = """
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_groups(table(spark, sf_dir, "documents"), words=2)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii
+from tidemark.llm.common import after_scheme, host_of
 
 #: A rule list of up to so many rows (some 30 MB) is broadcast; a longer one is joined by shuffling.
 BROADCAST_RULES = 200_000
@@ -42,13 +42,10 @@ def judge(
         F.collect_set(F.size(F.split("host", r"\."))),
         F.collect_set(F.length("path")),
     ).first()
-    text = F.coalesce(F.col(url).cast("string"), F.lit(""))
-    at = F.instr(text, "://")
-    rest = F.when(at > 0, F.substring(text, at + 3, F.length(text))).otherwise(F.lit(""))
-    seen = pages.select(F.monotonically_increasing_id().alias("rid"), F.col(page_id).alias("page_id"), rest.alias("rest")).select(
+    seen = pages.select(F.monotonically_increasing_id().alias("rid"), F.col(page_id).alias("page_id"), after_scheme(F.col(url)).alias("rest")).select(
         "rid",
         "page_id",
-        lower_ascii(F.regexp_extract("rest", r"^[^/?#]*", 0)).alias("host"),
+        host_of(F.col("rest")).alias("host"),
         F.regexp_extract("rest", r"^[^/?#]*([^?#]*)", 1).alias("path"),
     )
     suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -k) for k in sorted(labels)] or [F.lit("")]))
