@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, html_text, near_dedup, packing, url_rules
+from tidemark.llm import exact_dedup, html_text, near_dedup, packing, pii, url_rules
 from tidemark.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,11 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+#: A cluster passes its own secret; queries need the same pseudonyms on every run.
+PII_KEY = "tidemark-pseudonyms"
+
+
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
