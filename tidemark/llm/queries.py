@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, exact_dedup, html_text, language_id, near_dedup, packing, pii, substring_dedup, url_rules
+from tidemark.llm import decontamination, exact_dedup, html_text, katz, language_id, near_dedup, packing, pii, substring_dedup, url_rules
 from tidemark.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify_documents(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "language", "confidence", "text_language", "host", "kept")
+
+
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
