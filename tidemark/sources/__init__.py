@@ -52,7 +52,9 @@ def write_ticks(df: DataFrame, path: str) -> int:
     from pyspark.sql import Observation
 
     seen = Observation()
-    ordered = df.observe(seen, F.count(F.lit(1)).alias("rows")).repartitionByRange("ts_ns").sortWithinPartitions("ts_ns", "trade_id")
+    ordered = df.repartitionByRange("ts_ns").sortWithinPartitions("ts_ns", "trade_id")
+    # counted after the exchange: below it, sampling its bounds would count the rows once more
+    ordered = ordered.observe(seen, F.count(F.lit(1)).alias("rows"))
     if path.rstrip("/").endswith(".parquet"):
         ordered.write.mode("overwrite").parquet(path)
     else:
