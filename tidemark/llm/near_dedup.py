@@ -4,13 +4,14 @@
    of HASHES universal hash functions, folded into band keys, and one bit of each minimum.
 2. Documents with equal sets form a class; only its representative goes on, so copies
    never meet as pairs.
-3. In each bucket (representatives that share a band key) the members are paired with its least
-   member only.  Pairs whose sizes or signature bits rule the threshold out go; the rest are confirmed
+3. In each bucket (representatives that share a band key) the members are paired with one hub only: the
+   member that shares the most buckets with others, which is where near copies have their original.  Pairs whose sizes or signature bits rule the threshold out go; the rest are confirmed
    on the full shingle sets.  Confirmed links are joined to components.
-4. Buckets whose members still lie in different components may hold links that the star missed.
-   There, members of different components are paired in blocks of BUCKET_BLOCK, signatures first,
-   and confirmed in the same way.  After that every pair that shares a bucket has been compared, or its
-   documents are in one component anyway: no link is lost, and no group is expanded into all pairs.
+4. Buckets whose members still lie in different components may hold links that the star missed.  Their members'
+   shingles are ordered by rarity among them.  Sets with enough in common share one of their first shingles, so members of different
+   components meet there (in blocks of BUCKET_BLOCK where many do), and unless sizes, signatures or the place of that
+   shingle rule a link out, they are confirmed in the same way.  After that every pair that shares a bucket is in one
+   component or known not to be a link: none is lost, and no group is expanded into all pairs.
 5. Components by alternating large-star and small-star.
 
 With 32 bands of 4 rows a pair at similarity 0.8 shares no bucket with probability 5e-8.
@@ -23,7 +24,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import drop_stash, stash, text_of
@@ -33,7 +34,7 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Of 128 bits, so many agree between documents at similarity 0.8 but with a probability under 1e-8 (mean 115, deviation 3.4).
 BITS_AGREE = 92
-#: Members of a large bucket compared with each other at a time.
+#: Members that meet at a frequent shingle and are compared with each other at a time.
 BUCKET_BLOCK = 256
 #: Bytes of text turned into shingles at a time; a longer text is taken alone.
 BYTES = 1 << 20
@@ -161,18 +162,19 @@ def row_keys(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.select(F.xxhash64(id_, body).alias("k1"), F.xxhash64(body, id_, F.lit(7)).alias("k2"), id_.alias("id"), body.alias("body"))
 
 
-def _confirm(pairs: DataFrame, signed: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of pairs (u, v) whose full shingle sets are similar enough.  One shuffle of the candidates' texts."""
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    keys = signed.join(wanted, "node").select("k1", "k2", "node").distinct()
+def _sets_of(nodes: DataFrame, signed: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of some nodes, from their texts: one shuffle of texts."""
+    keys = signed.join(nodes, "node").select("k1", "k2", "node").distinct()
     texts = rows.join(keys, ["k1", "k2"]).select("node", F.concat("body", F.lit(" ")).alias("body"))
-    sets = stash(texts.mapInArrow(lambda b: _sets(b, words), "node long, shingles array<long>"), "sets")
+    return stash(texts.mapInArrow(lambda b: _sets(b, words), "node long, shingles array<long>"), "sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (u, v) whose full shingle sets are similar enough."""
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     both = pairs.join(left, "u").join(right, "v").select("u", "v", F.size("a").alias("m"), F.size("b").alias("n"), F.size(F.array_intersect("a", "b")).alias("common"))
-    found = stash(both.where(100 * F.col("common") >= percent * (F.col("m") + F.col("n") - F.col("common"))).select("u", "v").distinct(), "links")
-    drop_stash(sets)
-    return found
+    return stash(both.where(100 * F.col("common") >= percent * (F.col("m") + F.col("n") - F.col("common"))).select("u", "v").distinct(), "links")
 
 
 def _alike(percent: int) -> str:
@@ -206,29 +208,49 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, text: str =
     )
     facts = heads.select("node", "n", "b0", "b1")
     members = heads.select("node", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).where("size > 1")
-    members = stash(members.join(stash(buckets, "buckets"), "band").select("band", "size", "hub", "node"), "members")
-    stars = members.where("hub < node").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+    buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = stash(members.join(stash(buckets, "buckets"), "band").select("band", "size", "node"), "shared")
+    weights = stash(members.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    hubs = members.join(weights, "node").groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("back"))).alias("top"))
+    members = members.join(stash(hubs.select("band", (-F.col("top.back")).alias("hub")), "hubs"), "band")
+    members = stash(members.select("band", "size", "hub", "node"), "members")
+    stars = members.where("hub <> node").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
     met = stars.alias("p").join(facts.alias("l"), F.expr("l.node = p.u")).join(facts.alias("r"), F.expr("r.node = p.v")).where(_alike(percent))
-    links = _confirm(stash(met.select("p.u", "p.v").distinct(), "stars"), heads, rows, words, percent)
+    stars = stash(met.select("p.u", "p.v").distinct(), "stars")
+    ends = stars.select(F.col("u").alias("node")).unionByName(stars.select(F.col("v").alias("node"))).distinct()
+    sets = _sets_of(ends, heads, rows, words)
+    links = _confirm(stars, sets, percent)
+    drop_stash(sets)
     found = stash(components(links), "components")
 
     # members, but for the hub that is compared with all, of buckets that the links so far leave in parts
     rest = members.where("size > 2 and hub <> node").join(found, "node", "left").select("band", "size", "node", F.coalesce("component", "node").alias("component"))
     parted = rest.groupBy("band").agg((F.min("component") != F.max("component")).alias("parted")).where("parted").select("band")
-    rest = rest.join(parted, "band").join(facts, "node")
-    blocks = F.ceil(F.col("size") / BUCKET_BLOCK)
-    rest = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    one = rest.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1)))
-    two = rest.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), "block")))
+    pool = stash(rest.join(parted, "band").select("node", "component").distinct(), "parted")
+    sets = _sets_of(pool.select("node"), heads, rows, words)
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
+    places = stash(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("places")), "places")
+    # a set's rarest shingles first: two sets with enough in common share one of these, early in both
+    order = Window.partitionBy("node").orderBy("places", "shingle")
+    early = each.join(places, "shingle").withColumn("rank", F.row_number().over(order) - 1).where("places > 1")
+    early = early.join(pool, "node").join(facts, "node").where(f"100 * (n - rank) >= {percent} * n")
+    blocks = F.ceil(F.col("places") / BUCKET_BLOCK)
+    early = early.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    one = early.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    two = early.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), "block")))
     met = one.alias("l").join(
-        two.alias("r"), F.expr(f"l.band = r.band and l.i = r.i and l.j = r.j and l.component <> r.component and (l.i < l.j or l.node < r.node) and {_alike(percent)}")
+        two.alias("r"), F.expr(
+            f"l.shingle = r.shingle and l.i = r.i and l.j = r.j and l.component <> r.component and (l.i < l.j or l.node < r.node) and {_alike(percent)}"
+            # no shingle before this one is common, so what follows it bounds what is
+            f" and {100 + percent} * least(l.n - l.rank, r.n - r.rank) >= {percent} * (l.n + r.n)"
+        )
     )
     more = stash(met.select(F.least("l.node", "r.node").alias("u"), F.greatest("l.node", "r.node").alias("v")).distinct(), "rest")
     if not more.isEmpty():
-        further = _confirm(more, heads, rows, words, percent)
+        further = _confirm(more, sets, percent)
         found = stash(components(links.unionByName(further)), "components")
     drop_stash(members)
+    drop_stash(sets)
 
     named = classes.join(found, classes["least"] == found["node"], "left").select("digest", F.coalesce("component", "least").alias("component"))
     out = signed.select("k1", "k2", "node", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
