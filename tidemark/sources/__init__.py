@@ -48,11 +48,11 @@ def read_fills(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_ticks(df: DataFrame, path: str) -> int:
-    """Write Parquet or NDJSON by extension, in time order within and across files; the number of rows written."""
+    """Write ticks, or rows of any other schema, as Parquet or NDJSON by extension, in time order within and across files; the number of rows written."""
     from pyspark.sql import Observation
 
     seen = Observation()
-    ordered = df.repartitionByRange("ts_ns").sortWithinPartitions("ts_ns", "trade_id")
+    ordered = df.repartitionByRange("ts_ns").sortWithinPartitions(*[c for c in ("ts_ns", "trade_id", "side", "level") if c in df.columns])
     # counted after the exchange: below it, sampling its bounds would count the rows once more
     ordered = ordered.observe(seen, F.count(F.lit(1)).alias("rows"))
     if path.rstrip("/").endswith(".parquet"):
