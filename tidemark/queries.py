@@ -251,6 +251,25 @@ def book_grid_phase_across(spark, sf_dir):
     return rows.select("every_s", "held_books", "lost_books", "split_books", "kept_starts", "run_starts", "most_missed", "most_missed_book", "strongest_side_missed", "faintest_side_held", "held")
 
 
+_UPDATES = "event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'bid' ELSE 'ask' END AS side, floor(value / 20) * 20 + 100 + event_id % 2 AS price, (event_id * 7 % 5) * 1e0 AS size"
+
+
+@_query(f"""WITH u AS (SELECT {_NS} AS ts_ns, {_UPDATES} FROM events), a AS (SELECT max(ts_ns) AS seen_at FROM t_ticks GROUP BY session_id),
+    f AS (SELECT seen_at, side, price, arg_max(size, seq) AS size FROM a JOIN u ON ts_ns <= seen_at GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY seen_at, side ORDER BY CASE WHEN side = 'bid' THEN -price ELSE price END) - 1 AS level FROM f WHERE size > 0)
+    SELECT seen_at AS ts_ns, 'EVT' AS product, side, level, [[price]] AS price, [[size]] AS size FROM r WHERE level < 3""")
+def l2_top_levels(spark, sf_dir):
+    from tidemark.sources import live
+
+    rows = adapters._events(spark, sf_dir)
+    updates = rows.selectExpr("'EVT' AS product", "ts_ns", *_UPDATES_SPARK)
+    at = adapters.ticks(spark, sf_dir).groupBy("session_id").agg(F.max("ts_ns").alias("ts_ns")).select(F.lit("EVT").alias("product"), "ts_ns")
+    return live.l2_levels(updates, at, 3)
+
+
+_UPDATES_SPARK = ["event_id AS seq", "if(event_id % 2 = 0, 'bid', 'ask') AS side", "floor(value / 20) * 20e0 + 100 + event_id % 2 AS price", "(event_id * 7 % 5) * 1e0 AS size"]
+
+
 # impact and calibration
 
 

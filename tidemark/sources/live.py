@@ -44,8 +44,17 @@ def l2_levels(updates: DataFrame, at: DataFrame, levels: int = 10) -> DataFrame:
 
     at has product and ts_ns.  Returns book rows: ts_ns, product, side, level, price, size.
     """
-    upto = at.alias("a").join(updates.alias("u"), F.expr("a.product = u.product and u.ts_ns <= a.ts_ns"))
-    last = upto.groupBy(F.col("a.ts_ns").alias("ts_ns"), F.col("a.product").alias("product"), "u.side", "u.price").agg(F.max_by("u.size", "u.seq").alias("size")).where("size > 0")
+    # number the times, and give each update the first time that sees it; then each state of a level stands until its next one
+    times = at.select("product", "ts_ns").distinct().withColumn("k", F.row_number().over(Window.partitionBy("product").orderBy("ts_ns")))
+    last = times.groupBy("product").agg(F.max("k").alias("most"))
+    marks = times.select("product", "ts_ns", F.lit(1).alias("mark"), "k", *[F.lit(None).cast(t).alias(c) for c, t in (("seq", "long"), ("side", "string"), ("price", "double"), ("size", "double"))])
+    feed = updates.select("product", "ts_ns", F.lit(0).alias("mark"), F.lit(None).cast("int").alias("k"), "seq", "side", "price", "size")
+    ahead = Window.partitionBy("product").orderBy("ts_ns", "mark").rowsBetween(0, Window.unboundedFollowing)
+    seen = feed.unionByName(marks).withColumn("k", F.first("k", ignorenulls=True).over(ahead)).where("mark = 0 and k is not null")
+    states = seen.groupBy("product", "side", "price", "k").agg(F.max_by("size", "seq").alias("size"))
+    after = F.lead("k").over(Window.partitionBy("product", "side", "price").orderBy("k"))
+    states = states.join(last, "product").withColumn("until", F.coalesce(after - 1, F.col("most"))).where("size > 0")
+    last = states.withColumn("k", F.explode(F.sequence("k", "until"))).join(times, ["product", "k"]).select("ts_ns", "product", "side", "price", "size")
     best = Window.partitionBy("ts_ns", "product", "side").orderBy(F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price")))
     ranked = last.withColumn("level", (F.row_number().over(best) - 1).cast("long")).where(F.col("level") < levels)
     return ranked.select("ts_ns", "product", "side", "level", "price", "size")
