@@ -40,7 +40,8 @@ UNITS = (
 #: Marks a capitalised word inside a sentence; the placeholders are words that no text can hold.
 _NAME = "\x01"
 _IN_SENTENCE = r"(?<=[\p{L}\p{N},;:)\]'’-][ \t\n\r]{1,3})(?=\p{Lu})"
-_TOKEN = r"\x01?[\p{L}\p{M}]+(?:['’]\p{L}+)*|\p{N}+(?:[.,:/]\p{N}+)*"
+# repeats of groups are bounded: Java's matcher recurses on them
+_TOKEN = r"\x01?[\p{L}\p{M}]+(?:['’]\p{L}+){0,4}|\p{N}+(?:[.,:/]\p{N}+){0,20}"
 _NUMBER = r"(?<= |^)\p{N}[^ ]*"
 #: A unit is a unit where it follows a number.
 _UNIT = r"(?<=\x02number )(?:" + "|".join(UNITS) + r")(?= |$)"
