@@ -36,7 +36,7 @@ from tidemark.llm.near_dedup import _K1, _mix, _texts, word_hashes
 #: Bigrams have an entry from this count on; counts up to GOOD_TURING have Good-Turing discounts, larger ones lose half a count.
 MIN_COUNT, GOOD_TURING = 2, 5
 #: Tokens and documents of a chunk; bounds a task's memory.
-TOKENS, DOCUMENTS = 3_000_000, 60_000
+TOKENS, DOCUMENTS = 1_000_000, 60_000
 
 END, BOS = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
