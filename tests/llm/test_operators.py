@@ -438,6 +438,14 @@ def test_scores_equal_brute_force(spark, monkeypatch):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9), (a, b)
 
 
+def test_bigrams_seen_once_have_entries(spark, monkeypatch):
+    rows = [(k, t) for k, t in enumerate(["red fox runs", "red hen sits", "red fox sits", "blue hen runs far", "a fox", "red fox runs off"])]
+    got = katz.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    monkeypatch.setattr(katz, "MIN_COUNT", 1)  # for the brute force, whatever the module's own
+    for a, b in zip(sorted(map(tuple, got)), sorted(brute_katz(rows))):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9), (a, b)
+
+
 def test_scores_of_nothing(spark):
     assert katz.score(odd.empty(spark)).count() == 0
     from pyspark.sql import functions as F

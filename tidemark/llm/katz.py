@@ -3,7 +3,7 @@
 Words are lower-cased runs between white space; a text ends in one more token, the end.  The model backs off
 from bigrams to unigrams to one class for all unseen words:
 
-    P(w | h) = d(c(h, w)) * c(h, w) / c(h)      for bigrams seen MIN_COUNT times or more in training
+    P(w | h) = d(c(h, w)) * c(h, w) / c(h)      for bigrams seen in training, be it once
              = alpha(h) * P(w)                  else, with alpha(h) such that the probabilities of h sum to one exactly
     P(w)     = d(c(w)) * c(w) / N               for seen words; what the discounts leave belongs to the unseen class
 
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import drop_stash, stash, text_of
 from tidemark.llm.near_dedup import _K1, _mix, _texts, word_hashes
 
-#: Bigrams have an entry from this count on; counts up to GOOD_TURING have Good-Turing discounts, larger ones lose half a count.
-MIN_COUNT, GOOD_TURING = 2, 5
+#: Bigrams have an entry from this count on: all of them; counts up to GOOD_TURING have Good-Turing discounts, larger ones lose half a count.
+MIN_COUNT, GOOD_TURING = 1, 5
 #: Tokens and documents of a chunk; bounds a task's memory.
 TOKENS, DOCUMENTS = 1_000_000, 60_000
 
@@ -306,7 +306,8 @@ def _score(spark: SparkSession, docs: DataFrame, trains: Column | None, text: st
     bigrams, pairs = count(True, MIN_COUNT)
     d2 = discounts(pairs, MIN_COUNT)
     priced = unigrams.select("word", p_word.alias("p_word"))
-    entries = bigrams.join(priced, "word").select("history", "word", "n", "p_word", _discounted(F.col("n"), d2).alias("kept"))
+    entries = stash(bigrams.join(priced, "word").select("history", "word", "p_word", _discounted(F.col("n"), d2).alias("kept")), "entries")
+    drop_stash(bigrams)
     sums = stash(entries.groupBy("history").agg(F.sum("kept").alias("kept"), F.sum("p_word").alias("covered")), "histories")
     # the start is followed as often as texts end
     starts = spark.createDataFrame([(int(BOS.view(np.int64)), ends)], "word long, n long")
@@ -321,6 +322,7 @@ def _score(spark: SparkSession, docs: DataFrame, trains: Column | None, text: st
     blank = lambda names: [F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in _ROW.split(", ")) if n in names]
     # joint keys are made where they are needed: in Python, a batch at a time
     gain = stash(gain.mapInArrow(lambda b: _keyed(b, parts), "p int, key long, first double"), "gains")
+    drop_stash(entries)
     table = gain.select("p", *blank(["chunk", "a", "b", "times", "docs", "trained"]), "key", "first", *blank(["second", "third"]))
     sparse = "chunk long, docs binary, score binary, base binary, hits binary"
     by_pairs = stash(deal(send(True, True).unionByName(table), lambda b: _apply(b, False, (0.0, 0.0)), sparse), "pair-sums")
