@@ -122,6 +122,32 @@ def test_near_groups_on_odd_rows(spark):
     assert near_dedup.near_groups(odd.empty(spark)).count() == 0 and near_dedup.drop_near_copies(odd.empty(spark)).count() == 0
 
 
+def test_signature_bits_of_small_sets_agree_as_stated():
+    rng = np.random.default_rng(5)
+    for small, large in ((4, 5), (8, 10), (40, 50)):
+        for _ in range(4000):
+            x = rng.integers(0, 1 << 64, large, dtype=np.uint64)
+            a, b = (near_dedup.signature_bits(near_dedup.minima(s)) for s in (x[:small], x))
+            assert (a == b).sum() >= near_dedup.BITS_AGREE
+
+
+def test_near_copies_of_few_words_are_not_lost(spark):
+    rng = np.random.default_rng(11)
+    near = []
+    # texts of five words and one more whose minima have low bits that differ often
+    while len(near) < 3:
+        texts = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 6))]
+        texts.insert(0, texts[0].rsplit(" ", 1)[0])
+        data = [np.frombuffer(f"{t} ".encode(), np.uint8) for t in texts]
+        a, b = (near_dedup.minima(next(near_dedup.shingle_sets(d, np.array([0, d.size]), 2))) for d in data)
+        if ((a ^ b) & 1 == 0).sum() < near_dedup.BITS_AGREE:
+            near.append(texts)
+    rows = [(2 * k + j, t) for k, texts in enumerate(near) for j, t in enumerate(texts)]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_near(rows, 2, 80)
+    assert sorted(r.component_id for r in got) == [0, 0, 2, 2, 4, 4]
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(k + 1, k) for k in range(20)], [(0, k) for k in range(1, 15)], [(1, 2), (2, 3), (10, 11), (12, 11), (3, 1)]])
 def test_components(spark, edges):
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -1,7 +1,7 @@
 """MinHash near-deduplication.
 
 1. One pass computes each document's set of word shingles (as 64-bit hashes) and from it the minima
-   of HASHES universal hash functions, folded into band keys, and one bit of each minimum.
+   of HASHES universal hash functions, folded into band keys, and one mixed bit of each minimum.
 2. Documents with equal sets form a class; only its representative goes on, so copies
    never meet as pairs.
 3. In each bucket (representatives that share a band key) the members are paired with one hub only: the
@@ -100,6 +100,15 @@ def _functions() -> tuple[np.ndarray, np.ndarray]:
     return (rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * 2 + 1)[:, None], rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)[:, None]
 
 
+#: One salt for each minimum, beside its 32 bits.
+_SALTS = np.arange(1, HASHES + 1, dtype=np.uint64) << np.uint64(32)
+
+
+def signature_bits(least: np.ndarray) -> np.ndarray:
+    """One bit of each minimum, from a mixed hash: its own low bit is the element's, but for a constant, so few elements make them agree or differ together."""
+    return (_mix(least.astype(np.uint64) | _SALTS) >> np.uint64(63)).astype(np.uint8)
+
+
 def minima(shingles: np.ndarray) -> np.ndarray:
     """The least value of each hash function a*x + b mod 2**32 over a set."""
     a, b = _functions()
@@ -135,7 +144,7 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
                 least = minima(s)
                 pairs = least.view(np.uint64).reshape(BANDS, ROWS // 2)
                 bands.append(_mix(_mix(pairs[:, 0] + salts) + pairs[:, 1]).view(np.int64))
-                bits.append(np.packbits(least & 1).view(np.int64))
+                bits.append(np.packbits(signature_bits(least)).view(np.int64))
         n = len(sizes)
         bits = np.concatenate(bits) if n else np.zeros(0, np.int64)
         band = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * BANDS, pa.array(np.concatenate(bands) if n else np.zeros(0, np.int64)))
