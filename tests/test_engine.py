@@ -223,3 +223,21 @@ def test_pov_and_twap_fills(spark):
         fills.pov_fill(t, side="buy", parent_qty=1.0, participation=0.0, bucket_ns=1)
     with pytest.raises(ValueError, match="impact_model"):
         fills.twap_fill(t, side="buy", parent_qty=1.0, bucket_ns=X.SECOND, impact_model="cubic")
+
+
+def test_whole_studies_take_every_order(spark, tmp_path):
+    from tidemark import queries
+
+    rows = [(k, k % 17) for k in (1, 2, 999, 1000, 1001, 50_000)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
+    filled = sum(1.0 + c % 5 for _, c in rows)
+    (short,) = run("shortfall_whole")
+    assert (short.fills, short.filled_qty, short.parent_qty) == (len(rows), filled, 1.25 * filled)
+    assert short.final_price == pytest.approx(100 + 50_000 % 13 * 1e-2)
+    assert {r.qty for r in run("counterfactual_whole")} == {filled}
+    drift = sum((1.0 + c % 5) / filled * (k % 13) for k, c in rows)
+    made = {r.coef_bps: r.realised_cost_bps for r in run("sensitivity_whole")}
+    share = [((1.0 + c % 5) / filled, 1 / (4 + k % 9)) for k, c in rows]
+    for coef, cost in made.items():
+        assert cost == pytest.approx(drift + sum(w * (coef * p**0.5 + 5 * p) for w, p in share), abs=1e-6)

@@ -152,7 +152,8 @@ def _strategies(fills: DataFrame, arrival: float, coefs: DataFrame, perm_coef_bp
     rows = rows.withColumn("p", F.when(F.col("p") > 1, F.raise_error(F.lit("a strategy takes more than an interval's volume")).cast("double")).otherwise(F.col("p")))
     w = F.col("q") / F.col("filled")
     drift, impact = F.sum(w * _signed(F.col("price"), arrival)), F.sum(w * (F.col("coef_bps") * F.sqrt("p") + perm_coef_bps * F.col("p")))
-    return rows.groupBy("coef_bps", "name", "place").agg(F.sum("q").alias("qty"), drift.alias("drift"), impact.alias("impact"), (drift + impact).alias("cost"))
+    # each strategy's parts make up what was filled: a sum of many equal parts would only add rounding
+    return rows.groupBy("coef_bps", "name", "place").agg(F.max("filled").alias("qty"), drift.alias("drift"), impact.alias("impact"), (drift + impact).alias("cost"))
 
 
 def counterfactual(fills: DataFrame, arrival: float, coef_bps: float, perm_coef_bps: float = 0.0) -> DataFrame:

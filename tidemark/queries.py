@@ -67,6 +67,8 @@ _TABLES = {
     "t_samples": "SELECT p AS participation, 10e0 * sqrt(p) + 20e0 * p + ((o_orderkey % 7) - 3) * 1e-1 AS realised_bps FROM (SELECT o_orderkey, 1e-2 + (o_custkey % 50) / 100e0 AS p FROM orders)",
     "t_fills": """SELECT o_orderkey * 1000000000 AS ts_ns, qty, 100e0 + (o_orderkey % 13) * 1e-2 AS price, qty * (4 + o_orderkey % 9) AS interval_volume
         FROM (SELECT o_orderkey, 1e0 + o_custkey % 5 AS qty FROM orders WHERE o_orderkey < 1000)""",
+    "t_whole": """SELECT o_orderkey * 1000000000 AS ts_ns, qty, 100e0 + (o_orderkey % 13) * 1e-2 AS price, qty * (4 + o_orderkey % 9) AS interval_volume
+        FROM (SELECT o_orderkey, 1e0 + o_custkey % 5 AS qty FROM orders)""",
 }
 
 
@@ -335,8 +337,8 @@ def shortfall(spark, sf_dir):
     return fills.shortfall(adapters.fills(spark, sf_dir), 5000.0, 100.0, COEF, PERM)
 
 
-def _strategy_sql(coefs: str) -> str:
-    return f"""WITH f AS (SELECT *, sum(qty) OVER () AS filled, sum(interval_volume) OVER () AS traded, count(*) OVER () AS n FROM t_fills),
+def _strategy_sql(coefs: str, table: str = "t_fills") -> str:
+    return f"""WITH f AS (SELECT *, sum(qty) OVER () AS filled, sum(interval_volume) OVER () AS traded, count(*) OVER () AS n FROM {table}),
         s AS (SELECT 'realised' AS name, 0 AS place, qty AS q, * FROM f UNION ALL SELECT 'twap', 1, filled / n, * FROM f UNION ALL SELECT 'volume', 2, filled * interval_volume / traded, * FROM f),
         r AS (SELECT coef, name, place, sum(q) AS qty, sum(q / filled * (price - 100) / 100 * 1e4) AS drift, sum(q / filled * (coef * sqrt(q / interval_volume) + 5 * q / interval_volume)) AS impact FROM s, (SELECT unnest([{coefs}]) AS coef) GROUP BY ALL),
         k AS (SELECT *, floor((drift + impact) * 1e8 + 0.5) / 1e8 AS cost FROM r),
@@ -351,14 +353,41 @@ def counterfactual(spark, sf_dir):
 COEFS = [5.0, 10.0, 20.0, 30.0, 40.0]
 
 
-@_query(f"""{_strategy_sql(', '.join(f'{c}e0' for c in COEFS))}, e AS (SELECT *, best - made AS edge, lead(best - made) OVER o AS ne, lead(coef) OVER o AS nc FROM b WINDOW o AS (ORDER BY coef)),
+def _sensitivity_sql(table: str = "t_fills") -> str:
+    return f"""{_strategy_sql(', '.join(f'{c}e0' for c in COEFS), table)}, e AS (SELECT *, best - made AS edge, lead(best - made) OVER o AS ne, lead(coef) OVER o AS nc FROM b WINDOW o AS (ORDER BY coef)),
     t AS (SELECT min(edge) AS lo, max(edge) AS hi, count(*) FILTER (edge * ne < 0) AS flips, arg_min(coef + (nc - coef) * -edge / (ne - edge), coef) FILTER (edge * ne < 0) AS be,
         count(DISTINCT who) = 1 AND (min(edge) > 0 OR max(edge) < 0) AS stable FROM e)
-    SELECT coef AS coef_bps, [[made]] AS realised_cost_bps, who AS best_alternative, [[best]] AS best_cost_bps, [[edge]] AS edge_bps, [[lo]] AS edge_min_bps, [[hi]] AS edge_max_bps, flips AS sign_flips, [[be]] AS breakeven_coef_bps, stable AS verdict_stable FROM e, t""")
+    SELECT coef AS coef_bps, [[made]] AS realised_cost_bps, who AS best_alternative, [[best]] AS best_cost_bps, [[edge]] AS edge_bps, [[lo]] AS edge_min_bps, [[hi]] AS edge_max_bps, flips AS sign_flips, [[be]] AS breakeven_coef_bps, stable AS verdict_stable FROM e, t"""
+
+
+@_query(_sensitivity_sql())
 def sensitivity(spark, sf_dir):
     return fills.sensitivity(adapters.fills(spark, sf_dir), 100.0, COEFS, PERM)
 
 
+# the same three over all orders; the parent is a quarter more than what is filled, however many orders there are
+
+
+@_query("""WITH a AS (SELECT *, qty / interval_volume AS p, qty / sum(qty) OVER () AS w, (price - 100) / 100 * 1e4 AS r FROM t_whole),
+    b AS (SELECT count(*) AS n, sum(qty) AS filled, 1.25e0 * sum(qty) AS parent, sum(qty * price) / sum(qty) AS px, arg_max(price, ts_ns) AS last, sum(w * r) AS realised, sum(w * (25 * sqrt(p) + 5 * p)) AS modelled FROM a),
+    c AS (SELECT *, parent - filled AS unfilled, (parent - filled) / parent * (last - 100) / 100 * 1e4 AS missed FROM b)
+    SELECT 'buy' AS side, n AS fills, parent AS parent_qty, [[filled]] AS filled_qty, [[unfilled]] AS unfilled_qty, [[filled / parent]] AS fill_rate, 100e0 AS arrival_price, [[px]] AS avg_price, [[last]] AS final_price, [[realised]] AS realised_bps,
+        [[modelled]] AS modelled_bps, [[realised - modelled]] AS residual_bps, [[missed]] AS opportunity_bps, [[filled / parent * realised + missed]] AS total_bps FROM c""")
+def shortfall_whole(spark, sf_dir):
+    rows = adapters.fills(spark, sf_dir, None)
+    return fills.shortfall(rows, 1.25 * rows.agg(F.sum("qty")).first()[0], 100.0, COEF, PERM)
+
+
+@_query(f"{_strategy_sql('25e0', 't_whole')} SELECT name, [[qty]] AS qty, [[drift]] AS drift_bps, [[impact]] AS impact_bps, [[cost]] AS cost_bps, who AS best_alternative, [[best - made]] AS edge_bps FROM k JOIN b USING (coef)")
+def counterfactual_whole(spark, sf_dir):
+    return fills.counterfactual(adapters.fills(spark, sf_dir, None), 100.0, COEF, PERM)
+
+
+@_query(_sensitivity_sql("t_whole"))
+def sensitivity_whole(spark, sf_dir):
+    return fills.sensitivity(adapters.fills(spark, sf_dir, None), 100.0, COEFS, PERM)
+
+
 def _fill_sql(algo: str) -> str:
     qty = "greatest(0, least(0.2 * volume, 60 - coalesce(sum(0.2 * volume) OVER b, 0)))" if algo == "pov" else "60e0 / count(*) OVER (PARTITION BY session_id)"
     return f"""{algo}_q AS (SELECT *, {qty} AS qty FROM (SELECT session_id, ts_ns // {SLOT_NS} AS bucket, sum(size) AS volume, sum(price * size) / sum(size) AS vwap FROM t_ticks GROUP BY ALL)

@@ -46,7 +46,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("o_orderkey * 1000000000 as ts_ns", "'EVT' as product", "p as participation", "10e0 * sqrt(p) + 20e0 * p + ((o_orderkey % 7) - 3) * 1e-1 as realised_bps")
 
 
-def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Buys of the first 1,000 order keys."""
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 1000").selectExpr("o_orderkey", "1e0 + o_custkey % 5 as qty")
+def fills(spark: SparkSession, sf_dir: str, below: int | None = 1000) -> DataFrame:
+    """Buys of the order keys under `below`, or of all orders."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = (rows if below is None else rows.where(F.col("o_orderkey") < below)).selectExpr("o_orderkey", "1e0 + o_custkey % 5 as qty")
     return rows.selectExpr("o_orderkey * 1000000000 as ts_ns", "'EVT' as product", "'buy' as side", "qty", "100e0 + (o_orderkey % 13) * 1e-2 as price", "qty * (4 + o_orderkey % 9) as interval_volume")
