@@ -322,6 +322,19 @@ def test_pseudonyms_hide_keep_format_and_come_back(spark):
     assert pii.pseudonymise(df, "other").where("doc_id = 3").first().text != got[3].text
 
 
+def test_long_secrets_are_hidden_to_their_end(spark):
+    rng = random.Random(4)
+    values = ["".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJK23456789") for _ in range(n)) for n in (512, 513, 600, 5000, 100_000)]
+    df = spark.createDataFrame([(k, f"token={v} end") for k, v in enumerate(values)], "doc_id long, text string")
+    hidden = pii.pseudonymise(df, "key")
+    for r in hidden.collect():
+        v, text = values[r.doc_id], r.text
+        assert r.n_values == 1 and text.startswith("token=") and text.endswith(" end") and len(text) == len(v) + 10
+        made = text[6:-4]
+        assert not any(v[i : i + 16] in made for i in range(0, len(v) - 15, 16)) and v[-8:] not in made
+    assert {r.doc_id: r.text for r in pii.pseudonymise(hidden, "key", reveal=True).collect()} == {k: f"token={v} end" for k, v in enumerate(values)}
+
+
 def test_pseudonyms_are_permutations(spark):
     dates = spark.range(36525).selectExpr("id as doc_id", "cast(date_add(date'2000-01-01', cast(id as int)) as string) as text")
     assert pii.pseudonymise(dates, "k").select("text").distinct().count() == 36525
