@@ -117,3 +117,12 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name, column, folds", [("walk_forward_whole", "input", range(2, 30)), ("holdout_whole", "held_out", range(30))])
+def test_whole_studies_reach_every_session(spark, name, column, folds):
+    from tidemark import queries
+
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").select(column).distinct().collect()
+    assert sorted(r[0] for r in got) == list(folds)
+    test_queries_match_their_sql(spark, name)

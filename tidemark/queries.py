@@ -605,3 +605,25 @@ def _share_sql() -> str:
 def share_sweep(spark, sf_dir):
     rows, days = _walks(spark, sf_dir)
     return plans.share_sweep(rows, "session_id", days, SLOT_NS, SHARES, CAPS, HALF_LIVES, COEF, PERM)
+
+
+# studies over every session of the table; their SQL names the test tables' thirty
+
+_WHOLE = 30
+
+
+def _every_session(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int]]:
+    rows = adapters.ticks(spark, sf_dir)
+    return rows, sorted(r["session_id"] for r in rows.select("session_id").distinct().collect())
+
+
+@_query(f"{_priced_sql(plans._walk(_WHOLE, None), CAPS, [0.0, *HALF_LIVES], '0.1e0 * avg(total)')} SELECT fold + 2 AS input, 0 AS history_from, [[q]] AS parent_qty, cap, verdict, [[flat]] AS flat_improvement_bps, {_CONSENSUS} FROM verd WINDOW c AS (PARTITION BY cap)")
+def walk_forward_whole(spark, sf_dir):
+    rows, days = _every_session(spark, sf_dir)
+    return plans.walk_forward(rows, "session_id", days, SLOT_NS, None, CAPS, HALF_LIVES, COEF, PERM, parent_share=0.1)
+
+
+@_query(f"{_priced_sql([(i, [j for j in range(_WHOLE) if j != i]) for i in range(_WHOLE)], CAPS, [0.0, *HALF_LIVES], f'{PARENT}e0')} SELECT fold AS held_out, cap, verdict, [[flat]] AS flat_improvement_bps, {_CONSENSUS} FROM verd WINDOW c AS (PARTITION BY cap)")
+def holdout_whole(spark, sf_dir):
+    rows, days = _every_session(spark, sf_dir)
+    return plans.holdout(rows, "session_id", days, SLOT_NS, PARENT, CAPS, HALF_LIVES, COEF, PERM)
