@@ -5,21 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Column names of our own beside a caller's columns.
+K1, K2, COPY = "__tidemark_k1", "__tidemark_k2", "__tidemark_copy"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors reach: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors reach: spark.checkpoint.dir, or the context's checkpoint folder.  Where neither is set, a folder of
+    our own is set if all tasks run in this very process; on a cluster that is an error, as no folder here is shared."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(folder)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
+    if folder:
+        return folder
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
@@ -53,6 +59,37 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """docs with 128 bits of a row's id and text as K1 and K2, the same whenever a row is read."""
+    taken = {c.lower() for c in docs.columns} & {K1, K2, COPY}
+    if taken:
+        raise ValueError(f"reserved column names: {sorted(taken)}")
+    id_, body = F.col(doc_id).cast("long"), text_of(text)
+    return docs.select("*", F.xxhash64(id_, body).alias(K1), F.xxhash64(body, id_, F.lit(7)).alias(K2))
+
+
+def drop_rows(docs: DataFrame, rows: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """docs, all columns, less the rows whose keys are in rows (k1, k2)."""
+    gone = rows.select(F.col("k1").alias(K1), F.col("k2").alias(K2))
+    return keyed(docs, text, doc_id).join(gone, [K1, K2], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_rows_once(docs: DataFrame, rows: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """One row of docs, all columns, for each of rows' keys (k1, k2).  Of rows that repeat id and text it is the one that sorts first by
+    the rest of its columns."""
+    wanted = rows.select(F.col("k1").alias(K1), F.col("k2").alias(K2)).distinct()
+    met = keyed(docs, text, doc_id).join(wanted, [K1, K2], "left_semi")
+    return first_copies(met, docs.columns, text, doc_id)
+
+
+def first_copies(rows: DataFrame, columns: list[str], text: str, doc_id: str) -> DataFrame:
+    """Of rows that share K1 and K2, and with them id and text, the one whose other columns hash least (any, if those are equal too)."""
+    rest = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in columns if c not in (text, doc_id)], F.lit(0))
+    order = Window.partitionBy(K1, K2).orderBy(COPY)
+    first = rows.withColumn(COPY, rest).withColumn(COPY, F.row_number().over(order)).where(F.col(COPY) == 1)
+    return first.select(*[F.col(f"`{c}`") for c in columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,16 +1,18 @@
 """Exact deduplication by deterministic block naming.
 
-Every text is cut into blocks of a fixed number of characters.  The distinct blocks are sorted and
-numbered: equal blocks share a number and different ones never do, as the blocks themselves are
+Every text is cut into blocks of a fixed number of characters.  The distinct blocks are sorted, within the partitions of a hash
+of them, and numbered: equal blocks share a number and different ones never do, as the blocks themselves are
 compared, not digests of them.  Adjacent numbers of a document are then named pair by pair in the
-same way, level after level, until one number is left: the document's identity.
+same way, level after level, until one number is left: the document's identity.  The numbers themselves depend on how
+many partitions there are; which documents share an identity, and so every result, doesn't.
 
 Cost: the text is shuffled twice (distinct blocks, and blocks to their names); all levels above
 move integers only.  The levels are the logarithm of the longest document's blocks.
 
 Skew: counting the blocks combines on the map side.  The most frequent blocks go to their documents by
 a broadcast whose size is bounded (HOT_BLOCKS blocks of BLOCK characters) instead of through
-one task; every other block goes by the sort-merge join.  Names of pairs and groups are written
+one task; every other block goes by the sort-merge join, and as none of these is among the HOT_BLOCKS most frequent, each has
+less than one in HOT_BLOCKS of all places.  Names of pairs and groups are written
 tables, so their joins have a plain exchange on both sides and Spark splits large partitions.
 """
 
@@ -19,12 +21,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stash, text_of
+from tidemark.llm.common import K1, K2, first_copies, stash, text_of
 
-#: Characters of a block.
-BLOCK = 8192
-#: At most so many of the most frequent blocks, each in HOT_ROWS places or more, are broadcast (8 MB at most).
-HOT_BLOCKS = 256
+#: Characters of a block: most documents have several.
+BLOCK = 1024
+#: At most so many of the most frequent blocks, each in HOT_ROWS places or more, are broadcast (8 MB of characters at most).
+HOT_BLOCKS = 8192
 HOT_ROWS = 1000
 #: Names below zero: no right neighbour, and from -2 down the broadcast blocks.
 NO_NEIGHBOUR = -1
@@ -111,15 +113,10 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bl
 
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """The rows of docs, all columns, without those that exact_groups() drops."""
+    """The rows of docs, all columns, without those that exact_groups() drops; of rows that repeat id and text see first_copies()."""
     kept = exact_groups(docs, text, doc_id, block).where("kept").select(
-        F.coalesce("keep_id", F.lit(-(2**63))).alias("__id"), F.unhex("text_sha256").alias("__sha")
+        F.coalesce("keep_id", F.lit(-(2**63))).alias(K1), F.unhex("text_sha256").alias(K2)
     )
-    rows = docs.select(
-        "*", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("__id"), F.unhex(F.sha2(text_of(text), 256)).alias("__sha")
-    )
-    # the join leaves the rows of a key together and in order, so numbering them needs no other exchange
-    numbered = rows.join(kept, ["__id", "__sha"], "left_semi").selectExpr(
-        "*", "row_number() over (partition by __id, __sha order by __id) as __copy"
-    )
-    return numbered.where("__copy = 1").select(*docs.columns)
+    rows = docs.select("*", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias(K1), F.unhex(F.sha2(text_of(text), 256)).alias(K2))
+    # the join leaves the rows of a key together, so numbering them needs no other exchange
+    return first_copies(rows.join(kept, [K1, K2], "left_semi"), docs.columns, text, doc_id)

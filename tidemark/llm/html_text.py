@@ -1,22 +1,22 @@
 """Main text of web pages, with removal of site templates.
 
-A page's markup is read into a tree.  Elements whose kind or class says that they aren't the
-article (menus, headers, footers, sidebars, notices, adverts, forms, comments of readers, scripts
-and styles) are passed over.  What no name gives away is found by counting: every element subtree is
-hashed, the hashes are counted per host in Spark, and subtrees that recur on many pages of their
-host are deleted.
-
-Pages that repeat an article count once, so that a host full of copies doesn't make its article a
-template; the article element itself, and the paragraphs, headings, lists and tables inside it, are
-never deleted by count.  Counting moves one row for each distinct (host, subtree, article); the
-HTML itself is shuffled only if the templates are too many to broadcast.
+A page's markup is read into a tree.  Every block subtree of it, inside the article as outside, is hashed, the hashes are counted
+per host in Spark, and subtrees that recur on many different articles of their host are deleted.  What counting can't
+see, as a host has too few pages, goes by name: elements whose kind or class says that they aren't the article
+(menus, headers, footers, sidebars, notices, adverts, forms, comments of readers, scripts and styles), and what
+stands outside the article where a page marks one.
+
+Pages that repeat an article count once, so that a host full of copies doesn't make its article a template.  Near copies of an
+article share most of their paragraphs: where a page marks its article and templates would take more than half of that article's text,
+they aren't templates to it and nothing is deleted.  Counting moves one row for each distinct (host, subtree, article); the
+HTML itself is shuffled only if the templates are too many to broadcast.  Reading a page is linear in its length.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -33,10 +33,10 @@ BROADCAST_TEMPLATES = 500_000
 # Kinds of elements in HTML.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style textarea title xmp iframe noembed noframes".split())
-_SKIP = set(
-    "head nav header footer aside form script style noscript template iframe svg math button select option "
-    "textarea input dialog menu title object embed video audio canvas map datalist noembed noframes xmp".split()
-)
+# never text
+_DUMB = set("head script style noscript template iframe svg math select option textarea input title object embed video audio canvas map datalist noembed noframes xmp".split())
+# not the article
+_SKIP = set("nav header footer aside form button dialog menu".split())
 _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr".split()
@@ -45,7 +45,6 @@ _CLOSES_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr main menu nav ol p pre search section summary table ul".split()
 )
-_PARAGRAPHS = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 # Words in a class, id or role that say an element isn't the article.
@@ -56,20 +55,22 @@ _NOT_TEXT = set(
     "subscription toolbar widget widgets".split()
 )
 
+# A tag ends at its first ">" outside quotes; quotes count after "=" only, and a "<" outside them means that this is no tag.  Repeats
+# are possessive, so a tag that doesn't end costs its own length once.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>", re.S
 )
-_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|$)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("kind", "named_out", "main", "children", "digest", "known")
+    __slots__ = ("kind", "dumb", "named_out", "main", "children", "digest", "known", "lang")
 
     def __init__(self, kind: str, attributes: str = ""):
         self.kind, self.children, self.digest = kind, [], 0
-        self.named_out, self.main = kind in _SKIP, kind in ("article", "main")
-        self.known = ""
+        self.dumb, self.named_out, self.main = kind in _DUMB, kind in _SKIP, kind in ("article", "main")
+        self.known, self.lang = "", None
         if attributes and not attributes.isspace():
             self._read(attributes)
 
@@ -85,27 +86,49 @@ class Node:
                     self.named_out = True
                 elif self.kind == "article" and {"comment", "comments"} & set(words):
                     self.named_out, self.main = True, False
+            elif name == "lang" or name == "xml:lang":
+                self.lang = self.lang or value.strip()
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                 self.named_out = True
 
 
+class _Open:
+    """The elements that are open, and where each kind stands among them, so that no search walks the whole depth."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.kind, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, kinds: Iterable[str]) -> int:
+        return max((self.places[k][-1] for k in kinds if self.places.get(k)), default=0)
+
+    def cut(self, at: int) -> None:
+        while len(self.nodes) > max(at, 1):
+            self.places[self.nodes.pop().kind].pop()
+
+    def close(self, kinds: Iterable[str], scope: Iterable[str] = ()) -> None:
+        """Close the innermost element of these kinds, and all in it, unless one of scope stands further in."""
+        at = self.last(kinds)
+        if at > self.last(scope):
+            self.cut(at)
+
+
+_BARRIERS = {"article", "main", "td", "th"}
+_P_SCOPE = ("article", "main", "section", "div", "td", "th", "button", "aside", "form", "header", "footer", "nav", "li")
+
+
 def parse(page: str) -> Node:
     """The element tree of a page.  Text stands as strings between elements, references decoded."""
     root = Node("html")
-    open_: list[Node] = [root]
+    now = _Open(root)
     at, n = 0, len(page)
 
-    def close(kinds: set[str], scope: set[str] | frozenset = frozenset()) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k].kind in kinds:
-                del open_[k:]
-                return
-            if open_[k].kind in scope:
-                return
-
     def put(text: str) -> None:
         if text:
-            open_[-1].children.append(html.unescape(text) if "&" in text else text)
+            now.nodes[-1].children.append(html.unescape(text) if "&" in text else text)
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -116,45 +139,50 @@ def parse(page: str) -> Node:
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                open_[-1].children.append(m[0][9:].removesuffix("]]>"))
+                now.nodes[-1].children.append(m[0][9:].removesuffix("]]>"))
             continue
         kind = m[2].lower()
         if m[1]:
-            if kind == "p" and not any(x.kind == "p" for x in open_):
-                continue
             if kind not in ("html", "body"):
-                close({kind}, frozenset() if kind in ("article", "main") else {"article", "main", "td", "th"} - {kind})
+                now.close((kind,), () if kind in ("article", "main") else _BARRIERS - {kind})
             elif kind == "body":
-                del open_[2:]
+                now.cut(2)
             continue
-        if kind in ("html", "body") and any(x.kind == kind for x in open_[1:]):
+        if kind in ("html", "body") and now.places.get(kind):
             continue
         if kind == "body":
-            close({"head"})
+            now.close(("head",))
         if kind in _CLOSES_P:
-            close({"p"}, {"article", "main", "section", "div", "td", "th", "button", "aside", "form", "header", "footer", "nav", "li"})
+            now.close(("p",), _P_SCOPE)
         if kind in _CLOSED_BY:
-            close(_CLOSED_BY[kind], _SCOPE[kind])
+            now.close(_CLOSED_BY[kind], _SCOPE[kind])
         node = Node(kind, m[3])
-        open_[-1].children.append(node)
+        now.nodes[-1].children.append(node)
         if kind in _RAW:
-            end = re.compile(rf"</{re.escape(kind)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-        elif kind not in _VOID and not m[3].endswith("/"):
-            open_.append(node)
-        elif kind not in _VOID and kind not in ("svg", "math"):
-            open_.append(node)  # "<div/>" opens a div
+            end = re.compile(rf"</{re.escape(kind)}(?=[\s/>])", re.I).search(page, at)
+            at = page.find(">", end.end()) + 1 if end else 0
+            at = at or n
+        elif kind not in _VOID and not (m[3].endswith("/") and kind in ("svg", "math")):
+            now.push(node)  # "<div/>" opens a div
     return root
 
 
-def _gather(node: Node, deleted: set[int], out: list[str]) -> None:
+def declared_language(root: Node) -> str | None:
+    """What the page's html element (or its body) says that the language is, as written but in lower case."""
+    for x in _below(root):
+        if x.kind in ("html", "body") and x.lang:
+            return x.lang
+    return None
+
+
+def _gather(node: Node, deleted: set[int], out: list[str], by_name: bool) -> None:
     """Text under node in page order; an element that isn't inline parts words."""
     stack: list[object] = [node]
     while stack:
         x = stack.pop()
         if isinstance(x, str):
             out.append(x)
-        elif x.named_out or x.digest in deleted:
+        elif x.dumb or by_name and x.named_out or x.digest in deleted:
             out.append(" ")
         elif x.kind in _INLINE:
             stack.extend(reversed(x.children))
@@ -177,7 +205,7 @@ def _bodies(root: Node) -> list[Node]:
     found, stack = [], [root]
     while stack:
         x = stack.pop()
-        if x.named_out:
+        if x.named_out or x.dumb:
             continue
         if x.main:
             found.append(x)
@@ -186,59 +214,62 @@ def _bodies(root: Node) -> list[Node]:
     return found or [root]
 
 
-def main_text(root: Node, deleted: set[int] = frozenset()) -> str:
-    out: list[str] = []
-    for body in _bodies(root):
-        _gather(body, deleted, out)
-        out.append(" ")
-    return " ".join("".join(out).split())
+def main_text(root: Node, deleted: set[int] = frozenset(), by_name: bool = True) -> str:
+    """The text of the page without subtrees of these digests (of the whole page, and by counts alone, if not by_name)."""
+
+    def text(bodies: list[Node], gone: set[int]) -> str:
+        out: list[str] = []
+        for body in bodies:
+            _gather(body, gone, out, by_name)
+            out.append(" ")
+        return " ".join("".join(out).split())
 
+    bodies = _bodies(root) if by_name else [root]
+    left = text(bodies, deleted)
+    if deleted and bodies[0] is not root:
+        whole = text(bodies, frozenset())
+        if 2 * len(left) < len(whole):  # a near copy of other articles, not an article with strips
+            return whole
+    return left
 
-def hash_subtrees(root: Node) -> set[int]:
-    """Give every element that may be a template its digest; the digests given.
 
-    Not given one, so never deleted: the article, what it stands in, and the paragraphs, headings,
-    lists and tables inside it.  Inline elements have no life of their own.
-    """
+def hash_subtrees(root: Node) -> set[int]:
+    """Give every block element with text in it its digest; the digests given.  Inline elements have no life of their own."""
     given: set[int] = set()
-    bodies = {id(b) for b in _bodies(root)}
-
-    def walk(top: Node) -> None:
-        # (node, inside the article, done): children first, without recursion
-        stack: list[tuple[Node, bool, bool]] = [(top, False, False)]
-        sums: dict[int, tuple[bytes, bool]] = {}
-        while stack:
-            x, inside, done = stack.pop()
-            if not done:
-                inner = inside or id(x) in bodies
-                stack.append((x, inside, True))
-                stack.extend([(c, inner, False) for c in x.children if isinstance(c, Node)])
-                continue
-            h = blake2b(f"<{x.kind} {x.known}>".encode("utf-8", "surrogatepass"), digest_size=8)
-            holds = id(x) in bodies
-            for c in x.children:
-                if isinstance(c, str):
-                    h.update(" ".join(c.split()).encode("utf-8", "surrogatepass"))
-                else:
-                    digest, has = sums.pop(id(c))
-                    holds |= has
-                    h.update(digest)
-            sums[id(x)] = (h.digest(), holds)
-            if not holds and x.kind not in _INLINE and x.kind not in _VOID and not (inside and x.kind in _PARAGRAPHS):
-                x.digest = int.from_bytes(h.digest(), "little", signed=True) or 1
-                given.add(x.digest)
-
-    walk(root)
+    # children first, without recursion
+    stack: list[tuple[Node, bool]] = [(root, False)]
+    sums: dict[int, tuple[bytes, bool]] = {}
+    while stack:
+        x, done = stack.pop()
+        if not done:
+            stack.append((x, True))
+            stack.extend([(c, False) for c in x.children if isinstance(c, Node) and not c.dumb])
+            continue
+        h = blake2b(f"<{x.kind} {x.known}>".encode("utf-8", "surrogatepass"), digest_size=8)
+        worded = False
+        for c in x.children:
+            if isinstance(c, str):
+                words = " ".join(c.split())
+                worded |= bool(words)
+                h.update(words.encode("utf-8", "surrogatepass"))
+            elif not c.dumb:
+                digest, has = sums.pop(id(c))
+                worded |= has
+                h.update(digest)
+        sums[id(x)] = (h.digest(), worded)
+        if worded and x is not root and x.kind not in _INLINE and x.kind not in ("html", "body"):
+            x.digest = int.from_bytes(h.digest(), "little", signed=True) or 1
+            given.add(x.digest)
     return given
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], by_name: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, subtrees, articles = [], [], []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
             root = parse(page.as_py())
             found = hash_subtrees(root)
-            article = int.from_bytes(blake2b(main_text(root).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            article = int.from_bytes(blake2b(main_text(root, by_name=by_name).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
             for s in (0, *found):  # 0 stands for the page itself
                 hosts.append(host)
                 subtrees.append(s)
@@ -248,20 +279,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch], by_name: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
+        texts, langs, deleted = [], [], []
         for page, templates in zip(batch.column(2), batch.column(3).to_pylist()):
             root = parse(page.as_py())
-            if templates:
-                hash_subtrees(root)
-            texts.append(main_text(root, set(templates or ())))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            hits = hash_subtrees(root) & set(templates) if templates else frozenset()
+            texts.append(main_text(root, hits, by_name))
+            langs.append(declared_language(root))
+            deleted.append(len(hits))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(langs, pa.string()), pa.array(deleted, pa.int64())], ["page_id", "url", "text", "lang", "templates"]
+        )
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, by_name: bool = True) -> DataFrame:
     """(host, subtree) of subtrees that recur on many different articles of their host."""
-    seen = pages.select("host", "html").mapInArrow(_count, "host string, subtree long, article long").distinct()
+    seen = pages.select("host", "html").mapInArrow(lambda b: _count(b, by_name), "host string, subtree long, article long").distinct()
     counts = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("articles"))
     counts = stash(counts.where((F.col("subtree") == 0) | (F.col("articles") >= min_pages)), "subtrees")
     whole = counts.where("subtree = 0").select("host", F.col("articles").alias("all"))
@@ -269,19 +303,23 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     return found.select("host", "subtree")
 
 
-def extract(pages: DataFrame, page: str = "html", url: str = "url", page_id: str = "page_id", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars (code points).
+def extract(
+    pages: DataFrame, page: str = "html", url: str = "url", page_id: str = "page_id", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, by_name: bool = True
+) -> DataFrame:
+    """One row per page: page_id, url, text, n_chars (code points), lang (as the html element declares it, or null), templates (how many
+    subtrees of the page recur on its host).
 
     Character references are decoded, white space inside a block becomes one space, blocks follow
     in page order with one space between.  A null, empty or text-free page gives the empty text.  A page
-    without article or main is read whole.  Pages of a null url share the empty host.  Repeated pages give repeated
+    without article or main is read whole, less templates and what its names give away.  Without by_name, kinds and classes and article
+    elements mean nothing, and only counting removes.  Pages of a null url share the empty host.  Repeated pages give repeated
     rows; other columns are ignored.
     """
     given = pages.select(
         F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("html"),
         host_of(after_scheme(F.col(url))).alias("host"),
     )
-    found = stash(templates(given, min_pages, min_share), "templates")
+    found = stash(templates(given, min_pages, min_share, by_name), "templates")
     # at most 1 / min_share times the subtrees of a page for each host
     by_host = found.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
     if found.count() <= BROADCAST_TEMPLATES:
@@ -290,5 +328,5 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", page_id: str
         by_host = stash(by_host, "hosts")
     kinds = {f.name: f.dataType.simpleString() for f in given.schema.fields}
     rows = given.join(by_host, "host", "left").select("page_id", "url", "html", "templates")
-    texts = rows.mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
-    return texts.withColumn("n_chars", F.length("text").cast("long"))
+    texts = rows.mapInArrow(lambda b: _extract(b, by_name), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, lang string, templates long")
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "lang", "templates")

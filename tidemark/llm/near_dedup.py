@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_stash, stash, text_of
+from tidemark.llm.common import drop_stash, keep_rows_once, stash, text_of
 from tidemark.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -273,9 +273,6 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, text: str =
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs, all columns, that near_groups() keeps; rows that repeat id and text stay once."""
-    kept = near_groups(docs, words, percent, text, doc_id).where("kept").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
-    id_, body = F.col(doc_id).cast("long"), text_of(text)
-    keyed = docs.select("*", F.xxhash64(id_, body).alias("__k1"), F.xxhash64(body, id_, F.lit(7)).alias("__k2"))
-    numbered = keyed.join(kept, ["__k1", "__k2"], "left_semi").selectExpr("*", "row_number() over (partition by __k1, __k2 order by __k1) as __copy")
-    return numbered.where("__copy = 1").select(*docs.columns)
+    """The rows of docs, all columns, that near_groups() keeps; rows that repeat id and text stay once (see keep_rows_once())."""
+    kept = near_groups(docs, words, percent, text, doc_id).where("kept").select("k1", "k2")
+    return keep_rows_once(docs, stash(kept, "kept"), text, doc_id)
