@@ -4,29 +4,30 @@ Four kinds of evidence are added as log likelihoods: the text (byte trigrams of
 Bayes model), the language that the markup declares, the language that the address suffix suggests,
 and a prior of the host.  Host priors come from grouped aggregation over all rows and are smoothed
 hierarchically: host towards its parent domain, parent towards the whole table.  A further class
-with a flat distribution stands for text in no known language.
+with a flat distribution stands for text in no known language: trigrams that a language's labelled texts hardly ever have
+speak for it.
 
-The text model is fitted on at most PER_LANGUAGE labelled rows of each language; everything else covers
-all rows.  Texts are read once; priors are joined to rows of a few numbers, not to texts.
+The model is fitted on labelled rows only, at most PER_LANGUAGE of each language; labels are evidence for no row.
+Everything else covers all rows.  Texts are read once; priors are joined to rows of a few numbers, not to texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stash, text_of
+from tidemark.llm import html_text
+from tidemark.llm.common import after_scheme, drop_rows, host_of, stash, text_of
 
 #: Labelled rows of each language for the text model: the rows with the least hash of their id.
 PER_LANGUAGE = 400
 #: Buckets of byte trigrams.
 BUCKETS = 1 << 15
-#: Most languages modelled (the most frequent labels).
-LANGUAGES = 64
 #: Weight of the parent, in rows, in a host's prior; and of the whole in a parent's.
 SMOOTHING = 20.0
 #: Probability that markup and address suffix tell the truth.
@@ -54,6 +55,14 @@ def trigrams(data: np.ndarray) -> np.ndarray:
     return ((mixed * 0x27D4EB2F & 0xFFFFFFFF) >> 17)[b != 0]
 
 
+@dataclass
+class Model:
+    """Languages, and the log probability of each trigram bucket (row) in each (column), the flat class last."""
+
+    languages: list[str]
+    table: np.ndarray
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
@@ -65,24 +74,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def fit(docs: DataFrame, text: str = "text", label: str = "lang", doc_id: str = "doc_id") -> tuple[list[str], np.ndarray]:
-    """Languages, and the log probability of each trigram bucket in each, the flat class last."""
-    named = docs.where(F.col(label).isNotNull())
-    labels = [r[0] for r in named.groupBy(F.col(label).cast("string").alias("l")).count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()]
+def fit(docs: DataFrame, text: str = "text", label: str = "lang", doc_id: str = "doc_id") -> Model:
+    """The model of docs' labels, from at most PER_LANGUAGE rows of each: two reads of the labels, one of the sampled texts."""
+    named = docs.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("l"), F.xxhash64(F.col(doc_id).cast("string")).alias("o"), text_of(text).alias("body"))
+    sizes = {r["l"]: r["count"] for r in named.groupBy("l").count().collect()}  # a row for each language
+    labels = sorted(sizes)
     if not labels:
-        return [], np.zeros((BUCKETS, 1), np.float32)
-    order = F.xxhash64(F.col(doc_id).cast("string"))
-    picked = None
+        return Model([], np.zeros((BUCKETS, 1), np.float32))
+    # a hash threshold leaves about four times the rows wanted, so that ranking moves few whatever the table's size
+    thin = F.lit(False)
     for one in labels:
-        some = named.where(F.col(label) == one).select(order.alias("o")).orderBy("o").limit(PER_LANGUAGE).select("o")
-        some = some.select(F.lit(one).alias("l"), "o").distinct()
-        picked = some if picked is None else picked.unionByName(some)
-    sample = named.select(F.col(label).cast("string").alias("l"), order.alias("o"), text_of(text).alias("body")).join(F.broadcast(picked), ["l", "o"], "left_semi")
+        share = min(1.0, 4.0 * PER_LANGUAGE / sizes[one])
+        thin = thin | ((F.col("l") == one) & (F.col("o") <= F.lit(int(-(2**63) + share * (2**64 - 2048)))))
+    ranked = named.where(thin).withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy("o", "body")))
+    sample = ranked.where(F.col("rank") <= PER_LANGUAGE).select("l", "body")
     counts = {one: np.zeros(BUCKETS) for one in labels}
-    for row in sample.select("l", "body").mapInArrow(_count, "label string, counts binary").toLocalIterator():
+    for row in sample.mapInArrow(_count, "label string, counts binary").toLocalIterator():  # a row for each task and language
         counts[row.label] += np.frombuffer(row.counts, "<i8")
     table = np.stack([counts[one] + 0.1 for one in labels] + [np.ones(BUCKETS)])
-    return labels, np.log(table / table.sum(axis=1, keepdims=True)).T.astype(np.float32)
+    return Model(labels, np.log(table / table.sum(axis=1, keepdims=True)).T.astype(np.float32))
 
 
 def _weigh(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -108,29 +118,27 @@ def _voice(said: Column, languages: list[str], true: float) -> Column:
     return F.array(*[F.when(~known, 0.0).when(said == one, right).otherwise(wrong) for one in languages], F.lit(float(np.log(1 / n))) * known.cast("int"))
 
 
-def identify(
-    rows: DataFrame, model: tuple[list[str], np.ndarray], text: Column, host: Column, declared: Column, suffix: Column, keys: list[str]
-) -> DataFrame:
-    """keys, language (null if none), confidence, text_language, host, kept: a row for each row.
+def identify(rows: DataFrame, model: Model, text: Column, host: Column, declared: Column, suffix: Column, keys: list[str]) -> DataFrame:
+    """keys, language (null if none), confidence, text_language, host, kept, reason (why not kept): a row for each row.
 
-    text, host, declared and suffix are columns of rows; null is no evidence.  A text without letters has no language and
-    isn't kept.  Languages are those of the model.  keys are columns of rows that are handed on.
+    text, host, declared and suffix are columns of rows; null is no evidence, as is a declared language that the model doesn't have.  Not
+    kept are texts without letters ('no letters': no language), texts for which the flat class speaks ('foreign': no language),
+    and those whose best language has less than CONFIDENCE of the posterior ('uncertain').  Languages are those of the
+    model.  keys are columns of rows that are handed on.
     """
-    languages, table = model
+    languages, table = model.languages, model.table
     n = len(languages)
     spec = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
     if not languages:  # nothing labelled: nothing is known
         empty = rows.select(*keys, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_language"), host.alias("host"))
-        return empty.withColumn("kept", F.lit(False))
+        return empty.withColumn("kept", F.lit(False)).withColumn("reason", F.lit("foreign"))
     given = rows.select(*keys, F.coalesce(host, F.lit("")).alias("host"), declared.alias("declared"), suffix.alias("suffix"), F.coalesce(text, F.lit("")).alias("body"))
     weighed = stash(given.mapInArrow(lambda b: _weigh(b, table), f"{spec}, host string, declared string, suffix string, weights array<double>"), "weights")
 
     names = F.array(*[F.lit(x) for x in languages], F.lit(None).cast("string"))
-    seen = F.exists("weights", lambda w: w != 0)
     best = lambda a: F.array_position(a, F.array_max(a)).cast("int")
-    said = weighed.select(
-        "*", F.when(seen, F.element_at(names, best(F.col("weights")))).alias("text_language"), F.substring_index("host", ".", -2).alias("parent")
-    )
+    seen = F.exists("weights", lambda w: w != 0)
+    said = weighed.select("*", F.when(seen, F.element_at(names, best(F.col("weights")))).alias("text_language"), F.substring_index("host", ".", -2).alias("parent"))
     # priors: what the texts alone say, counted by host, parent and in all
     counts = stash(said.where("text_language is not null").groupBy("parent", "host", "text_language").agg(F.count(F.lit(1)).alias("n")), "counts")
     each = [F.sum(F.when(F.col("text_language") == x, F.col("n")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(languages)]
@@ -154,10 +162,9 @@ def identify(
     fused = fused.withColumn("total", total)
     top = F.array_max("total")
     share = 1.0 / F.aggregate("total", F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    fused = fused.select(
-        *keys, F.when(seen, F.element_at(names, best(F.col("total")))).alias("language"), F.when(seen, share).otherwise(0.0).alias("confidence"), "text_language", "host"
-    )
-    return fused.withColumn("kept", F.col("language").isNotNull() & (F.col("confidence") >= CONFIDENCE))
+    fused = fused.withColumn("language", F.when(seen, F.element_at(names, best(F.col("total"))))).withColumn("confidence", F.when(seen, share).otherwise(0.0))
+    reason = F.when(~seen, "no letters").when(F.col("language").isNull(), "foreign").when(F.col("confidence") < CONFIDENCE, "uncertain")
+    return fused.select(*keys, "language", "confidence", "text_language", "host", reason.isNull().alias("kept"), reason.alias("reason"))
 
 
 def suffix_language(host: Column) -> Column:
@@ -166,25 +173,37 @@ def suffix_language(host: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in SUFFIXES.items() for x in pair]), last)
 
 
-def identify_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "lang", source: str = "source") -> DataFrame:
-    """k1, k2 (keys of the row), doc_id, language, confidence, text_language, host, kept: a row for each document.
+def identify_pages(pages: DataFrame, model: Model, page: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
+    """page_id, url, declared, language, confidence, text_language, host, kept, reason: a row for each page.
+
+    The text is the page's main text, declared what its html element says (the part before the first '-' or '_', null if
+    nothing), the host and its suffix come from the url.  Null or empty html: no letters, not kept.  A null url has the empty host.
+    Repeated pages give repeated rows; other columns are ignored.
+    """
+    read = html_text.extract(pages, page, url, page_id).withColumn("declared", F.nullif(F.split("lang", "[-_]")[0], F.lit("")))
+    read = read.withColumn("site", host_of(after_scheme(F.col("url")))).withColumn("label", F.col("declared"))
+    found = identify(read, model, F.col("text"), F.col("site"), F.col("declared"), suffix_language(F.col("site")), ["page_id", "url", "label"])
+    return found.withColumnRenamed("label", "declared")
+
+
+def identify_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "lang", source: str = "source", model: Model | None = None) -> DataFrame:
+    """k1, k2 (keys of the row), doc_id, language, confidence, text_language, host, kept, reason: a row for each document.
 
-    The label column is what the document's markup declared, and the model's labels; source is the host.  Null or
-    empty text: no language, not kept.  Null label or source: no such evidence.  Nothing labelled at all: nothing is kept.  Repeated
-    rows give repeated rows; other columns are ignored.
+    The model is fitted on the label column unless one is given; a row's own label isn't evidence for it.  source takes the
+    host's place; documents have no markup, so nothing is declared.  Null or empty text: no language, not kept.  Null source: the
+    empty host.  Nothing labelled at all: nothing is kept.  Repeated rows give repeated rows; other columns are ignored.
     """
-    model = fit(docs, text, label, doc_id)
+    model = model or fit(docs, text, label, doc_id)
     id_ = F.col(doc_id).cast("long")
     keyed = docs.select(
         F.xxhash64(id_, text_of(text)).alias("k1"), F.xxhash64(text_of(text), id_, F.lit(7)).alias("k2"), id_.alias("doc_id"),
-        text_of(text).alias("body"), F.col(label).cast("string").alias("said"), F.lower(F.col(source).cast("string")).alias("site"),
+        text_of(text).alias("body"), F.lower(F.col(source).cast("string")).alias("site"),
     )
-    return identify(keyed, model, F.col("body"), F.col("site"), F.col("said"), suffix_language(F.col("site")), ["k1", "k2", "doc_id"])
+    return identify(keyed, model, F.col("body"), F.col("site"), F.lit(None).cast("string"), suffix_language(F.col("site")), ["k1", "k2", "doc_id"])
 
 
-def drop_foreign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of docs, all columns, whose language is known; repeated rows share their fate."""
-    rejected = identify_documents(docs, text, doc_id, label, source).where("not kept").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
-    id_, body = F.col(doc_id).cast("long"), text_of(text)
-    keyed = docs.select("*", F.xxhash64(id_, body).alias("__k1"), F.xxhash64(body, id_, F.lit(7)).alias("__k2"))
-    return keyed.join(stash(rejected, "rejected"), ["__k1", "__k2"], "left_anti").select(*docs.columns)
+def drop_foreign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "lang", source: str = "source", model: Model | None = None) -> DataFrame:
+    """The rows of docs, all columns, less those that identify_documents() doesn't keep: without letters, foreign to the
+    labelled languages, or uncertain.  Repeated rows share their fate."""
+    rejected = identify_documents(docs, text, doc_id, label, source, model).where("not kept").select("k1", "k2").distinct()
+    return drop_rows(docs, stash(rejected, "rejected"), text, doc_id)

@@ -62,7 +62,8 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages"))
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", "n_chars")
 
 
 #: A cluster passes its own secret; queries need the same pseudonyms on every run.
@@ -83,8 +84,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = language_id.identify_documents(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "language", "confidence", "text_language", "host", "kept")
+    """Every page; the text model learns from labelled documents, the other evidence is the page's own."""
+    model = language_id.fit(table(spark, sf_dir, "documents"))
+    return language_id.identify_pages(table(spark, sf_dir, "pages"), model)
 
 
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
