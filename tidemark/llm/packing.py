@@ -7,8 +7,8 @@ in the logarithm of the sequence length.
 
 Each input partition is tokenised and packed on its own, in one pass and without a shuffle.  Only
 lengths and ids of documents are held, at most BLOCK at a time; a lost task is simply run again
-and gives the same sequences.  A partition leaves a few windows that aren't full, whatever its
-size, so the padding shrinks as partitions grow.
+and gives the same sequences.  Windows of which less than FULL is used are opened again: their pieces, a few windows' worth of rows from
+each partition, are packed anew by as few tasks as BLOCK allows, so that small partitions don't cost padding.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of
+from tidemark.llm.common import stash, text_of
 
 #: Tails packed together; bounds a worker's memory.
 BLOCK = 200_000
+#: A window counts as full from this share of it on; others are packed again across partitions.
+FULL = 0.995
 #: Characters handed to the tokenizer at a time; a longer text is cut at white space.
 CHARS = 1 << 20
 
@@ -100,8 +102,8 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, size: int, end_id:
 
     bpe, end = shared(tokenizer), end_id.to_bytes(4, "little")
     sequence = TaskContext.get().partitionId() << 33
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-    kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "used"] + ["ids"] * with_ids
+    kinds = [pa.int64()] * 8 + [pa.binary()] * with_ids
     out: list[tuple] = []
     tails: list[tuple] = []
 
@@ -111,7 +113,10 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, size: int, end_id:
     def place() -> Iterator[pa.RecordBatch]:
         nonlocal sequence
         placed = best_fit_decreasing([t[2] for t in tails], size)
-        done = [(*t[:5], sequence + w, at, *t[5:]) for t, (w, at) in zip(tails, placed)]
+        used: dict[int, int] = {}
+        for t, (w, _) in zip(tails, placed):
+            used[w] = used.get(w, 0) + t[2]
+        done = [(*t[:5], sequence + w, at, used[w], *t[5:]) for t, (w, at) in zip(tails, placed)]
         sequence += 1 + max((w for w, _ in placed), default=-1)
         tails.clear()
         for lo in range(0, len(done), 20_000):
@@ -143,7 +148,7 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, size: int, end_id:
             length = len(part) // 4
             row = (doc, start, length, zlib.crc32(part), n)
             if length == size:
-                out.append((*row, sequence, 0, *[part] * with_ids))
+                out.append((*row, sequence, 0, size, *[part] * with_ids))
                 sequence += 1
             else:
                 tails.append((*row, *[part] * with_ids))
@@ -157,6 +162,32 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, size: int, end_id:
     yield from place()
 
 
+def _repack(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Pieces with new sequence_id and offset, BLOCK of them at a time."""
+    sequence, held, rows = (1 << 62) | (TaskContext.get().partitionId() << 33), [], 0
+
+    def place() -> pa.RecordBatch:
+        nonlocal sequence
+        some = pa.Table.from_batches(held).combine_chunks()
+        # in an order of their own, whatever order the files were read in
+        some = some.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        placed = best_fit_decreasing(some["length"].to_pylist(), size)
+        for name, values in (("sequence_id", [sequence + w for w, _ in placed]), ("offset", [at for _, at in placed])):
+            some = some.set_column(some.schema.get_field_index(name), name, pa.array(values, pa.int64()))
+        sequence += 1 + max(w for w, _ in placed)
+        return some.to_batches()[0]
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= BLOCK:
+            yield place()
+            held, rows = [], 0
+    if held:
+        yield place()
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -176,6 +207,10 @@ def pack(
     unique over the whole result; it isn't dense.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return rows.mapInArrow(
-        lambda batches: _pack(batches, tokenizer, size, end_id, with_ids), SCHEMA + ", ids binary" * with_ids
-    )
+    schema = SCHEMA + ", ids binary" * with_ids
+    first = stash(rows.mapInArrow(lambda batches: _pack(batches, tokenizer, size, end_id, with_ids), SCHEMA + ", used long" + ", ids binary" * with_ids), "pieces")
+    is_open = F.col("used") < FULL * size
+    opened = first.where(is_open).drop("used")
+    tasks = 1 + first.where(is_open).count() // BLOCK
+    # fewer tasks than files: coalesce() reads several files in one task, without a shuffle
+    return first.where(~is_open).drop("used").unionByName(opened.coalesce(tasks).mapInArrow(lambda batches: _repack(batches, size), schema))
