@@ -1,7 +1,9 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations in SQL functions.
 
 A value keeps its format: a card number stays a card number of the same network whose check digit holds,
-a date stays a date of its century.  The same value always becomes the same pseudonym, so records stay
+a date stays a date of its century.  The same value always becomes the same pseudonym, however it is written: what is
+permuted is the bare value (a card's or a phone number's digits, an account number without blanks, an address in lower case, the day
+of a date), and the writing's separators and capitals are put back.  So records stay
 linked across documents, and different values of a format never become the same one.  Who has
 the key can turn pseudonyms back (reveal=True).
 
@@ -37,6 +39,9 @@ _PHONE = (
 # the order decides between patterns that could begin at the same place
 PATTERN = "|".join([_EMAIL, _SECRET, _CLOUD_KEY, _IBAN, _SSN, _ISO_DATE, _DOT_DATE, _SLASH_DATE, _IP, _CARD, _PHONE])
 
+# Country calling codes of two digits; 1 and 7 stand alone, others have three.
+_CALLING = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
 # Alphabets by mask letter; what has another mask letter stays as it is.
 _ALPHABETS = {"d": "0123456789", "l": "abcdefghijklmnopqrstuvwxyz", "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "h": "0123456789abcdef", "k": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
@@ -86,6 +91,12 @@ def _permute_text(text: Column, mask: Column, kind: str, key: str, reveal: bool)
     return _let(_chars(mask), lambda masks: F.array_join(F.aggregate(_rounds(reveal), _chars(text), lambda acc, r: one_round(acc, r, masks)), ""))
 
 
+def _refill(value: Column, bare: Column, separators: str) -> Column:
+    """value with its characters, other than those that match separators, replaced by those of bare in order."""
+    before = lambda i: F.length(F.regexp_replace(F.substr(value, F.lit(1), i + 1), separators, ""))
+    return F.array_join(F.transform(_chars(value), lambda c, i: F.when(c.rlike(separators), c).otherwise(F.substr(bare, before(i), F.lit(1)))), "")
+
+
 def _permute_pair(left: Column, right: Column, a: Column, b: Column, kind: str, key: str, reveal: bool) -> Column:
     """struct(l, r) with l in 0..a-1 and r in 0..b-1, permuted by modular additions in turn."""
 
@@ -142,9 +153,12 @@ def pseudonym(value: Column, key: str, reveal: bool = False) -> Column:
     whole = lambda p: value.rlike(f"^(?:{p})$")
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "l"), "[A-Z]", "u"), "[0-9]", "d"), "[^lud]", "x")
 
-    # an address keeps its domain
+    # an address keeps its domain and, place by place, its capitals
     at = F.instr(value, "@")
-    email = F.concat(_permute_text(F.substr(value, F.lit(1), at - 1), F.substr(classes, F.lit(1), at - 1), "email", key, reveal), F.substr(value, at))
+    local = F.substr(value, F.lit(1), at - 1)
+    moved = _permute_text(F.lower(local), F.translate(F.substr(classes, F.lit(1), at - 1), "u", "l"), "email", key, reveal)
+    capitals = F.zip_with(_chars(local), _chars(moved), lambda c, m: F.when(c.between("A", "Z"), F.upper(m)).otherwise(m))
+    email = F.concat(F.array_join(capitals, ""), F.substr(value, at))
 
     # a secret keeps its label; hexadecimal stays hexadecimal
     label = F.regexp_extract(value, r"^[A-Za-z_-]+[\"']?\s{0,3}[=:]\s{0,3}[\"']?", 0)
@@ -155,17 +169,17 @@ def pseudonym(value: Column, key: str, reveal: bool = False) -> Column:
 
     # a card keeps its first digit (the network); its last is the check digit
     digits = F.regexp_replace(value, "[^0-9]", "")
-    last = F.length(value)
-    moved = _permute_text(F.substr(value, F.lit(2), last - 2), F.substr(classes, F.lit(2), last - 2), "card", key, reveal)
-    card = _let(F.concat(part(1, 1), moved), lambda v: F.concat(v, F.pmod(-_luhn_sum(F.regexp_replace(v, "[^0-9]", ""), 0), F.lit(10)).cast("string")))
+    last = F.length(digits)
+    moved = _permute_text(F.substr(digits, F.lit(2), last - 2), F.repeat(F.lit("d"), last - 2), "card", key, reveal)
+    made = _let(F.concat(F.substr(digits, F.lit(1), F.lit(1)), moved), lambda v: F.concat(v, F.pmod(-_luhn_sum(v, 0), F.lit(10)).cast("string")))
+    card = _let(made, lambda m: _refill(value, m, "[^0-9]"))
 
     # an account number keeps its country; the check digits follow from the rest
     packed = F.regexp_replace(value, " ", "")
     account_ok = _mod97(F.concat(F.substr(packed, F.lit(5)), F.substr(packed, F.lit(1), F.lit(4)))) == 1
-    moved = _permute_text(F.substr(value, F.lit(5)), F.substr(classes, F.lit(5)), "account", key, reveal)
-    account = _let(
-        moved, lambda m: F.concat(part(1, 2), F.lpad((98 - _mod97(F.concat(F.regexp_replace(m, " ", ""), part(1, 2), F.lit("00")))).cast("string"), 2, "0"), m)
-    )
+    moved = _permute_text(F.substr(packed, F.lit(5)), F.regexp_replace(F.regexp_replace(F.substr(packed, F.lit(5)), "[A-Z]", "u"), "[0-9]", "d"), "account", key, reveal)
+    made = _let(moved, lambda m: F.concat(part(1, 2), F.lpad((98 - _mod97(F.concat(m, part(1, 2), F.lit("00")))).cast("string"), 2, "0"), m))
+    account = _let(made, lambda m: _refill(value, m, " "))
 
     # a social security number: 898 areas (not 000, 666, 900 and up), 99 groups, 9,999 serials
     area, group, serial = part(1, 3).cast("int"), part(5, 2).cast("int"), part(8, 4).cast("int")
@@ -200,9 +214,11 @@ def pseudonym(value: Column, key: str, reveal: bool = False) -> Column:
         ),
     )
 
-    # a phone number keeps its country code and the digit after it
-    lead = F.length(F.regexp_extract(value, r"^(?:\+[0-9]{1,3}(?=[ .(-])[ .-]?\(?[0-9]|\+[0-9]{2}|\(?[0-9])", 0))
-    phone = F.concat(F.substr(value, F.lit(1), lead), _permute_text(F.substr(value, lead + 1), F.substr(classes, lead + 1), "phone", key, reveal))
+    # a phone number keeps its country code and the digit after it; without a plus it is a national number of country code 1
+    code = F.when(~value.startswith("+"), 0).when(digits.rlike("^[17]"), 1).when(digits.rlike("^(?:" + "|".join(_CALLING) + ")"), 2).otherwise(3)
+    rest = F.substr(digits, code + 2)
+    made = F.concat(F.substr(digits, F.lit(1), code + 1), _permute_text(rest, F.repeat(F.lit("d"), F.length(rest)), "phone", key, reveal))
+    phone = _let(made, lambda m: _refill(value, m, "[^0-9]"))
     count = F.length(digits)
 
     return (
