@@ -66,7 +66,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists.append(chunk_digests(data, cut_points(data)[0]) if data.size else np.zeros(0, np.int64))
         ends = np.cumsum([0, *(x.size for x in lists)], dtype=np.int32)
         digests = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), digests], ["rid", "k1", "k2", "digests"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), digests], ["o", "k1", "digests"])
 
 
 def _runs(flags: np.ndarray, starts: np.ndarray, words: np.ndarray, size: int, least: int) -> list[tuple[int, int]]:
@@ -113,26 +113,27 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text"
     """One row per row of docs: doc_id, text without the passages that stand elsewhere before, repeated_words (in passages
     that stand elsewhere too, before or after), removed_words, removed_from and removed_to (their places in characters).
 
-    The order of documents is that in which they are read.  Null text becomes empty.  Rows that repeat id and text
+    Before is a smaller doc_id (null comes last; of equal ids, the lesser hash of id and text).  Null text becomes empty.  Rows that repeat id and text
     count as one document and stay as they are to each other.  At the edges of a passage up to some ten words
     may remain, where its chunks reach beyond it.  Other columns are ignored.
     """
-    rows = row_keys(docs, text, doc_id)
-    given = rows.select(F.monotonically_increasing_id().alias("rid"), "body", "k1", "k2")
-    chunked = stash(given.mapInArrow(_chunks, "rid long, k1 long, k2 long, digests array<long>"), "chunks")
-    once = chunked.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("rid").alias("rid")).where("copies > 1")
-    if not once.isEmpty():  # of rows that repeat id and text, one is looked at
-        again = stash(chunked.join(once.select("k1", "k2", F.col("rid").alias("first_rid")), ["k1", "k2"]).where("rid <> first_rid").select("rid"), "again")
-        chunked = chunked.join(again, "rid", "left_anti")
-    places = chunked.select("rid", F.posexplode("digests").alias("at", "digest"))
-    shared = stash(places.groupBy("digest").agg(F.count(F.lit(1)).alias("places"), F.min("rid").alias("first_rid")).where("places > 1").select("digest", "first_rid"), "shared")
-    met = places.join(shared, "digest").select("rid", "at", "digest", "first_rid")
+    # where a document stands: its id, and a hash of id and text, equal for rows that repeat both only
+    rows = row_keys(docs, text, doc_id).select("id", "body", "k1", F.coalesce("id", F.lit(2**63 - 1)).alias("o"))
+    chunked = stash(rows.select("o", "body", "k1").mapInArrow(_chunks, "o long, k1 long, digests array<long>"), "chunks")
+    again = chunked.groupBy("o", "k1").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("o", "k1")
+    if not again.isEmpty():  # of rows that repeat id and text, one is looked at
+        again = stash(again, "again")
+        several = chunked.join(again, ["o", "k1"], "left_semi").dropDuplicates(["o", "k1"])
+        chunked = stash(chunked.join(again, ["o", "k1"], "left_anti").unionByName(several), "chunks-once")
+    places = chunked.select("o", "k1", F.posexplode("digests").alias("at", "digest"))
+    shared = places.groupBy("digest").agg(F.count(F.lit(1)).alias("places"), F.min(F.struct("o", "k1")).alias("first")).where("places > 1")
+    shared = stash(shared.select("digest", "first"), "shared")
+    met = places.join(shared, "digest").select("o", "k1", "at", "digest", (F.struct("o", "k1") == F.col("first")).alias("mine"))
     # a document's chunks: bounded by its length
-    hits = met.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("at", "digest", (F.col("rid") == F.col("first_rid")).alias("mine")))).alias("hits"))
+    hits = met.groupBy("o", "k1").agg(F.array_sort(F.collect_list(F.struct("at", "digest", "mine"))).alias("hits"))
     one = lambda field: F.transform("hits", lambda h: h[field]).alias(field)
-    hits = hits.select("rid", one("at"), one("digest"), one("mine"))
-    hits = stash(hits.join(chunked.select("rid", "k1", "k2"), "rid").select("k1", "k2", "at", "digest", "mine"), "hits")
-    joined = rows.join(hits, ["k1", "k2"], "left").select("id", "body", "at", "digest", "mine")
+    hits = stash(hits.select("o", "k1", one("at"), one("digest"), one("mine")), "hits")
+    joined = rows.join(hits, ["o", "k1"], "left").select("id", "body", "at", "digest", "mine")
     return joined.mapInArrow(
         lambda b: _cut(b, min_words), "doc_id long, text string, repeated_words long, removed_words long, removed_from array<long>, removed_to array<long>"
     )
