@@ -20,6 +20,12 @@ def test_verbs(spark, tmp_path, capsys):
         assert out == 4 if isinstance(out, int) else key in json.loads(out.toJSON().first())
 
 
+def test_captures_without_spark(tmp_path, capsys):
+    (tmp_path / "feed").write_text(json.dumps({"type": "ticker", "product_id": "P", "time": "2024-07-01T00:00:01Z", "best_bid": "1", "best_bid_size": "2", "best_ask": "3", "best_ask_size": "4"}) + "\n")
+    assert cli.main(["ingest-quotes", "--replay", str(tmp_path / "feed"), "--out", str(tmp_path / "q.ndjson")]) == 0
+    assert json.loads((tmp_path / "q.ndjson").read_text())["ask"] == 3.0 and json.loads(capsys.readouterr().out) == {"rows": 1}
+
+
 def test_refusals(spark, tmp_path):
     with pytest.raises(ValueError, match="NDJSON"):
         cli.run(spark, cli._parser().parse_args(["stream", "--input", "x.parquet"]))

@@ -225,19 +225,114 @@ def test_pov_and_twap_fills(spark):
         fills.twap_fill(t, side="buy", parent_qty=1.0, bucket_ns=X.SECOND, impact_model="cubic")
 
 
-def test_whole_studies_take_every_order(spark, tmp_path):
+def test_post_trade_queries_take_every_order(spark, tmp_path):
     from tidemark import queries
 
     rows = [(k, k % 17) for k in (1, 2, 999, 1000, 1001, 50_000)]
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
     run = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
     filled = sum(1.0 + c % 5 for _, c in rows)
-    (short,) = run("shortfall_whole")
+    (short,) = run("shortfall")
     assert (short.fills, short.filled_qty, short.parent_qty) == (len(rows), filled, 1.25 * filled)
     assert short.final_price == pytest.approx(100 + 50_000 % 13 * 1e-2)
-    assert {r.qty for r in run("counterfactual_whole")} == {filled}
+    assert {r.qty for r in run("counterfactual")} == {filled} and len(run("counterfactual_legs")) == 3 * len(rows)
     drift = sum((1.0 + c % 5) / filled * (k % 13) for k, c in rows)
-    made = {r.coef_bps: r.realised_cost_bps for r in run("sensitivity_whole")}
+    made = {r.coef_bps: r.realised_cost_bps for r in run("sensitivity")}
     share = [((1.0 + c % 5) / filled, 1 / (4 + k % 9)) for k, c in rows]
     for coef, cost in made.items():
         assert cost == pytest.approx(drift + sum(w * (coef * p**0.5 + 5 * p) for w, p in share), abs=1e-6)
+
+
+def test_an_order_that_fills_nothing(spark):
+    r = one(fills.pov_fill(X.lumpy_ticks(spark).withColumn("size", F.lit(0.0)), side="buy", parent_qty=1.0, participation=0.1, bucket_ns=X.SECOND))
+    assert (r.filled_qty, r.avg_price, r.fully_filled, r.fills) == (0.0, 0.0, False, 0)
+
+
+def _carry(shares, volumes, q, cap):
+    left, out = 0.0, []
+    for s, v in zip(shares, volumes):
+        want = s * q + left
+        out.append(min(want, cap * v))
+        left = want - out[-1]
+    return out, left
+
+
+def _fit(shares, volumes, q, cap):
+    pinned = set()
+    while True:
+        free = [k for k in range(len(shares)) if k not in pinned]
+        left = q - sum(cap * volumes[k] for k in pinned)
+        total = sum(shares[k] for k in free)
+        if not total:
+            return [cap * v if s > 0 else 0.0 for s, v in zip(shares, volumes)], left
+        over = {k for k in free if left * shares[k] / total > cap * volumes[k]}
+        if not over:
+            return [cap * volumes[k] if k in pinned else left * shares[k] / total for k in range(len(shares))], 0.0
+        pinned |= over
+
+
+def test_arms_equal_plain_loops(spark):
+    import random
+
+    rng, rows, want = random.Random(3), [], {}
+    for k in range(40):
+        n = rng.randint(1, 12)
+        raw = [rng.choice([0.0, rng.random(), 1.0]) for _ in range(n)]
+        raw[rng.randrange(n)] = 1.0
+        shares, volumes = [x / sum(raw) for x in raw], [rng.choice([1.0, 5.0, rng.random() + 0.01]) for _ in range(n)]
+        cap = rng.choice([0.05, 0.3, 1.0])
+        rows += [(k, j, shares[j], 1.0 / n, volumes[j], 100.0 + j, 100.0, 2.0, cap) for j in range(n)]
+        want[k] = _carry(shares, volumes, 2.0, cap), _fit(shares, volumes, 2.0, cap)
+    df = spark.createDataFrame(rows, "one int, slot int, plan_share double, exec_share double, volume double, vwap double, session_vwap double, parent_qty double, cap double")
+    slots = {(r.one, r.slot): (r.capped_size, r.spread_size) for r in pov.plan_slots(df, ["one"], 25.0).collect()}
+    for r in pov.price_plans(df, ["one"], 25.0).collect():
+        (carried, left), (fitted, over) = want[r.one]
+        assert r.capped_unfilled_qty == pytest.approx(left, abs=1e-7) and r.spread_unfilled_qty == pytest.approx(over, abs=1e-7)
+        assert [slots[r.one, j][0] for j in range(len(carried))] == pytest.approx(carried, abs=1e-9)
+        assert [slots[r.one, j][1] for j in range(len(fitted))] == pytest.approx(fitted, abs=1e-9)
+
+
+def test_forecast_refusals_and_weights(spark):
+    s = X.sessions(spark, ["lumpy", "blended", "thin_tail"])
+    run = lambda rows, **k: plans.pov_forecast(rows, "session", [0, 1], 2, X.SECOND, 0.6, 0.5, 25.0, **k)
+    with pytest.raises(ValueError, match="different products"):
+        run(s.withColumn("product", F.when(F.col("session") == 1, "Q").otherwise("P")))
+    with pytest.raises(ValueError, match="shortfall_bps"):
+        run(s, shortfall_bps=-1.0)
+    with pytest.raises(ValueError, match="different slots"):
+        run(s.where("not (session = 0 and trade_id = 1)"))
+    with pytest.raises(ValueError, match="no ticks"):
+        run(s.where("session <> 1"))
+    assert [r.weight for r in plans.forecast_weights(spark, 3, 1.0).orderBy("place").collect()] == [0.14285714, 0.28571429, 0.57142857]
+    assert {(r.plan, r.slot) for r in plans.forecast_slots(s, "session", [0, 1], 2, X.SECOND, 0.6, 0.5, 25.0).collect()} == {(p, j) for p in ("forecast", "naive") for j in range(3)}
+
+
+def test_study_summaries(spark):
+    s = X.sessions(spark, ["lumpy", "blended", "lumpy", "blended"])
+    rows = plans.window_sweep(s, "session", [0, 1, 2, 3], X.SECOND, 0.6, CAPS, HALF_LIVES, 25.0, 5.0).collect()
+    assert {(r.settled_caps, r.all_settled, r.folds_run, r.distinct_folds) for r in rows} == {(3, True, 4, 3)}
+    inputs = plans.window_sweep_inputs(s, "session", [0, 1, 2, 3], X.SECOND, 0.6, CAPS, HALF_LIVES, 25.0, 5.0).collect()
+    assert sorted({(r.input, r.walks, r.histories) for r in inputs}) == [(2, 2, 1), (3, 2, 2)]
+    walk = plans.walk_forward(X.sessions(spark, ["blended", "lumpy", "thin_tail", "pinched"]), "session", [0, 1, 2, 3], X.SECOND, 0.6, CAPS, HALF_LIVES, 25.0, 5.0).collect()
+    assert {(r.agreeing_caps, r.all_agree, r.product, r.buckets, r.sessions) for r in walk} == {(2, False, "P", 3, 4)}
+    assert sorted({(r.input, r.inert_caps, r.stable_caps, r.unstable_caps) for r in walk}) == [(2, 0, 3, 0), (3, 1, 2, 0)]
+
+
+def test_grids_refuse_one_book(spark):
+    alone = X.heavy_book(spark).withColumn("book", F.lit(0))
+    with pytest.raises(ValueError, match="two or more"):
+        book.book_grid_across(alone, [1.0, 2.0], "book")
+    with pytest.raises(ValueError, match="two or more"):
+        book.book_grid_phase_across(alone, [1.0, 2.0], 2, "book")
+    assert {r.sign_flips for r in book.book_grid_sweep(X.heavy_book(spark), [1.0, 2.0]).collect()} == {1}
+
+
+def test_fingerprints(spark):
+    from tidemark import compat
+
+    a = compat.fingerprint(X.lumpy_ticks(spark), X.SECOND, 1.0, 0.5)
+    assert a == compat.fingerprint(X.lumpy_ticks(spark), X.SECOND, 1.0, 0.5) and a["summary[0].bars[1].volume"] == (6.0).hex()
+    b = a | {"summary[0].ticks": "5"}
+    assert compat.differences(a, b) == {"summary[0].ticks": ["4", "5"]}
+    assert compat.check(a, b, {"summary[0].ticks": ["4", "5"]}) == [] and len(compat.check(a, b, {})) == 1
+    assert len(compat.check(a, a, {"x": ["1", "2"]})) == 1 and len(compat.check(a, b, {"summary[0].ticks": ["4", "6"]})) == 1

@@ -10,6 +10,7 @@ from tests import fixtures as X
 from tidemark import sources
 from tidemark.operators import ticks
 from tidemark.sources import live, synthetic
+from tidemark.streaming import collect
 from tidemark.streaming import session as streaming
 
 
@@ -94,11 +95,11 @@ def test_stream_refuses_old_ticks(spark, tmp_path):
         _stream(spark, tmp_path, [rows[2:], rows[:2]], "late")
 
 
-@pytest.mark.parametrize("name", ["summary", "book_thin", "capped_replay", "spread_plan", "window_sweep", "calibrate_robust_huber"])
+@pytest.mark.parametrize("name", ["summary", "book_thin", "pov_backtest_slots", "window_sweep", "calibrate_robust_huber", "stream_session", "capture_bounds", "book_grid_phase_across"])
 def test_queries_match_their_sql(spark, name):
     from tidemark import queries
 
-    sf = "/root/testdata/sf0.001"
+    sf = "/root/testdata/sf0.01"
     got = queries.QUERIES[name](spark, sf)
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
@@ -119,10 +120,72 @@ def test_entry_runs(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name, column, folds", [("walk_forward_whole", "input", range(2, 30)), ("holdout_whole", "held_out", range(30))])
+@pytest.mark.parametrize("name, column, folds", [("walk_forward", "input", range(2, 30)), ("holdout", "held_out", range(30)), ("pov_backtest", "input", range(1, 30))])
 def test_whole_studies_reach_every_session(spark, name, column, folds):
     from tidemark import queries
 
-    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").select(column).distinct().collect()
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.01").select(column).distinct().collect()
     assert sorted(r[0] for r in got) == list(folds)
     test_queries_match_their_sql(spark, name)
+
+
+def test_disorder_is_refused_in_batch_too(spark, tmp_path):
+    rows = [json.loads(x) for x in X.lumpy_ticks(spark).toJSON().collect()]
+    (tmp_path / "good.ndjson").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    (tmp_path / "bad.ndjson").write_text("".join(json.dumps(r) + "\n" for r in [rows[0], rows[2], rows[1]]))
+    streaming.refuse_disorder(sources.read_ticks(spark, str(tmp_path / "good.ndjson")))
+    with pytest.raises(ValueError, match="row 3"):
+        streaming.refuse_disorder(sources.read_ticks(spark, str(tmp_path / "bad.ndjson")))
+
+
+def _time(k):
+    return f"2024-07-01T00:00:{k:02d}.000000Z"
+
+
+def _match(k):
+    return {"type": "match", "trade_id": k, "product_id": "P", "time": _time(k), "size": "1", "price": "10", "side": "buy"}
+
+
+def test_a_trade_capture_reconnects_once_and_takes_no_trade_twice(tmp_path):
+    feeds = iter([[_match(1), _match(2), None], [{**_match(2), "type": "last_match"}, _match(3), {"type": "heartbeat"}, _match(4)]])
+
+    def connect():
+        for m in next(feeds):
+            if m is None:
+                raise ConnectionError
+            yield m
+
+    log, out = collect.EventLog(str(tmp_path / "log")), str(tmp_path / "t.ndjson")
+    assert collect.capture(connect, collect.Trades(), "P", out, count=3, log=log) == 3
+    assert [json.loads(x)["trade_id"] for x in open(out)] == [1, 2, 3]
+    assert [e["event"] for e in log.events] == ["ingest_start", "ingest_reconnect", "ingest_complete"] and log.events[-1]["reconnects"] == 1
+    assert len(open(tmp_path / "log").readlines()) == 3
+
+
+def test_captures_are_bounded(tmp_path):
+    out = str(tmp_path / "t.ndjson")
+    run = lambda **k: collect.capture(lambda: [_match(j) for j in range(1, 9)], collect.Trades(), "P", out, **k)
+    assert run(seconds=3.0) == 3 and run(count=2, seconds=3.0) == 2 and run(count=50) == 8
+    with pytest.raises(ValueError, match="count"):
+        run()
+
+    def never():
+        raise ConnectionError
+
+    with pytest.raises(ConnectionError):
+        collect.capture(never, collect.Quotes(), "P", out, count=1, max_reconnects=2)
+
+
+def test_book_captures(tmp_path):
+    seed = {"type": "snapshot", "bids": [["10", "1"], ["9", "2"]], "asks": [["11", "1"]]}
+    move = lambda k, *c: {"type": "l2update", "time": _time(k), "changes": list(c)}
+    script = [seed, move(1, ["buy", "10", "3"]), move(2, ["buy", "5", "1"]), move(3, ["buy", "10", "0"]), {"type": "drop"}, {**seed, "bids": [["8", "1"]]}, move(4, ["sell", "11", "2"]), move(9, ["sell", "11", "2"])]
+    (tmp_path / "feed").write_text("".join(json.dumps(m) + "\n" for m in script))
+    out, log = str(tmp_path / "b.ndjson"), collect.EventLog()
+    assert collect.capture(collect.scripted(str(tmp_path / "feed")), collect.Book("P", 2), "P", out, count=50, log=log) == 3
+    rows = [json.loads(x) for x in open(out)]
+    best = {r["ts_ns"] // X.SECOND % 60: r["price"] for r in rows if r["side"] == "bid" and r["level"] == 0}
+    assert best == {1: 10.0, 3: 9.0, 4: 8.0} and log.events[-1]["unchanged"] == 2 and log.events[1]["event"] == "book_ingest_reconnect"
+    assert collect.capture(collect.scripted(str(tmp_path / "feed")), collect.Book("P", 2, every=2.0), "P", out, count=50) == 3
+    with pytest.raises(ValueError, match="every"):
+        collect.Book("P", 2, every=0.0)

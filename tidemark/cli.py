@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark import plans, sources
 from tidemark.operators import book, fills, impact, pov, quotes, ticks
 from tidemark.sources import synthetic
+from tidemark.streaming import collect
 from tidemark.streaming import session as streaming
 
 
@@ -70,14 +71,29 @@ def _parser() -> argparse.ArgumentParser:
 
     for name in ("summary", "bars"):
         verb(name, "input", "bucket")
-    for name in ("vwap", "twap", "flow", "quotes", "depth", "queue"):
+    for name in ("vwap", "twap", "flow", "book", "depth", "queue"):
         verb(name, "input")
-    verb("stream", "input").add_argument("--chunk-rows", type=int, default=4096)
+    verb("stream", "input").add_argument("--chunk-rows", type=int, default=streaming.CHUNK_ROWS)
+    for name, limit in (("ingest", "--max-trades"), ("ingest-quotes", "--max-quotes"), ("ingest-book", "--max-snapshots")):
+        p = verb(name, "out")
+        p.add_argument("--product", default="BTC-USD")
+        p.add_argument(limit, type=int, dest="count")
+        p.add_argument("--seconds", type=float)
+        p.add_argument("--log")
+        p.add_argument("--max-reconnects", type=int, default=5)
+        source = p.add_mutually_exclusive_group(required=True)
+        source.add_argument("--url", help="websocket of a public feed")
+        source.add_argument("--replay", help="file of recorded messages, one JSON object a line")
+        if name == "ingest-book":
+            p.add_argument("--levels", type=int, default=10)
+            p.add_argument("--every", type=float)
     verb("convert", "input", "out")
     for name in ("synth", "synth-quotes", "synth-book", "synth-calibration"):
         p = verb(name, "out")
-        p.add_argument("--n", type=int, default=200)
+        p.add_argument("--n", type=int, default=100 if name == "synth-book" else 200)
         p.add_argument("--seed", type=int, default=7)
+        if name == "synth-book":
+            p.add_argument("--levels", type=int, default=5)
     verb("book-grid", "input", "spacings")
     verb("book-grid-across", "input", "spacings", several=True)
     for name, several in (("book-grid-phase", False), ("book-grid-phase-across", True)):
@@ -99,7 +115,7 @@ def _parser() -> argparse.ArgumentParser:
     p = verb("pov-backtest", "input", "bucket", "parent", "cap", "coef")
     p.add_argument("--plan", required=True)
     p = verb("pov-forecast", "input", "bucket", "parent", "cap", "coef", several=True)
-    p.add_argument("--half-life", type=float, default=0.0)
+    p.add_argument("--half-life", type=float)
     p.add_argument("--shortfall-bps", type=float)
     verb("pov-sweep", "input", "bucket", "parent", "caps", "coef", several=True).add_argument("--half-life", type=float, default=0.0)
     verb("pov-hl-sweep", "input", "bucket", "parent", "cap", "half-lives", "coef", several=True)
@@ -108,7 +124,8 @@ def _parser() -> argparse.ArgumentParser:
     for name in ("pov-walkforward", "pov-window-sweep"):
         p = verb(name, "input", "bucket", "caps", "half-lives", "coef", "share", several=True)
         p.add_argument("--parent", type=float)
-        p.add_argument("--window", type=int)
+        if name == "pov-walkforward":
+            p.add_argument("--window", type=int)
     verb("pov-share-sweep", "input", "bucket", "caps", "half-lives", "coef", several=True).add_argument("--share-grid", type=_floats, default=[0.05, 0.1, 0.2])
     for name in ("simulate", "eval"):
         p = verb(name, "input", "bucket", "side")
@@ -121,6 +138,14 @@ def _parser() -> argparse.ArgumentParser:
     return top
 
 
+def ingest(a: argparse.Namespace) -> int:
+    """Capture from a feed, without Spark: 500 records unless --seconds bounds it."""
+    feed = collect.Trades() if a.verb == "ingest" else collect.Quotes() if a.verb == "ingest-quotes" else collect.Book(a.product, a.levels, a.every)
+    connect = collect.scripted(a.replay) if a.replay else collect.socket(a.url, a.product, feed.channel)
+    count = 500 if a.count is None and a.seconds is None else a.count
+    return collect.capture(connect, feed, a.product, a.out, count, a.seconds, collect.EventLog(a.log), a.max_reconnects)
+
+
 def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame | int:
     v, t = a.verb, sources.read_ticks
     bucket = a.bucket_ms * 1_000_000 if "bucket_ms" in a else 0
@@ -131,7 +156,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame | int:
         return getattr(ticks, f"session_{v}")(t(spark, a.input))
     if v == "flow":
         return ticks.order_flow(t(spark, a.input))
-    if v == "quotes":
+    if v == "book":
         return quotes.quote_metrics(sources.read_quotes(spark, a.input))
     if v in ("depth", "queue"):
         return getattr(book, f"{v}_metrics")(sources.read_book(spark, a.input))
@@ -140,11 +165,14 @@ def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame | int:
             raise ValueError("a stream is read from NDJSON")
         if a.chunk_rows < 1:
             raise ValueError("chunk_rows must be >= 1")
-        return streaming.replay(t(spark, a.input), "product")
+        rows = t(spark, a.input)
+        streaming.refuse_disorder(rows)
+        return streaming.replay(rows, "product", a.chunk_rows)
     if v == "convert":
         return sources.convert(spark, a.input, a.out)
     if v.startswith("synth"):
-        return sources.write_ticks(getattr(synthetic, f"synthetic_{v.partition('-')[2] or 'ticks'}")(spark, a.n, seed=a.seed), a.out)
+        more = {"levels": a.levels} if v == "synth-book" else {}
+        return sources.write_ticks(getattr(synthetic, f"synthetic_{v.partition('-')[2] or 'ticks'}")(spark, a.n, seed=a.seed, **more), a.out)
     if v == "book-grid":
         return book.book_grid_sweep(sources.read_book(spark, a.input), a.every)
     if v == "book-grid-across":
@@ -183,7 +211,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame | int:
     rows, ids = _sessions(spark, a.input)
     history, last = ids[:-1], ids[-1]
     if v == "pov-forecast":
-        return plans.pov_forecast(rows, "session", history, last, bucket, a.parent, a.cap, *costs, a.half_life, a.shortfall_bps)
+        return plans.pov_forecast(rows, "session", history, last, bucket, a.parent, a.cap, *costs, a.half_life or 0.0, a.shortfall_bps, a.half_life is None)
     if v == "pov-sweep":
         return plans.cap_sweep(rows, "session", history, last, bucket, a.parent, a.cap_grid, *costs, a.half_life)
     if v == "pov-hl-sweep":
@@ -201,6 +229,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame | int:
 
 def main(arguments: list[str] | None = None) -> int:
     a = _parser().parse_args(arguments)
+    if a.verb.startswith("ingest"):
+        print(f'{{"rows": {ingest(a)}}}')
+        return 0
     spark = SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         out = run(spark, a)

@@ -172,26 +172,36 @@ _FIGURES = ["snapshots", "avg_bid_depth", "avg_ask_depth", "avg_depth_imbalance"
 
 
 def book_grid_sweep(book: DataFrame, every_grid: list[float], keys: list[str] = []) -> DataFrame:
-    """One row per spacing, and the full book as every_s 0: averages, spread_ratio to the full book, queue_sign_kept."""
+    """One row per spacing, and the full book as every_s 0: averages, spread_ratio to the full book, queue_sign_kept; sign_flips, at how many spacings
+    the sign isn't kept, repeats."""
     rows = _grid_rows(book, every_grid, 1, keys)
     full = _means(_depths(book, keys), keys).withColumn("every_s", F.lit(0.0)).withColumn("spread_ratio", F.lit(1.0)).withColumn("queue_sign_kept", F.lit(True))
     columns = [*keys, "every_s", *_FIGURES, "spread_ratio", "queue_sign_kept"]
-    return full.select(columns).unionByName(rows.select(columns))
+    return full.select(columns).unionByName(rows.select(columns)).withColumn("sign_flips", F.count(F.when(~F.col("queue_sign_kept"), 1)).over(Window.partitionBy(*keys)))
+
+
+def _several(book: DataFrame, key: str, name: str) -> None:
+    n = book.select(key).distinct().limit(2).count()
+    if n < 2:
+        raise ValueError(f"{name} needs two or more books, got {n}")
 
 
 def book_grid_across(book: DataFrame, every_grid: list[float], key: str) -> DataFrame:
-    """One row per spacing over the books of `key`: in how many the queue's sign is kept, which lose it, ratios and drift."""
+    """One row per spacing over the books of `key`: in how many the queue's sign is kept, which lose it, ratios and the widest drift of the depth
+    imbalance; held_spacings, which all books keep, repeats."""
+    _several(book, key, "book-grid-across")
     rows = _grid_rows(book, every_grid, 1, [key])
-    drift = F.abs(F.col("avg_queue_imbalance") - F.col("full_avg_queue_imbalance"))
-    return rows.groupBy("every_s").agg(
+    drift = F.abs(F.col("avg_depth_imbalance") - F.col("full_avg_depth_imbalance"))
+    rows = rows.groupBy("every_s").agg(
         F.count(F.when(F.col("queue_sign_kept"), 1)).alias("sign_kept_books"), F.array_sort(F.collect_list(F.when(~F.col("queue_sign_kept"), F.col(key)))).alias("sign_lost_by"),
         F.min("spread_ratio").alias("spread_ratio_min"), F.max("spread_ratio").alias("spread_ratio_max"), r8(F.max(drift)).alias("imbalance_drift_max"),
         F.count(F.lit(1)).alias("books"),
     ).withColumn("held", F.col("sign_kept_books") == F.col("books"))
+    return rows.withColumn("held_spacings", F.count(F.when(F.col("held"), 1)).over(Window.partitionBy()))  # a row for each spacing of the grid
 
 
 def held_without(rows: DataFrame, books: DataFrame, key: str, lost: str = "sign_lost_by") -> DataFrame:
-    """For each book, how many spacings every other book holds."""
+    """For each book, how many spacings every other book holds; rows are those of book_grid_across(), or of book_grid_phase_across() with lost='not_held_by'."""
     others = books.select(key).distinct().crossJoin(F.broadcast(rows.select("every_s", lost)))
     fine = F.size(F.filter(lost, lambda b: b != F.col(key))) == 0
     return others.groupBy(key).agg(F.count(F.when(fine, 1)).alias("held_without"))
@@ -211,26 +221,35 @@ def book_grid_phase(book: DataFrame, every_grid: list[float], phases: int, keys:
         F.max(F.abs("full_avg_queue_imbalance")).alias("full_queue_imbalance_abs"), F.max("full_avg_queue_imbalance").alias("full_queue_imbalance"),
     )
     all_, none = F.col("sign_kept_phases") == F.col("phases_run"), F.col("sign_kept_phases") == 0
-    return out.withColumn("verdict", F.when(all_, "held").when(none, "lost").otherwise("split"))
+    out = out.withColumn("verdict", F.when(all_, "held").when(none, "lost").otherwise("split"))
+    count = lambda v: F.count(F.when(F.col("verdict") == v, 1)).over(Window.partitionBy(*keys)).alias(f"{v}_spacings")
+    return out.select("*", count("held"), count("lost"), count("split"))
 
 
 def book_grid_phase_across(book: DataFrame, every_grid: list[float], phases: int, key: str) -> DataFrame:
-    """One row per spacing over books and starts: who holds, loses and splits, and where the misses lie."""
+    """One row per spacing over books and starts: who holds, loses and splits, and where the misses lie; on how many spacings all books hold, from every
+    start and from the first, repeats."""
+    _several(book, key, "book-grid-phase-across")
     rows = book_grid_phase(book, every_grid, phases, [key]).withColumn("missed", F.col("phases_run") - F.col("sign_kept_phases"))
-    w = Window.partitionBy("every_s").orderBy(F.desc("missed"), key)
-    rows = rows.withColumn("place", F.row_number().over(w)).withColumn("run", F.sum("missed").over(w)).withColumn("all_missed", F.sum("missed").over(Window.partitionBy("every_s")))
+    spacing = Window.partitionBy("every_s")
+    w = spacing.orderBy(F.desc("missed"), key)
+    rows = rows.withColumn("place", F.row_number().over(w)).withColumn("run", F.sum("missed").over(w)).withColumn("all_missed", F.sum("missed").over(spacing))
     is_ = lambda v: F.col("verdict") == v
     missed, side = F.col("missed") > 0, F.col("full_queue_imbalance_abs")
+    rows = rows.withColumn("strongest", F.coalesce(F.max(F.when(missed, side)).over(spacing), F.lit(0.0))).withColumn("faintest", F.min(F.when(~missed, side)).over(spacing))
+    listed = lambda c: F.array_sort(F.collect_list(F.when(c, F.col(key))))
     out = rows.groupBy("every_s").agg(
-        F.count(F.when(is_("held"), 1)).alias("held_books"), F.count(F.when(is_("lost"), 1)).alias("lost_books"), F.count(F.when(is_("split"), 1)).alias("split_books"),
-        F.array_sort(F.collect_list(F.when(is_("split"), F.col(key)))).alias("split_by"), F.array_sort(F.collect_list(F.when(is_("lost"), F.col(key)))).alias("lost_by"),
-        F.array_sort(F.collect_list(F.when(~is_("held"), F.col(key)))).alias("not_held_by"),
-        F.sum("sign_kept_phases").alias("kept_starts"), F.sum("phases_run").alias("run_starts"),
+        F.count(F.when(is_("held"), 1)).alias("held_books"), listed(is_("lost")).alias("lost_by"), listed(is_("split")).alias("split_by"), listed(~is_("held")).alias("not_held_by"),
+        F.count(F.when(F.col("first_phase_kept"), 1)).alias("first_phase_books"),
+        F.sum("sign_kept_phases").alias("kept_starts"), F.sum("phases_run").alias("starts_run"),
         F.max("missed").alias("most_missed"), F.min_by(key, "place").alias("most_missed_book"), F.max(F.when(F.col("place") == 2, F.col("missed"))).alias("next_most_missed"),
         F.sum(F.when(F.col("place") > 1, F.col("sign_kept_phases")).otherwise(0)).alias("kept_without_weakest"), F.sum(F.when(F.col("place") > 1, F.col("phases_run")).otherwise(0)).alias("run_without_weakest"),
-        F.coalesce(F.min(F.when((2 * F.col("run") >= F.col("all_missed")) & (F.col("all_missed") > 0), F.col("place"))), F.lit(0)).alias("half_missed_by"),
-        F.coalesce(F.max(F.when(missed, side)), F.lit(0.0)).alias("strongest_side_missed"), F.coalesce(F.min(F.when(~missed, side)), F.lit(0.0)).alias("faintest_side_held"),
+        F.coalesce(F.min(F.when((2 * F.col("run") >= F.col("all_missed")) & (F.col("all_missed") > 0), F.col("place"))), F.lit(0)).cast("long").alias("half_missed_by"),
+        F.max("strongest").alias("strongest_side_missed"), F.coalesce(F.max("faintest"), F.lit(0.0)).alias("faintest_side_held"),
+        F.count(F.when(~missed & (side <= F.col("strongest")), 1)).alias("held_no_clearer"), F.count(F.when(missed & (side >= F.col("faintest")), 1)).alias("missed_no_fainter"),
         F.min_by(key, F.when(missed, F.struct(-side, F.col(key)))).alias("strongest_missed_book"), F.min_by(key, F.when(~missed, F.struct(side, F.col(key)))).alias("faintest_held_book"),
-        F.min_by(side, "place").alias("most_missed_side"), F.coalesce(F.min(F.when(missed, side)), F.lit(0.0)).alias("faintest_side_missed"), F.count(F.lit(1)).alias("books"),
+        F.max(F.when((F.col("place") == 1) & missed, side)).alias("most_missed_side"), F.min(F.when(missed, side)).alias("faintest_side_missed"), F.count(F.lit(1)).alias("books"),
     )
-    return out.withColumn("held", F.col("held_books") == F.col("books"))
+    out = out.withColumn("held", F.col("held_books") == F.col("books"))
+    whole = Window.partitionBy()  # a row for each spacing of the grid
+    return out.withColumn("held_spacings", F.count(F.when(F.col("held"), 1)).over(whole)).withColumn("first_phase_held_spacings", F.count(F.when(F.col("first_phase_books") == F.col("books"), 1)).over(whole))

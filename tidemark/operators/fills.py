@@ -33,7 +33,9 @@ def _result(rows: DataFrame, ticks: DataFrame, side: str, parent_qty: float, key
     arrival = ticks.groupBy(*keys).agg(F.min_by("price", F.struct("ts_ns", "trade_id")).alias("arrival"))
     sums = rows.groupBy(*keys).agg(F.sum(F.col("qty") * F.col("price")).alias("notional"), F.sum("qty").alias("filled"), F.count(F.lit(1)).alias("fills"))
     out = arrival.join(sums, keys, "left") if keys else arrival.crossJoin(sums)
-    avg = safe_div("notional", "filled")
+    # an order that fills nothing: no quantity, a price of 0, not filled
+    out = out.fillna(0.0, ["notional", "filled"]).fillna(0, ["fills"])
+    avg = F.coalesce(safe_div("notional", "filled"), F.lit(0.0))
     sign = 1.0 if side == "buy" else -1.0
     return out.select(
         *keys, F.lit(side).alias("side"), F.lit(float(parent_qty)).alias("parent_qty"), F.round("filled", 8).alias("filled_qty"), F.round(avg, 8).alias("avg_price"), F.round("arrival", 8).alias("arrival_price"),
@@ -62,13 +64,18 @@ def pov_fill(ticks: DataFrame, *, side: str, parent_qty: float, participation: f
     return _result(rows, ticks, side, parent_qty, keys)
 
 
-def twap_fill(ticks: DataFrame, *, side: str, parent_qty: float, bucket_ns: int, impact_bps: float = 0.0, impact_model: str = "linear", perm_impact_bps: float = 0.0, keys: list[str] = []) -> DataFrame:
-    """An equal quantity in every bar; always fully filled."""
+def twap_schedule_fills(ticks: DataFrame, *, side: str, parent_qty: float, bucket_ns: int, impact_bps: float = 0.0, impact_model: str = "linear", perm_impact_bps: float = 0.0, keys: list[str] = []) -> DataFrame:
+    """The child orders of twap_fill(): keys, bucket_ns, qty, price."""
 
     def plan(rows: DataFrame, w, before) -> DataFrame:
         return rows.withColumn("qty", F.lit(float(parent_qty)) / F.count(F.lit(1)).over(Window.partitionBy(*keys)))
 
-    rows = _fills(ticks, plan, side, parent_qty, bucket_ns, impact_bps, impact_model, perm_impact_bps, keys)
+    return _fills(ticks, plan, side, parent_qty, bucket_ns, impact_bps, impact_model, perm_impact_bps, keys)
+
+
+def twap_fill(ticks: DataFrame, *, side: str, parent_qty: float, bucket_ns: int, impact_bps: float = 0.0, impact_model: str = "linear", perm_impact_bps: float = 0.0, keys: list[str] = []) -> DataFrame:
+    """An equal quantity in every bar; always fully filled."""
+    rows = twap_schedule_fills(ticks, side=side, parent_qty=parent_qty, bucket_ns=bucket_ns, impact_bps=impact_bps, impact_model=impact_model, perm_impact_bps=perm_impact_bps, keys=keys)
     return _result(rows, ticks, side, parent_qty, keys).withColumn("fully_filled", F.lit(True))
 
 
@@ -136,8 +143,8 @@ def shortfall(fills: DataFrame, parent_qty: float, arrival: float, coef_bps: flo
     )
 
 
-def _strategies(fills: DataFrame, arrival: float, coefs: DataFrame, perm_coef_bps: float) -> DataFrame:
-    """coef_bps, name, place, qty, drift, impact and cost of the fills as made, in equal parts, and by volume.
+def _legs(fills: DataFrame, arrival: float, coefs: DataFrame, perm_coef_bps: float) -> DataFrame:
+    """coef_bps, name, place, and of each fill ts_ns, side, price, interval_volume, q, participation, weight, drift, impact: the fills as made, in equal parts, and by volume.
 
     Every strategy trades in the same intervals; its impact is the model's, its drift the intervals' prices.
     """
@@ -148,23 +155,41 @@ def _strategies(fills: DataFrame, arrival: float, coefs: DataFrame, perm_coef_bp
         F.struct(F.lit("twap").alias("name"), F.lit(1).alias("place"), (F.col("filled") / F.col("n")).alias("q")),
         F.struct(F.lit("volume").alias("name"), F.lit(2).alias("place"), (F.col("filled") * F.col("interval_volume") / F.col("traded")).alias("q")),
     ))
-    rows = rows.select("side", "price", "interval_volume", "filled", "coef_bps", plans.alias("s")).select("*", "s.*").withColumn("p", F.col("q") / F.col("interval_volume"))
-    rows = rows.withColumn("p", F.when(F.col("p") > 1, F.raise_error(F.lit("a strategy takes more than an interval's volume")).cast("double")).otherwise(F.col("p")))
-    w = F.col("q") / F.col("filled")
-    drift, impact = F.sum(w * _signed(F.col("price"), arrival)), F.sum(w * (F.col("coef_bps") * F.sqrt("p") + perm_coef_bps * F.col("p")))
+    rows = rows.select("ts_ns", "side", "price", "interval_volume", "filled", "n", "coef_bps", plans.alias("s")).select("*", "s.*").withColumn("p", F.col("q") / F.col("interval_volume"))
+    rows = rows.withColumn("participation", F.when(F.col("p") > 1, F.raise_error(F.lit("a strategy takes more than an interval's volume")).cast("double")).otherwise(F.col("p")))
+    rows = rows.withColumn("weight", F.col("q") / F.col("filled")).withColumn("drift", _signed(F.col("price"), arrival))
+    return rows.withColumn("impact", F.col("coef_bps") * F.sqrt("participation") + perm_coef_bps * F.col("participation")).drop("s", "p")
+
+
+def _strategies(fills: DataFrame, arrival: float, coefs: DataFrame, perm_coef_bps: float) -> DataFrame:
+    """coef_bps, name, place, side, intervals, qty, drift, impact and cost of each strategy of _legs()."""
+    rows = _legs(fills, arrival, coefs, perm_coef_bps)
+    drift, impact = F.sum(F.col("weight") * F.col("drift")), F.sum(F.col("weight") * F.col("impact"))
     # each strategy's parts make up what was filled: a sum of many equal parts would only add rounding
-    return rows.groupBy("coef_bps", "name", "place").agg(F.max("filled").alias("qty"), drift.alias("drift"), impact.alias("impact"), (drift + impact).alias("cost"))
+    return rows.groupBy("coef_bps", "name", "place").agg(
+        F.first("side").alias("side"), F.max("n").alias("intervals"), F.max("filled").alias("qty"), drift.alias("drift"), impact.alias("impact"), (drift + impact).alias("cost")
+    )
 
 
 def counterfactual(fills: DataFrame, arrival: float, coef_bps: float, perm_coef_bps: float = 0.0) -> DataFrame:
-    """One row per strategy: what the fills cost, and what equal slices or slices by volume would have; best_alternative and edge_bps repeat."""
+    """One row per strategy: what the fills cost, and what equal slices or slices by volume would have; side, intervals, arrival_price, best_alternative and edge_bps repeat."""
     _check_fills(fills, None, arrival)
     coefs = fills.sparkSession.createDataFrame([(float(coef_bps),)], "coef_bps double")
     rows = _strategies(fills, arrival, coefs, perm_coef_bps).withColumn("cost_bps", r8("cost"))
-    best = rows.where("place > 0").agg(F.min_by("name", F.struct("cost_bps", "place")).alias("best_alternative"), F.min("cost_bps").alias("best_cost"))
-    made = rows.where("place = 0").select(F.col("cost_bps").alias("realised_cost"))
-    out = rows.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(made))
-    return out.select("name", r8("qty").alias("qty"), r8("drift").alias("drift_bps"), r8("impact").alias("impact_bps"), "cost_bps", "best_alternative", r8(F.col("best_cost") - F.col("realised_cost")).alias("edge_bps"))
+    w, other = Window.partitionBy(), F.col("place") > 0  # three rows
+    rows = rows.withColumn("best_alternative", F.min_by("name", F.when(other, F.struct("cost_bps", "place"))).over(w))
+    rows = rows.withColumn("edge_bps", r8(F.min(F.when(other, F.col("cost_bps"))).over(w) - F.max(F.when(~other, F.col("cost_bps"))).over(w)))
+    return rows.select("side", "intervals", r8(F.lit(float(arrival))).alias("arrival_price"), "name", r8("qty").alias("qty"), r8("drift").alias("drift_bps"), r8("impact").alias("impact_bps"), "cost_bps", "best_alternative", "edge_bps")
+
+
+def counterfactual_legs(fills: DataFrame, arrival: float, coef_bps: float, perm_coef_bps: float = 0.0) -> DataFrame:
+    """One row per strategy and interval: what it trades there, and what that costs."""
+    _check_fills(fills, None, arrival)
+    rows = _legs(fills, arrival, fills.sparkSession.createDataFrame([(float(coef_bps),)], "coef_bps double"), perm_coef_bps)
+    return rows.select(
+        "name", "ts_ns", r8("q").alias("qty"), r8("price").alias("price"), r8("interval_volume").alias("interval_volume"), r8("participation").alias("participation"), r8("weight").alias("weight"),
+        r8("drift").alias("drift_bps"), r8("impact").alias("impact_bps"), r8(F.col("drift") + F.col("impact")).alias("cost_bps"),
+    )
 
 
 def sensitivity(fills: DataFrame, arrival: float, coef_grid: list[float], perm_coef_bps: float = 0.0) -> DataFrame:

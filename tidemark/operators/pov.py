@@ -1,12 +1,12 @@
 """Volume-following plans: schedules, and plans priced on a session under a participation cap.
 
 A plan row has the columns of its scenario, a plan's share of the parent in each slot, and the executed session's
-volume and VWAP there.  Any number of scenarios is priced by one group-by.
+volume and VWAP there.  Any number of scenarios is priced by windows over one exchange.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import r8, require, safe_div
@@ -54,78 +54,71 @@ def pov_schedule(ticks: DataFrame, bucket_ns: int, parent_qty: float, cap: float
     )
 
 
-def _replay(slots: Column, q: Column, cap: Column, c: float, k: float) -> Column:
-    """The plan under the cap with what a slot can't take carried forward: a fold over slots in order."""
-    zero = F.struct(*[F.lit(0.0).alias(x) for x in ("carry", "filled", "pv", "impact", "most")], F.lit(0).alias("capped"), F.array().cast("array<double>").alias("sizes"))
+def plan_slots(plans: DataFrame, scenario: list[str], coef_bps: float, perm_coef_bps: float = 0.0, near: list[str] = []) -> DataFrame:
+    """One row per scenario and slot: the columns of plans, with size, participation, temp_bps, perm_bps of the plan as it is, and what
+    each arm trades there under the cap: capped_size (what a slot can't take is carried to the next; carry is what is left then) and
+    spread_size (the plan reshaped to fit).
 
-    def step(acc: Column, s: Column) -> Column:
-        want = s["share"] * q + acc["carry"]
-        fill = F.least(want, cap * s["volume"])
-        p, w = fill / s["volume"], fill / q
-        return F.struct(
-            (want - fill).alias("carry"), (acc["filled"] + fill).alias("filled"), (acc["pv"] + fill * s["vwap"]).alias("pv"),
-            (acc["impact"] + (w * F.sqrt(p) * c + w * p * k)).alias("impact"), F.greatest(acc["most"], p).alias("most"),
-            (acc["capped"] + (fill < want).cast("int")).alias("capped"), F.concat(acc["sizes"], F.array(r8(fill))).alias("sizes"),
-        )
-
-    return F.aggregate(slots, zero, step)
-
-
-def _spread(slots: Column, q: Column, cap: Column, c: float, k: float) -> Column:
-    """The plan reshaped to fit the cap.  In order of cap * volume / share, slots are pinned at the cap until scaling the rest fits."""
-    room = lambda s: cap * s["volume"]
-    order = F.array_sort(F.transform(slots, lambda s: F.struct(F.when(s["share"] > 0, room(s) / s["share"]).otherwise(float("inf")).alias("r"), s["slot"].alias("slot"), s["share"].alias("share"), s["volume"].alias("volume"), s["vwap"].alias("vwap"))))
-    start = F.struct(
-        q.cast("double").alias("left"), F.aggregate(slots, F.lit(0.0), lambda a, s: a + s["share"]).alias("free"), F.lit(None).cast("double").alias("scale"),
-        *[F.lit(0.0).alias(x) for x in ("filled", "pv", "impact", "most")], F.lit(0).alias("capped"),
-    )
-
-    def step(acc: Column, s: Column) -> Column:
-        scale = F.coalesce(acc["scale"], F.when(acc["free"] > 0, acc["left"] / acc["free"]))
-        pinned = acc["scale"].isNull() & (scale * s["share"] > room(s))
-        fill = F.when(pinned, room(s)).otherwise(F.coalesce(scale * s["share"], F.lit(0.0)))
-        p, w = fill / s["volume"], fill / q
-        return F.struct(
-            F.when(pinned, acc["left"] - fill).otherwise(acc["left"]).alias("left"), F.when(pinned, acc["free"] - s["share"]).otherwise(acc["free"]).alias("free"),
-            F.when(pinned, acc["scale"]).otherwise(scale).alias("scale"), (acc["filled"] + fill).alias("filled"), (acc["pv"] + fill * s["vwap"]).alias("pv"),
-            (acc["impact"] + (w * F.sqrt(p) * c + w * p * k)).alias("impact"), F.greatest(acc["most"], p).alias("most"), (acc["capped"] + pinned.cast("int")).alias("capped"),
-        )
-
-    # nothing is left over once a scale was found; if every slot was pinned, what is left stays unfilled
-    return F.aggregate(order, start, step, lambda a: a.withField("carry", F.when(a["scale"].isNull(), a["left"]).otherwise(0.0)))
-
-
-def price_plans(plans: DataFrame, scenario: list[str], coef_bps: float, perm_coef_bps: float = 0.0) -> DataFrame:
+    plans has the scenario columns, slot, plan_share, exec_share, volume, vwap, session_vwap, parent_qty and cap.  Rows are dealt once, by
+    near (some of the scenario's columns) or the scenario; everything after that is windows over sorted slots, linear in them.
+    """
+    c, k = float(coef_bps), float(perm_coef_bps)
+    rows = plans.repartition(*[F.col(x) for x in near or scenario])
+    whole = Window.partitionBy(*scenario)
+    room = F.col("cap") * F.col("volume")
+    rows = rows.withColumn("size", F.col("plan_share") * F.col("parent_qty")).withColumn("participation", F.col("size") / F.col("volume"))
+    rows = rows.withColumn("temp_bps", F.col("plan_share") * c * F.sqrt("participation")).withColumn("perm_bps", F.col("plan_share") * k * F.col("participation"))
+    # carrying: what waits after a slot is the walk of wants less rooms above its least so far
+    past = whole.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("walk", F.sum(F.col("size") - room).over(past))
+    rows = rows.withColumn("carry", F.col("walk") - F.least(F.lit(0.0), F.min("walk").over(past)))
+    rows = rows.withColumn("want", F.col("size") + F.coalesce(F.lag("carry").over(whole.orderBy("slot")), F.lit(0.0)))
+    rows = rows.withColumn("capped_size", F.col("want") - F.col("carry"))
+    # reshaping: in order of room per share, slots are pinned at the cap until scaling the rest fits
+    rows = rows.withColumn("ratio", F.when(F.col("plan_share") > 0, room / F.col("plan_share")).otherwise(float("inf")))
+    order = whole.orderBy("ratio", "slot")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumn("scale", safe_div(F.col("parent_qty") - F.coalesce(F.sum(room).over(before), F.lit(0.0)), F.sum("plan_share").over(after)))
+    rows = rows.withColumn("fits", F.col("scale") * F.col("plan_share") <= room)
+    rows = rows.withColumn("free", F.coalesce(F.max("fits").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
+    rows = rows.withColumn("scaled", F.first(F.when(F.col("fits"), F.col("scale")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rows = rows.withColumn("spread_size", F.when(F.col("plan_share") <= 0, 0.0).when(F.col("free"), F.col("scaled") * F.col("plan_share")).otherwise(room))
+    return rows.withColumn("pinned", ~F.col("free")).drop("walk", "ratio", "scale", "fits", "free")
+
+
+def price_plans(plans: DataFrame, scenario: list[str], coef_bps: float, perm_coef_bps: float = 0.0, near: list[str] = []) -> DataFrame:
     """One row per scenario: the plan's score as it is, and executed under the cap by carrying (capped_) and by reshaping (spread_).
 
-    plans has the scenario columns, slot, plan_share, exec_share, volume, vwap, session_vwap, parent_qty and cap.  The slots of
-    one session meet in one row's array; scenarios are spread over tasks.
+    plans and near are those of plan_slots().
     """
     c, k = float(coef_bps), float(perm_coef_bps)
-    size = F.col("plan_share") * F.col("parent_qty")
-    p = size / F.col("volume")
-    rows = plans.withColumn("p", p)
+    rows = plan_slots(plans, scenario, coef_bps, perm_coef_bps, near)
+    impact = lambda x: F.sum(x / F.col("parent_qty") * (c * F.sqrt(x / F.col("volume")) + k * x / F.col("volume")))
+    capped, spread = F.col("capped_size"), F.col("spread_size")
     sums = rows.groupBy(*scenario).agg(
-        F.sum(F.col("plan_share") * F.col("vwap")).alias("price"), (F.sum(F.col("plan_share") * F.sqrt("p") * c) + F.sum(F.col("plan_share") * F.col("p") * k)).alias("impact"), F.max("p").alias("most"),
+        F.sum(F.col("plan_share") * F.col("vwap")).alias("price"), (F.sum("temp_bps") + F.sum("perm_bps")).alias("impact"), F.max("participation").alias("most"),
         (F.sum(F.abs(F.col("plan_share") - F.col("exec_share"))) / 2).alias("distance"), F.first("session_vwap").alias("session"), F.first("parent_qty").alias("q"), F.first("cap").alias("limit"),
-        F.sum("volume").alias("traded"), F.array_sort(F.collect_list(F.struct("slot", F.col("plan_share").alias("share"), "volume", "vwap"))).alias("slots_"),
+        F.sum("volume").alias("traded"), F.count(F.lit(1)).alias("slots"),
+        F.sum(capped).alias("c_filled"), F.max_by("carry", "slot").alias("c_left"), F.sum(capped * F.col("vwap")).alias("c_pv"), impact(capped).alias("c_impact"), F.max(capped / F.col("volume")).alias("c_most"),
+        F.count(F.when(F.col("carry") > 0, 1)).alias("c_slots"),
+        F.sum(spread).alias("s_filled"), F.when(F.max("scaled").isNull(), F.first("parent_qty") - F.sum(spread)).otherwise(0.0).alias("s_left"), F.sum(spread * F.col("vwap")).alias("s_pv"), impact(spread).alias("s_impact"),
+        F.max(spread / F.col("volume")).alias("s_most"), F.count(F.when(F.col("pinned"), 1)).alias("s_slots"),
     )
-    sums = sums.withColumn("c", _replay(F.col("slots_"), F.col("q"), F.col("limit"), c, k)).withColumn("s", _spread(F.col("slots_"), F.col("q"), F.col("limit"), c, k))
     oracle_p = F.col("q") / F.col("traded")
     oracle = c * F.sqrt(oracle_p) + k * oracle_p
     track = lambda x: r8((x - F.col("session")) / F.col("session") * 1e4)
 
     def arm(a: str, name: str) -> list[Column]:
-        x = F.col(a)
-        price = safe_div(x["pv"], x["filled"])
+        price = safe_div(f"{a}_pv", f"{a}_filled")
         return [
-            r8(x["filled"]).alias(f"{name}_filled_qty"), r8(x["carry"]).alias(f"{name}_unfilled_qty"), (r8(x["carry"]) == 0).alias(f"{name}_completed"), x["capped"].cast("long").alias(f"{name}_capped_slots"),
-            r8(price).alias(f"{name}_price"), track(price).alias(f"{name}_tracking_bps"), r8(x["impact"]).alias(f"{name}_impact_bps"),
-            r8(x["impact"] * F.col("q") / x["filled"]).alias(f"{name}_filled_impact_bps"), r8(x["most"]).alias(f"{name}_max_participation"),
+            r8(f"{a}_filled").alias(f"{name}_filled_qty"), r8(f"{a}_left").alias(f"{name}_unfilled_qty"), (r8(f"{a}_left") == 0).alias(f"{name}_completed"), F.col(f"{a}_slots").alias(f"{name}_capped_slots"),
+            r8(price).alias(f"{name}_price"), track(price).alias(f"{name}_tracking_bps"), r8(f"{a}_impact").alias(f"{name}_impact_bps"),
+            r8(safe_div(F.col(f"{a}_impact") * F.col("q"), F.col(f"{a}_filled"))).alias(f"{name}_filled_impact_bps"), r8(f"{a}_most").alias(f"{name}_max_participation"),
         ]
 
     return sums.select(
-        *scenario, F.col("q").alias("parent_qty"), F.col("limit").alias("plan_cap"), r8("distance").alias("profile_distance"), r8("session").alias("session_vwap"), r8("price").alias("price"), track(F.col("price")).alias("tracking_bps"),
+        *scenario, F.col("q").alias("parent_qty"), F.col("limit").alias("plan_cap"), "slots", r8("traded").alias("exec_volume"), r8("distance").alias("profile_distance"), r8("session").alias("session_vwap"),
+        r8("price").alias("price"), track(F.col("price")).alias("tracking_bps"),
         r8("impact").alias("impact_bps"), r8("most").alias("max_participation"), (r8("most") <= r8("limit")).alias("feasible"), r8(F.col("impact") - oracle).alias("forecast_cost_bps"),
         r8(oracle_p).alias("oracle_participation"), r8(oracle).alias("oracle_impact_bps"), (r8(oracle_p) <= r8("limit")).alias("oracle_feasible"), *arm("c", "capped"), *arm("s", "spread"),
     )
@@ -154,9 +147,10 @@ def pov_backtest(plan_ticks: DataFrame, exec_ticks: DataFrame, bucket_ns: int, p
     return price_plans(rows, ["one"], coef_bps, perm_coef_bps).drop("one")
 
 
-def gains(fc: str, naive: str, arm: str) -> list[Column]:
-    """improvement, shortfall, like_for_like and breakeven of a forecast over a naive plan, from their reported (rounded) figures."""
-    imp = r8(F.col(f"{naive}.{arm}_filled_impact_bps") - F.col(f"{fc}.{arm}_filled_impact_bps"))
-    short = r8(F.col(f"{fc}.{arm}_unfilled_qty") - F.col(f"{naive}.{arm}_unfilled_qty"))
-    even = r8(safe_div(imp * F.col(f"{fc}.parent_qty"), short))
+def gains(arm: str) -> list[Column]:
+    """improvement, shortfall, like_for_like and breakeven of a forecast over a naive plan, from their reported (rounded) figures; those of the
+    naive plan are columns whose names start with naive_."""
+    imp = r8(F.col(f"naive_{arm}_filled_impact_bps") - F.col(f"{arm}_filled_impact_bps"))
+    short = r8(F.col(f"{arm}_unfilled_qty") - F.col(f"naive_{arm}_unfilled_qty"))
+    even = r8(safe_div(imp * F.col("parent_qty"), short))
     return [imp.alias("improvement_bps"), short.alias("shortfall_qty"), (short == 0).alias("like_for_like"), F.when(even > 0, even).alias("breakeven_bps")]

@@ -79,15 +79,26 @@ def order_flow(ticks: DataFrame, keys: list[str] = []) -> DataFrame:
 
 
 def summary(ticks: DataFrame, bucket_ns: int, keys: list[str] = []) -> DataFrame:
-    """One row per session: ticks, vwap, twap, order flow, and its bars as an array in time order."""
-    counted = ticks.groupBy(*keys).agg(F.min_by("product", F.struct("ts_ns", "trade_id")).alias("product"), F.count(F.lit(1)).alias("ticks"))
-    made = bars(ticks, bucket_ns, keys)
-    figures = [r8(c).alias(c) for c in ("open", "high", "low", "close", "volume", "vwap")]
-    rows = made.select(*keys, F.struct("bucket_ns", *figures).alias("bar")).groupBy(*keys).agg(F.array_sort(F.collect_list("bar")).alias("bars"))
-    out = counted
-    for other in (session_vwap(ticks, keys), session_twap(ticks, keys), order_flow(ticks, keys), rows):
-        out = out.join(other, keys) if keys else out.crossJoin(other)
-    return out.select(*keys, "product", F.lit(bucket_ns).cast("long").alias("bucket_ns"), "ticks", "vwap", "twap", "buy_volume", "sell_volume", "imbalance", "bars")
+    """One row per session: ticks, vwap, twap, order flow, and its bars as an array in time order.  Everything but the TWAP comes from one aggregate by bar."""
+    if bucket_ns < 1:
+        raise ValueError("bucket_ns must be >= 1")
+    if not keys:
+        session_vwap(ticks)  # refusals
+    order = F.struct("ts_ns", "trade_id")
+    side = lambda s: F.sum(F.when(F.col("side") == s, F.col("size")).otherwise(0.0)).alias(s)
+    made = ticks.groupBy(*keys, bucket_of("ts_ns", bucket_ns).alias("bucket_ns")).agg(
+        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("size").alias("volume"),
+        F.sum(F.col("price") * F.col("size")).alias("pv"), F.count(F.lit(1)).alias("n"), side("buy"), side("sell"), F.min_by("product", order).alias("product"),
+    )
+    bar = F.struct("bucket_ns", *[r8(c).alias(c) for c in ("open", "high", "low", "close", "volume")], r8(safe_div("pv", "volume")).alias("vwap"))
+    out = made.groupBy(*keys).agg(
+        F.min_by("product", "bucket_ns").alias("product"), F.sum("n").alias("ticks"), r8(safe_div(F.sum("pv"), F.sum("volume"))).alias("vwap"), F.sum("buy").alias("b"), F.sum("sell").alias("s"),
+        F.array_sort(F.collect_list(bar)).alias("bars"),
+    )
+    mean = session_twap(ticks, keys)
+    out = out.join(mean, keys) if keys else out.crossJoin(mean)
+    balance = F.coalesce(safe_div(F.col("b") - F.col("s"), F.col("b") + F.col("s")), F.lit(0.0))
+    return out.select(*keys, "product", F.lit(bucket_ns).cast("long").alias("bucket_ns"), "ticks", "vwap", "twap", r8("b").alias("buy_volume"), r8("s").alias("sell_volume"), r8(balance).alias("imbalance"), "bars")
 
 
 def profile(ticks: DataFrame, bucket_ns: int, keys: list[str]) -> DataFrame:

@@ -11,18 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark import plans
+from tidemark import plans, sources
 from tidemark.functions import round_report
 from tidemark.operators import book, fills, impact, pov, quotes, ticks
-from tidemark.sources import adapters
-from tidemark.sources.adapters import DAY_NS, SLOT_NS
+from tidemark.sources import adapters, live, synthetic
+from tidemark.sources.adapters import BAR_NS, DAY_NS, SLOT_NS
+from tidemark.storage import new_path
 from tidemark.streaming import session as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Scenario studies walk over the first sessions only: a study's folds grow as the square of its sessions, which are a parameter.
-STUDY_SESSIONS = 6
+#: Days of the test tables, each a session; only the SQL needs to know, the queries take the sessions that there are.
+DAYS = 30
 PARENT, COEF, PERM = 40.0, 25.0, 5.0
 CAPS, HALF_LIVES, SHARES = [0.05, 0.1, 0.2], [0.25, 0.5, 1.0, 2.0, 4.0], [0.05, 0.1, 0.15]
 
@@ -51,6 +52,8 @@ def _expand(sql: str) -> str:
     text = sql.strip()
     recursive = "RECURSIVE " if text.startswith("WITH RECURSIVE") else ""
     text = text.removeprefix("WITH RECURSIVE").removeprefix("WITH").strip()
+    if not used:
+        return sql.strip()
     if not sql.strip().startswith("WITH"):
         return f"WITH {', '.join(used)} {text}"
     return f"WITH {recursive}{', '.join([*used, text])}"
@@ -66,8 +69,6 @@ _TABLES = {
         1e-1 + ((event_id * 31 + level * 17 + s * 7) % 29) / 10e0 AS size, ({_NS}) // {DAY_NS} AS session_id FROM events, range(5) l(level), range(2) q(s)""",
     "t_samples": "SELECT p AS participation, 10e0 * sqrt(p) + 20e0 * p + ((o_orderkey % 7) - 3) * 1e-1 AS realised_bps FROM (SELECT o_orderkey, 1e-2 + (o_custkey % 50) / 100e0 AS p FROM orders)",
     "t_fills": """SELECT o_orderkey * 1000000000 AS ts_ns, qty, 100e0 + (o_orderkey % 13) * 1e-2 AS price, qty * (4 + o_orderkey % 9) AS interval_volume
-        FROM (SELECT o_orderkey, 1e0 + o_custkey % 5 AS qty FROM orders WHERE o_orderkey < 1000)""",
-    "t_whole": """SELECT o_orderkey * 1000000000 AS ts_ns, qty, 100e0 + (o_orderkey % 13) * 1e-2 AS price, qty * (4 + o_orderkey % 9) AS interval_volume
         FROM (SELECT o_orderkey, 1e0 + o_custkey % 5 AS qty FROM orders)""",
 }
 
@@ -75,10 +76,10 @@ _TABLES = {
 # ticks
 
 
-@_query(f"""SELECT session_id, ts_ns // {SLOT_NS} * {SLOT_NS} AS bucket_ns, [[arg_min(price, (ts_ns, trade_id))]] AS open, [[max(price)]] AS high, [[min(price)]] AS low,
+@_query(f"""SELECT session_id, ts_ns // {BAR_NS} * {BAR_NS} AS bucket_ns, [[arg_min(price, (ts_ns, trade_id))]] AS open, [[max(price)]] AS high, [[min(price)]] AS low,
     [[arg_max(price, (ts_ns, trade_id))]] AS close, [[sum(size)]] AS volume, [[sum(price * size) / sum(size)]] AS vwap FROM t_ticks GROUP BY ALL""")
 def bars_ohlcv(spark, sf_dir):
-    return ticks.bars(adapters.ticks(spark, sf_dir), SLOT_NS, ["session_id"])
+    return ticks.bars(adapters.ticks(spark, sf_dir), BAR_NS, ["session_id"])
 
 
 @_query("SELECT session_id, [[sum(price * size) / sum(size)]] AS vwap FROM t_ticks GROUP BY ALL")
@@ -102,21 +103,38 @@ def order_flow(spark, sf_dir):
     return ticks.order_flow(adapters.ticks(spark, sf_dir), ["session_id"])
 
 
-@_query(f"""SELECT session_id, 'EVT' AS product, CAST({SLOT_NS} AS BIGINT) AS bucket_ns, n AS ticks, [[v]] AS vwap, [[twap]] AS twap, [[b]] AS buy_volume, [[s]] AS sell_volume, [[(b - s) / (b + s)]] AS imbalance, bars
-    FROM {_FLOW} JOIN {_TWAP} USING (session_id)
-    JOIN (SELECT session_id, count(*) AS n, sum(price * size) / sum(size) AS v, count(DISTINCT ts_ns // {SLOT_NS}) AS bars FROM t_ticks GROUP BY ALL) USING (session_id)""")
+_BARS = f"""(SELECT session_id, ts_ns // {BAR_NS} * {BAR_NS} AS bar_ns, [[arg_min(price, (ts_ns, trade_id))]] AS bar_open, [[max(price)]] AS bar_high, [[min(price)]] AS bar_low, [[arg_max(price, (ts_ns, trade_id))]] AS bar_close, [[sum(size)]] AS bar_volume,
+    [[sum(price * size) / sum(size)]] AS bar_vwap FROM t_ticks GROUP BY ALL)"""
+
+
+@_query(f"""SELECT session_id, 'EVT' AS product, CAST({BAR_NS} AS BIGINT) AS bucket_ns, n AS ticks, [[v]] AS vwap, [[twap]] AS twap, [[b]] AS buy_volume, [[s]] AS sell_volume, [[(b - s) / (b + s)]] AS imbalance,
+    bar_ns, bar_open, bar_high, bar_low, bar_close, bar_volume, bar_vwap
+    FROM {_FLOW} JOIN {_TWAP} USING (session_id) JOIN {_BARS} USING (session_id)
+    JOIN (SELECT session_id, count(*) AS n, sum(price * size) / sum(size) AS v FROM t_ticks GROUP BY ALL) USING (session_id)""")
 def summary(spark, sf_dir):
-    return ticks.summary(adapters.ticks(spark, sf_dir), SLOT_NS, ["session_id"]).withColumn("bars", F.size("bars").cast("long"))
+    """The report with its bars, a row each."""
+    rows = ticks.summary(adapters.ticks(spark, sf_dir), BAR_NS, ["session_id"])
+    bar = [F.col(f"bar.{a}").alias(f"bar_{b}") for a, b in (("bucket_ns", "ns"), ("open", "open"), ("high", "high"), ("low", "low"), ("close", "close"), ("volume", "volume"), ("vwap", "vwap"))]
+    return rows.withColumn("bar", F.explode("bars")).select(*[c for c in rows.columns if c != "bars"], *bar)
 
 
-_STREAM = f"""SELECT session_id, n AS rows, first_ts_ns, last_ts_ns, [[b + s]] AS volume, [[notional]] AS notional, [[notional / (b + s)]] AS vwap, [[twap]] AS twap, [[b]] AS buy_volume, [[s]] AS sell_volume, [[(b - s) / (b + s)]] AS imbalance
+_CHUNK = 4096
+_STREAM = f"""SELECT CAST(session_id AS VARCHAR) AS session, n AS rows, first_ts_ns, last_ts_ns, [[b + s]] AS volume, [[notional]] AS notional, [[notional / (b + s)]] AS vwap, [[twap]] AS twap, [[b]] AS buy_volume, [[s]] AS sell_volume, [[(b - s) / (b + s)]] AS imbalance,
+    CAST({_CHUNK} AS BIGINT) AS chunk_rows, (n + {_CHUNK} - 1) // {_CHUNK} AS chunks, least(n, {_CHUNK}) + CASE WHEN n > {_CHUNK} THEN 1 ELSE 0 END AS peak_rows_in_memory
     FROM {_FLOW} JOIN {_TWAP} USING (session_id)
     JOIN (SELECT session_id, count(*) AS n, sum(price * size) AS notional, min(ts_ns) AS first_ts_ns, max(ts_ns) AS last_ts_ns FROM t_ticks GROUP BY ALL) USING (session_id)"""
 
 
 @_query(_STREAM)
 def stream_session(spark, sf_dir):
-    return streaming.replay(adapters.ticks(spark, sf_dir), "session_id")
+    """The table read as a stream and folded by state, to its end."""
+    live = adapters.ticks(spark, sf_dir, stream=True)
+    return streaming.to_end(streaming.stream(live, "session_id", _CHUNK))
+
+
+@_query(_STREAM)
+def stream_replay(spark, sf_dir):
+    return streaming.replay(adapters.ticks(spark, sf_dir), "session_id", _CHUNK).withColumn("session", F.col("session_id").cast("string")).drop("session_id")
 
 
 # quotes and books
@@ -210,7 +228,7 @@ def _grid_sql(phases: int) -> str:
     return f"""WITH RECURSIVE {_thin_sql(_grid_values(phases))},
         whole AS (SELECT session_id, {_FIGURES} FROM {_SNAPS} GROUP BY ALL),
         thinned AS (SELECT session_id, every_s, phase, {_FIGURES} FROM kept JOIN {_SNAPS} USING (session_id, ts_ns) GROUP BY ALL),
-        rated AS (SELECT t.*, {_r('t.sp / w.sp')} AS ratio, t.qi * w.qi > 0 AS sign_kept, w.qi AS wqi FROM thinned t JOIN whole w USING (session_id))"""
+        rated AS (SELECT t.*, {_r('t.sp / w.sp')} AS ratio, t.qi * w.qi > 0 AS sign_kept, w.qi AS wqi, w.di AS wdi FROM thinned t JOIN whole w USING (session_id))"""
 
 
 @_query(f"WITH RECURSIVE {_thin_sql(_grid_values(1))} SELECT session_id, every_s, ts_ns FROM kept WHERE ts_ns IS NOT NULL")
@@ -222,35 +240,64 @@ def book_thin(spark, sf_dir):
 _NAMES = "[[bd]] AS avg_bid_depth, [[ad]] AS avg_ask_depth, [[di]] AS avg_depth_imbalance, [[sp]] AS avg_spread, [[bq]] AS avg_bid_queue, [[aq]] AS avg_ask_queue, [[qi]] AS avg_queue_imbalance"
 
 
-@_query(f"""{_grid_sql(1)} SELECT session_id, every_s, snapshots, {_NAMES}, [[ratio]] AS spread_ratio, sign_kept AS queue_sign_kept FROM rated
-    UNION ALL SELECT session_id, 0e0, snapshots, {_NAMES}, 1e0, true FROM whole""")
+@_query(f"""{_grid_sql(1)}, rowed AS (SELECT session_id, every_s, snapshots, {_NAMES}, [[ratio]] AS spread_ratio, sign_kept AS queue_sign_kept FROM rated
+    UNION ALL SELECT session_id, 0e0, snapshots, {_NAMES}, 1e0, true FROM whole)
+    SELECT *, count(*) FILTER (NOT queue_sign_kept) OVER (PARTITION BY session_id) AS sign_flips FROM rowed""")
 def book_grid_sweep(spark, sf_dir):
     return book.book_grid_sweep(adapters.book(spark, sf_dir), GRID, ["session_id"])
 
 
-@_query(f"""{_grid_sql(1)} SELECT every_s, count(*) FILTER (sign_kept) AS sign_kept_books, count(*) FILTER (NOT sign_kept) AS sign_lost_books, [[min(ratio)]] AS spread_ratio_min, [[max(ratio)]] AS spread_ratio_max,
-    [[max(abs(qi - wqi))]] AS imbalance_drift_max, bool_and(sign_kept) AS held FROM rated GROUP BY every_s""")
+_ACROSS = f"""{_grid_sql(1)}, spaced AS (SELECT every_s, count(*) FILTER (sign_kept) AS sign_kept_books, coalesce(string_agg(CAST(session_id AS VARCHAR), ',' ORDER BY session_id) FILTER (NOT sign_kept), '') AS sign_lost_by,
+    [[min(ratio)]] AS spread_ratio_min, [[max(ratio)]] AS spread_ratio_max, [[max(abs(di - wdi))]] AS imbalance_drift_max, count(*) AS books, bool_and(sign_kept) AS held FROM rated GROUP BY every_s)"""
+
+
+@_query(f"{_ACROSS} SELECT *, count(*) FILTER (held) OVER () AS held_spacings FROM spaced")
 def book_grid_across(spark, sf_dir):
     rows = book.book_grid_across(adapters.book(spark, sf_dir), GRID, "session_id")
-    return rows.select("every_s", "sign_kept_books", F.size("sign_lost_by").cast("long").alias("sign_lost_books"), "spread_ratio_min", "spread_ratio_max", "imbalance_drift_max", "held")
+    return rows.withColumn("sign_lost_by", F.array_join("sign_lost_by", ","))
+
+
+_WITHOUT = "SELECT b.session_id, count(*) FILTER (lost.n - coalesce(own.n, 0) = 0) AS held_without FROM (SELECT DISTINCT session_id FROM rated) b CROSS JOIN (SELECT every_s, count(*) FILTER (NOT {kept}) AS n FROM {rows} GROUP BY every_s) lost LEFT JOIN (SELECT session_id, every_s, 1 AS n FROM {rows} WHERE NOT {kept}) own ON own.session_id = b.session_id AND own.every_s = lost.every_s GROUP BY b.session_id"
+
+
+@_query(f"{_grid_sql(1)} {_WITHOUT.format(kept='sign_kept', rows='rated')}")
+def book_grid_held_without(spark, sf_dir):
+    books = adapters.book(spark, sf_dir)
+    return book.held_without(book.book_grid_across(books, GRID, "session_id"), books, "session_id")
 
 
 _PHASE = f"""{_grid_sql(4)}, phased AS (SELECT session_id, every_s, count(*) AS phases_run, min(snapshots) AS snapshots_min, max(snapshots) AS snapshots_max, min(ratio) AS rmin, max(ratio) AS rmax, min(qi) AS qmin, max(qi) AS qmax,
-    count(*) FILTER (sign_kept) AS kept_n, bool_or(sign_kept) FILTER (phase = 0) AS first_kept, max(abs(wqi)) AS side FROM rated GROUP BY ALL)"""
+    count(*) FILTER (sign_kept) AS kept_n, bool_or(sign_kept) FILTER (phase = 0) AS first_kept, max(abs(wqi)) AS side, max(wqi) AS wqi FROM rated GROUP BY ALL)"""
 
 
 @_query(f"""{_PHASE} SELECT session_id, every_s, phases_run, snapshots_min, snapshots_max, [[rmin]] AS spread_ratio_min, [[rmax]] AS spread_ratio_max, [[qmin]] AS queue_imbalance_min, [[qmax]] AS queue_imbalance_max,
-    kept_n AS sign_kept_phases, first_kept AS first_phase_kept, CASE WHEN kept_n = phases_run THEN 'held' WHEN kept_n = 0 THEN 'lost' ELSE 'split' END AS verdict FROM phased""")
+    kept_n AS sign_kept_phases, first_kept AS first_phase_kept, [[side]] AS full_queue_imbalance_abs, [[wqi]] AS full_queue_imbalance, CASE WHEN kept_n = phases_run THEN 'held' WHEN kept_n = 0 THEN 'lost' ELSE 'split' END AS verdict,
+    count(*) FILTER (kept_n = phases_run) OVER b AS held_spacings, count(*) FILTER (kept_n = 0) OVER b AS lost_spacings, count(*) FILTER (kept_n > 0 AND kept_n < phases_run) OVER b AS split_spacings FROM phased WINDOW b AS (PARTITION BY session_id)""")
 def book_grid_phase(spark, sf_dir):
-    return book.book_grid_phase(adapters.book(spark, sf_dir), GRID, 4, ["session_id"]).drop("full_queue_imbalance", "full_queue_imbalance_abs")
+    return book.book_grid_phase(adapters.book(spark, sf_dir), GRID, 4, ["session_id"])
+
 
+_LIST = "coalesce(string_agg(CAST(session_id AS VARCHAR), ',' ORDER BY session_id) FILTER ({x}), '')"
 
-@_query(f"""{_PHASE} SELECT every_s, count(*) FILTER (kept_n = phases_run) AS held_books, count(*) FILTER (kept_n = 0) AS lost_books, count(*) FILTER (kept_n > 0 AND kept_n < phases_run) AS split_books,
-    CAST(sum(kept_n) AS BIGINT) AS kept_starts, CAST(sum(phases_run) AS BIGINT) AS run_starts, max(phases_run - kept_n) AS most_missed, arg_min(session_id, (kept_n - phases_run, session_id)) AS most_missed_book,
-    [[coalesce(max(side) FILTER (kept_n < phases_run), 0)]] AS strongest_side_missed, [[coalesce(min(side) FILTER (kept_n = phases_run), 0)]] AS faintest_side_held, bool_and(kept_n = phases_run) AS held FROM phased GROUP BY every_s""")
+
+@_query(f"""{_PHASE}, o AS (SELECT *, phases_run - kept_n AS missed, row_number() OVER (PARTITION BY every_s ORDER BY kept_n - phases_run, session_id) AS place, sum(phases_run - kept_n) OVER (PARTITION BY every_s ORDER BY kept_n - phases_run, session_id ROWS UNBOUNDED PRECEDING) AS run,
+        sum(phases_run - kept_n) OVER (PARTITION BY every_s) AS all_missed, coalesce(max(side) FILTER (kept_n < phases_run) OVER (PARTITION BY every_s), 0) AS strongest, min(side) FILTER (kept_n = phases_run) OVER (PARTITION BY every_s) AS faintest FROM phased),
+    f AS (SELECT every_s, count(*) FILTER (missed = 0) AS held_books, {_LIST.format(x='kept_n = 0')} AS lost_by, {_LIST.format(x='kept_n > 0 AND missed > 0')} AS split_by, {_LIST.format(x='missed > 0')} AS not_held_by, count(*) FILTER (first_kept) AS first_phase_books,
+        CAST(sum(kept_n) AS BIGINT) AS kept_starts, CAST(sum(phases_run) AS BIGINT) AS starts_run, max(missed) AS most_missed, arg_min(session_id, place) AS most_missed_book, max(missed) FILTER (place = 2) AS next_most_missed,
+        CAST(sum(kept_n) FILTER (place > 1) AS BIGINT) AS kept_without_weakest, CAST(sum(phases_run) FILTER (place > 1) AS BIGINT) AS run_without_weakest, coalesce(min(place) FILTER (2 * run >= all_missed AND all_missed > 0), 0) AS half_missed_by,
+        [[max(strongest)]] AS strongest_side_missed, [[coalesce(max(faintest), 0)]] AS faintest_side_held, count(*) FILTER (missed = 0 AND side <= strongest) AS held_no_clearer, count(*) FILTER (missed > 0 AND side >= faintest) AS missed_no_fainter,
+        arg_min(session_id, (-side, session_id)) FILTER (missed > 0) AS strongest_missed_book, arg_min(session_id, (side, session_id)) FILTER (missed = 0) AS faintest_held_book, [[max(side) FILTER (place = 1 AND missed > 0)]] AS most_missed_side,
+        [[min(side) FILTER (missed > 0)]] AS faintest_side_missed, count(*) AS books, bool_and(missed = 0) AS held FROM o GROUP BY every_s)
+    SELECT *, count(*) FILTER (held) OVER () AS held_spacings, count(*) FILTER (first_phase_books = books) OVER () AS first_phase_held_spacings FROM f""")
 def book_grid_phase_across(spark, sf_dir):
     rows = book.book_grid_phase_across(adapters.book(spark, sf_dir), GRID, 4, "session_id")
-    return rows.select("every_s", "held_books", "lost_books", "split_books", "kept_starts", "run_starts", "most_missed", "most_missed_book", "strongest_side_missed", "faintest_side_held", "held")
+    return rows.select(*[F.array_join(c, ",").alias(c) if c in ("lost_by", "split_by", "not_held_by") else F.col(c) for c in rows.columns])
+
+
+@_query(f"{_PHASE} {_WITHOUT.format(kept='(kept_n = phases_run)', rows='phased')}")
+def book_grid_phase_held_without(spark, sf_dir):
+    books = adapters.book(spark, sf_dir)
+    return book.held_without(book.book_grid_phase_across(books, GRID, 4, "session_id"), books, "session_id", "not_held_by")
 
 
 _UPDATES = "event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'bid' ELSE 'ask' END AS side, floor(value / 20) * 20 + 100 + event_id % 2 AS price, (event_id * 7 % 5) * 1e0 AS size"
@@ -261,8 +308,6 @@ _UPDATES = "event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'bid' ELSE 'ask' EN
     r AS (SELECT *, row_number() OVER (PARTITION BY seen_at, side ORDER BY CASE WHEN side = 'bid' THEN -price ELSE price END) - 1 AS level FROM f WHERE size > 0)
     SELECT seen_at AS ts_ns, 'EVT' AS product, side, level, [[price]] AS price, [[size]] AS size FROM r WHERE level < 3""")
 def l2_top_levels(spark, sf_dir):
-    from tidemark.sources import live
-
     rows = adapters._events(spark, sf_dir)
     updates = rows.selectExpr("'EVT' AS product", "ts_ns", *_UPDATES_SPARK)
     at = adapters.ticks(spark, sf_dir).groupBy("session_id").agg(F.max("ts_ns").alias("ts_ns")).select(F.lit("EVT").alias("product"), "ts_ns")
@@ -328,69 +373,59 @@ def optimal_schedule(spark, sf_dir):
 # post-trade
 
 
+# every order's fill; the parent is a quarter more than what is filled, however many orders there are
+
+
 @_query("""WITH a AS (SELECT *, qty / interval_volume AS p, qty / sum(qty) OVER () AS w, (price - 100) / 100 * 1e4 AS r FROM t_fills),
-    b AS (SELECT count(*) AS n, sum(qty) AS filled, sum(qty * price) / sum(qty) AS px, arg_max(price, ts_ns) AS last, sum(w * r) AS realised, sum(w * (25 * sqrt(p) + 5 * p)) AS modelled FROM a),
-    c AS (SELECT *, 5000 - filled AS unfilled, (5000 - filled) / 5000 * (last - 100) / 100 * 1e4 AS missed FROM b)
-    SELECT 'buy' AS side, n AS fills, 5000e0 AS parent_qty, [[filled]] AS filled_qty, [[unfilled]] AS unfilled_qty, [[filled / 5000]] AS fill_rate, 100e0 AS arrival_price, [[px]] AS avg_price, [[last]] AS final_price, [[realised]] AS realised_bps,
-        [[modelled]] AS modelled_bps, [[realised - modelled]] AS residual_bps, [[missed]] AS opportunity_bps, [[filled / 5000 * realised + missed]] AS total_bps FROM c""")
+    b AS (SELECT count(*) AS n, sum(qty) AS filled, 1.25e0 * sum(qty) AS parent, sum(qty * price) / sum(qty) AS px, arg_max(price, ts_ns) AS last, sum(w * r) AS realised, sum(w * (25 * sqrt(p) + 5 * p)) AS modelled FROM a),
+    c AS (SELECT *, parent - filled AS unfilled, (parent - filled) / parent * (last - 100) / 100 * 1e4 AS missed FROM b)
+    SELECT 'buy' AS side, n AS fills, parent AS parent_qty, [[filled]] AS filled_qty, [[unfilled]] AS unfilled_qty, [[filled / parent]] AS fill_rate, 100e0 AS arrival_price, [[px]] AS avg_price, [[last]] AS final_price, [[realised]] AS realised_bps,
+        [[modelled]] AS modelled_bps, [[realised - modelled]] AS residual_bps, [[missed]] AS opportunity_bps, [[filled / parent * realised + missed]] AS total_bps FROM c""")
 def shortfall(spark, sf_dir):
-    return fills.shortfall(adapters.fills(spark, sf_dir), 5000.0, 100.0, COEF, PERM)
+    rows = adapters.fills(spark, sf_dir)
+    return fills.shortfall(rows, 1.25 * rows.agg(F.sum("qty")).first()[0], 100.0, COEF, PERM)
+
 
+@_query("""SELECT ts_ns, [[qty / interval_volume]] AS participation, [[qty / sum(qty) OVER ()]] AS weight, [[(price - 100) / 100 * 1e4]] AS realised_bps, [[25 * sqrt(qty / interval_volume) + 5 * qty / interval_volume]] AS modelled_bps,
+    [[(price - 100) / 100 * 1e4 - 25 * sqrt(qty / interval_volume) - 5 * qty / interval_volume]] AS residual_bps FROM t_fills""")
+def shortfall_slices(spark, sf_dir):
+    rows = fills.shortfall_slices(adapters.fills(spark, sf_dir), 100.0, COEF, PERM)
+    return rows.select("ts_ns", "participation", "weight", *[F.col(c).alias(f"{c}_bps") for c in ("realised", "modelled", "residual")])
 
-def _strategy_sql(coefs: str, table: str = "t_fills") -> str:
-    return f"""WITH f AS (SELECT *, sum(qty) OVER () AS filled, sum(interval_volume) OVER () AS traded, count(*) OVER () AS n FROM {table}),
+
+def _strategy_sql(coefs: str) -> str:
+    return f"""WITH f AS (SELECT *, sum(qty) OVER () AS filled, sum(interval_volume) OVER () AS traded, count(*) OVER () AS n FROM t_fills),
         s AS (SELECT 'realised' AS name, 0 AS place, qty AS q, * FROM f UNION ALL SELECT 'twap', 1, filled / n, * FROM f UNION ALL SELECT 'volume', 2, filled * interval_volume / traded, * FROM f),
-        r AS (SELECT coef, name, place, sum(q) AS qty, sum(q / filled * (price - 100) / 100 * 1e4) AS drift, sum(q / filled * (coef * sqrt(q / interval_volume) + 5 * q / interval_volume)) AS impact FROM s, (SELECT unnest([{coefs}]) AS coef) GROUP BY ALL),
+        r AS (SELECT coef, name, place, max(n) AS n, sum(q) AS qty, sum(q / filled * (price - 100) / 100 * 1e4) AS drift, sum(q / filled * (coef * sqrt(q / interval_volume) + 5 * q / interval_volume)) AS impact FROM s, (SELECT unnest([{coefs}]) AS coef) GROUP BY coef, name, place),
         k AS (SELECT *, floor((drift + impact) * 1e8 + 0.5) / 1e8 AS cost FROM r),
         b AS (SELECT coef, max(cost) FILTER (place = 0) AS made, min(cost) FILTER (place > 0) AS best, arg_min(name, (cost, place)) FILTER (place > 0) AS who FROM k GROUP BY coef)"""
 
 
-@_query(f"{_strategy_sql('25e0')} SELECT name, [[qty]] AS qty, [[drift]] AS drift_bps, [[impact]] AS impact_bps, [[cost]] AS cost_bps, who AS best_alternative, [[best - made]] AS edge_bps FROM k JOIN b USING (coef)")
+@_query(f"{_strategy_sql('25e0')} SELECT 'buy' AS side, n AS intervals, 100e0 AS arrival_price, name, [[qty]] AS qty, [[drift]] AS drift_bps, [[impact]] AS impact_bps, [[cost]] AS cost_bps, who AS best_alternative, [[best - made]] AS edge_bps FROM k JOIN b USING (coef)")
 def counterfactual(spark, sf_dir):
     return fills.counterfactual(adapters.fills(spark, sf_dir), 100.0, COEF, PERM)
 
 
+@_query(f"""{_strategy_sql('25e0')} SELECT name, ts_ns, [[q]] AS qty, [[price]] AS price, [[interval_volume]] AS interval_volume, [[q / interval_volume]] AS participation, [[q / filled]] AS weight, [[(price - 100) / 100 * 1e4]] AS drift_bps,
+    [[25 * sqrt(q / interval_volume) + 5 * q / interval_volume]] AS impact_bps, [[(price - 100) / 100 * 1e4 + 25 * sqrt(q / interval_volume) + 5 * q / interval_volume]] AS cost_bps FROM s""")
+def counterfactual_legs(spark, sf_dir):
+    return fills.counterfactual_legs(adapters.fills(spark, sf_dir), 100.0, COEF, PERM)
+
+
 COEFS = [5.0, 10.0, 20.0, 30.0, 40.0]
 
 
-def _sensitivity_sql(table: str = "t_fills") -> str:
-    return f"""{_strategy_sql(', '.join(f'{c}e0' for c in COEFS), table)}, e AS (SELECT *, best - made AS edge, lead(best - made) OVER o AS ne, lead(coef) OVER o AS nc FROM b WINDOW o AS (ORDER BY coef)),
+@_query(f"""{_strategy_sql(', '.join(f'{c}e0' for c in COEFS))}, e AS (SELECT *, best - made AS edge, lead(best - made) OVER o AS ne, lead(coef) OVER o AS nc FROM b WINDOW o AS (ORDER BY coef)),
     t AS (SELECT min(edge) AS lo, max(edge) AS hi, count(*) FILTER (edge * ne < 0) AS flips, arg_min(coef + (nc - coef) * -edge / (ne - edge), coef) FILTER (edge * ne < 0) AS be,
         count(DISTINCT who) = 1 AND (min(edge) > 0 OR max(edge) < 0) AS stable FROM e)
-    SELECT coef AS coef_bps, [[made]] AS realised_cost_bps, who AS best_alternative, [[best]] AS best_cost_bps, [[edge]] AS edge_bps, [[lo]] AS edge_min_bps, [[hi]] AS edge_max_bps, flips AS sign_flips, [[be]] AS breakeven_coef_bps, stable AS verdict_stable FROM e, t"""
-
-
-@_query(_sensitivity_sql())
+    SELECT coef AS coef_bps, [[made]] AS realised_cost_bps, who AS best_alternative, [[best]] AS best_cost_bps, [[edge]] AS edge_bps, [[lo]] AS edge_min_bps, [[hi]] AS edge_max_bps, flips AS sign_flips, [[be]] AS breakeven_coef_bps, stable AS verdict_stable FROM e, t""")
 def sensitivity(spark, sf_dir):
     return fills.sensitivity(adapters.fills(spark, sf_dir), 100.0, COEFS, PERM)
 
 
-# the same three over all orders; the parent is a quarter more than what is filled, however many orders there are
-
-
-@_query("""WITH a AS (SELECT *, qty / interval_volume AS p, qty / sum(qty) OVER () AS w, (price - 100) / 100 * 1e4 AS r FROM t_whole),
-    b AS (SELECT count(*) AS n, sum(qty) AS filled, 1.25e0 * sum(qty) AS parent, sum(qty * price) / sum(qty) AS px, arg_max(price, ts_ns) AS last, sum(w * r) AS realised, sum(w * (25 * sqrt(p) + 5 * p)) AS modelled FROM a),
-    c AS (SELECT *, parent - filled AS unfilled, (parent - filled) / parent * (last - 100) / 100 * 1e4 AS missed FROM b)
-    SELECT 'buy' AS side, n AS fills, parent AS parent_qty, [[filled]] AS filled_qty, [[unfilled]] AS unfilled_qty, [[filled / parent]] AS fill_rate, 100e0 AS arrival_price, [[px]] AS avg_price, [[last]] AS final_price, [[realised]] AS realised_bps,
-        [[modelled]] AS modelled_bps, [[realised - modelled]] AS residual_bps, [[missed]] AS opportunity_bps, [[filled / parent * realised + missed]] AS total_bps FROM c""")
-def shortfall_whole(spark, sf_dir):
-    rows = adapters.fills(spark, sf_dir, None)
-    return fills.shortfall(rows, 1.25 * rows.agg(F.sum("qty")).first()[0], 100.0, COEF, PERM)
-
-
-@_query(f"{_strategy_sql('25e0', 't_whole')} SELECT name, [[qty]] AS qty, [[drift]] AS drift_bps, [[impact]] AS impact_bps, [[cost]] AS cost_bps, who AS best_alternative, [[best - made]] AS edge_bps FROM k JOIN b USING (coef)")
-def counterfactual_whole(spark, sf_dir):
-    return fills.counterfactual(adapters.fills(spark, sf_dir, None), 100.0, COEF, PERM)
-
-
-@_query(_sensitivity_sql("t_whole"))
-def sensitivity_whole(spark, sf_dir):
-    return fills.sensitivity(adapters.fills(spark, sf_dir, None), 100.0, COEFS, PERM)
-
-
 def _fill_sql(algo: str) -> str:
     qty = "greatest(0, least(0.2 * volume, 60 - coalesce(sum(0.2 * volume) OVER b, 0)))" if algo == "pov" else "60e0 / count(*) OVER (PARTITION BY session_id)"
-    return f"""{algo}_q AS (SELECT *, {qty} AS qty FROM (SELECT session_id, ts_ns // {SLOT_NS} AS bucket, sum(size) AS volume, sum(price * size) / sum(size) AS vwap FROM t_ticks GROUP BY ALL)
+    return f"""{algo}_q AS (SELECT *, {qty} AS qty FROM (SELECT session_id, ts_ns // {BAR_NS} AS bucket, sum(size) AS volume, sum(price * size) / sum(size) AS vwap FROM t_ticks GROUP BY ALL)
             WINDOW b AS (PARTITION BY session_id ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         {algo}_p AS (SELECT *, vwap * (1 + coalesce(sum(20 * 1e-4 * qty / volume) OVER b, 0)) * (1 + 10 * 1e-4 * sqrt(qty / volume)) AS price FROM {algo}_q WHERE qty > 0
             WINDOW b AS (PARTITION BY session_id ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -404,12 +439,12 @@ _COSTS = {"impact_bps": 10.0, "impact_model": "sqrt", "perm_impact_bps": 20.0}
 
 @_query(f"WITH {_fill_sql('pov')} {_FILL.format(algo='pov', full='60 - filled <= 1e-12')}")
 def pov_fill(spark, sf_dir):
-    return fills.pov_fill(adapters.ticks(spark, sf_dir), side="buy", parent_qty=60.0, participation=0.2, bucket_ns=SLOT_NS, keys=["session_id"], **_COSTS)
+    return fills.pov_fill(adapters.ticks(spark, sf_dir), side="buy", parent_qty=60.0, participation=0.2, bucket_ns=BAR_NS, keys=["session_id"], **_COSTS)
 
 
 @_query(f"WITH {_fill_sql('twap')} {_FILL.format(algo='twap', full='true')}")
 def twap_fill(spark, sf_dir):
-    return fills.twap_fill(adapters.ticks(spark, sf_dir), side="buy", parent_qty=60.0, bucket_ns=SLOT_NS, keys=["session_id"], **_COSTS)
+    return fills.twap_fill(adapters.ticks(spark, sf_dir), side="buy", parent_qty=60.0, bucket_ns=BAR_NS, keys=["session_id"], **_COSTS)
 
 
 _EVAL = "SELECT session_id, algo, [[v]] AS benchmark_vwap, 'buy' AS side, 60e0 AS parent_qty, [[px]] AS avg_price, round((px - v) / v * 1e4, 4) AS slippage_vs_vwap_bps, round((px - arrival) / arrival * 1e4, 4) AS is_bps, algo = 'twap' OR 60 - filled <= 1e-12 AS fully_filled FROM {algo}_r"
@@ -417,7 +452,22 @@ _EVAL = "SELECT session_id, algo, [[v]] AS benchmark_vwap, 'buy' AS side, 60e0 A
 
 @_query(f"WITH {_fill_sql('pov')}, {_fill_sql('twap')} {_EVAL.format(algo='pov')} UNION ALL {_EVAL.format(algo='twap')}")
 def evaluate(spark, sf_dir):
-    return fills.evaluate(adapters.ticks(spark, sf_dir), side="buy", parent_qty=60.0, participation=0.2, bucket_ns=SLOT_NS, keys=["session_id"], **_COSTS)
+    return fills.evaluate(adapters.ticks(spark, sf_dir), side="buy", parent_qty=60.0, participation=0.2, bucket_ns=BAR_NS, keys=["session_id"], **_COSTS)
+
+
+_CHILD = "SELECT session_id, bucket * {ns} AS bucket_ns, [[qty]] AS qty, [[price]] AS price FROM {algo}_p"
+
+
+@_query(f"WITH {_fill_sql('pov')} {_CHILD.format(ns=BAR_NS, algo='pov')}")
+def pov_fill_schedule(spark, sf_dir):
+    rows = fills.pov_schedule_fills(adapters.ticks(spark, sf_dir), side="buy", parent_qty=60.0, participation=0.2, bucket_ns=BAR_NS, keys=["session_id"], **_COSTS)
+    return rows.select("session_id", "bucket_ns", "qty", "price")
+
+
+@_query(f"WITH {_fill_sql('twap')} {_CHILD.format(ns=BAR_NS, algo='twap')}")
+def twap_fill_schedule(spark, sf_dir):
+    rows = fills.twap_schedule_fills(adapters.ticks(spark, sf_dir), side="buy", parent_qty=60.0, bucket_ns=BAR_NS, keys=["session_id"], **_COSTS)
+    return rows.select("session_id", "bucket_ns", "qty", "price")
 
 
 # volume-following plans
@@ -444,186 +494,316 @@ def pov_schedule_slots(spark, sf_dir):
     return rows.select("session_id", "bucket_ns", "volume", "volume_share", "vwap", "size", "temp_bps", "perm_bps")
 
 
-def _sessions(rows: DataFrame, n: int = STUDY_SESSIONS) -> tuple[DataFrame, list[int]]:
-    """The ticks of the first n days, and those days."""
-    first = rows.agg(F.min("session_id")).first()[0]
-    days = [first + i for i in range(n)]
-    return rows.where(F.col("session_id").between(days[0], days[-1])), days
+def _sessions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int]]:
+    """The ticks, and the days that have any, in order."""
+    rows = adapters.ticks(spark, sf_dir)
+    return rows, sorted(r["session_id"] for r in rows.select("session_id").distinct().collect())  # a row per session
 
 
-def _priced_sql(folds: list[tuple[int, list[int]]], caps: list[float], half_lives: list[float], parent: str) -> str:
-    """Plans of all folds priced: carrying by the Lindley recursion's closed form, reshaping by the prefix of pinned slots."""
+def _priced_sql(folds: list[tuple[int, list[int]]], caps: list[float], half_lives: list[float], parent: str, shares: list[float] = [0.0]) -> str:
+    """Plans of all folds priced: carrying by the recursion's closed form, reshaping by the prefix of pinned slots."""
     members = ", ".join(f"({f}, {i}, {m}, {len(h) - 1 - k})" for f, (i, h) in enumerate(folds) for k, m in enumerate(h))
-    return f"""WITH {_PROFILE}, mem(fold, input, member, age) AS (VALUES {members}), hls AS (SELECT unnest([{', '.join(f'{h}e0' for h in half_lives)}]) AS hl), cps AS (SELECT unnest([{', '.join(f'{c}e0' for c in caps)}]) AS cap),
+    hls = ", ".join(f"{h}e0" for h in half_lives)
+    pooled = f"""SELECT fold, input, hl, 'forecast' AS plan, slot, sum(w * share) / sum(w) AS ps FROM (SELECT *, CASE WHEN hl = 0 THEN 1e0 ELSE pow(0.5e0, age / CASE WHEN hl = 0 THEN 1e0 ELSE hl END) END AS w FROM hist, (SELECT unnest([{hls}]) AS hl)) GROUP BY ALL
+            UNION ALL """ if half_lives else ""
+    return f"""WITH {_PROFILE}, mem(fold, input, member, age) AS (VALUES {members}), cps AS (SELECT unnest([{', '.join(f'{c}e0' for c in caps)}]) AS cap), shs AS (SELECT unnest([{', '.join(f'{x}e0' for x in shares)}]) AS psh),
         hist AS (SELECT mem.*, slot, share, total FROM mem JOIN prof ON idx = member),
-        plans AS (SELECT fold, input, hl, 'forecast' AS plan, slot, sum(w * share) / sum(w) AS ps FROM (SELECT *, CASE WHEN hl = 0 THEN 1e0 ELSE pow(0.5e0, age / CASE WHEN hl = 0 THEN 1e0 ELSE hl END) END AS w FROM hist, hls) GROUP BY ALL
-            UNION ALL SELECT fold, input, -1e0, 'naive', slot, share FROM hist WHERE age = 0),
-        par AS (SELECT fold, {parent} AS q FROM (SELECT DISTINCT fold, member, total FROM hist) GROUP BY fold),
-        x AS (SELECT fold, cap, hl, plan, plans.slot, ps, volume, vwap, share AS es, sv, q, total, cap * volume / ps AS ratio FROM plans JOIN par USING (fold) JOIN prof ON prof.idx = input AND prof.slot = plans.slot, cps),
-        y AS (SELECT *, sum(ps * q - cap * volume) OVER o AS walk FROM x WINDOW o AS (PARTITION BY fold, cap, hl, plan ORDER BY slot)),
-        z AS (SELECT *, walk - least(0, min(walk) OVER o) AS carry FROM y WINDOW o AS (PARTITION BY fold, cap, hl, plan ORDER BY slot)),
-        c AS (SELECT *, ps * q + coalesce(lag(carry) OVER o, 0) - carry AS cf FROM z WINDOW o AS (PARTITION BY fold, cap, hl, plan ORDER BY slot)),
+        plans AS ({pooled}SELECT fold, input, -1e0 AS hl, 'naive' AS plan, slot, share AS ps FROM hist WHERE age = 0),
+        par AS (SELECT fold, psh, {parent} AS q FROM (SELECT DISTINCT fold, member, total FROM hist), shs GROUP BY fold, psh),
+        x AS (SELECT fold, input, psh, cap, hl, plan, plans.slot, bucket, ps, volume, vwap, share AS es, sv, q, total, cap * volume / ps AS ratio FROM plans JOIN par USING (fold) JOIN prof ON prof.idx = input AND prof.slot = plans.slot, cps),
+        y AS (SELECT *, sum(ps * q - cap * volume) OVER o AS walk FROM x WINDOW o AS (PARTITION BY fold, psh, cap, hl, plan ORDER BY slot)),
+        z AS (SELECT *, walk - least(0, min(walk) OVER o) AS carry FROM y WINDOW o AS (PARTITION BY fold, psh, cap, hl, plan ORDER BY slot)),
+        c AS (SELECT *, ps * q + coalesce(lag(carry) OVER o, 0) - carry AS cf FROM z WINDOW o AS (PARTITION BY fold, psh, cap, hl, plan ORDER BY slot)),
         l AS (SELECT *, (q - coalesce(sum(cap * volume) OVER b, 0)) / sum(ps) OVER a AS lam FROM c
-            WINDOW b AS (PARTITION BY fold, cap, hl, plan ORDER BY ratio, slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY fold, cap, hl, plan ORDER BY ratio, slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-        m AS (SELECT *, arg_min(lam, ratio) FILTER (lam * ps <= cap * volume) OVER (PARTITION BY fold, cap, hl, plan) AS lam0 FROM l),
+            WINDOW b AS (PARTITION BY fold, psh, cap, hl, plan ORDER BY ratio, slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY fold, psh, cap, hl, plan ORDER BY ratio, slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+        m AS (SELECT *, arg_min(lam, ratio) FILTER (lam * ps <= cap * volume) OVER (PARTITION BY fold, psh, cap, hl, plan) AS lam0 FROM l),
         d AS (SELECT *, CASE WHEN lam0 IS NULL OR lam0 * ps > cap * volume THEN cap * volume ELSE lam0 * ps END AS sf FROM m),
-        priced AS (SELECT fold, cap, hl, plan, any_value(q) AS q, any_value(sv) AS sv, sum(abs(ps - es)) / 2 AS distance, sum(ps * vwap) AS price, sum(ps * (25 * sqrt(ps * q / volume) + 5 * ps * q / volume)) AS impact, max(ps * q / volume) AS most,
-            25 * sqrt(any_value(q / total)) + 5 * any_value(q / total) AS oracle, sum(cf) AS c_filled, arg_max(carry, slot) AS c_left, sum(cf * vwap) / sum(cf) AS c_price, sum(cf / q * (25 * sqrt(cf / volume) + 5 * cf / volume)) AS c_impact, max(cf / volume) AS c_most,
+        priced AS (SELECT fold, input, psh, cap, hl, plan, any_value(q) AS q, any_value(sv) AS sv, any_value(total) AS total, count(*) AS slots, sum(abs(ps - es)) / 2 AS distance, sum(ps * vwap) AS price, sum(ps * (25 * sqrt(ps * q / volume) + 5 * ps * q / volume)) AS impact, max(ps * q / volume) AS most,
+            25 * sqrt(any_value(q / total)) + 5 * any_value(q / total) AS oracle, sum(cf) AS c_filled, arg_max(carry, slot) AS c_left, sum(cf * vwap) / sum(cf) AS c_price, sum(cf / q * (25 * sqrt(cf / volume) + 5 * cf / volume)) AS c_impact, max(cf / volume) AS c_most, count(*) FILTER (carry > 0) AS c_capped,
             sum(sf) AS s_filled, CASE WHEN any_value(lam0) IS NULL THEN any_value(q) - sum(sf) ELSE 0e0 END AS s_left, sum(sf * vwap) / sum(sf) AS s_price, sum(sf / q * (25 * sqrt(sf / volume) + 5 * sf / volume)) AS s_impact, max(sf / volume) AS s_most,
-            count(*) FILTER (lam0 IS NULL OR lam0 * ps > cap * volume) AS s_capped FROM d GROUP BY ALL),
-        gain AS (SELECT f.fold, f.cap, f.hl, f.q, {_r('f.c_left')} AS fu, {_r('n.c_left')} AS nu, {_r('n.c_impact * n.q / n.c_filled - f.c_impact * f.q / f.c_filled')} AS imp, {_r('f.c_left - n.c_left')} AS sf
-            FROM priced f JOIN priced n ON f.fold = n.fold AND f.cap = n.cap AND f.plan = 'forecast' AND n.plan = 'naive'),
-        be AS (SELECT *, CASE WHEN sf <> 0 AND imp * q / sf > 0 THEN {_r('imp * q / sf')} END AS breakeven FROM gain),
-        cell AS (SELECT fold, cap, any_value(q) AS q, max(imp) FILTER (hl = 0) AS flat, min(imp) FILTER (hl > 0) AS lo, max(imp) FILTER (hl > 0) AS hi FROM gain GROUP BY fold, cap),
+            count(*) FILTER (lam0 IS NULL OR lam0 * ps > cap * volume) AS s_capped FROM d GROUP BY fold, input, psh, cap, hl, plan),
+        {', '.join(_gain_sql(arm, name) for arm, name in (('c', 'be'), ('s', 'bes')))},
+        cell AS (SELECT fold, psh, cap, any_value(q) AS q, max(imp) FILTER (hl = 0) AS flat, min(imp) FILTER (hl > 0) AS lo, max(imp) FILTER (hl > 0) AS hi FROM be GROUP BY fold, psh, cap),
         verd AS (SELECT *, NOT (hi > 0 AND lo < 0) AS stable, flat = 0 AND hi = 0 AND lo = 0 AS inert, CASE WHEN flat = 0 AND hi = 0 AND lo = 0 THEN 'inert' WHEN hi > 0 AND lo < 0 THEN 'unstable' WHEN hi > 0 THEN 'gain' WHEN lo < 0 THEN 'loss' WHEN flat > 0 THEN 'gain' ELSE 'loss' END AS verdict FROM cell)"""
 
 
-_ONE = [(2, [0, 1])]
-_SCORE = "[[distance]] AS profile_distance, [[sv]] AS session_vwap, [[price]] AS price, [[(price - sv) / sv * 1e4]] AS tracking_bps, [[impact]] AS impact_bps, [[most]] AS max_participation, [[impact - oracle]] AS forecast_cost_bps"
-_SCORES = ["profile_distance", "session_vwap", "price", "tracking_bps", "impact_bps", "max_participation", "forecast_cost_bps"]
-_CAPPED = "[[c_filled]] AS capped_filled_qty, [[c_left]] AS capped_unfilled_qty, [[c_price]] AS capped_price, [[c_impact]] AS capped_impact_bps, [[c_impact * q / c_filled]] AS capped_filled_impact_bps, [[c_most]] AS capped_max_participation"
-_SPREAD = "[[s_filled]] AS spread_filled_qty, [[s_left]] AS spread_unfilled_qty, s_capped AS spread_capped_slots, [[s_price]] AS spread_price, [[s_impact]] AS spread_impact_bps, [[s_impact * q / s_filled]] AS spread_filled_impact_bps, [[s_most]] AS spread_max_participation"
+def _gain_sql(a: str, name: str) -> str:
+    return f"""{name} AS (SELECT *, CASE WHEN sf <> 0 AND imp * q / sf > 0 THEN {_r('imp * q / sf')} END AS breakeven FROM (
+            SELECT f.fold, f.psh, f.cap, f.hl, f.q, {_r(f'f.{a}_left')} AS fu, {_r(f'n.{a}_left')} AS nu, {_r(f'n.{a}_impact * n.q / n.{a}_filled - f.{a}_impact * f.q / f.{a}_filled')} AS imp, {_r(f'f.{a}_left - n.{a}_left')} AS sf
+            FROM priced f JOIN priced n ON f.fold = n.fold AND f.psh = n.psh AND f.cap = n.cap AND f.plan = 'forecast' AND n.plan = 'naive'))"""
 
 
-def _arm(name: str, extra: list[str] = []) -> list[str]:
-    return [f"{name}_{c}" for c in ("filled_qty", "unfilled_qty", *extra, "price", "impact_bps", "filled_impact_bps", "max_participation")]
+def _head_sql(sessions: int = DAYS) -> str:
+    return f"'EVT' AS product, CAST({SLOT_NS} AS BIGINT) AS bucket_ns, CAST(24 AS BIGINT) AS buckets, CAST({sessions} AS BIGINT) AS sessions, {COEF}e0 AS coef_bps, {PERM}e0 AS perm_coef_bps"
 
 
-def _walks(spark: SparkSession, sf_dir: str, n: int = STUDY_SESSIONS) -> tuple[DataFrame, list[int]]:
-    return _sessions(adapters.ticks(spark, sf_dir), n)
+def _arm_sql(a: str, name: str) -> str:
+    return f"""[[{a}_filled]] AS {name}_filled_qty, [[{a}_left]] AS {name}_unfilled_qty, {_r(f'{a}_left')} = 0 AS {name}_completed, {a}_capped AS {name}_capped_slots, [[{a}_price]] AS {name}_price, [[({a}_price - sv) / sv * 1e4]] AS {name}_tracking_bps,
+        [[{a}_impact]] AS {name}_impact_bps, [[{a}_impact * q / {a}_filled]] AS {name}_filled_impact_bps, [[{a}_most]] AS {name}_max_participation"""
 
 
-@_query(f"{_priced_sql([(1, [0])], [0.1], [0.0], f'{PARENT}e0')} SELECT {_SCORE}, {_CAPPED}, {_SPREAD} FROM priced WHERE plan = 'naive'")
+_SCORE = f"""q AS parent_qty, slots, [[total]] AS exec_volume, [[distance]] AS profile_distance, [[sv]] AS session_vwap, [[price]] AS price, [[(price - sv) / sv * 1e4]] AS tracking_bps, [[impact]] AS impact_bps, [[most]] AS max_participation,
+    {_r('most')} <= {_r('cap')} AS feasible, [[impact - oracle]] AS forecast_cost_bps, [[q / total]] AS oracle_participation, [[oracle]] AS oracle_impact_bps, {_r('q / total')} <= {_r('cap')} AS oracle_feasible, {_arm_sql('c', 'capped')}, {_arm_sql('s', 'spread')}"""
+_SLOT = f"""slot, bucket * {SLOT_NS} AS bucket_ns, [[volume]] AS volume, [[es]] AS volume_share, [[vwap]] AS vwap, [[ps]] AS plan_share, [[ps * q]] AS size, [[ps * q / volume]] AS participation, [[ps * 25 * sqrt(ps * q / volume)]] AS temp_bps, [[ps * 5 * ps * q / volume]] AS perm_bps,
+    [[cf]] AS capped_size, [[sf]] AS spread_size"""
+_PAIRS = [(i, [i - 1]) for i in range(1, DAYS)]
+_QTY = f"{PARENT}e0"
+
+
+@_query(f"{_priced_sql(_PAIRS, CAPS, [], _QTY)} SELECT {_head_sql()}, input, cap, {_SCORE} FROM priced")
 def pov_backtest(spark, sf_dir):
-    rows, days = _walks(spark, sf_dir, 2)
-    a, b = (rows.where(F.col("session_id") == d) for d in days)
-    return pov.pov_backtest(a, b, SLOT_NS, PARENT, 0.1, COEF, PERM).select(*_SCORES, *_arm("capped"), *_arm("spread", ["capped_slots"]))
+    """Each day's profile as the plan for the next, under three caps."""
+    rows, days = _sessions(spark, sf_dir)
+    return plans.backtests(rows, "session_id", days, SLOT_NS, PARENT, CAPS, COEF, PERM)
 
 
-_ALL = [(i, [i - 1]) for i in range(1, 30)]
+@_query(f"{_priced_sql(_PAIRS, CAPS, [], _QTY)} SELECT input, cap, {_SLOT} FROM d")
+def pov_backtest_slots(spark, sf_dir):
+    rows, days = _sessions(spark, sf_dir)
+    return plans.backtest_slots(rows, "session_id", days, SLOT_NS, PARENT, CAPS, COEF, PERM)
 
 
-def _all_days(spark, sf_dir):
-    """Each day's profile as the plan for the next, under three caps: one plan prices all."""
-    rows, days = _walks(spark, sf_dir, 30)
-    prof = plans._profiles(rows, "session_id", days, SLOT_NS)
-    return plans.score_folds(prof, _ALL, CAPS, [0.0], COEF, PERM, PARENT).where("plan = 'naive'").withColumn("input", F.col("fold") + 1)
+_ONE = [(DAYS - 1, list(range(DAYS - 1)))]
+_BOTH = ", ".join(
+    f"(SELECT [[imp]] FROM {t}) AS {a}_improvement_bps, (SELECT [[sf]] FROM {t}) AS {a}_shortfall_qty, (SELECT sf = 0 FROM {t}) AS {a}_like_for_like, (SELECT [[breakeven]] FROM {t}) AS {a}_breakeven_bps, (SELECT [[imp - sf / q * 12e0]] FROM {t}) AS {a}_net_bps"
+    for t, a in (("be", "capped"), ("bes", "spread"))
+)
 
 
-@_query(f"{_priced_sql(_ALL, CAPS, [0.0], f'{PARENT}e0')} SELECT fold + 1 AS input, cap, {_CAPPED} FROM priced WHERE plan = 'naive'")
-def capped_replay(spark, sf_dir):
-    return _all_days(spark, sf_dir).select("input", "cap", *_arm("capped"))
+@_query(f"""{_priced_sql(_ONE, [0.1], [1.0], _QTY)} SELECT {_head_sql(DAYS - 1)}, 1e0 AS half_life, 12e0 AS shortfall_bps, plan, {_SCORE}, {_BOTH},
+    (SELECT [[max(impact) FILTER (plan = 'naive') - max(impact) FILTER (plan = 'forecast')]] FROM priced) AS improvement_bps, false AS half_life_defaulted FROM priced""")
+def pov_forecast(spark, sf_dir):
+    rows, days = _sessions(spark, sf_dir)
+    return plans.pov_forecast(rows, "session_id", days[:-1], days[-1], SLOT_NS, PARENT, 0.1, COEF, PERM, 1.0, shortfall_bps=12.0).drop("plan_cap")
 
 
-@_query(f"{_priced_sql(_ALL, CAPS, [0.0], f'{PARENT}e0')} SELECT fold + 1 AS input, cap, {_SPREAD} FROM priced WHERE plan = 'naive'")
-def spread_plan(spark, sf_dir):
-    return _all_days(spark, sf_dir).select("input", "cap", *_arm("spread", ["capped_slots"]))
+@_query(f"{_priced_sql(_ONE, [0.1], [1.0], _QTY)} SELECT plan, {_SLOT} FROM d")
+def pov_forecast_slots(spark, sf_dir):
+    rows, days = _sessions(spark, sf_dir)
+    return plans.forecast_slots(rows, "session_id", days[:-1], days[-1], SLOT_NS, PARENT, 0.1, COEF, PERM, 1.0)
 
 
-@_query(f"{_priced_sql(_ONE, [0.1], [1.0], f'{PARENT}e0')} SELECT plan, {_SCORE}, {_CAPPED}, (SELECT [[imp]] FROM be) AS capped_improvement_bps, (SELECT [[sf]] FROM be) AS capped_shortfall_qty, (SELECT [[breakeven]] FROM be) AS capped_breakeven_bps FROM priced")
-def pov_forecast(spark, sf_dir):
-    rows, days = _walks(spark, sf_dir, 3)
-    out = plans.pov_forecast(rows, "session_id", days[:2], days[2], SLOT_NS, PARENT, 0.1, COEF, PERM, 1.0)
-    return out.select("plan", *_SCORES, *_arm("capped"), "capped_improvement_bps", "capped_shortfall_qty", "capped_breakeven_bps")
+@_query(f"SELECT place, [[pow(0.5e0, {DAYS - 2} - place) / sum(pow(0.5e0, {DAYS - 2} - place)) OVER ()]] AS weight FROM range({DAYS - 1}) r(place)")
+def pov_forecast_weights(spark, sf_dir):
+    _, days = _sessions(spark, sf_dir)
+    return plans.forecast_weights(spark, len(days) - 1, 1.0)
 
 
-@_query(f"""{_priced_sql(_ONE, [*CAPS, 0.4], [0.0], f'{PARENT}e0')}, pts AS (SELECT *, sf = 0 AS lfl, sf <> 0 AND breakeven IS NULL AS dom, count(*) FILTER (sf <> 0) OVER (ORDER BY cap DESC) = 0 AS onward FROM be)
-    SELECT cap, [[fu]] AS forecast_unfilled_qty, [[nu]] AS naive_unfilled_qty, [[imp]] AS improvement_bps, [[sf]] AS shortfall_qty, lfl AS like_for_like, [[breakeven]] AS breakeven_bps, dom AS dominated,
+@_query(f"""{_priced_sql(_ONE, [*CAPS, 0.4], [0.0], _QTY)}, pts AS (SELECT *, sf = 0 AS lfl, sf <> 0 AND breakeven IS NULL AS dom, count(*) FILTER (sf <> 0) OVER (ORDER BY cap DESC) = 0 AS onward FROM be)
+    SELECT {_head_sql(DAYS - 1)}, {_QTY} AS parent_qty, 0e0 AS half_life, cap, [[fu]] AS forecast_unfilled_qty, [[nu]] AS naive_unfilled_qty, [[imp]] AS improvement_bps, [[sf]] AS shortfall_qty, lfl AS like_for_like, [[breakeven]] AS breakeven_bps, dom AS dominated,
         count(*) FILTER (lfl) OVER () AS like_for_like_points, count(*) FILTER (dom) OVER () AS dominated_points, count(breakeven) OVER () AS traded_off_points, min(cap) FILTER (onward) OVER () AS like_for_like_from_cap,
         [[min(breakeven) OVER ()]] AS breakeven_min_bps, [[max(breakeven) OVER ()]] AS breakeven_max_bps FROM pts""")
 def cap_sweep(spark, sf_dir):
-    rows, days = _walks(spark, sf_dir, 3)
-    return plans.cap_sweep(rows, "session_id", days[:2], days[2], SLOT_NS, PARENT, [*CAPS, 0.4], COEF, PERM)
+    rows, days = _sessions(spark, sf_dir)
+    return plans.cap_sweep(rows, "session_id", days[:-1], days[-1], SLOT_NS, PARENT, [*CAPS, 0.4], COEF, PERM)
 
 
-@_query(f"""{_priced_sql(_ONE, [0.1], [0.0, *HALF_LIVES], f'{PARENT}e0')} SELECT hl AS half_life, [[1 / (1 + pow(0.5e0, 1 / hl))]] AS newest_weight, [[imp]] AS improvement_bps, [[sf]] AS shortfall_qty, sf = 0 AS like_for_like, [[breakeven]] AS breakeven_bps,
+_NEWEST = " + ".join(f"pow(0.5e0, {a} / hl)" for a in range(DAYS - 1))
+
+
+@_query(f"""{_priced_sql(_ONE, [0.1], [0.0, *HALF_LIVES], _QTY)} SELECT {_head_sql(DAYS - 1)}, {_QTY} AS parent_qty, 1e-1 AS cap, hl AS half_life, [[1 / ({_NEWEST})]] AS newest_weight, [[imp]] AS improvement_bps, [[sf]] AS shortfall_qty, sf = 0 AS like_for_like, [[breakeven]] AS breakeven_bps,
     sf <> 0 AND breakeven IS NULL AS dominated, [[flat]] AS flat_improvement_bps, [[lo]] AS improvement_min_bps, [[hi]] AS improvement_max_bps, [[hi - lo]] AS improvement_span_bps, stable AS sign_stable, inert,
     (SELECT hl FROM be WHERE hl > 0 ORDER BY imp DESC, hl LIMIT 1) AS best_half_life, (SELECT hl FROM be WHERE hl > 0 ORDER BY imp, hl LIMIT 1) AS worst_half_life FROM be, verd WHERE hl > 0""")
 def hl_sweep(spark, sf_dir):
-    rows, days = _walks(spark, sf_dir, 3)
-    return plans.hl_sweep(rows, "session_id", days[:2], days[2], SLOT_NS, PARENT, 0.1, HALF_LIVES, COEF, PERM)
+    rows, days = _sessions(spark, sf_dir)
+    return plans.hl_sweep(rows, "session_id", days[:-1], days[-1], SLOT_NS, PARENT, 0.1, HALF_LIVES, COEF, PERM)
+
 
+_PARTS = "count(*) FILTER (inert) OVER {w} AS inert_caps, count(*) FILTER (stable AND NOT inert) OVER {w} AS stable_caps, count(*) FILTER (NOT stable) OVER {w} AS unstable_caps"
+_GRID = f"{_priced_sql(_ONE, CAPS, [0.0, *HALF_LIVES], _QTY)}"
 
-@_query(f"""{_priced_sql(_ONE, CAPS, [0.0, *HALF_LIVES], f'{PARENT}e0')} SELECT cap, [[flat]] AS flat_improvement_bps, [[lo]] AS improvement_min_bps, [[hi]] AS improvement_max_bps, [[hi - lo]] AS improvement_span_bps, stable AS sign_stable, inert, verdict,
-    count(*) FILTER (inert) OVER () AS inert_caps, count(*) FILTER (stable AND NOT inert) OVER () AS stable_caps, count(*) FILTER (NOT stable) OVER () AS unstable_caps, bool_and(stable) OVER () AS all_sign_stable FROM verd""")
+
+@_query(f"""{_GRID} SELECT {_head_sql(DAYS - 1)}, {_QTY} AS parent_qty, cap, [[flat]] AS flat_improvement_bps, [[lo]] AS improvement_min_bps, [[hi]] AS improvement_max_bps, [[hi - lo]] AS improvement_span_bps, stable AS sign_stable, inert, verdict,
+    {_PARTS.format(w='()')}, bool_and(stable) OVER () AS all_sign_stable FROM verd""")
 def stability(spark, sf_dir):
-    rows, days = _walks(spark, sf_dir, 3)
-    return plans.stability(rows, "session_id", days[:2], days[2], SLOT_NS, PARENT, CAPS, HALF_LIVES, COEF, PERM)
+    rows, days = _sessions(spark, sf_dir)
+    return plans.stability(rows, "session_id", days[:-1], days[-1], SLOT_NS, PARENT, CAPS, HALF_LIVES, COEF, PERM)
+
+
+@_query(f"{_GRID} SELECT cap, hl AS half_life, [[imp]] AS improvement_bps FROM be WHERE hl > 0")
+def stability_points(spark, sf_dir):
+    rows, days = _sessions(spark, sf_dir)
+    return plans.stability_points(rows, "session_id", days[:-1], days[-1], SLOT_NS, PARENT, CAPS, HALF_LIVES, COEF, PERM)
 
 
-_CONSENSUS = "CASE WHEN min(verdict) OVER c = max(verdict) OVER c THEN max(verdict) OVER c ELSE 'mixed' END AS consensus"
+# per fold the caps' parts; per cap the folds' consensus; over both, on how many caps the folds agree
+_AGREED = f"""agreed AS (SELECT *, {_PARTS.format(w='f')}, CASE WHEN min(verdict) OVER c = max(verdict) OVER c THEN verdict ELSE 'mixed' END AS consensus FROM verd WINDOW f AS (PARTITION BY fold), c AS (PARTITION BY cap)),
+    tally AS (SELECT count(DISTINCT cap) FILTER (consensus <> 'mixed') AS agreeing_caps, bool_and(consensus <> 'mixed') AS all_agree FROM agreed)"""
+_FOLD = "cap, verdict, [[flat]] AS flat_improvement_bps, inert_caps, stable_caps, unstable_caps, consensus, agreeing_caps, all_agree"
 
 
-@_query(f"{_priced_sql([(i, [j for j in range(5) if j != i]) for i in range(5)], CAPS, [0.0, *HALF_LIVES], f'{PARENT}e0')} SELECT fold AS held_out, cap, verdict, [[flat]] AS flat_improvement_bps, {_CONSENSUS} FROM verd WINDOW c AS (PARTITION BY cap)")
+@_query(f"{_priced_sql([(i, [j for j in range(DAYS) if j != i]) for i in range(DAYS)], CAPS, [0.0, *HALF_LIVES], _QTY)}, {_AGREED} SELECT {_head_sql()}, {_QTY} AS parent_qty, fold AS held_out, {_FOLD} FROM agreed, tally")
 def holdout(spark, sf_dir):
-    rows, days = _walks(spark, sf_dir, 5)
+    rows, days = _sessions(spark, sf_dir)
     return plans.holdout(rows, "session_id", days, SLOT_NS, PARENT, CAPS, HALF_LIVES, COEF, PERM)
 
 
-@_query(f"{_priced_sql(plans._walk(STUDY_SESSIONS, None), CAPS, [0.0, *HALF_LIVES], '0.1e0 * avg(total)')} SELECT fold + 2 AS input, 0 AS history_from, [[q]] AS parent_qty, cap, verdict, [[flat]] AS flat_improvement_bps, {_CONSENSUS} FROM verd WINDOW c AS (PARTITION BY cap)")
+@_query(f"""{_priced_sql(plans._walk(DAYS, None), CAPS, [0.0, *HALF_LIVES], 'psh * avg(total)', [0.1])}, {_AGREED}
+    SELECT {_head_sql()}, CAST(NULL AS BIGINT) AS "window", fold + 2 AS input, 0 AS history_from, psh AS parent_share, [[q]] AS parent_qty, {_FOLD} FROM agreed, tally""")
 def walk_forward(spark, sf_dir):
-    rows, days = _walks(spark, sf_dir)
+    rows, days = _sessions(spark, sf_dir)
     return plans.walk_forward(rows, "session_id", days, SLOT_NS, None, CAPS, HALF_LIVES, COEF, PERM, parent_share=0.1)
 
 
-_SWEPT = [(w, i, h[0]) for w in (None, *range(2, STUDY_SESSIONS - 1)) for i, h in plans._walk(STUDY_SESSIONS, w)]
+_SWEPT = [(w, i, h[0]) for w in (None, *range(2, DAYS - 1)) for i, h in plans._walk(DAYS, w)]
 _DISTINCT = sorted({(i, h) for _, i, h in _SWEPT})
-_WALK_ROWS = ", ".join(f"({w or 0}, {i}, {_DISTINCT.index((i, h))}, {str(i == STUDY_SESSIONS - 1).lower()})" for w, i, h in _SWEPT)
-_WALKED = f"""wk(win, inp, fold, last) AS (VALUES {_WALK_ROWS}),
-    per AS (SELECT share, win, cap, count(*) AS folds, CASE WHEN min(verdict) = max(verdict) THEN max(verdict) ELSE 'mixed' END AS consensus, max(verdict) FILTER (last) AS lv, max(flat) FILTER (last) AS lf FROM wk JOIN vv USING (fold) GROUP BY ALL),
-    caps2 AS (SELECT share, cap, min(consensus) = max(consensus) AS cs, min(lv) = max(lv) AS ls, max(lf) - min(lf) AS span, min(consensus) = max(consensus) AND max(consensus) <> 'mixed' AS settled, any_value(consensus) AS con FROM per GROUP BY ALL)"""
+_AT = {x: k for k, x in enumerate(_DISTINCT)}
+_WALK_ROWS = ", ".join(f"({w or 0}, {i}, {h}, {_AT[i, h]}, {str(i == DAYS - 1).lower()})" for w, i, h in _SWEPT)
 
 
-def _sweep_windows_sql(share: float) -> str:
-    return _priced_sql([(i, list(range(h, i))) for i, h in _DISTINCT], CAPS, [0.0, *HALF_LIVES], f"{share}e0 * avg(total)")
+def _swept_sql(shares: list[float]) -> str:
+    return f"""{_priced_sql([(i, list(range(h, i))) for i, h in _DISTINCT], CAPS, [0.0, *HALF_LIVES], 'psh * avg(total)', shares)}, wk(win, inp, since, fold, last) AS (VALUES {_WALK_ROWS}),
+    per AS (SELECT psh, win, cap, count(*) AS folds, CASE WHEN min(verdict) = max(verdict) THEN max(verdict) ELSE 'mixed' END AS consensus, max(verdict) FILTER (last) AS lv, max(flat) FILTER (last) AS lf FROM wk JOIN verd USING (fold) GROUP BY psh, win, cap),
+    caps2 AS (SELECT psh, cap, min(consensus) = max(consensus) AS cs, min(lv) = max(lv) AS ls, max(lf) - min(lf) AS span, min(consensus) = max(consensus) AND max(consensus) <> 'mixed' AS settled, any_value(consensus) AS con FROM per GROUP BY psh, cap),
+    ins AS (SELECT inp, cap, count(*) AS walks, count(DISTINCT since) AS n, min(verdict) = max(verdict) AS st, {_r('max(flat) - min(flat)')} AS sp FROM wk JOIN verd USING (fold) GROUP BY inp, cap)"""
 
 
-@_query(f"""{_sweep_windows_sql(0.1)}, vv AS (SELECT 0.1e0 AS share, * FROM verd), {_WALKED},
-    ins AS (SELECT inp, cap, count(*) AS n, min(verdict) = max(verdict) AS st, {_r('max(flat) - min(flat)')} AS sp FROM (SELECT DISTINCT inp, fold FROM wk) JOIN verd USING (fold) GROUP BY ALL HAVING count(*) > 1),
-    ic AS (SELECT cap, bool_and(st) AS every, max(sp) AS wide, arg_max(inp, (sp, inp)) AS who, count(*) AS compared FROM ins GROUP BY cap)
-    SELECT win AS "window", cap, folds, consensus, lv AS last_verdict, [[lf]] AS last_flat_improvement_bps, cs AS consensus_stable, ls AS last_fold_stable, [[span]] AS last_fold_span_bps, settled, every AS every_input_stable, [[wide]] AS widest_span_bps, who AS widest_span_input, compared AS compared_inputs
-    FROM per JOIN caps2 USING (cap) JOIN ic USING (cap)""")
+_SWEEP_HEAD = f"{_head_sql()}, CAST({len(_SWEPT)} AS BIGINT) AS folds_run, CAST({len(_DISTINCT)} AS BIGINT) AS distinct_folds"
+
+
+@_query(f"""{_swept_sql([0.1])}, ic AS (SELECT cap, bool_and(st) AS every, max(sp) AS wide, arg_max(inp, (sp, inp)) AS who, count(*) FILTER (n > 1) AS compared FROM ins GROUP BY cap),
+    tot AS (SELECT count(*) FILTER (settled) AS settled_caps, count(*) FILTER (ls AND NOT every) AS newest_only_caps, bool_and(settled) AS all_settled FROM caps2 JOIN ic USING (cap))
+    SELECT {_SWEEP_HEAD}, win AS "window", cap, folds, consensus, lv AS last_verdict, [[lf]] AS last_flat_improvement_bps, cs AS consensus_stable, ls AS last_fold_stable, [[span]] AS last_fold_span_bps, settled,
+        every AS every_input_stable, [[wide]] AS widest_span_bps, who AS widest_span_input, compared AS compared_inputs, settled_caps, newest_only_caps, all_settled FROM per JOIN caps2 USING (psh, cap) JOIN ic USING (cap), tot""")
 def window_sweep(spark, sf_dir):
-    rows, days = _walks(spark, sf_dir)
+    rows, days = _sessions(spark, sf_dir)
     return plans.window_sweep(rows, "session_id", days, SLOT_NS, None, CAPS, HALF_LIVES, COEF, PERM, parent_share=0.1)
 
 
-def _share_sql() -> str:
-    """Each share's folds priced under names of their own, then put together."""
-    folds = [(i, list(range(h, i))) for i, h in _DISTINCT]
-    n = len(folds)
-    parent = "CASE fold // " + str(n) + " " + " ".join(f"WHEN {k} THEN {s}e0" for k, s in enumerate(SHARES)) + " END * avg(total)"
-    base = _priced_sql(folds * len(SHARES), CAPS, [0.0, *HALF_LIVES], parent)
-    shares = "CASE fold // " + str(n) + " " + " ".join(f"WHEN {k} THEN {s}e0" for k, s in enumerate(SHARES)) + " END"
-    return f"""{base}, vv AS (SELECT {shares} AS share, cap, fold % {n} AS fold, verdict, flat FROM verd), {_WALKED},
-        per_share AS (SELECT share, cap, CASE WHEN settled THEN con END AS settled, (SELECT lv FROM per WHERE per.share = caps2.share AND per.cap = caps2.cap AND win = 0) AS lv FROM caps2)
-        SELECT share AS parent_share, cap, settled, lv AS last_verdict, count(settled) OVER c AS settled_at, count(settled) OVER c = {len(SHARES)} AND min(settled) OVER c = max(settled) OVER c AS share_stable, min(lv) OVER c = max(lv) OVER c AS last_share_stable
-        FROM per_share WINDOW c AS (PARTITION BY cap)"""
+@_query(f"{_swept_sql([0.1])} SELECT inp AS input, cap, walks, n AS histories, st AS verdict_stable, [[sp]] AS span_bps FROM ins")
+def window_sweep_inputs(spark, sf_dir):
+    rows, days = _sessions(spark, sf_dir)
+    return plans.window_sweep_inputs(rows, "session_id", days, SLOT_NS, None, CAPS, HALF_LIVES, COEF, PERM, parent_share=0.1)
 
 
-@_query(_share_sql())
+@_query(f"""{_swept_sql(SHARES)}, per_share AS (SELECT psh, cap, CASE WHEN settled THEN con END AS settled, (SELECT lv FROM per WHERE per.psh = caps2.psh AND per.cap = caps2.cap AND win = 0) AS lv FROM caps2),
+    st AS (SELECT psh AS parent_share, cap, settled, lv AS last_verdict, count(settled) OVER (PARTITION BY psh) AS settled_caps, count(settled) OVER c AS settled_at, count(settled) OVER c = {len(SHARES)} AND min(settled) OVER c = max(settled) OVER c AS share_stable, min(lv) OVER c = max(lv) OVER c AS last_share_stable
+        FROM per_share WINDOW c AS (PARTITION BY cap))
+    SELECT {_SWEEP_HEAD}, * REPLACE (coalesce(share_stable, false) AS share_stable), (SELECT count(DISTINCT cap) FILTER (share_stable) FROM st) AS held_caps FROM st""")
 def share_sweep(spark, sf_dir):
-    rows, days = _walks(spark, sf_dir)
+    rows, days = _sessions(spark, sf_dir)
     return plans.share_sweep(rows, "session_id", days, SLOT_NS, SHARES, CAPS, HALF_LIVES, COEF, PERM)
 
 
-# studies over every session of the table; their SQL names the test tables' thirty
+# readers, writers and feeds
 
-_WHOLE = 30
 
+def _back(rows: DataFrame, label: str, extension: str, read) -> DataFrame:
+    """rows written as a capture and read again."""
+    path = f"{new_path(rows.sparkSession, label)}{extension}"
+    sources.write_ticks(rows, path)
+    return read(rows.sparkSession, path)
 
-def _every_session(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int]]:
-    rows = adapters.ticks(spark, sf_dir)
-    return rows, sorted(r["session_id"] for r in rows.select("session_id").distinct().collect())
 
+@_query("SELECT ts_ns, 'EVT' AS product, [[price]] AS price, [[size]] AS size, side, trade_id FROM t_ticks")
+def read_ticks_ndjson(spark, sf_dir):
+    return _back(adapters.ticks(spark, sf_dir).drop("session_id"), "ticks", ".ndjson", sources.read_ticks)
 
-@_query(f"{_priced_sql(plans._walk(_WHOLE, None), CAPS, [0.0, *HALF_LIVES], '0.1e0 * avg(total)')} SELECT fold + 2 AS input, 0 AS history_from, [[q]] AS parent_qty, cap, verdict, [[flat]] AS flat_improvement_bps, {_CONSENSUS} FROM verd WINDOW c AS (PARTITION BY cap)")
-def walk_forward_whole(spark, sf_dir):
-    rows, days = _every_session(spark, sf_dir)
-    return plans.walk_forward(rows, "session_id", days, SLOT_NS, None, CAPS, HALF_LIVES, COEF, PERM, parent_share=0.1)
 
+@_query("SELECT ts_ns, 'EVT' AS product, [[price]] AS price, [[size]] AS size, side, trade_id FROM t_ticks")
+def convert_ticks(spark, sf_dir):
+    """Parquet to NDJSON and back."""
+    a, b, c = (f"{new_path(spark, 'convert')}{x}" for x in (".parquet", ".ndjson", ".parquet"))
+    sources.write_ticks(adapters.ticks(spark, sf_dir).drop("session_id"), a)
+    sources.convert(spark, a, b)
+    sources.convert(spark, b, c)
+    return sources.read_ticks(spark, c)
 
-@_query(f"{_priced_sql([(i, [j for j in range(_WHOLE) if j != i]) for i in range(_WHOLE)], CAPS, [0.0, *HALF_LIVES], f'{PARENT}e0')} SELECT fold AS held_out, cap, verdict, [[flat]] AS flat_improvement_bps, {_CONSENSUS} FROM verd WINDOW c AS (PARTITION BY cap)")
-def holdout_whole(spark, sf_dir):
-    rows, days = _every_session(spark, sf_dir)
-    return plans.holdout(rows, "session_id", days, SLOT_NS, PARENT, CAPS, HALF_LIVES, COEF, PERM)
+
+@_query("SELECT ts_ns, 'EVT' AS product, [[bid]] AS bid, [[bid_size]] AS bid_size, [[ask]] AS ask, [[ask_size]] AS ask_size FROM t_quotes")
+def read_quotes_parquet(spark, sf_dir):
+    return _back(adapters.quotes(spark, sf_dir).drop("session_id"), "quotes", ".parquet", sources.read_quotes)
+
+
+@_query("SELECT ts_ns, 'EVT' AS product, side, level, [[price]] AS price, [[size]] AS size FROM t_book")
+def read_book_parquet(spark, sf_dir):
+    return _back(adapters.book(spark, sf_dir).drop("session_id"), "book", ".parquet", sources.read_book)
+
+
+_SAMPLED = "SELECT o_orderkey * 1000000000 AS ts_ns, 'EVT' AS product, [[1e-2 + (o_custkey % 50) / 100e0]] AS participation"
+
+
+@_query(f"{_SAMPLED} FROM orders")
+def read_impact_ndjson(spark, sf_dir):
+    return _back(adapters.samples(spark, sf_dir).drop("realised_bps"), "impact", ".ndjson", sources.read_impact)
+
+
+@_query(f"{_SAMPLED}, [[10e0 * sqrt(1e-2 + (o_custkey % 50) / 100e0) + 20e0 * (1e-2 + (o_custkey % 50) / 100e0) + ((o_orderkey % 7) - 3) * 1e-1]] AS realised_bps FROM orders")
+def read_calibration_ndjson(spark, sf_dir):
+    return _back(adapters.samples(spark, sf_dir), "calibration", ".ndjson", sources.read_calibration)
+
+
+@_query("SELECT ts_ns, 'EVT' AS product, 'buy' AS side, [[qty]] AS qty, [[price]] AS price, [[interval_volume]] AS interval_volume FROM t_fills")
+def read_fills_ndjson(spark, sf_dir):
+    return _back(adapters.fills(spark, sf_dir), "fills", ".ndjson", sources.read_fills)
+
+
+_TIME = "date_format(timestamp_micros(ts_ns div 1000), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")"
+
+
+@_query("SELECT ts_ns, 'EVT' AS product, [[price]] AS price, [[size]] AS size, side, trade_id FROM t_ticks WHERE trade_id % 10 <> 9")
+def feed_trades(spark, sf_dir):
+    """Messages of a feed, one in ten of another kind, to ticks."""
+    kind = "if(trade_id % 10 = 9, 'heartbeat', if(trade_id % 10 = 0, 'last_match', 'match'))"
+    lines = adapters.ticks(spark, sf_dir).selectExpr(f"to_json(named_struct('type', {kind}, 'trade_id', trade_id, 'side', side, 'size', string(size), 'price', string(price), 'product_id', product, 'time', {_TIME})) as value")
+    return live.match_to_tick(lines)
+
+
+@_query("SELECT ts_ns, 'EVT' AS product, [[bid]] AS bid, [[bid_size]] AS bid_size, [[ask]] AS ask, [[ask_size]] AS ask_size FROM t_quotes")
+def feed_quotes(spark, sf_dir):
+    sides = ", ".join(f"'best_{c}', string({c})" for c in ("bid", "bid_size", "ask", "ask_size"))
+    lines = adapters.quotes(spark, sf_dir).selectExpr(f"to_json(named_struct('type', 'ticker', 'product_id', product, {sides}, 'time', {_TIME})) as value")
+    return live.ticker_to_quote(lines.unionByName(spark.createDataFrame([('{"type": "ticker", "product_id": "EVT"}',)], "value string")))
+
+
+_ARRIVALS = "event_id AS seq, CASE WHEN event_id % 7 = 3 THEN event_id - 5 ELSE event_id END AS trade_id"
+
+
+@_query(f"""WITH a AS (SELECT {_NS} AS ts_ns, {_ARRIVALS} FROM events), b AS (SELECT *, max(trade_id) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM a)
+    SELECT ts_ns, seq, trade_id, 'EVT' AS product FROM b WHERE before IS NULL OR trade_id > before""")
+def replayed_trades(spark, sf_dir):
+    rows = adapters._events(spark, sf_dir).selectExpr("ts_ns", "event_id as seq", "if(event_id % 7 = 3, event_id - 5, event_id) as trade_id", "'EVT' as product")
+    return live.drop_replayed(rows)
+
+
+@_query(f"""WITH a AS (SELECT {_NS} AS ts_ns, event_id AS seq FROM events), f AS (SELECT arg_min(ts_ns, seq) AS t0 FROM a), e AS (SELECT min(seq) AS stop FROM a, f WHERE ts_ns >= t0 + 3600000000000)
+    SELECT ts_ns, seq, 'EVT' AS product FROM a, e WHERE (stop IS NULL OR seq < stop) AND seq < 500 + (SELECT min(seq) FROM a)""")
+def capture_bounds(spark, sf_dir):
+    rows = adapters._events(spark, sf_dir).selectExpr("ts_ns", "event_id as seq", "'EVT' as product")
+    return live.bound_capture(rows, count=500, seconds=3600.0)
+
+
+def _held(rows: DataFrame, checks: dict[str, str]) -> DataFrame:
+    """What a made capture promises, a row per promise."""
+    row = F.struct(*[F.expr(c).alias(k) for k, c in checks.items()])
+    return rows.select(row.alias("r")).select(F.explode(F.array(*[F.struct(F.lit(k).alias("promise"), F.col(f"r.{k}").cast("boolean").alias("kept")) for k in checks])).alias("p")).select("p.*")
+
+
+_PROMISED = "SELECT unnest(['rows', 'prices', 'sizes', 'times']) AS promise, true AS kept"
+
+
+@_query(_PROMISED)
+def synthetic_ticks(spark, sf_dir):
+    rows = synthetic.synthetic_ticks(spark, 2000).agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("p"), F.min("size").alias("s"), F.count_distinct("ts_ns").alias("t"))
+    return _held(rows, {"rows": "n = 2000", "prices": "p > 0", "sizes": "s > 0", "times": "t = 2000"})
+
+
+@_query(_PROMISED)
+def synthetic_quotes(spark, sf_dir):
+    rows = synthetic.synthetic_quotes(spark, 2000).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("ask") - F.col("bid")).alias("p"), F.min(F.least("bid_size", "ask_size")).alias("s"), F.count_distinct("ts_ns").alias("t"))
+    return _held(rows, {"rows": "n = 2000", "prices": "p > 0", "sizes": "s > 0", "times": "t = 2000"})
+
+
+@_query(_PROMISED)
+def synthetic_book(spark, sf_dir):
+    snaps = synthetic.synthetic_book(spark, 200, 5).groupBy("ts_ns").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("side") == "ask", F.col("price"))).alias("ask"), F.max(F.when(F.col("side") == "bid", F.col("price"))).alias("bid"), F.min("size").alias("s")
+    )
+    rows = snaps.agg(F.sum("n").alias("n"), F.min(F.col("ask") - F.col("bid")).alias("p"), F.min("s").alias("s"), F.count(F.lit(1)).alias("t"))
+    return _held(rows, {"rows": "n = 2000", "prices": "p > 0", "sizes": "s > 0", "times": "t = 200"})
+
+
+@_query(_PROMISED)
+def large_capture(spark, sf_dir):
+    rows = synthetic.large_ticks(spark, 50_000).agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("p"), F.min("size").alias("s"), F.count_distinct("ts_ns").alias("t"))
+    return _held(rows, {"rows": "n = 50000", "prices": "p > 0", "sizes": "s > 0", "times": "t = 50000"})

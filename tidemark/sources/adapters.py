@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLOT_NS = 21_600_000_000_000
+#: Buckets of bars and fills, and slots of plans (each day of the test tables trades in every hour, not in every five minutes).
+BAR_NS = 300_000_000_000
+SLOT_NS = 3_600_000_000_000
 DAY_NS = 86_400_000_000_000
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value", "ts")
+def _events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    # a stream reads whatever matches: the table is a file here, a folder there
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet") if stream else spark.read.parquet(path)
+    events = source.select("event_id", "user_id", "value", "ts")
     # the column has no zone: read as UTC whatever the session's zone is
     micros = F.unix_micros(F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())) if spark.conf.get("spark.sql.session.timeZone") != "UTC" else F.unix_micros(F.col("ts").cast("timestamp"))
     return events.withColumn("ts_ns", micros * 1000)
 
 
-def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ticks(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Tick rows of `events`, with session_id: the day."""
-    return _events(spark, sf_dir).selectExpr(
+    return _events(spark, sf_dir, stream).selectExpr(
         "ts_ns", "'EVT' as product", "100 + value as price", "1 + (user_id % 10) / 10e0 as size", "if(event_id % 2 = 0, 'buy', 'sell') as side", "event_id as trade_id", f"ts_ns div {DAY_NS} as session_id"
     )
 
@@ -46,8 +51,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("o_orderkey * 1000000000 as ts_ns", "'EVT' as product", "p as participation", "10e0 * sqrt(p) + 20e0 * p + ((o_orderkey % 7) - 3) * 1e-1 as realised_bps")
 
 
-def fills(spark: SparkSession, sf_dir: str, below: int | None = 1000) -> DataFrame:
-    """Buys of the order keys under `below`, or of all orders."""
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    rows = (rows if below is None else rows.where(F.col("o_orderkey") < below)).selectExpr("o_orderkey", "1e0 + o_custkey % 5 as qty")
+def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A buy for every order."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey", "1e0 + o_custkey % 5 as qty")
     return rows.selectExpr("o_orderkey * 1000000000 as ts_ns", "'EVT' as product", "'buy' as side", "qty", "100e0 + (o_orderkey % 13) * 1e-2 as price", "qty * (4 + o_orderkey % 9) as interval_volume")

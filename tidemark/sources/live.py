@@ -1,10 +1,7 @@
-"""Feeds: messages to rows, duplicate trades, level-2 books, bounds of a capture, and an event log."""
+"""Recorded feeds as tables: messages to rows, duplicate trades, level-2 books, bounds of a capture."""
 
 from __future__ import annotations
 
-import json
-import time
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +30,22 @@ def ticker_to_quote(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+#: Rows of a block and length of a stretch: what is ordered in one task.
+BLOCK, STRETCH_NS = 1_000_000, 3_600_000_000_000
+
+
 def drop_replayed(ticks: DataFrame) -> DataFrame:
-    """Trades whose id is above all before them in arrival order (`seq`), per product: a reconnect replays old ones."""
-    before = Window.partitionBy("product").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return ticks.withColumn("last_id", F.max("trade_id").over(before)).where("last_id is null or trade_id > last_id").drop("last_id")
+    """Trades whose id is above all before them in arrival order (`seq`), per product: a reconnect replays old ones.
+
+    Ordered within blocks of seq; between blocks only each block's greatest id is carried.
+    """
+    rows = ticks.withColumn("block_", F.floor(F.col("seq") / BLOCK))
+    tops = rows.groupBy("product", "block_").agg(F.max("trade_id").alias("top_"))
+    earlier = Window.partitionBy("product").orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("product", "block_", F.max("top_").over(earlier).alias("before_"))
+    inside = Window.partitionBy("product", "block_").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    met = rows.join(tops, ["product", "block_"]).withColumn("last_", F.greatest("before_", F.max("trade_id").over(inside)))
+    return met.where("last_ is null or trade_id > last_").select(*ticks.columns)
 
 
 def l2_levels(updates: DataFrame, at: DataFrame, levels: int = 10) -> DataFrame:
@@ -49,8 +58,14 @@ def l2_levels(updates: DataFrame, at: DataFrame, levels: int = 10) -> DataFrame:
     last = times.groupBy("product").agg(F.max("k").alias("most"))
     marks = times.select("product", "ts_ns", F.lit(1).alias("mark"), "k", *[F.lit(None).cast(t).alias(c) for c, t in (("seq", "long"), ("side", "string"), ("price", "double"), ("size", "double"))])
     feed = updates.select("product", "ts_ns", F.lit(0).alias("mark"), F.lit(None).cast("int").alias("k"), "seq", "side", "price", "size")
-    ahead = Window.partitionBy("product").orderBy("ts_ns", "mark").rowsBetween(0, Window.unboundedFollowing)
-    seen = feed.unionByName(marks).withColumn("k", F.first("k", ignorenulls=True).over(ahead)).where("mark = 0 and k is not null")
+    # looked up within a stretch of time; what has no time left in its stretch takes the first of the stretches after it
+    both = feed.unionByName(marks).withColumn("stretch", F.floor(F.col("ts_ns") / STRETCH_NS))
+    firsts = both.groupBy("product", "stretch").agg(F.min("k").alias("k1"))
+    following = Window.partitionBy("product").orderBy("stretch").rowsBetween(1, Window.unboundedFollowing)
+    firsts = firsts.select("product", "stretch", F.min("k1").over(following).alias("later"))
+    ahead = Window.partitionBy("product", "stretch").orderBy("ts_ns", "mark").rowsBetween(0, Window.unboundedFollowing)
+    seen = both.withColumn("k", F.first("k", ignorenulls=True).over(ahead)).where("mark = 0").join(firsts, ["product", "stretch"])
+    seen = seen.withColumn("k", F.coalesce("k", "later")).where("k is not null")
     states = seen.groupBy("product", "side", "price", "k").agg(F.max_by("size", "seq").alias("size"))
     after = F.lead("k").over(Window.partitionBy("product", "side", "price").orderBy("k"))
     states = states.join(last, "product").withColumn("until", F.coalesce(after - 1, F.col("most"))).where("size > 0")
@@ -64,25 +79,12 @@ def bound_capture(rows: DataFrame, count: int | None = None, seconds: float | No
     """The first rows of each product, by count and/or exchange time; the first record at or past the end isn't taken."""
     if count is None and seconds is None:
         raise ValueError("a capture needs a count, a number of seconds, or both")
-    order = Window.partitionBy("product").orderBy("seq")
-    rows = rows.withColumn("place", F.row_number().over(order))
-    if count is not None:
-        rows = rows.where(F.col("place") <= count)
+    out = rows
     if seconds is not None:
-        whole = Window.partitionBy("product").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-        first = F.first("ts_ns").over(Window.partitionBy("product").orderBy("seq"))
-        late = F.max((F.col("ts_ns") >= first + int(seconds * 1e9)).cast("int")).over(whole)
-        rows = rows.withColumn("late", late).where("late = 0").drop("late")
-    return rows.drop("place")
-
-
-class EventLog:
-    """JSON lines with ts and event; None as path logs nothing."""
-
-    def __init__(self, path: str | None):
-        self.path = path
-
-    def emit(self, event: str, **fields: object) -> None:
-        if self.path is not None:
-            with open(self.path, "a", encoding="utf-8") as f:
-                f.write(json.dumps({"ts": time.time(), "event": event, **fields}) + "\n")
+        first = rows.groupBy("product").agg(F.min_by("ts_ns", "seq").alias("first_"))
+        past = F.when(F.col("ts_ns") >= F.col("first_") + int(seconds * 1e9), F.col("seq"))
+        stop = rows.select("product", "seq", "ts_ns").join(F.broadcast(first), "product").groupBy("product").agg(F.min(past).alias("stop_"))  # a row per product
+        out = out.join(F.broadcast(stop), "product").where("stop_ is null or seq < stop_")
+    if count is not None:  # Spark keeps the first rows of each task before it deals them
+        out = out.withColumn("place_", F.row_number().over(Window.partitionBy("product").orderBy("seq"))).where(F.col("place_") <= count)
+    return out.select(*rows.columns)

@@ -2,71 +2,118 @@
 
 The same report has two forms.  replay() is the batch form: partial aggregates whose memory is bounded already.
 stream() is Structured Streaming: state of nine numbers per session, in which every micro-batch is folded in time
-order.  A tick older than what was folded is an error, not a late row to drop.
+order.  A tick older than what was folded is an error, not a late row to drop.  to_end() runs such a stream over all that there is.
+
+chunk_rows is the reader's bound of rows in memory: chunks says how many such a session takes, and peak_rows_in_memory how many rows are held
+at most, a chunk and the tick before it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions import r8, safe_div
 from tidemark.operators.ticks import _elapsed
+from tidemark.storage import new_path
+
+CHUNK_ROWS = 4096
+_SUMS = "rows long, first_ts long, last_ts long, last_price double, pv double, buy double, sell double, num double, den double"
+
 
-REPORT = "rows long, first_ts_ns long, last_ts_ns long, volume double, notional double, vwap double, twap double, buy_volume double, sell_volume double, imbalance double"
-_STATE = "rows long, first_ts long, last_ts long, last_price double, pv double, buy double, sell double, num double, den double"
+def _report(key: Column, chunk_rows: int) -> list[Column]:
+    """The report from the sums of a session: rows, first_ts, last_ts, pv, buy, sell, num, den."""
+    if chunk_rows < 1:
+        raise ValueError("chunk_rows must be >= 1")
+    v, rows, chunk = F.col("buy") + F.col("sell"), F.col("rows"), F.lit(chunk_rows).cast("long")
+    chunks = F.ceil(rows / chunk)
+    balance = F.coalesce(safe_div(F.col("buy") - F.col("sell"), v), F.lit(0.0))
+    return [
+        key, rows, F.col("first_ts").alias("first_ts_ns"), F.col("last_ts").alias("last_ts_ns"), r8(v).alias("volume"), r8("pv").alias("notional"), r8(safe_div(F.col("pv"), v)).alias("vwap"),
+        r8(safe_div("num", "den")).alias("twap"), r8("buy").alias("buy_volume"), r8("sell").alias("sell_volume"), r8(balance).alias("imbalance"),
+        chunk.alias("chunk_rows"), chunks.cast("long").alias("chunks"), (F.least(rows, chunk) + (chunks > 1).cast("long")).alias("peak_rows_in_memory"),
+    ]
 
 
-def replay(ticks: DataFrame, key: str) -> DataFrame:
+def replay(ticks: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One row per session: what stream() reports at its end."""
     side = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("size"))), F.lit(0.0))
     sums = ticks.groupBy(key).agg(
-        F.count(F.lit(1)).alias("rows"), F.min("ts_ns").alias("first_ts_ns"), F.max("ts_ns").alias("last_ts_ns"), F.sum(F.col("price") * F.col("size")).alias("pv"), F.sum("size").alias("v"),
-        side("buy").alias("b"), side("sell").alias("s"),
+        F.count(F.lit(1)).alias("rows"), F.min("ts_ns").alias("first_ts"), F.max("ts_ns").alias("last_ts"), F.sum(F.col("price") * F.col("size")).alias("pv"), side("buy").alias("buy"), side("sell").alias("sell")
     )
-    out = sums.join(_elapsed(ticks, [key]).select(key, safe_div("num", "den").alias("t")), key)
-    balance = F.coalesce(safe_div(F.col("b") - F.col("s"), F.col("b") + F.col("s")), F.lit(0.0))
-    return out.select(
-        key, "rows", "first_ts_ns", "last_ts_ns", r8("v").alias("volume"), r8("pv").alias("notional"), r8(safe_div("pv", "v")).alias("vwap"), r8("t").alias("twap"),
-        r8("b").alias("buy_volume"), r8("s").alias("sell_volume"), r8(balance).alias("imbalance"),
-    )
-
-
-def _r8(x: float) -> float:
-    whole = int(abs(x) * 1e8 + 0.5) / 1e8 if abs(x) < 2**53 / 1e8 else abs(x)
-    return whole if x >= 0 else -whole
+    return sums.join(_elapsed(ticks, [key]).select(key, "num", "den"), key).select(*_report(F.col(key), chunk_rows))
+
+
+def refuse_disorder(ticks: DataFrame) -> None:
+    """Raise ValueError where a tick is older than the one before it in the order of reading; a row per task comes to the driver."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, first, last, bad = 0, None, None, None
+        for df in batches:
+            ts, seq = df["ts_ns"].to_numpy(), df["seq"].to_numpy()
+            if not ts.size:
+                continue
+            steps = np.diff(ts, prepend=ts[0] if last is None else last) < 0
+            if bad is None and steps.any():
+                k = int(steps.argmax())
+                bad = (n + k + 1, int(ts[k]), int(ts[k - 1] if k else last))
+            first, last, n = int(ts[0]) if first is None else first, int(ts[-1]), n + ts.size
+            part = int(seq[0]) >> 33
+        if n:
+            yield pd.DataFrame([(part, n, first, last, *(bad or (0, 0, 0)))], columns=["part", "n", "first", "last", "at", "ts", "before"])
+
+    rows = ticks.select("ts_ns", F.monotonically_increasing_id().alias("seq")).mapInPandas(scan, "part long, n long, first long, last long, at long, ts long, before long").collect()
+    done, last = 0, None
+    for r in sorted(rows):
+        if last is not None and r["first"] < last:
+            raise ValueError(f"replay is not in time order at row {done + 1}: {r['first']} follows {last}")
+        if r["at"]:
+            raise ValueError(f"replay is not in time order at row {done + r['at']}: {r['ts']} follows {r['before']}")
+        done, last = done + r["n"], r["last"]
 
 
 def _fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One micro-batch of a session folded into its sums."""
     rows, first, last, price, pv, buy, sell, num, den = state.get if state.exists else (0, 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
-    for part in [pd.concat(list(parts)).sort_values(["ts_ns", "trade_id"])]:
-        for ts, p, size, side in zip(part["ts_ns"], part["price"], part["size"], part["side"]):
-            if rows and ts < last:
-                raise ValueError(f"replay is not in time order at row {rows + 1}: {ts} follows {last}")
-            if rows:
-                num += price * float(ts - last)
-                den += float(ts - last)
-            else:
-                first = ts
-            rows, last, price, pv = rows + 1, ts, p, pv + p * size
-            buy, sell = (buy + size, sell) if side == "buy" else (buy, sell + size)
-    state.update((int(rows), int(first), int(last), float(price), float(pv), float(buy), float(sell), float(num), float(den)))
-    v = buy + sell
-    report: dict[str, Any] = {
-        "rows": rows, "first_ts_ns": first, "last_ts_ns": last, "volume": _r8(v), "notional": _r8(pv), "vwap": _r8(pv / v) if v else None, "twap": _r8(num / den) if den else None,
-        "buy_volume": _r8(buy), "sell_volume": _r8(sell), "imbalance": _r8((buy - sell) / v) if v else 0.0,
-    }
-    yield pd.DataFrame([{"session": str(key[0]), **report}])
-
-
-def stream(ticks: DataFrame, key: str) -> DataFrame:
+    df = pd.concat(list(parts)).sort_values(["ts_ns", "trade_id"], kind="stable")
+    ts, prices, sizes = df["ts_ns"].to_numpy(), df["price"].to_numpy(float), df["size"].to_numpy(float)
+    if rows and ts[0] < last:
+        raise ValueError(f"replay is not in time order at row {rows + 1}: {ts[0]} follows {last}")
+    if rows:  # the tick before stands until the first of these
+        num, den = num + price * float(ts[0] - last), den + float(ts[0] - last)
+    else:
+        first = ts[0]
+    held = np.diff(ts).astype(float)
+    bought = (df["side"] == "buy").to_numpy()
+    now = (
+        int(rows + ts.size), int(first), int(ts[-1]), float(prices[-1]), float(pv + (prices * sizes).sum()), float(buy + sizes[bought].sum()), float(sell + sizes[~bought].sum()),
+        float(num + (prices[:-1] * held).sum()), float(den + held.sum()),
+    )
+    state.update(now)
+    yield pd.DataFrame([(str(key[0]), *now)], columns=["session", *[c.split()[0] for c in _SUMS.split(", ")]])
+
+
+def stream(ticks: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """A streaming table of ticks to a stream of reports, the newest of each session in update mode."""
-    return ticks.groupBy(key).applyInPandasWithState(_fold, f"session string, {REPORT}", _STATE, "update", GroupStateTimeout.NoTimeout)
+    sums = ticks.groupBy(key).applyInPandasWithState(_fold, f"session string, {_SUMS}", _SUMS, "update", GroupStateTimeout.NoTimeout)
+    return sums.select(*_report(F.col("session"), chunk_rows))
+
+
+def to_end(reports: DataFrame) -> DataFrame:
+    """The last report of each session, once the stream has taken all that its source has.  Reports and the stream's own
+    checkpoint go to the shared folder, so a lost executor costs a micro-batch."""
+    spark = reports.sparkSession
+    out, mark = new_path(spark, "reports"), new_path(spark, "stream")
+    query = reports.writeStream.outputMode("update").option("checkpointLocation", mark).trigger(availableNow=True)
+    query.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}")).start().awaitTermination()
+    made = spark.read.schema(reports.schema).parquet(out).select(*reports.columns)
+    newest = F.max_by(F.struct(*reports.columns), "rows").alias("r")
+    return made.groupBy("session").agg(newest).select("r.*")
 
 
 def windowed_bars(ticks: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
