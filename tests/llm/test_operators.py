@@ -442,11 +442,11 @@ def brute_katz(rows):
             after[h] += 1
             h = w
     n, v = sum(uni.values()), len(uni)
-    d1, d2 = katz.discounts(collections.Counter(uni.values())), katz.discounts(collections.Counter(pairs.values()), katz.MIN_COUNT)
+    d1, d2 = katz.discounts(collections.Counter(uni.values())), katz.discounts(collections.Counter(pairs.values()))
     off = lambda r, d: d[r] * r if r <= katz.GOOD_TURING else r - 0.5
     p1 = {w: off(c, d1) / n for w, c in uni.items()}
     spare = 1 - sum(p1.values())
-    entries = {k: c for k, c in pairs.items() if c >= katz.MIN_COUNT}
+    entries = pairs
     kept, covered = collections.Counter(), collections.Counter()
     for (h, w), c in entries.items():
         kept[h] += off(c, d2) / after[h]
@@ -464,7 +464,10 @@ def brute_katz(rows):
     return out
 
 
-def test_scores_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot, part_tokens", [(100_000, 4_000_000), (3, 3000), (1, 20_000)])
+def test_scores_equal_brute_force(spark, monkeypatch, hot, part_tokens):
+    monkeypatch.setattr(katz, "HOT", hot)
+    monkeypatch.setattr(katz, "PART_TOKENS", part_tokens)
     rng = random.Random(8)
     common = [odd.words(rng, 1) for _ in range(30)]
     rows = [(k, " ".join(rng.choice(common) if rng.random() < 0.8 else odd.words(rng, 1) for _ in range(rng.randint(0, 60)))) for k in range(60)]
@@ -477,10 +480,9 @@ def test_scores_equal_brute_force(spark, monkeypatch):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9), (a, b)
 
 
-def test_bigrams_seen_once_have_entries(spark, monkeypatch):
+def test_bigrams_seen_once_have_entries(spark):
     rows = [(k, t) for k, t in enumerate(["red fox runs", "red hen sits", "red fox sits", "blue hen runs far", "a fox", "red fox runs off"])]
     got = katz.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    monkeypatch.setattr(katz, "MIN_COUNT", 1)  # for the brute force, whatever the module's own
     for a, b in zip(sorted(map(tuple, got)), sorted(brute_katz(rows))):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9), (a, b)
 

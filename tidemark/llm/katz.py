@@ -11,10 +11,16 @@ The log probability of a text is evaluated as a sum over its tokens of log P(w)
 log P(w | h) - log P(w) - log alpha(h) for each bigram that has an entry.
 
 Words travel as 64-bit hashes.  A task sorts the tokens of a chunk of documents and sends each partition of the tables one
-packed row: the sorted keys as byte planes of their differences, and for each key the documents in which it
-stands.  So counting and scoring move some six bytes for each distinct key of a chunk and two for each
-token, not a row for each token.  Tables are written Parquet, keyed by partition; no table is collected or broadcast.  A
-frequent key is one entry of a chunk's row, whatever its count.
+packed row: the sorted keys as byte planes of their differences, and for each key its count or the documents in which it
+stands.  So counting and scoring move some bytes for each distinct key of a chunk and two for each token, not a row for each token.
+Tables are written Parquet: words by a hash of the word, bigrams beside the count of their word, gains by a hash of the
+bigram.  A bigram meets its word where the words of that hash are counted, and its history where those of that hash are, so no
+table is joined by sorting.
+
+Skew: a word that has its share of a whole partition, of which there can be no more than partitions, is known to every
+task; its bigrams are dealt by their own hash instead of by the word's, and the sums of such a history are aggregated on the map side.
+Keys that have one in HOT of all tokens, no more than HOT, are evaluated where they stand and never sent.  Partitions
+follow the number of tokens, so none grows with the data.
 """
 
 from __future__ import annotations
@@ -33,16 +39,20 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import drop_stash, stash, text_of
 from tidemark.llm.near_dedup import _K1, _mix, _texts, word_hashes
 
-#: Bigrams have an entry from this count on: all of them; counts up to GOOD_TURING have Good-Turing discounts, larger ones lose half a count.
-MIN_COUNT, GOOD_TURING = 1, 5
+#: Counts up to this have Good-Turing discounts; larger ones lose half a count.
+GOOD_TURING = 5
 #: Tokens and documents of a chunk; bounds a task's memory.
 TOKENS, DOCUMENTS = 1_000_000, 60_000
+#: Tokens of a partition of the tables, and most keys whose values every task is given (some 3 MB).
+PART_TOKENS, HOT = 4_000_000, 100_000
 
 END, BOS = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
-_ROW = "p int, chunk long, a binary, b binary, times binary, docs binary, trained binary, key long, first double, second double, third double"
-_NAMES = ["p", "chunk", "a", "b", "times", "docs", "trained", "key", "first", "second", "third"]
-_KINDS = [pa.int32(), pa.int64(), *[pa.binary()] * 5, pa.int64(), *[pa.float64()] * 3]
+#: A packed row: what it is (a chunk's name, or one of the kinds below), and up to five arrays.
+_ROW = "p int, chunk long, a binary, b binary, c binary, d binary, e binary"
+_NAMES = ["p", "chunk", "a", "b", "c", "d", "e"]
+_KINDS = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+WORDS, GAINS, BACKOFFS, HOT_GAINS, HOT_BACKOFFS = -1, -2, -3, -4, -5
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -83,8 +93,9 @@ class Chunk:
         self.history = np.concatenate(([BOS], self.words[:-1]))
         self.history[first] = BOS
         # a name that another composition of chunks wouldn't give
-        mark = zlib.crc32(repr((partition, number, ids[0], ids[-1], len(ids), int(self.lengths.sum()))).encode())
-        self.name = (partition << 40) | (number << 32) | mark
+        mark = zlib.crc32(repr((ids[0], ids[-1], len(ids), int(self.lengths.sum()))).encode())
+        place = _mix(np.array([(partition << 32) | number], np.uint64)) + np.uint64(mark)
+        self.name = int(_mix(place)[0] >> np.uint64(1))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
@@ -111,104 +122,255 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         yield Chunk(ids, trains, lengths, words, partition, number)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], _NAMES)
+def _row(p: int, chunk: int, *arrays: bytes | None) -> pa.RecordBatch:
+    values = [p, chunk, *arrays, *[None] * (5 - len(arrays))]
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _KINDS)], _NAMES)
 
 
-def _send(batches: Iterator[pa.RecordBatch], parts: int, bigrams: bool, with_docs: bool) -> Iterator[pa.RecordBatch]:
-    """Packed rows of each chunk for each partition.  For counting (without documents) only training text is sent, and a bigram
-    as both its words; for scoring all text, and a bigram as its joint key."""
+def _spans(parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(part, from, to) of the runs of equal parts."""
+    if parts.size:
+        at = np.flatnonzero(np.diff(parts, prepend=parts[0] - 1))
+        yield from zip(parts[at].tolist(), at.tolist(), np.append(at[1:], parts.size).tolist())
+
+
+class Known:
+    """Sorted keys with a value each (or several), looked up by key."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places among the keys, and whether each is really there."""
+        at = np.minimum(np.searchsorted(self.keys, wanted), max(self.keys.size - 1, 0))
+        return at, self.keys[at] == wanted if self.keys.size else np.zeros(wanted.size, bool)
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Where each new key of a sorted array begins."""
+    return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if keys.size else np.zeros(0, np.int64)
+
+
+def _dealt(keys: np.ndarray, joint: np.ndarray, often: Known, parts: int) -> np.ndarray:
+    """The partition of bigrams: that of their key (word or history), or their own if the key is one of those that stand too often."""
+    return np.where(often.find(keys)[1], _part(joint, parts), _part(keys, parts))
+
+
+def _send_words(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Words of training text and how often each stands in the chunk."""
     for chunk in _chunks(batches):
-        words, history, docs = chunk.words, chunk.history, chunk.docs
-        if not with_docs:
-            keep = chunk.trains[docs]
-            words, history, docs = words[keep], history[keep], docs[keep]
-        keys = _joint(history, words) if bigrams else words
-        if bigrams and not with_docs:
-            order = np.lexsort((words, history, _part(keys, parts)))
-            one, two = history[order], words[order]
-            new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))) if one.size else np.zeros(0, bool)
-        else:
-            order = np.argsort(keys, kind="stable")
-            one, two = keys[order], None
-            new = np.concatenate(([True], one[1:] != one[:-1])) if one.size else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        times = np.diff(np.append(at, one.size)).astype(np.uint32)
-        where = _part(keys[order[at]], parts)
-        cuts = np.flatnonzero(np.diff(where, prepend=-1)) if where.size else np.zeros(0, np.int64)
-        trained = np.packbits(chunk.trains).tobytes()
-        for lo, hi in zip(cuts, np.append(cuts[1:], at.size)):
-            span = order[at[lo] : at[hi] if hi < at.size else one.size]
-            row = (int(where[lo]), chunk.name, _deltas(one[at[lo:hi]]), _planes(two[at[lo:hi]]) if two is not None else None, _planes(times[lo:hi]))
-            yield _batch([(*row, _planes(docs[span]) if with_docs else None, trained if with_docs else None, None, None, None, None)])
+        words = np.sort(chunk.words[chunk.trains[chunk.docs]])
+        at = _distinct(words)
+        times, words = np.diff(np.append(at, words.size)).astype(np.uint64), words[at]
+        for p, lo, hi in _spans(_part(words, parts)):
+            yield _row(p, chunk.name, _deltas(words[lo:hi]), _planes(times[lo:hi]))
 
 
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, the sum of their counts, and a place of each in the concatenated keys."""
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    all_keys, all_counts = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-    order = np.argsort(all_keys, kind="stable")
-    at = np.flatnonzero(np.concatenate(([True], all_keys[order][1:] != all_keys[order][:-1])))
-    return all_keys[order[at]], np.add.reduceat(all_counts[order], at), order[at]
+def _send_pairs(batches: Iterator[pa.RecordBatch], parts: int, often: Known) -> Iterator[pa.RecordBatch]:
+    """Bigrams of training text, by word, and how often each stands in the chunk."""
+    for chunk in _chunks(batches):
+        keep = chunk.trains[chunk.docs]
+        words, history = chunk.words[keep], chunk.history[keep]
+        joint = _joint(history, words)
+        order = np.argsort(joint)
+        at = _distinct(joint[order])
+        times, first = np.diff(np.append(at, order.size)).astype(np.uint64), order[at]
+        words, history = words[first], history[first]
+        where = _dealt(words, joint[first], often, parts)
+        order = np.lexsort((words, where))
+        for p, lo, hi in _spans(where[order]):
+            some = order[lo:hi]
+            yield _row(p, chunk.name, _deltas(words[some]), _planes(history[some]), _planes(times[some]))
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One partition of the words: (p, word, n), and rows (p = -1, word = r, n) of how many words have count r."""
+    part, keys, counts = -1, [], []
+    for batch in batches:
+        for row in batch.to_pylist():
+            part = row["p"]
+            keys.append(_undelta(row["a"]))
+            counts.append(_unplane(row["b"], np.uint64))
+    merged, n, _ = _merge(keys, counts)
+    seen, how_many = np.unique(n[n <= GOOD_TURING + 1], return_counts=True)
+    columns = [np.append(np.full(n.size, part, np.int32), np.full(seen.size, -1, np.int32)), np.append(merged.view(np.int64), seen), np.append(n, how_many)]
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["p", "word", "n"])
 
 
-def _count(batches: Iterator[pa.RecordBatch], bigrams: bool, least: int) -> Iterator[pa.RecordBatch]:
-    """One partition of a table: (p, history, word, n), and rows (p = -1, word = r, n) of how many keys have count r."""
-    part, keys, ones, twos, counts = -1, [], [], [], []
+def _words_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The table of words as packed rows."""
+    for batch in batches:
+        p, words, n = (batch.column(k).to_numpy() for k in range(3))
+        order = np.lexsort((words.view(np.uint64), p))
+        for part, lo, hi in _spans(p[order].astype(np.int64)):
+            some = order[lo:hi]
+            yield _row(part, WORDS, _deltas(words.view(np.uint64)[some]), _planes(n[some].astype(np.uint64)))
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> tuple[dict[int, list[dict]], list[dict]]:
+    """The rows of one partition: table rows by kind, and rows of chunks."""
+    tables: dict[int, list[dict]] = {}
+    chunks: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
-            part, one = row["p"], _undelta(row["a"])
-            if bigrams:
-                ones.append(one)
-                twos.append(_unplane(row["b"], np.uint64))
-                one = _joint(one, twos[-1])
-            keys.append(one)
-            counts.append(_unplane(row["times"], np.uint32))
-    merged, n, place = _merge(keys, counts)
+            if row["chunk"] < 0:
+                tables.setdefault(row["chunk"], []).append(row)
+            else:
+                chunks.append(row)
+    return tables, chunks
+
+
+def _table(rows: list[dict], kind: type) -> Known:
+    keys = [_undelta(r["a"]) for r in rows]
+    values = [_unplane(r["b"], kind) for r in rows]
+    return Known(np.concatenate(keys) if keys else np.zeros(0, np.uint64), np.concatenate(values) if values else np.zeros(0, kind))
+
+
+def _value(wanted: np.ndarray, *tables: Known) -> np.ndarray:
+    """The value of each key in the first table that has it; every key is in one."""
+    out = None
+    for t in reversed(tables):
+        at, there = t.find(wanted)
+        found = t.values[at] if t.keys.size else np.zeros(wanted.size, t.values.dtype)
+        out = found if out is None else np.where(there, found, out)
+    return out
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch], often: Known) -> Iterator[pa.RecordBatch]:
+    """One partition of the bigrams, by word: (kind = 0, history, word, n, c: the word's count), and rows (kind = 1, word = r, n) of how many have count r."""
+    tables, chunks = _gather(batches)
+    words, history = ([f(r[k]) for r in chunks] for k, f in (("a", _undelta), ("b", lambda x: _unplane(x, np.uint64))))
+    merged, n, place = _merge([_joint(h, w) for h, w in zip(history, words)], [_unplane(r["c"], np.uint64) for r in chunks])
     seen, how_many = np.unique(n[n <= GOOD_TURING + 1], return_counts=True)
-    word, history = merged, np.zeros_like(merged)
-    if bigrams and merged.size:
-        history, word = np.concatenate(ones)[place], np.concatenate(twos)[place]
-    keep = n >= least
-    columns = [np.full(int(keep.sum()), part, np.int32), history[keep].view(np.int64), word[keep].view(np.int64), n[keep]]
-    stats = [np.full(seen.size, -1, np.int32), np.zeros(seen.size, np.int64), seen, how_many.astype(np.int64)]
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(columns, stats)], ["p", "history", "word", "n"])
+    word, before = (np.concatenate(x)[place] if x else np.zeros(0, np.uint64) for x in (words, history))
+    order = np.argsort(word, kind="stable")  # equal words side by side: the table compresses
+    word, before, n = word[order], before[order], n[order]
+    count = _value(word, often, _table(tables.get(WORDS, []), np.uint64)).astype(np.int64)
+    none = np.zeros(seen.size, np.int64)
+    columns = [np.append(np.zeros(n.size, np.int32), np.ones(seen.size, np.int32)), np.append(before.view(np.int64), none), np.append(word.view(np.int64), seen), np.append(n, how_many), np.append(count, none)]
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["kind", "history", "word", "n", "c"])
+
+
+def _send_entries(batches: Iterator[pa.RecordBatch], parts: int, often: Known) -> Iterator[pa.RecordBatch]:
+    """The bigrams of a table's partition, by history: their keys, counts, and their words' counts."""
+    columns = [[], [], [], []]
+    for batch in batches:
+        for k in range(4):
+            columns[k].append(batch.column(k).to_numpy())
+    if columns[0]:
+        history, word, n, c = (np.concatenate(x).view(np.uint64) for x in columns)
+        joint = _joint(history, word)
+        where = _dealt(history, joint, often, parts)
+        order = np.lexsort((history, where))
+        for p, lo, hi in _spans(where[order]):
+            some = order[lo:hi]
+            yield _row(p, 0, _deltas(history[some]), _planes(joint[some]), _planes(n[some]), _planes(c[some]))
+
+
+def _off(n: np.ndarray, d: list[float]) -> np.ndarray:
+    """d(n) * n; a count beyond GOOD_TURING loses half a count, so that every history leaves something for other words."""
+    n = n.astype(np.int64)
+    return np.where(n <= GOOD_TURING, np.array(d)[np.minimum(n, GOOD_TURING)] * n, n - 0.5)
 
 
-def _apply(batches: Iterator[pa.RecordBatch], words: bool, unseen: tuple[float, float]) -> Iterator[pa.RecordBatch]:
-    """Sums per chunk and document of a partition's values: table rows (key, first, second, third) against packed rows.
+def _price(batches: Iterator[pa.RecordBatch], parts: int, most: int, d1: list[float], d2: list[float], total: int, often: Known) -> Iterator[pa.RecordBatch]:
+    """One partition of the histories: the gain of each bigram, dealt by the bigram, and log alpha of each history, those of hot keys (with
+    one in `most` of all tokens) once more.
 
-    words: first is the base's log, second log P, third log alpha, and `unseen` has base and log P of a word without a row.
-    Else first is the gain of a bigram, 0 without a row.
+    often has, for each history that stands too often for one partition, its count and the sums of its bigrams.
     """
-    packed, keys, values = [], [], []
-    for batch in batches:
-        chunked = batch.column(1).is_valid()
-        packed += batch.filter(chunked).select(["chunk", "a", "times", "docs"]).to_pylist()
-        table = batch.filter(pa.compute.invert(chunked))
-        keys.append(table.column(7).to_numpy().view(np.uint64))
-        values.append(np.stack([table.column(k).to_numpy(zero_copy_only=False) for k in (8, 9, 10)], axis=1))
-    known = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    value = np.concatenate(values) if values else np.zeros((0, 3))
-    order = np.argsort(known)
-    known, value = known[order], value[order]
-    # the last row stands for keys without one
-    value = np.concatenate((value, [[unseen[0], unseen[1], 0.0] if words else [0.0, 0.0, 0.0]]))
-    for row in packed:
-        wanted = _undelta(row["a"])
-        at = np.searchsorted(known, wanted)
-        at[at >= known.size] = known.size
-        at[(at < known.size) & (known[np.minimum(at, max(known.size - 1, 0))] != wanted if known.size else True)] = known.size
-        each = np.repeat(at, _unplane(row["times"], np.uint32))
-        docs = _unplane(row["docs"], np.uint16).astype(np.int64)
-        touched = np.unique(docs)
-        total = lambda x: np.bincount(docs, x, minlength=touched[-1] + 1)[touched]
-        score = total(value[each, 1] + value[each, 2]) if words else total(value[each, 0])
-        base = total(value[each, 0]) if words else np.zeros(0)
-        hits = total((each < known.size).astype(float)).astype(np.uint32) if words else np.zeros(0, np.uint32)
-        out = [row["chunk"], _planes(touched.astype(np.uint16)), _planes(score), _planes(base), _planes(hits)]
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], ["chunk", "docs", "score", "base", "hits"])
+    tables, chunks = _gather(batches)
+    words = _table(tables.get(WORDS, []), np.uint64)
+    if not chunks:
+        return
+    history = np.concatenate([_undelta(r["a"]) for r in chunks])
+    joint, n, c = (np.concatenate([_unplane(r[k], np.uint64) for r in chunks]) for k in "bcd")
+    kept, p_word = _off(n, d2), _off(c, d1) / total
+    own, which = np.unique(history, return_inverse=True)
+    at, common = often.find(own)
+    pick = lambda column: often.values[at, column] if often.keys.size else np.zeros(own.size)
+    follows = np.where(common, pick(0), _value(own, words).astype(float))
+    sum_kept = np.where(common, pick(1), np.bincount(which, kept, minlength=own.size))
+    covered = np.where(common, pick(2), np.bincount(which, p_word, minlength=own.size))
+    log_alpha = np.log10((1 - sum_kept / follows) / (1 - covered))
+    gain = np.log10(kept / follows[which]) - np.log10(p_word) - log_alpha[which]
+    order = np.argsort(joint)
+    joint, gain, n = joint[order], gain[order], n[order]
+    for p, lo, hi in _spans(_part(joint, parts)):
+        yield _row(p, GAINS, _deltas(joint[lo:hi]), _planes(gain[lo:hi]))
+    hot = n.astype(float) * most >= total
+    yield _row(0, HOT_GAINS, _deltas(joint[hot]), _planes(gain[hot]))
+    own, log_alpha, follows = own[~common], log_alpha[~common], follows[~common]
+    for p, lo, hi in _spans(_part(own, parts)):
+        yield _row(p, BACKOFFS, _deltas(own[lo:hi]), _planes(log_alpha[lo:hi]))
+    hot = follows * most >= total
+    yield _row(0, HOT_BACKOFFS, _deltas(own[hot]), _planes(log_alpha[hot]))
+
+
+def _sums(docs: np.ndarray, score: np.ndarray, base: np.ndarray | None, hits: np.ndarray | None) -> list[bytes]:
+    """Packed sums per document: the documents, score, base, hits."""
+    touched = np.unique(docs)
+    total = lambda x: np.bincount(docs, x, minlength=int(touched[-1]) + 1)[touched] if touched.size else np.zeros(0)
+    none = np.zeros(0)
+    return [_planes(touched.astype(np.uint16)), _planes(total(score)), _planes(total(base) if base is not None else none), _planes((total(hits.astype(float)) if hits is not None else none).astype(np.uint32))]
+
+
+def _send_scoring(batches: Iterator[pa.RecordBatch], parts: int, bigrams: bool, hot: Known) -> Iterator[pa.RecordBatch]:
+    """The tokens of all text by word or by bigram, with the document of each; hot keys come as sums.  hot has the base's log, log P and log alpha of a
+    word, or the gain of a bigram."""
+    for chunk in _chunks(batches):
+        keys = _joint(chunk.history, chunk.words) if bigrams else chunk.words
+        at, there = hot.find(keys)
+        if there.any():
+            values, docs = hot.values[at[there]], chunk.docs[there].astype(np.int64)
+            sums = _sums(docs, values, None, None) if bigrams else _sums(docs, values[:, 1] + values[:, 2], values[:, 0], np.ones(docs.size))
+            yield _row(chunk.name % parts, chunk.name, None, *sums)
+        keys, docs = keys[~there], chunk.docs[~there]
+        order = np.argsort(keys, kind="stable")
+        at = _distinct(keys[order])
+        times, own, bounds = np.diff(np.append(at, keys.size)).astype(np.uint32), keys[order[at]], np.append(at, keys.size)
+        for p, lo, hi in _spans(_part(own, parts)):
+            yield _row(p, chunk.name, _deltas(own[lo:hi]), _planes(times[lo:hi]), _planes(docs[order[bounds[lo] : bounds[hi]]]))
+
+
+def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the sum of their counts, and a place of each in the concatenated keys."""
+    if not keys or not sum(k.size for k in keys):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    all_keys, all_counts = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+    order = np.argsort(all_keys, kind="stable")
+    at = _distinct(all_keys[order])
+    return all_keys[order[at]], np.add.reduceat(all_counts[order], at), order[at]
+
+
+def _word_values(words: np.ndarray, n: np.ndarray, alpha: np.ndarray, d1: list[float], total: int, types: int) -> np.ndarray:
+    """The base's log, log P and log alpha of words with their counts."""
+    return np.stack([np.log10((n + 0.5) / (total + 0.5 * (types + 1))), np.log10(_off(n, d1) / total), alpha], axis=1)
+
+
+def _apply(batches: Iterator[pa.RecordBatch], words: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None, unseen: tuple[float, float]) -> Iterator[pa.RecordBatch]:
+    """Sums per chunk and document of a partition's values.  For words, `words` makes their values of the tables, and `unseen` has base and log P of a word
+    without a row; without it the tables are gains of bigrams, 0 without a row."""
+    tables, chunks = _gather(batches)
+    if words is None:
+        known = _table(tables.get(GAINS, []), np.float64)
+        missing = np.zeros(1)
+    else:
+        counts, backoffs = _table(tables.get(WORDS, []), np.uint64), _table(tables.get(BACKOFFS, []), np.float64)
+        at, there = backoffs.find(counts.keys)
+        alpha = np.where(there, backoffs.values[at], 0.0) if backoffs.keys.size else np.zeros(counts.keys.size)
+        known = Known(counts.keys, words(counts.keys, counts.values.astype(np.int64), alpha)) if counts.keys.size else Known(counts.keys, np.zeros((0, 3)))
+        missing = np.array([[unseen[0], unseen[1], 0.0]])
+    value = np.concatenate((known.values, missing))
+    for row in chunks:
+        out = [row[k] for k in "bcde"]
+        if row["a"] is not None:
+            at, there = known.find(_undelta(row["a"]))
+            each = np.repeat(np.where(there, at, known.keys.size), _unplane(row["b"], np.uint32))
+            docs = _unplane(row["c"], np.uint16).astype(np.int64)
+            out = _sums(docs, value[each], None, None) if words is None else _sums(docs, value[each, 1] + value[each, 2], value[each, 0], each < known.keys.size)
+        yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), *[pa.array([x], pa.binary()) for x in out]], ["chunk", "docs", "score", "base", "hits"])
 
 
 def _meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,17 +398,17 @@ def _total(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
-def discounts(counts: dict[int, int], least: int = 1) -> list[float]:
-    """d(r) for r = 0 to GOOD_TURING: r* / r with r* = (r + 1) n(r + 1) / n(r) where that lies in (0, 1), else (r - 0.5) / r; 0 below `least`."""
+def discounts(counts: dict[int, int]) -> list[float]:
+    """d(r) for r = 0 to GOOD_TURING: r* / r with r* = (r + 1) n(r + 1) / n(r) where that lies in (0, 1), else (r - 0.5) / r."""
     out = [0.0]
     for r in range(1, GOOD_TURING + 1):
         star = (r + 1) * counts.get(r + 1, 0) / counts[r] / r if counts.get(r) else 0.0
-        out.append(0.0 if r < least else star if 0 < star < 1 else (r - 0.5) / r)
+        out.append(star if 0 < star < 1 else (r - 0.5) / r)
     return out
 
 
 def _discounted(n: Column, d: list[float]) -> Column:
-    """d(n) * n; a count beyond GOOD_TURING loses half a count, so that every history leaves something for other words."""
+    """_off() as a column."""
     return F.when(n <= GOOD_TURING, F.element_at(F.array(*[F.lit(x) for x in d]), (n + 1).cast("int")) * n).otherwise(n - 0.5)
 
 
@@ -268,80 +430,87 @@ def score(docs: DataFrame, trains: Column | None = None, text: str = "text", doc
     trains tells which rows the model learns from; by default those whose crc32 of the id as text leaves another remainder by 5
     than 1 (a null id counts as the empty text).  A null text is empty: its one token is the end.  n_known counts tokens seen in training.
     The base is an add-half unigram model.  Nothing to learn from: only the unseen class has probability, and score is 0.  Repeated
-    rows give repeated rows, each counted; other columns are ignored.
+    rows give repeated rows, each counted; other columns are ignored.  docs is read several times and has to come in the same order
+    each time, as a written table does; where it doesn't, this raises.
     """
     spark = docs.sparkSession
     with _files_cleaned(spark):
         return _score(spark, docs, trains, text, doc_id)
 
 
+def _unpacked(rows: list, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    found = _table([{"a": r["a"], "b": r["b"]} for r in rows if r["chunk"] == kind], np.float64)
+    return found.keys, found.values
+
+
 def _score(spark: SparkSession, docs: DataFrame, trains: Column | None, text: str, doc_id: str) -> DataFrame:
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_ = F.col(doc_id).cast("long")
     learn = F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % 5 != 1 if trains is None else F.coalesce(trains, F.lit(False))
     given = docs.select(id_.alias("doc_id"), learn.alias("trains"), F.concat(text_of(text), F.lit(" ")).alias("body"))
+    meta = stash(given.mapInArrow(_meta, "chunk long, ids array<long>, trains array<boolean>, lengths array<long>"), "documents")
+    tokens = meta.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    most = HOT
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(tokens) // PART_TOKENS))
 
-    def send(bigrams: bool, with_docs: bool) -> DataFrame:
-        return given.mapInArrow(lambda b: _send(b, parts, bigrams, with_docs), _ROW)
+    def packed(rows: DataFrame, f: Callable) -> DataFrame:
+        return rows.mapInArrow(f, _ROW)
 
     def deal(rows: DataFrame, f: Callable, schema: str) -> DataFrame:
         return rows.repartitionById(parts, "p").mapInArrow(f, schema)
 
-    def count(bigrams: bool, least: int) -> tuple[DataFrame, dict[int, int]]:
-        found = deal(send(bigrams, False), lambda b: _count(b, bigrams, least), "p int, history long, word long, n long")
-        found = stash(found, "bigrams" if bigrams else "words")
-        stats = {r["word"]: r["n"] for r in found.where("p < 0").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row for each small count
-        return found.where("p >= 0"), stats
-
-    meta = stash(given.mapInArrow(_meta, "chunk long, ids array<long>, trains array<boolean>, lengths array<long>"), "documents")
-    unigrams, few = count(False, 1)
-    total, types, ends = unigrams.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.col("word") == int(END.view(np.int64)), F.col("n")))).first()
+    found = stash(deal(packed(given, lambda b: _send_words(b, parts)), _count_words, "p int, word long, n long"), "words")
+    small = {r["word"]: r["n"] for r in found.where("p < 0").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row for each small count
+    unigrams, d1 = found.where("p >= 0"), discounts(small)
+    end = F.col("word") == int(END.view(np.int64))
+    total, types, ends, mass = unigrams.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(end, F.col("n"))), F.sum(_discounted(F.col("n"), d1))).first()
     total, types, ends = int(total or 0), int(types or 0), int(ends or 0)
-    d1 = discounts(few)
-    mass = unigrams.agg(F.sum(_discounted(F.col("n"), d1))).first()[0] or 0.0
     spare = 1.0 - float(mass) / total if total else 1.0
     unseen = (math.log10(0.5 / (total + 0.5 * (types + 1))), math.log10(spare))
-    p_word = _discounted(F.col("n"), d1) / total if total else F.lit(1.0)
-
-    bigrams, pairs = count(True, MIN_COUNT)
-    d2 = discounts(pairs, MIN_COUNT)
-    priced = unigrams.select("word", p_word.alias("p_word"))
-    entries = stash(bigrams.join(priced, "word").select("history", "word", "p_word", _discounted(F.col("n"), d2).alias("kept")), "entries")
-    drop_stash(bigrams)
-    sums = stash(entries.groupBy("history").agg(F.sum("kept").alias("kept"), F.sum("p_word").alias("covered")), "histories")
-    # the start is followed as often as texts end
-    starts = spark.createDataFrame([(int(BOS.view(np.int64)), ends)], "word long, n long")
-    followed = unigrams.where(F.col("word") != int(END.view(np.int64))).select("word", "n").unionByName(starts)
-    alpha = followed.join(sums, F.col("word") == F.col("history")).select("history", "n", F.log10((1 - F.col("kept") / F.col("n")) / (1 - F.col("covered"))).alias("log_alpha"))
-    alpha = stash(alpha, "backoffs")
-    first = alpha.where(F.col("history") == int(BOS.view(np.int64))).first()
-    start = float(first["log_alpha"]) if first else 0.0
-
-    gain = entries.join(alpha.select("history", F.col("n").alias("followed"), "log_alpha"), "history")
-    gain = gain.select("history", "word", (F.log10(F.col("kept") / F.col("followed")) - F.log10("p_word") - F.col("log_alpha")).alias("gain"))
-    blank = lambda names: [F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in _ROW.split(", ")) if n in names]
-    # joint keys are made where they are needed: in Python, a batch at a time
-    gain = stash(gain.mapInArrow(lambda b: _keyed(b, parts), "p int, key long, first double"), "gains")
+    # no more than `parts` words have a partition's share of the tokens, and no more than `most` one in so many of them
+    hot_rows = unigrams.where(F.col("n") * max(most, parts) >= total).select("word", "n").collect()
+    hot_words = Known(np.array([r["word"] for r in hot_rows], np.int64).view(np.uint64), np.array([r["n"] for r in hot_rows], np.uint64))
+    share = hot_words.values.astype(float) * parts >= total
+    often = Known(hot_words.keys[share], hot_words.values[share])
+    table = packed(unigrams.select("p", "word", "n"), _words_out)
+
+    pairs = packed(given, lambda b: _send_pairs(b, parts, often)).unionByName(table)
+    entries = stash(deal(pairs, lambda b: _count_pairs(b, often), "kind int, history long, word long, n long, c long"), "entries")
+    few = {r["word"]: r["n"] for r in entries.where("kind = 1").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row for each small count
+    d2, entries = discounts(few), entries.where("kind = 0").drop("kind")
+    # histories that stand too often for one partition, and the start, which is followed as often as texts end
+    follows = {int(k): int(n) for k, n in zip(often.keys.view(np.int64), often.values) if k != END} | {int(BOS.view(np.int64)): ends}
+    listed = F.broadcast(spark.createDataFrame([(h,) for h in follows], "history long"))
+    p_word = _discounted(F.col("c"), d1) / max(total, 1)
+    sums = entries.join(listed, "history").groupBy("history").agg(F.sum(_discounted(F.col("n"), d2)).alias("kept"), F.sum(p_word).alias("covered")).collect()  # a row for each of those
+    facts = np.array([[follows[r["history"]], r["kept"], r["covered"]] for r in sums]).reshape(-1, 3)
+    common = Known(np.array([r["history"] for r in sums], np.int64).view(np.uint64), facts)
+
+    dealt = packed(entries.select("history", "word", "n", "c"), lambda b: _send_entries(b, parts, common)).unionByName(table)
+    priced = stash(deal(dealt, lambda b: _price(b, parts, most, d1, d2, total, common), _ROW), "gains")
     drop_stash(entries)
-    table = gain.select("p", *blank(["chunk", "a", "b", "times", "docs", "trained"]), "key", "first", *blank(["second", "third"]))
+    heads = priced.where(F.col("chunk").isin(HOT_GAINS, HOT_BACKOFFS)).select("chunk", "a", "b").collect()  # no more than HOT keys of each
+    hot_pairs = Known(*_unpacked(heads, HOT_GAINS))
+    own, sums_of = _unpacked(heads, HOT_BACKOFFS), common.values
+    alphas = Known(np.concatenate((own[0], common.keys)), np.concatenate((own[1], np.log10((1 - sums_of[:, 1] / sums_of[:, 0]) / (1 - sums_of[:, 2])))))
+    at, there = alphas.find(np.array([BOS]))
+    start = float(alphas.values[at[0]]) if there[0] else 0.0
+
     sparse = "chunk long, docs binary, score binary, base binary, hits binary"
-    by_pairs = stash(deal(send(True, True).unionByName(table), lambda b: _apply(b, False, (0.0, 0.0)), sparse), "pair-sums")
-    drop_stash(gain)
+    tokens_by_pair = packed(given, lambda b: _send_scoring(b, parts, True, hot_pairs)).unionByName(priced.where(F.col("chunk") == GAINS))
+    by_pairs = stash(deal(tokens_by_pair, lambda b: _apply(b, None, (0.0, 0.0)), sparse), "pair-sums")
+
+    def values(words: np.ndarray, n: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+        return _word_values(words, n, alpha, d1, total, types)
 
-    base = F.log10((F.col("n") + 0.5) / (total + 0.5 * (types + 1)))
-    values = unigrams.join(alpha.select(F.col("history").alias("word"), "log_alpha"), "word", "left")
-    values = values.select("p", *blank(["chunk", "a", "b", "times", "docs", "trained"]), F.col("word").alias("key"), base.alias("first"), F.log10(p_word).alias("second"), F.coalesce("log_alpha", F.lit(0.0)).alias("third"))
-    by_words = stash(deal(send(False, True).unionByName(values), lambda b: _apply(b, True, unseen), sparse), "word-sums")
+    at, there = alphas.find(hot_words.keys)
+    hot_alpha = np.where(there, alphas.values[at], 0.0) if alphas.keys.size else np.zeros(hot_words.keys.size)
+    hot = Known(hot_words.keys, values(hot_words.keys, hot_words.values.astype(np.int64), hot_alpha) if total else np.zeros((0, 3)))
+    tokens_by_word = packed(given, lambda b: _send_scoring(b, parts, False, hot)).unionByName(table).unionByName(priced.where(F.col("chunk") == BACKOFFS))
+    by_words = stash(deal(tokens_by_word, lambda b: _apply(b, values, unseen), sparse), "word-sums")
+    drop_stash(priced)
 
     none = [F.lit(None).cast(t).alias(n) for n, t in (("ids", "array<long>"), ("trains", "array<boolean>"), ("lengths", "array<long>"))]
     nothing = [F.lit(None).cast("binary").alias(n) for n in ("docs", "score", "base", "hits")]
     parts_ = by_pairs.unionByName(by_words).select("*", *none).unionByName(meta.select("chunk", *nothing, "ids", "trains", "lengths"))
     scored = parts_.groupBy("chunk").applyInArrow(_total, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("score") + start).alias("score"))
-
-
-def _keyed(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        history, word = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-        keys = _joint(history, word)
-        yield pa.RecordBatch.from_arrays([pa.array(_part(keys, parts).astype(np.int32)), pa.array(keys.view(np.int64)), batch.column(2)], ["p", "key", "first"])
