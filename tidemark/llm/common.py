@@ -42,10 +42,10 @@ def stash(df: DataFrame, label: str) -> DataFrame:
 
 
 def drop_stash(df: DataFrame) -> None:
-    """Delete the files behind a stash() that nothing will read again."""
+    """Delete the files behind a stash(), or part of one, that nothing will read again."""
     spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import K1, K2, first_copies, stash, text_of
+from tidemark.llm.common import K1, K2, drop_stash, first_copies, stash, text_of
 
 #: Characters of a block: most documents have several.
 BLOCK = 1024
@@ -60,11 +60,12 @@ def _name_blocks(docs: DataFrame, text: str, doc_id: str, block: int) -> DataFra
 
 
 def identities(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """One row per document: rid, doc_id, sha (binary SHA-256 of the text), level, name.
+    """One row per document: rid, doc_id, sha (binary SHA-256 of the text), level, name; a written table.
 
     Two documents have the same text if and only if level and name are equal.
     """
     level0 = stash(_name_blocks(docs, text, doc_id, block), "blocks")
+    spent = [level0]
     done = level0.where("blocks = 1").select("rid", "doc_id", "sha", F.lit(0).alias("level"), "name")
     active = level0.where("blocks > 1")
     most = active.agg(F.max("blocks")).first()[0] or 1
@@ -86,7 +87,11 @@ def identities(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bloc
         named = stash(named.select("rid", "doc_id", "sha", "blocks", "pos", "name"), f"level{level}")
         done = done.unionByName(named.where("blocks = 1").select("rid", "doc_id", "sha", F.lit(level).alias("level"), "name"))
         active = named.where("blocks > 1")
-    return done
+        spent += [names, named]
+    found = stash(done, "identities")
+    for table in spent:
+        drop_stash(table)
+    return found
 
 
 def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
@@ -97,7 +102,7 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bl
     other.  Of rows that repeat both doc_id and text one stays.  Other columns of docs are ignored,
     whatever their names.  An empty table gives no rows.  group names the set of equal texts.
     """
-    found = stash(identities(docs, text, doc_id, block), "identities")
+    found = identities(docs, text, doc_id, block)
     groups = found.groupBy("level", "name").agg(
         F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "rid")).alias("last"), F.min("rid").alias("group")
     )

@@ -217,12 +217,14 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, text: str =
     )
     facts = heads.select("node", "n", "b0", "b1")
     members = heads.select("node", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stash(members.join(stash(buckets, "buckets"), "band").select("band", "size", "node"), "shared")
-    weights = stash(members.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
-    hubs = members.join(weights, "node").groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("back"))).alias("top"))
-    members = members.join(stash(hubs.select("band", (-F.col("top.back")).alias("hub")), "hubs"), "band")
-    members = stash(members.select("band", "size", "hub", "node"), "members")
+    buckets = stash(members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
+    shared = stash(members.join(buckets, "band").select("band", "size", "node"), "shared")
+    weights = stash(shared.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    hubs = shared.join(weights, "node").groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("back"))).alias("top"))
+    hubs = stash(hubs.select("band", (-F.col("top.back")).alias("hub")), "hubs")
+    members = stash(shared.join(hubs, "band").select("band", "size", "hub", "node"), "members")
+    for table in (buckets, shared, weights, hubs):
+        drop_stash(table)
     stars = members.where("hub <> node").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
     met = stars.alias("p").join(facts.alias("l"), F.expr("l.node = p.u")).join(facts.alias("r"), F.expr("r.node = p.v")).where(_alike(percent))
     stars = stash(met.select("p.u", "p.v").distinct(), "stars")
@@ -258,8 +260,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, text: str =
     if not more.isEmpty():
         further = _confirm(more, sets, percent)
         found = stash(components(links.unionByName(further)), "components")
-    drop_stash(members)
-    drop_stash(sets)
+    for table in (members, sets, pool, places, heads, stars, links, more):
+        drop_stash(table)
 
     named = classes.join(found, classes["least"] == found["node"], "left").select("digest", F.coalesce("component", "least").alias("component"))
     out = signed.select("k1", "k2", "node", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
