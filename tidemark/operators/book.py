@@ -62,14 +62,14 @@ def _sweeps(book: DataFrame, side: str, sizes: list[float], keys: list[str]) ->
     levels = levels.withColumn("order_size", F.explode(F.array(*[F.lit(float(s)) for s in sizes])))
     levels = levels.withColumn("take", F.greatest(F.lit(0.0), F.least(F.col("order_size") - F.col("ahead"), F.col("size"))))
     snaps = levels.groupBy(*keys, "order_size", "ts_ns").agg(
-        F.sum(F.col("take") * F.col("price")).alias("notional"), F.sum("take").alias("filled"), F.sum(F.when(F.col("take") > 0, 1.0).otherwise(0.0)).alias("levels"),
+        F.sum(F.col("take") * F.col("price")).alias("notional"), F.sum("take").alias("filled"), F.sum(F.when(F.col("take") > 0, 1.0).otherwise(0.0)).alias("levels"), F.sum("size").alias("depth"),
         (F.min("price") if side == "buy" else F.max("price")).alias("touch"),
     )
     vwap = safe_div("notional", "filled")
     return snaps.groupBy(*keys, "order_size").agg(
         F.count(F.lit(1)).alias("snapshots"), F.count(F.when(F.col("filled") >= F.col("order_size") - 1e-9, 1)).alias("filled_snapshots"),
         F.avg(vwap).alias("vwap"), F.avg(sign * (vwap - F.col("touch")) / F.col("touch") * 1e4).alias("slippage"), F.avg("levels").alias("levels"),
-        F.avg(F.col("filled") / F.col("order_size")).alias("fill"),
+        F.avg(F.col("filled") / F.col("order_size")).alias("fill"), F.avg("depth").alias("depth"),
     )
 
 
@@ -91,10 +91,7 @@ def sweep_curve(book: DataFrame, side: str, sizes: list[float], keys: list[str]
     sizes = sorted(float(s) for s in sizes)
     if len(sizes) < 2 or any(b == a for a, b in zip(sizes, sizes[1:])):
         raise ValueError("sizes must be at least two, without repeats")
-    taken = "ask" if side == "buy" else "bid"
-    depth = book.where(F.col("side") == taken).groupBy(*keys, "ts_ns").agg(F.sum("size").alias("d")).groupBy(*keys).agg(F.avg("d").alias("depth"))
     rows = _sweeps(book, side, sizes, keys)
-    rows = rows.join(depth, keys) if keys else rows.crossJoin(depth)
     rows = rows.withColumn("p", F.col("order_size") / F.col("depth")).withColumn("y", r8("slippage")).withColumn("fitted", F.col("fill") >= 1 - 1e-9)
     w = Window.partitionBy(*keys)
     fit = lambda x: F.sum(F.when(F.col("fitted"), x)).over(w)
