@@ -5,16 +5,18 @@
 2. Documents with equal sets form a class; only its representative goes on, so copies
    never meet as pairs.
 3. In each bucket (representatives that share a band key) the members are paired with one hub only: the
-   member that shares the most buckets with others, which is where near copies have their original.  Pairs whose sizes or signature bits rule the threshold out go; the rest are confirmed
-   on the full shingle sets.  Confirmed links are joined to components.
+   member that shares the most buckets with others, which is where near copies have their original.  Pairs whose sizes or
+   signature bits rule the threshold out go; the rest are confirmed on the full shingle sets.  Confirmed links are joined to components.
 4. Buckets whose members still lie in different components may hold links that the star missed.  Their members'
    shingles are ordered by rarity among them.  Sets with enough in common share one of their first shingles, so members of different
    components meet there (in blocks of BUCKET_BLOCK where many do), and unless sizes, signatures or the place of that
    shingle rule a link out, they are confirmed in the same way.  After that every pair that shares a bucket is in one
-   component or known not to be a link: none is lost, and no group is expanded into all pairs.
+   component or known not to be a link, and no group is expanded into all pairs.
 5. Components by alternating large-star and small-star.
 
-With 32 bands of 4 rows a pair at similarity 0.8 shares no bucket with probability 5e-8.
+What can be lost is a link whose documents share no bucket (with 32 bands of 4 rows at similarity 0.8: probability 5e-8) or whose
+signature bits agree in too few places (under 1e-8); a link counts only if it joins components that nothing else joins.
+Shingles are compared as 64-bit hashes.
 """
 
 from __future__ import annotations
