@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import r8, require, safe_div
-from tidemark.operators.ticks import profile, session_vwap
+from tidemark.operators.ticks import profile
 
 
 def check_order(bucket_ns: int, parent_qty: float | None, caps: list[float], coef_bps: float, perm_coef_bps: float) -> None:
@@ -38,13 +38,15 @@ def pov_schedule(ticks: DataFrame, bucket_ns: int, parent_qty: float, cap: float
     rows = measured(ticks, bucket_ns, keys).withColumn("p", q / F.col("total"))
     rows = rows.withColumn("p", F.when(F.col("p") > cap, F.raise_error(F.lit("the order needs more than the cap's participation")).cast("double")).otherwise(F.col("p")))
     rows = rows.withColumn("temp", F.col("share") * c * F.sqrt("p")).withColumn("perm", F.col("share") * k * F.col("p")).withColumn("tp", q / F.col("slots") / F.col("volume"))
-    sums = rows.groupBy(*keys).agg(
-        F.sum(F.col("share") * F.col("vwap")).alias("pov_price"), (F.sum("temp") + F.sum("perm")).alias("pov_impact"), F.avg("vwap").alias("twap_price"),
-        (F.avg(F.sqrt("tp") * c) + F.avg(F.col("tp") * k)).alias("twap_impact"), F.max("tp").alias("twap_max"),
-    )
-    mark = session_vwap(ticks, keys)
-    for other in (sums, mark.withColumnRenamed("vwap", "session_vwap")):
-        rows = rows.join(other, keys) if keys else rows.crossJoin(F.broadcast(other))
+    # a session's totals by windows over the slots that its profile has brought together already
+    w = Window.partitionBy(*keys)
+    every = lambda f: f.over(w)
+    totals = {
+        "pov_price": every(F.sum(F.col("share") * F.col("vwap"))), "pov_impact": every(F.sum("temp")) + every(F.sum("perm")), "twap_price": every(F.avg("vwap")),
+        "twap_impact": every(F.avg(F.sqrt("tp") * c)) + every(F.avg(F.col("tp") * k)), "twap_max": every(F.max("tp")),
+        "session_vwap": r8(every(F.sum(F.col("vwap") * F.col("volume"))) / F.col("total")),
+    }
+    rows = rows.select("*", *[v.alias(name) for name, v in totals.items()])
     off = lambda x: r8((F.col(x) - F.col("session_vwap")) / F.col("session_vwap") * 1e4)
     return rows.select(
         *keys, "slots", r8("total").alias("total_volume"), r8("p").alias("participation"), "session_vwap", r8("pov_price").alias("pov_price"), off("pov_price").alias("pov_tracking_bps"), r8("pov_impact").alias("pov_impact_bps"),
