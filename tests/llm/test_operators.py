@@ -365,6 +365,38 @@ def test_leaks(spark):
     assert decontamination.drop_leaks(odd.documents(spark), b).count() == len(odd.rows())
 
 
+def files_written(spark, monkeypatch, module, labels, run):
+    """The files of each table that module stashes, with 40 shuffle partitions that nothing joins."""
+    found = {}
+
+    def counted(df, label, real=module.stash):
+        out = real(df, label)
+        found[label] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(module, "stash", counted)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        run()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return {k: found[k] for k in labels}
+
+
+def test_leaks_write_few_files(spark, monkeypatch):
+    rng = random.Random(4)
+    items = [(k, odd.words(rng, 20)) for k in range(60)]
+    docs = spark.createDataFrame([(k, odd.words(rng, 10) + " " + t) for k, t in items], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    kept = []
+    got = files_written(spark, monkeypatch, decontamination, ("benchmark", "candidates", "leaks"), lambda: kept.append(decontamination.drop_leaks(docs, benchmark).count()))
+    assert kept == [0] and max(got.values()) <= spark.sparkContext.defaultParallelism + 1
+
+
 # language
 
 

@@ -41,6 +41,15 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """df, a small table, in at most as many partitions as there are cores, whatever the number of shuffle partitions.
+
+    Hadoop's local writer starts processes for every file, and until such a process runs its own program it counts with its executor's
+    whole memory.  The stage that makes df keeps its tasks; adaptive execution joins small partitions and splits large ones.
+    """
+    return df.hint("rebalance", df.sparkSession.sparkContext.defaultParallelism)
+
+
 def drop_stash(df: DataFrame) -> None:
     """Delete the files behind a stash(), or part of one, that nothing will read again."""
     spark = df.sparkSession

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_rows, stash, text_of
+from tidemark.llm.common import drop_rows, few_files, stash, text_of
 
 WINDOW = 5
 #: Share of an item's windows that have to match on neighbouring diagonals.
@@ -161,8 +161,8 @@ def find_leaks(
     given = docs.select(F.xxhash64(id_, body).alias("k1"), F.xxhash64(body, id_, F.lit(7)).alias("k2"), id_.alias("doc_id"), body.alias("body"))
     items = benchmark.select(F.col(item_id).alias("item_id"), text_of(item_text).alias("body")).distinct()
     wanted = _windows(items, ["item_id"], "body", True, True).select("item_id", "form", "windows", F.col("pos").alias("at"), "key", F.col("first").alias("item_first"), F.col("last").alias("item_last"))
-    wanted = stash(wanted, "benchmark")
-    without = stash(items.join(wanted.select("item_id").distinct(), "item_id", "left_anti"), "short-items")
+    wanted = stash(few_files(wanted), "benchmark")
+    without = stash(few_files(items.join(wanted.select("item_id").distinct(), "item_id", "left_anti")), "short-items")
     if wanted.count() <= BROADCAST_WINDOWS:
         wanted = F.broadcast(wanted)
 
@@ -176,7 +176,7 @@ def find_leaks(
     enough = F.col("matched") >= coverage * F.col("windows")
     held = meet(given).groupBy(*keys, "item_id", "form", "windows", "start").agg(F.collect_set("at").alias("places")).withColumn("bucket", buckets)
     held = held.groupBy(*keys, "item_id", "form", "windows", "bucket").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched")).where(enough)
-    again = stash(held.select("k1", "k2").distinct(), "candidates")
+    again = stash(few_files(held.select("k1", "k2").distinct()), "candidates")
     if again.count() <= BROADCAST_DROPS:
         again = F.broadcast(again)
     met = meet(given.join(again, ["k1", "k2"], "left_semi"), "first", "last", "item_first", "item_last")
@@ -206,7 +206,7 @@ def find_leaks(
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs, all columns, that hold no benchmark item."""
-    leaks = stash(find_leaks(docs, benchmark, coverage, text, doc_id).select("k1", "k2").distinct(), "leaks")
+    leaks = stash(few_files(find_leaks(docs, benchmark, coverage, text, doc_id).select("k1", "k2").distinct()), "leaks")
     if leaks.count() <= BROADCAST_DROPS:
         leaks = F.broadcast(leaks)
     return drop_rows(docs, leaks, text, doc_id)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontamination, exact_dedup, html_text, katz, language_id, near_dedup, packing, pii, substring_dedup, url_rules
-from tidemark.llm.common import table
+from tidemark.llm.common import few_files, table
 
 ORACLES: dict[str, str] = {}
 
@@ -76,7 +76,7 @@ def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", "start", "matched", "windows", "exact")
+    return few_files(found.select("doc_id", "item_id", "start", "matched", "windows", "exact"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
