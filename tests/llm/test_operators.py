@@ -423,6 +423,17 @@ def test_host_priors_decide_short_texts(spark):
     assert got[100] == "aa" and got[101] == "zz"
 
 
+def test_languages_write_few_files(spark, monkeypatch):
+    rng = random.Random(6)
+    labelled = spark.createDataFrame([(k, odd.words(rng, 40), "aa", f"s{k}") for k in range(90)], "doc_id long, text string, lang string, source string")
+    pages = spark.createDataFrame([(k, f"https://s{k}.org/", f"<article><p>{odd.words(rng, 40)}</p></article>") for k in range(90)], "page_id long, url string, html string")
+    most = spark.sparkContext.defaultParallelism + 1
+    model, kept = language_id.fit(labelled), []
+    got = files_written(spark, monkeypatch, language_id, ("counts", "priors"), lambda: kept.append(language_id.identify_pages(pages, model).count()))
+    got |= files_written(spark, monkeypatch, html_text, ("subtrees", "templates"), lambda: kept.append(html_text.extract(pages).count()))
+    assert kept == [90, 90] and max(got.values()) <= most
+
+
 # substrings
 
 

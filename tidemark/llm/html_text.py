@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import after_scheme, host_of, stash
+from tidemark.llm.common import after_scheme, few_files, host_of, stash
 
 #: A subtree is a template when on so many different articles of its host, and on that share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.5
@@ -297,7 +297,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     """(host, subtree) of subtrees that recur on many different articles of their host."""
     seen = pages.select("host", "html").mapInArrow(lambda b: _count(b, by_name), "host string, subtree long, article long").distinct()
     counts = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("articles"))
-    counts = stash(counts.where((F.col("subtree") == 0) | (F.col("articles") >= min_pages)), "subtrees")
+    counts = stash(few_files(counts.where((F.col("subtree") == 0) | (F.col("articles") >= min_pages))), "subtrees")
     whole = counts.where("subtree = 0").select("host", F.col("articles").alias("all"))
     found = counts.where("subtree <> 0").join(whole, "host").where(F.col("articles") >= min_share * F.col("all"))
     return found.select("host", "subtree")
@@ -319,7 +319,7 @@ def extract(
         F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("html"),
         host_of(after_scheme(F.col(url))).alias("host"),
     )
-    found = stash(templates(given, min_pages, min_share, by_name), "templates")
+    found = stash(few_files(templates(given, min_pages, min_share, by_name)), "templates")
     # at most 1 / min_share times the subtrees of a page for each host
     by_host = found.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
     if found.count() <= BROADCAST_TEMPLATES:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import html_text
-from tidemark.llm.common import after_scheme, drop_rows, host_of, stash, text_of
+from tidemark.llm.common import after_scheme, drop_rows, few_files, host_of, stash, text_of
 
 #: Labelled rows of each language for the text model: the rows with the least hash of their id.
 PER_LANGUAGE = 400
@@ -140,7 +140,7 @@ def identify(rows: DataFrame, model: Model, text: Column, host: Column, declared
     seen = F.exists("weights", lambda w: w != 0)
     said = weighed.select("*", F.when(seen, F.element_at(names, best(F.col("weights")))).alias("text_language"), F.substring_index("host", ".", -2).alias("parent"))
     # priors: what the texts alone say, counted by host, parent and in all
-    counts = stash(said.where("text_language is not null").groupBy("parent", "host", "text_language").agg(F.count(F.lit(1)).alias("n")), "counts")
+    counts = stash(few_files(said.where("text_language is not null").groupBy("parent", "host", "text_language").agg(F.count(F.lit(1)).alias("n"))), "counts")
     each = [F.sum(F.when(F.col("text_language") == x, F.col("n")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(languages)]
     whole = counts.agg(*[F.coalesce(e, F.lit(0)) for e in each]).first()
     overall = [(float(c or 0) + 1.0) / (float(sum(c or 0 for c in whole)) + n) for c in whole]
@@ -152,7 +152,7 @@ def identify(rows: DataFrame, model: Model, text: Column, host: Column, declared
 
     middle = smoothed("p", [F.lit(x) for x in overall])
     priors = by_host.alias("h").join(by_parent.alias("p"), F.expr("h.parent = p.parent"))
-    priors = stash(priors.select(F.col("h.host").alias("host"), F.array(*[F.log(x) for x in smoothed("h", middle)]).alias("prior")), "priors")
+    priors = stash(few_files(priors.select(F.col("h.host").alias("host"), F.array(*[F.log(x) for x in smoothed("h", middle)]).alias("prior"))), "priors")
     plain = F.array(*[F.lit(float(np.log(x))) for x in overall])
     flat = float(np.log(0.01))  # prior of a text in no known language
     fused = said.join(priors, "host", "left").withColumn("prior", F.concat(F.coalesce("prior", plain), F.array(F.lit(flat))))
@@ -206,4 +206,4 @@ def drop_foreign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", la
     """The rows of docs, all columns, less those that identify_documents() doesn't keep: without letters, foreign to the
     labelled languages, or uncertain.  Repeated rows share their fate."""
     rejected = identify_documents(docs, text, doc_id, label, source, model).where("not kept").select("k1", "k2").distinct()
-    return drop_rows(docs, stash(rejected, "rejected"), text, doc_id)
+    return drop_rows(docs, stash(few_files(rejected), "rejected"), text, doc_id)
