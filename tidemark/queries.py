@@ -17,7 +17,10 @@ from tidemark.operators import book, fills, impact, pov, quotes, ticks
 from tidemark.sources import adapters, live, synthetic
 from tidemark.sources.adapters import BAR_NS, DAY_NS, SLOT_NS
 from tidemark.storage import new_path
+from tidemark.streaming import book as book_stream
 from tidemark.streaming import session as streaming
+from tidemark.streaming import trades
+from tidemark.streaming.state import to_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,7 +132,7 @@ _STREAM = f"""SELECT CAST(session_id AS VARCHAR) AS session, n AS rows, first_ts
 def stream_session(spark, sf_dir):
     """The table read as a stream and folded by state, to its end."""
     live = adapters.ticks(spark, sf_dir, stream=True)
-    return streaming.to_end(streaming.stream(live, "session_id", _CHUNK))
+    return streaming.to_end(streaming.stream(live, "session_id", _CHUNK), _CHUNK).drop("rows_held")  # counted while folding; at most peak_rows_in_memory, or the stream fails
 
 
 @_query(_STREAM)
@@ -317,6 +320,35 @@ def l2_top_levels(spark, sf_dir):
 _UPDATES_SPARK = ["event_id AS seq", "if(event_id % 2 = 0, 'bid', 'ask') AS side", "floor(value / 20) * 20e0 + 100 + event_id % 2 AS price", "(event_id * 7 % 5) * 1e0 AS size"]
 
 
+_SEEDS = "event_id % 1000 = 999"
+#: Top three levels after each message: every level's last size since the newest snapshot, at every message.
+_MOVES = f"""WITH RECURSIVE u AS (SELECT {_NS} AS ts_ns, {_UPDATES}, {_SEEDS} AS seeds FROM events),
+    m AS (SELECT *, count(*) FILTER (seeds) OVER (ORDER BY seq) AS epoch FROM u), l AS (SELECT DISTINCT side AS s, price AS p FROM u),
+    g AS (SELECT seq, ts_ns, seeds, epoch, s, p, CASE WHEN s = side AND p = price THEN size END AS z FROM m, l),
+    h AS (SELECT *, last_value(z IGNORE NULLS) OVER (PARTITION BY epoch, s, p ORDER BY seq) AS size FROM g),
+    r AS (SELECT *, row_number() OVER (PARTITION BY seq, s ORDER BY CASE WHEN s = 'bid' THEN -p ELSE p END) AS nth FROM h WHERE size > 0),
+    t AS (SELECT seq, ts_ns, list((s, p, size) ORDER BY s, nth) AS said FROM r WHERE nth <= 3 AND NOT seeds GROUP BY seq, ts_ns HAVING count(DISTINCT s) = 2),
+    @WRITTEN SELECT ts_ns, 'EVT' AS product, s AS side, nth - 1 AS level, [[p]] AS price, [[size]] AS size FROM k JOIN r USING (seq, ts_ns) WHERE nth <= 3"""
+
+
+def _l2_messages(spark, sf_dir):
+    rows = adapters._events(spark, sf_dir, stream=True)
+    return rows.selectExpr("'EVT' AS product", "ts_ns", *_UPDATES_SPARK, f"{_SEEDS} AS snapshot")
+
+
+@_query(_MOVES.replace("@WRITTEN", "k AS (SELECT seq, ts_ns FROM (SELECT *, lag(said) OVER (ORDER BY seq) AS before FROM t) WHERE before IS NULL OR said <> before)"))
+def l2_stream(spark, sf_dir):
+    """The book as state over a stream of its updates: written when its top levels moved, seeded anew by every thousandth message."""
+    return to_table(book_stream.l2_stream(_l2_messages(spark, sf_dir), 3), mode="append")
+
+
+@_query(_MOVES.replace("@WRITTEN", """w AS (SELECT min(ts_ns) AS ts_ns FROM t UNION ALL SELECT (SELECT min(t.ts_ns) FROM t WHERE t.ts_ns >= w.ts_ns + 3600000000000) FROM w WHERE w.ts_ns IS NOT NULL),
+    k AS (SELECT seq, ts_ns FROM t JOIN w USING (ts_ns))"""))
+def l2_stream_hourly(spark, sf_dir):
+    """The same book, written on a grid of an hour."""
+    return to_table(book_stream.l2_stream(_l2_messages(spark, sf_dir), 3, every=3600.0), mode="append")
+
+
 # impact and calibration
 
 
@@ -766,6 +798,13 @@ def replayed_trades(spark, sf_dir):
     return live.drop_replayed(rows)
 
 
+@_query(ORACLES["replayed_trades"])
+def replayed_trades_stream(spark, sf_dir):
+    """The same by a keyed greatest id over a stream."""
+    rows = adapters._events(spark, sf_dir, stream=True).selectExpr("ts_ns", "event_id as seq", "if(event_id % 7 = 3, event_id - 5, event_id) as trade_id", "'EVT' as product")
+    return to_table(trades.rising_trades(rows), mode="append")
+
+
 @_query(f"""WITH a AS (SELECT {_NS} AS ts_ns, event_id AS seq FROM events), f AS (SELECT arg_min(ts_ns, seq) AS t0 FROM a), e AS (SELECT min(seq) AS stop FROM a, f WHERE ts_ns >= t0 + 3600000000000)
     SELECT ts_ns, seq, 'EVT' AS product FROM a, e WHERE (stop IS NULL OR seq < stop) AND seq < 500 + (SELECT min(seq) FROM a)""")
 def capture_bounds(spark, sf_dir):
@@ -773,6 +812,13 @@ def capture_bounds(spark, sf_dir):
     return live.bound_capture(rows, count=500, seconds=3600.0)
 
 
+@_query(ORACLES["capture_bounds"])
+def capture_bounds_stream(spark, sf_dir):
+    """The same with count and end of a capture as state."""
+    rows = adapters._events(spark, sf_dir, stream=True).selectExpr("ts_ns", "event_id as seq", "'EVT' as product")
+    return to_table(trades.bounded(rows, count=500, seconds=3600.0), mode="append")
+
+
 def _held(rows: DataFrame, checks: dict[str, str]) -> DataFrame:
     """What a made capture promises, a row per promise."""
     row = F.struct(*[F.expr(c).alias(k) for k, c in checks.items()])
