@@ -1,21 +1,23 @@
 """Scenario studies: caps, half-lives, folds, windows and shares as tables beside the data, priced in one plan.
 
-Profiles are measured once and written: a row per session and slot.  A study is a table of folds (an input session and the sessions
-before it that it is forecast from), whose parameter grids are unfolded from the call's arguments, so their size is the study's,
-not the data's.  From the written profiles to the verdicts rows are dealt twice: by fold and slot, where a fold's
-history is pooled, and by fold and cap, where everything else is decided.
+Profiles are measured once and written: a row per session and slot.  A study is a table of folds, each an input session and a run of
+sessions that it is forecast from, made by Spark from the number of sessions.  A history is never unfolded into its members: windows over the
+sessions of a slot keep decayed running sums S(i) = share(i - 1) + d S(i - 1), and the pooled share of sessions h..i is a difference of two of
+them, S(i) - d^(i - h) S(h).  So a study costs a row for each fold and slot, however long the histories are.  Parameter grids are unfolded
+from the call's arguments.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import bucket_of, check_grid, r8, safe_div
 from tidemark.operators.pov import check_order, gains, plan_slots, price_plans
 from tidemark.storage import written
 
-Fold = tuple[int, list[int]]  #: input session, and its history in order, by place in the list of sessions
+#: A running sum's weights may fall by this power of two before it starts afresh; what is older has no bit left in a double.
+_FADES = 900
 _SCENARIO, _NEAR = ["fold", "cap", "parent_share", "half_life", "plan"], ["fold", "cap", "parent_share"]
 
 
@@ -68,36 +70,80 @@ def _headed(out: DataFrame, head: dict) -> DataFrame:
     return out.select(*[F.lit(v).cast(kind(k, v)).alias(k) for k, v in head.items()], "*")
 
 
-def fold_plans(prof: DataFrame, folds: list[Fold], caps: list[float], half_lives: list[float], parent_qty: float | None = None, parent_shares: list[float] | None = None) -> DataFrame:
+def _pools(prof: DataFrame, half_lives: list[float], sessions: int) -> DataFrame:
+    """prof with what folds are pooled from: newer (the share one session earlier), totals (the sum of totals so far), and for each half-life k
+    before_k and run_k, the decayed sums of the shares before the session and up to it.
+
+    Within blocks of _FADES half-lives the sums are prefix sums of scaled shares; a block takes over the sum at the end of the one before.
+    """
+    w = Window.partitionBy("slot").orderBy("idx")
+    rows = prof.withColumn("newer", F.lag("share").over(w)).withColumn("totals", F.sum("total").over(w))
+    for k, h in enumerate(half_lives):
+        decay = 1.0 if h == 0 else 0.5 ** (1.0 / h)
+        span = sessions if h == 0 else max(1, min(sessions, int(_FADES * h)))
+        power = lambda n, d=decay: F.pow(F.lit(d), n)
+        if span >= sessions:
+            run = power(F.col("idx")) * F.sum(F.col("share") * power(-F.col("idx"))).over(w)
+        else:
+            block, at = F.expr(f"idx div {span}"), F.col("idx") % span
+            rows = rows.withColumn("block_", block).withColumn("local_", power(at) * F.sum(F.col("share") * power(-at)).over(Window.partitionBy("slot", "block_").orderBy("idx")))
+            ended = F.max(F.when(at == span - 1, F.struct("block_", "local_"))).over(w.rowsBetween(Window.unboundedPreceding, -1))["local_"]
+            run = F.col("local_") + F.coalesce(power(at + 1) * ended, F.lit(0.0))
+        rows = rows.withColumn(f"run_{k}", run)
+        rows = rows.withColumn(f"before_{k}", F.coalesce(F.lag(f"run_{k}").over(w), F.lit(0.0)))
+    return rows
+
+
+def fold_plans(
+    prof: DataFrame, folds: DataFrame, sessions: int, caps: list[float], half_lives: list[float], parent_qty: float | None = None, parent_shares: list[float] | None = None, windows: bool = False
+) -> DataFrame:
     """A row per scenario and slot: fold, input, cap, parent_share (null with a quantity), half_life, plan, and the columns that plan_slots() prices.
 
+    folds: fold, input, lo, hi: the history is sessions lo..hi - 1 without the input.  windows: some lo is above 0.
     plan is 'forecast', from the history pooled with weights halved every half_life sessions (0: equal), or 'naive', the newest session's (its half_life is -1).
     """
-    spark = prof.sparkSession
-    rows = [(f, i, m, len(h) - 1 - k) for f, (i, h) in enumerate(folds) for k, m in enumerate(h)]
-    members = F.broadcast(spark.createDataFrame(rows, "fold int, input int, member int, age int"))
-    history = members.join(prof.select(F.col("idx").alias("member"), "slot", "share", "total"), "member")
-
-    def pooled(h: float) -> Column:
-        w = F.lit(1.0) if h == 0 else F.pow(F.lit(0.5), F.col("age") / F.lit(float(h)))
-        return F.sum(w * F.col("share")) / F.sum(w)
-
-    plans = [F.struct(F.lit("naive").alias("plan"), F.lit(-1.0).alias("half_life"), F.max(F.when(F.col("age") == 0, F.col("share"))).alias("plan_share"))]
-    plans += [F.struct(F.lit("forecast").alias("plan"), F.lit(float(h)).alias("half_life"), pooled(float(h)).alias("plan_share")) for h in half_lives]
-    # every session has the same slots, so the mean over a slot's members is the mean over the history
-    made = history.groupBy("fold", "input", "slot").agg(F.avg("total").alias("mean"), F.array(*plans).alias("plans"))
-    done = prof.select(F.col("idx").alias("input"), "slot", "bucket_ns", "volume", "vwap", F.col("share").alias("exec_share"), "session_vwap")
+    pools = _pools(prof, half_lives, sessions)
+    sums = [c for k in range(len(half_lives)) for c in (f"run_{k}", f"before_{k}")]
+    named = lambda tag, columns: [F.col(c).alias(f"{tag}_{c}") for c in columns]
+    ends = pools.select((F.col("idx") + 1).alias("hi"), "slot", *named("hi", ["share", "newer", "totals", *sums]))
+    own = pools.select(F.col("idx").alias("input"), "slot", "bucket_ns", "volume", "vwap", "session_vwap", *named("in", ["share", "total", *sums]))
+    rows = folds.join(own, "input").join(ends, ["hi", "slot"])
+    lo = {c: F.lit(0.0) for c in ("totals", *sums)}
+    if windows:
+        starts = pools.select((F.col("idx") + 1).alias("lo"), "slot", *named("lo", ["totals", *sums]))
+        rows = rows.join(starts, ["lo", "slot"], "left")
+        lo = {c: F.coalesce(f"lo_{c}", F.lit(0.0)) for c in lo}
+
+    # a session held out of its own history: those before it are one session nearer to the end
+    inside = (F.col("input") >= F.col("lo")) & (F.col("input") < F.col("hi"))
+    members = F.col("hi") - F.col("lo") - inside.cast("int")
+
+    def pooled(k: int, h: float) -> Column:
+        decay = 1.0 if h == 0 else 0.5 ** (1.0 / h)
+        power = lambda n: F.pow(F.lit(decay), n)
+        whole = F.col(f"hi_run_{k}") - power(F.col("hi") - F.col("lo")) * lo[f"run_{k}"]
+        gone = power(F.col("hi") - 1 - F.col("input")) * (F.col(f"in_run_{k}") - F.col(f"in_before_{k}"))
+        # sessions before lo in the input's own sums, too
+        gone = gone - (power(F.col("hi") - F.col("lo")) - power(F.col("hi") - F.col("lo") - 1)) * lo[f"run_{k}"] if windows else gone
+        weights = members if decay == 1.0 else (1 - power(members)) / (1 - decay)
+        return F.when(inside, whole - gone).otherwise(whole) / weights
+
+    newest = F.when(inside & (F.col("input") == F.col("hi") - 1), F.col("hi_newer")).otherwise(F.col("hi_share"))
+    plans = [F.struct(F.lit("naive").alias("plan"), F.lit(-1.0).alias("half_life"), newest.alias("plan_share"))]
+    plans += [F.struct(F.lit("forecast").alias("plan"), F.lit(float(h)).alias("half_life"), pooled(k, float(h)).alias("plan_share")) for k, h in enumerate(half_lives)]
+    mean = (F.col("hi_totals") - lo["totals"] - F.when(inside, F.col("in_total")).otherwise(0.0)) / members
     shares = [F.lit(None).cast("double")] if parent_shares is None else [F.lit(float(x)) for x in parent_shares]
-    rows = made.join(done, ["input", "slot"]).withColumn("one", F.explode("plans")).withColumn("cap", F.explode(F.array(*[F.lit(float(c)) for c in caps]))).withColumn("parent_share", F.explode(F.array(*shares)))
+    rows = rows.withColumn("mean", mean).withColumn("one", F.explode(F.array(*plans))).withColumn("cap", F.explode(F.array(*[F.lit(float(c)) for c in caps]))).withColumn("parent_share", F.explode(F.array(*shares)))
     qty = F.lit(float(parent_qty)) if parent_shares is None else F.col("parent_share") * F.col("mean")
-    return rows.select("fold", "input", "cap", "parent_share", "one.*", "slot", "bucket_ns", "volume", "vwap", "exec_share", "session_vwap", qty.alias("parent_qty"))
+    return rows.select("fold", "input", "cap", "parent_share", "one.*", "slot", "bucket_ns", "volume", "vwap", F.col("in_share").alias("exec_share"), "session_vwap", qty.alias("parent_qty"))
 
 
 def score_folds(
-    prof: DataFrame, folds: list[Fold], caps: list[float], half_lives: list[float], coef_bps: float, perm_coef_bps: float, parent_qty: float | None = None, parent_shares: list[float] | None = None
+    prof: DataFrame, folds: DataFrame, sessions: int, caps: list[float], half_lives: list[float], coef_bps: float, perm_coef_bps: float, parent_qty: float | None = None,
+    parent_shares: list[float] | None = None, windows: bool = False,
 ) -> DataFrame:
     """fold, cap, parent_share, half_life, plan and the columns of price_plans()."""
-    return price_plans(fold_plans(prof, folds, caps, half_lives, parent_qty, parent_shares), _SCENARIO, coef_bps, perm_coef_bps, _NEAR)
+    return price_plans(fold_plans(prof, folds, sessions, caps, half_lives, parent_qty, parent_shares, windows), _SCENARIO, coef_bps, perm_coef_bps, _NEAR)
 
 
 def gain_rows(scored: DataFrame, arm: str = "capped") -> DataFrame:
@@ -149,22 +195,27 @@ def _check_forecast(half_life: float, shortfall_bps: float | None) -> None:
         raise ValueError("shortfall_bps must be finite and >= 0")
 
 
-def _one_fold(history: list) -> list[Fold]:
-    return [(len(history), list(range(len(history))))]
+def _folds(spark: SparkSession, first: int, n: int, lo: str, hi: str) -> DataFrame:
+    """A fold for each session from `first` to n - 1, named by it."""
+    return spark.range(first, n).selectExpr("cast(id as int) as fold", "cast(id as int) as input", f"cast({lo} as int) as lo", f"cast({hi} as int) as hi")
+
+
+def _one_fold(spark: SparkSession, history: list) -> DataFrame:
+    return _folds(spark, len(history), len(history) + 1, "0", "id")
 
 
 def backtests(ticks: DataFrame, key: str, sessions: list, bucket_ns: int, parent_qty: float, caps: list[float], coef_bps: float, perm_coef_bps: float = 0.0) -> DataFrame:
     """Each session's profile as the plan for the next: input, cap and the columns of price_plans(), a row per pair and cap."""
     prof, head = _study(ticks, key, sessions, bucket_ns, caps, coef_bps, perm_coef_bps, parent_qty, 2)
-    pairs = [(i, [i - 1]) for i in range(1, len(sessions))]
-    scored = score_folds(prof, pairs, caps, [], coef_bps, perm_coef_bps, parent_qty)
-    return _headed(scored.select((F.col("fold") + 1).alias("input"), "cap", *[c for c in scored.columns if c not in (*_SCENARIO, "plan_cap")]), head)
+    pairs = _folds(ticks.sparkSession, 1, len(sessions), "id - 1", "id")
+    scored = score_folds(prof, pairs, len(sessions), caps, [], coef_bps, perm_coef_bps, parent_qty)
+    return _headed(scored.select(F.col("fold").alias("input"), "cap", *[c for c in scored.columns if c not in (*_SCENARIO, "plan_cap")]), head)
 
 
 def backtest_slots(ticks: DataFrame, key: str, sessions: list, bucket_ns: int, parent_qty: float, caps: list[float], coef_bps: float, perm_coef_bps: float = 0.0) -> DataFrame:
     """The schedule and both arms' sizes of backtests(): a row per pair, cap and slot."""
     prof, _ = _study(ticks, key, sessions, bucket_ns, caps, coef_bps, perm_coef_bps, parent_qty, 2)
-    rows = plan_slots(fold_plans(prof, [(i, [i - 1]) for i in range(1, len(sessions))], caps, [], parent_qty), _SCENARIO, coef_bps, perm_coef_bps, _NEAR)
+    rows = plan_slots(fold_plans(prof, _folds(ticks.sparkSession, 1, len(sessions), "id - 1", "id"), len(sessions), caps, [], parent_qty), _SCENARIO, coef_bps, perm_coef_bps, _NEAR)
     return rows.select("input", "cap", *_slot_columns())
 
 
@@ -181,7 +232,7 @@ def pov_forecast(
     _check_forecast(half_life, shortfall_bps)
     prof, head = _study(ticks, key, [*history, execution], bucket_ns, [cap], coef_bps, perm_coef_bps, parent_qty, 2)
     head |= {"sessions": len(history), "half_life": float(half_life), "shortfall_bps": shortfall_bps if shortfall_bps is None else float(shortfall_bps)}
-    scored = score_folds(prof, _one_fold(history), [cap], [half_life], coef_bps, perm_coef_bps, parent_qty)
+    scored = score_folds(prof, _one_fold(ticks.sparkSession, history), len(history) + 1, [cap], [half_life], coef_bps, perm_coef_bps, parent_qty)
     w = Window.partitionBy(*_NEAR)
     by = lambda plan, c: F.max(F.when(F.col("plan") == plan, F.col(c))).over(w)
     # the figures of both plans beside each other, on both rows
@@ -202,7 +253,7 @@ def forecast_slots(ticks: DataFrame, key: str, history: list, execution: object,
     """The schedules and both arms' sizes of pov_forecast(): a row per plan and slot."""
     _check_forecast(half_life, None)
     prof, _ = _study(ticks, key, [*history, execution], bucket_ns, [cap], coef_bps, perm_coef_bps, parent_qty, 2)
-    rows = plan_slots(fold_plans(prof, _one_fold(history), [cap], [half_life], parent_qty), _SCENARIO, coef_bps, perm_coef_bps, _NEAR)
+    rows = plan_slots(fold_plans(prof, _one_fold(ticks.sparkSession, history), len(history) + 1, [cap], [half_life], parent_qty), _SCENARIO, coef_bps, perm_coef_bps, _NEAR)
     return rows.select("plan", *_slot_columns())
 
 
@@ -219,7 +270,7 @@ def cap_sweep(ticks: DataFrame, key: str, history: list, execution: object, buck
     _check_forecast(half_life, None)
     caps = check_grid(cap_grid, "cap_grid", high=1.0)
     prof, head = _study(ticks, key, [*history, execution], bucket_ns, caps, coef_bps, perm_coef_bps, parent_qty, 2)
-    g = gain_rows(score_folds(prof, _one_fold(history), caps, [half_life], coef_bps, perm_coef_bps, parent_qty)).drop("fold", "half_life", "parent_qty", "parent_share")
+    g = gain_rows(score_folds(prof, _one_fold(ticks.sparkSession, history), len(history) + 1, caps, [half_life], coef_bps, perm_coef_bps, parent_qty)).drop("fold", "half_life", "parent_qty", "parent_share")
     whole = Window.partitionBy()  # a row for each cap of the grid
     g = g.withColumn("dominated", ~F.col("like_for_like") & F.col("breakeven_bps").isNull())
     g = g.withColumn("from_here", F.min(F.col("like_for_like").cast("int")).over(Window.orderBy("cap").rowsBetween(0, Window.unboundedFollowing)) == 1)
@@ -237,14 +288,14 @@ def hl_sweep(ticks: DataFrame, key: str, history: list, execution: object, bucke
     hls = check_grid(hl_grid, "hl_grid")
     prof, head = _study(ticks, key, [*history, execution], bucket_ns, [cap], coef_bps, perm_coef_bps, parent_qty, 2)
     n = len(history)
-    g = gain_rows(score_folds(prof, _one_fold(history), [cap], [0.0, *hls], coef_bps, perm_coef_bps, parent_qty))
+    g = gain_rows(score_folds(prof, _one_fold(ticks.sparkSession, history), len(history) + 1, [cap], [0.0, *hls], coef_bps, perm_coef_bps, parent_qty))
     w = Window.partitionBy(*_NEAR)  # a row for each half-life of the grid
     x, flat = F.col("improvement_bps"), F.col("half_life") == 0
     lo, hi, f = (F.col(c) for c in ("improvement_min_bps", "improvement_max_bps", "flat_improvement_bps"))
     g = g.withColumn("flat_improvement_bps", F.max(F.when(flat, x)).over(w)).withColumn("improvement_min_bps", F.min(F.when(~flat, x)).over(w)).withColumn("improvement_max_bps", F.max(F.when(~flat, x)).over(w))
     first = lambda sign: F.min_by(F.when(~flat, F.col("half_life")), F.when(~flat, F.struct(sign * x, F.col("half_life")))).over(w)
     g = g.withColumn("best_half_life", first(-1.0)).withColumn("worst_half_life", first(1.0)).where("half_life > 0")
-    total = sum((F.pow(F.lit(0.5), F.lit(float(a)) / F.col("half_life")) for a in range(n)), F.lit(0.0))
+    total = (1 - F.pow(F.lit(0.5), F.lit(float(n)) / F.col("half_life"))) / (1 - F.pow(F.lit(0.5), 1 / F.col("half_life")))
     points = g.select(
         "half_life", r8(1.0 / total).alias("newest_weight"), "improvement_bps", "shortfall_qty", "like_for_like", "breakeven_bps", (~F.col("like_for_like") & F.col("breakeven_bps").isNull()).alias("dominated"),
         "flat_improvement_bps", "improvement_min_bps", "improvement_max_bps", r8(hi - lo).alias("improvement_span_bps"), (~((hi > 0) & (lo < 0))).alias("sign_stable"), ((f == 0) & (hi == 0) & (lo == 0)).alias("inert"),
@@ -256,7 +307,7 @@ def hl_sweep(ticks: DataFrame, key: str, history: list, execution: object, bucke
 def _stability_cells(ticks, key, history, execution, bucket_ns, parent_qty, cap_grid, hl_grid, coef_bps, perm_coef_bps) -> tuple[DataFrame, dict]:
     caps, hls = check_grid(cap_grid, "cap_grid", high=1.0), check_grid(hl_grid, "hl_grid")
     prof, head = _study(ticks, key, [*history, execution], bucket_ns, caps, coef_bps, perm_coef_bps, parent_qty, 2)
-    scored = score_folds(prof, _one_fold(history), caps, [0.0, *hls], coef_bps, perm_coef_bps, parent_qty)
+    scored = score_folds(prof, _one_fold(ticks.sparkSession, history), len(history) + 1, caps, [0.0, *hls], coef_bps, perm_coef_bps, parent_qty)
     return cell_rows(gain_rows(scored)).drop("parent_share"), head | {"sessions": len(history), "parent_qty": float(parent_qty)}
 
 
@@ -282,10 +333,6 @@ def _consensus(cells: DataFrame, extra: list[str] = []) -> DataFrame:
     return cells.withColumn("all_agree", F.min((F.col("consensus") != "mixed").cast("int")).over(whole) == 1)
 
 
-def _folds_frame(spark, folds: list[Fold]) -> DataFrame:
-    return F.broadcast(spark.createDataFrame([(f, i, h[0]) for f, (i, h) in enumerate(folds)], "fold int, input int, history_from int"))
-
-
 _FOLD = ["inert_caps", "stable_caps", "unstable_caps", "consensus", "agreeing_caps", "all_agree"]
 
 
@@ -294,8 +341,8 @@ def holdout(ticks: DataFrame, key: str, sessions: list, bucket_ns: int, parent_q
     caps, hls = check_grid(cap_grid, "cap_grid", high=1.0), check_grid(hl_grid, "hl_grid")
     prof, head = _study(ticks, key, sessions, bucket_ns, caps, coef_bps, perm_coef_bps, parent_qty, 3)
     n = len(sessions)
-    folds = [(i, [j for j in range(n) if j != i]) for i in range(n)]
-    cells = _counts(cell_rows(gain_rows(score_folds(prof, folds, caps, [0.0, *hls], coef_bps, perm_coef_bps, parent_qty))), ["fold"])
+    folds = _folds(ticks.sparkSession, 0, n, "0", str(n))
+    cells = _counts(cell_rows(gain_rows(score_folds(prof, folds, n, caps, [0.0, *hls], coef_bps, perm_coef_bps, parent_qty))), ["fold"])
     cells = _consensus(cells).select(F.col("fold").alias("held_out"), "cap", "verdict", "flat_improvement_bps", *_FOLD)
     return _headed(cells, head | {"parent_qty": float(parent_qty)})
 
@@ -307,10 +354,6 @@ def _check_parent(parent_qty: float | None, parent_share: float | None) -> None:
         raise ValueError("parent_share must be in (0, 1]")
 
 
-def _walk(n: int, window: int | None) -> list[Fold]:
-    return [(i, list(range(0 if window is None else i - window, i))) for i in range(2 if window is None else window, n)]
-
-
 def walk_forward(
     ticks: DataFrame, key: str, sessions: list, bucket_ns: int, parent_qty: float | None, cap_grid: list[float], hl_grid: list[float], coef_bps: float, perm_coef_bps: float = 0.0,
     window: int | None = None, parent_share: float | None = None,
@@ -321,10 +364,11 @@ def walk_forward(
     if window is not None and (window < 2 or n < window + 2):
         raise ValueError("window must be >= 2 and leave at least two sessions")
     prof, head = _study(ticks, key, sessions, bucket_ns, caps, coef_bps, perm_coef_bps, parent_qty, 4, ordered=True)
-    folds = _walk(n, window)
-    scored = score_folds(prof, folds, caps, [0.0, *hls], coef_bps, perm_coef_bps, parent_qty, None if parent_share is None else [parent_share])
+    lo = "0" if window is None else f"id - {window}"
+    folds = _folds(ticks.sparkSession, 2 if window is None else window, n, lo, "id")
+    scored = score_folds(prof, folds, n, caps, [0.0, *hls], coef_bps, perm_coef_bps, parent_qty, None if parent_share is None else [parent_share], window is not None)
     cells = _consensus(_counts(cell_rows(gain_rows(scored)), ["fold"]))
-    cells = cells.join(_folds_frame(ticks.sparkSession, folds), "fold").select("input", "history_from", "parent_share", "parent_qty", "cap", "verdict", "flat_improvement_bps", *_FOLD)
+    cells = cells.withColumn("input", F.col("fold")).withColumn("history_from", F.expr(lo.replace("id", "fold")).cast("int")).select("input", "history_from", "parent_share", "parent_qty", "cap", "verdict", "flat_improvement_bps", *_FOLD)
     return _headed(cells, head | {"window": window})
 
 
@@ -332,13 +376,18 @@ def _window_cells(ticks, key, sessions, bucket_ns, parent_qty, parent_shares, ca
     """(walks, cells, head): walks(window, input, history_from, last); cells(parent_share, input, history_from, cap, ...), a written table with each distinct fold priced once."""
     n, spark = len(sessions), ticks.sparkSession
     prof, head = _study(ticks, key, sessions, bucket_ns, caps, coef_bps, perm_coef_bps, parent_qty, 4, ordered=True)
-    walks = [(w, i, h[0]) for w in (None, *range(2, n - 1)) for i, h in _walk(n, w)]
-    distinct = sorted({(i, h) for _, i, h in walks})
-    folds = [(i, list(range(h, i))) for i, h in distinct]
-    table = F.broadcast(spark.createDataFrame([(0 if w is None else w, i, h, i == n - 1) for w, i, h in walks], "window int, input int, history_from int, last boolean"))
-    cells = cell_rows(gain_rows(score_folds(prof, folds, caps, [0.0, *hls], coef_bps, perm_coef_bps, parent_qty, parent_shares)))
-    cells = cells.join(_folds_frame(spark, folds), "fold").select("parent_share", "input", "history_from", "cap", "verdict", "flat_improvement_bps")
-    return table, written(cells, "cells"), head | {"folds_run": len(walks), "distinct_folds": len(distinct)}
+    # window 0 grows from the first session; the others are 2 to n - 2 wide
+    slid = spark.range(2, n - 1).selectExpr("cast(id as int) as window", f"explode(sequence(cast(id as int), {n - 1})) as input").withColumn("history_from", F.col("input") - F.col("window"))
+    grown = spark.range(2, n).selectExpr("0 as window", "cast(id as int) as input", "0 as history_from")
+    walks = slid.unionByName(grown).withColumn("last", F.col("input") == n - 1)
+    # histories that start at 0 are in both but the longest, which no window takes
+    folds = slid.drop("window").unionByName(grown.drop("window").where(F.col("input") == n - 1))
+    folds = folds.select((F.col("input").cast("long") * n + F.col("history_from")).alias("fold"), "input", F.col("history_from").alias("lo"), F.col("input").alias("hi"))
+    cells = cell_rows(gain_rows(score_folds(prof, folds, n, caps, [0.0, *hls], coef_bps, perm_coef_bps, parent_qty, parent_shares, True)))
+    cells = cells.withColumn("input", F.expr(f"cast(fold div {n} as int)")).withColumn("history_from", (F.col("fold") % n).cast("int"))
+    cells = cells.select("parent_share", "input", "history_from", "cap", "verdict", "flat_improvement_bps")
+    slides = (n - 3) * (n - 2) // 2 + n - 3 if n > 3 else 0  # the sum of n - w for w from 2 to n - 2
+    return walks, written(cells, "cells"), head | {"folds_run": slides + n - 2, "distinct_folds": slides + 1}
 
 
 def _per_walk(walks: DataFrame, cells: DataFrame) -> DataFrame:

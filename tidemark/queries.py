@@ -670,14 +670,19 @@ def holdout(spark, sf_dir):
     return plans.holdout(rows, "session_id", days, SLOT_NS, PARENT, CAPS, HALF_LIVES, COEF, PERM)
 
 
-@_query(f"""{_priced_sql(plans._walk(DAYS, None), CAPS, [0.0, *HALF_LIVES], 'psh * avg(total)', [0.1])}, {_AGREED}
+def _walk(n: int, window: int | None) -> list[tuple[int, list[int]]]:
+    """Each input session with its history, for the SQL."""
+    return [(i, list(range(0 if window is None else i - window, i))) for i in range(2 if window is None else window, n)]
+
+
+@_query(f"""{_priced_sql(_walk(DAYS, None), CAPS, [0.0, *HALF_LIVES], 'psh * avg(total)', [0.1])}, {_AGREED}
     SELECT {_head_sql()}, CAST(NULL AS BIGINT) AS "window", fold + 2 AS input, 0 AS history_from, psh AS parent_share, [[q]] AS parent_qty, {_FOLD} FROM agreed, tally""")
 def walk_forward(spark, sf_dir):
     rows, days = _sessions(spark, sf_dir)
     return plans.walk_forward(rows, "session_id", days, SLOT_NS, None, CAPS, HALF_LIVES, COEF, PERM, parent_share=0.1)
 
 
-_SWEPT = [(w, i, h[0]) for w in (None, *range(2, DAYS - 1)) for i, h in plans._walk(DAYS, w)]
+_SWEPT = [(w, i, h[0]) for w in (None, *range(2, DAYS - 1)) for i, h in _walk(DAYS, w)]
 _DISTINCT = sorted({(i, h) for _, i, h in _SWEPT})
 _AT = {x: k for k, x in enumerate(_DISTINCT)}
 _WALK_ROWS = ", ".join(f"({w or 0}, {i}, {h}, {_AT[i, h]}, {str(i == DAYS - 1).lower()})" for w, i, h in _SWEPT)
