@@ -5,16 +5,19 @@ A snapshot is all rows of one ts_ns.  `keys` part a table into books.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import check_grid, r8, require, safe_div
+from tidemark.storage import written
 
-#: A book of more snapshots is thinned by a sorted scan in Python instead of a fold of arrays, whose cost is quadratic.
-FOLD_SNAPSHOTS = 20_000
+#: Snapshots of a stretch of time, on the mean, when a book is thinned: what a task holds.
+STRETCH_SNAPSHOTS = 500_000
+#: Rows of a stretch: its own times, times of what comes after it, and where it is entered.
+_TIME, _AHEAD, _ENTRY = 0, 1, 2
 
 
 def _depths(book: DataFrame, keys: list[str]) -> DataFrame:
@@ -108,55 +111,117 @@ def sweep_curve(book: DataFrame, side: str, sizes: list[float], keys: list[str]
     )
 
 
+def _own(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The snapshots of a stretch in order of time, and their times."""
+    own = rows.filter(pc.equal(rows["kind"], _TIME)).sort_by("ts_ns")
+    return own, own["ts_ns"].to_numpy()
+
+
+def _crossings(rows: pa.Table) -> pa.Table:
+    """For each snapshot at which a stretch may be entered, the one at which a later stretch is entered when that one is kept."""
+    own, ts = _own(rows)
+    if not len(ts):
+        return own.append_column("to_ns", pa.array([], pa.int64()))
+    every, begins = own["every_ns"][0].as_py(), own["begins_ns"][0].as_py()
+    after = np.searchsorted(ts, ts + every)
+    last = np.where(after < len(ts), after, np.arange(len(ts)))
+    while True:  # pointers double until each stands on the last snapshot kept in the stretch
+        further = last[last]
+        if (further == last).all():
+            break
+        last = further
+    entries = np.arange(min(len(ts), int(np.searchsorted(ts, begins + every)) + 1))
+    ahead = np.sort(rows.filter(pc.not_equal(rows["kind"], _TIME))["ts_ns"].to_numpy())
+    place = np.searchsorted(ahead, ts[last[entries]] + every)
+    to = pa.array([int(ahead[p]) if p < len(ahead) else None for p in place], pa.int64())
+    return own.take(pa.array(entries)).append_column("to_ns", to)
+
+
+def _kept(rows: pa.Table) -> pa.Table:
+    """The snapshots of a stretch that are kept from its entry on."""
+    own, ts = _own(rows)
+    entry = rows.filter(pc.equal(rows["kind"], _ENTRY))["ts_ns"].to_pylist()
+    after = np.searchsorted(ts, ts + own["every_ns"][0].as_py()).tolist() if len(ts) else []
+    found = []
+    for at in np.searchsorted(ts, entry).tolist():
+        while at < len(ts):
+            found.append(at)
+            at = after[at]
+    return own.take(pa.array(found, pa.int64()))
+
+
 def thin(book: DataFrame, spacings: DataFrame, keys: list[str] = []) -> DataFrame:
     """keys, the columns of spacings, ts_ns: the snapshots that a slower recorder would have kept.
 
     spacings has every_ns and offset_ns (and labels).  Kept are the first snapshot at or after first + offset_ns, and then each at
-    least every_ns after the last kept.  A book within FOLD_SNAPSHOTS is one fold of its times; a longer one is scanned in order.
+    least every_ns after the last kept.
+
+    A book's time is cut into stretches of some STRETCH_SNAPSHOTS, one spacing long at least.  Each stretch finds for all snapshots at
+    which it may be entered where the chain of kept ones enters a later stretch; what is entered is then followed from stretch to stretch, twice as
+    many in each round, and each stretch gives what it keeps from its entry on.  A task holds the times of one stretch.
     """
-    labels = spacings.columns
-    times = book.select(*keys, "ts_ns").distinct()
-    counts = times.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("ts_ns").alias("t0"))
-    most = counts.agg(F.max("n")).first()[0] or 0
-    if most <= FOLD_SNAPSHOTS:
-        sets = times.groupBy(*keys).agg(F.array_sort(F.collect_list("ts_ns")).alias("ts")).crossJoin(F.broadcast(spacings))
-        start = F.struct(F.array().cast("array<bigint>").alias("kept"), (F.element_at("ts", 1) + F.col("offset_ns")).alias("due"))
-        step = lambda acc, t: F.when(t < acc["due"], acc).otherwise(F.struct(F.concat(acc["kept"], F.array(t)).alias("kept"), (t + F.col("every_ns")).alias("due")))
-        return sets.select(*keys, *labels, F.explode(F.aggregate("ts", start, step, lambda acc: acc["kept"])).alias("ts_ns"))
-    wide = times.join(counts.drop("n"), keys) if keys else times.crossJoin(counts.drop("n"))
-    wide = wide.crossJoin(F.broadcast(spacings)).repartition(*[F.col(k) for k in (*keys, *labels)]).sortWithinPartitions(*keys, *labels, "ts_ns")
-    schema = wide.drop("t0").schema
+    labels, one = spacings.columns, F.lit(1)
     group = [*keys, *labels]
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, due = None, 0
-        for df in batches:
-            keep = []
-            for key, t, t0, every, offset in zip(df[group].itertuples(index=False, name=None), df["ts_ns"], df["t0"], df["every_ns"], df["offset_ns"]):
-                if key != now:
-                    now, due = key, t0 + offset
-                keep.append(t >= due)
-                if t >= due:
-                    due = t + every
-            yield df.loc[keep, [f.name for f in schema]]
-
-    return wide.mapInPandas(scan, schema).select(*keys, *labels, "ts_ns")
+    times = book.select(*keys, "ts_ns").distinct()
+    sizes = times.groupBy(*keys).agg(F.count(one).alias("n"), F.min("ts_ns").alias("t0"), F.max("ts_ns").alias("t1"))
+    # how many spacings long a stretch is: as many as hold STRETCH_SNAPSHOTS on the mean
+    fits = F.floor(F.lit(float(STRETCH_SNAPSHOTS)) * (F.col("t1") - F.col("t0") + 1) / (F.col("n") * F.col("every_ns")))
+    sets = sizes.crossJoin(F.broadcast(spacings)).withColumn("width", F.col("every_ns") * F.greatest(one, F.least(F.lit(STRETCH_SNAPSHOTS), fits)))
+    met = times.join(sets, keys) if keys else times.crossJoin(sets)
+    begins = F.col("t0") + F.col("stretch") * F.col("width")
+    met = met.withColumn("stretch", F.expr("(ts_ns - t0) div width")).withColumn("begins_ns", begins)
+    columns = [*group, "stretch", "begins_ns"]
+    rows = met.select(*columns, F.lit(_TIME).alias("kind"), "ts_ns")
+    first = met.where(F.col("ts_ns") >= F.col("t0") + F.col("offset_ns")).groupBy(*group).agg(F.min(F.struct("ts_ns", "stretch", "begins_ns")).alias("f")).select(*group, "f.*")
+    entries = first.select(*columns, F.lit(_ENTRY).alias("kind"), "ts_ns")
+
+    most = sets.agg(F.max((F.col("t1") - F.col("t0")) / F.col("width"))).first()[0] or 0
+    if most >= 1:
+        entries = _entered(met, rows, entries, group, int(most) + 1)
+    kept = rows.unionByName(entries).groupBy(*group, "stretch").applyInArrow(_kept, rows.schema)
+    return kept.select(*group, "ts_ns")
+
+
+def _entered(met: DataFrame, rows: DataFrame, entries: DataFrame, group: list[str], stretches: int) -> DataFrame:
+    """The entry of every stretch that the chains come through, from their first ones."""
+    late = F.col("ts_ns") >= F.col("begins_ns") + F.col("every_ns")
+    ends = met.groupBy(*group, "stretch", "begins_ns", "width").agg(F.min("ts_ns").alias("first"), F.min(F.when(late, F.col("ts_ns"))).alias("later"))
+    w = Window.partitionBy(*group).orderBy("stretch")
+    ends = ends.withColumn("next", F.lead("stretch").over(w)).withColumn("first1", F.lead("first").over(w)).withColumn("later1", F.lead("later").over(w)).withColumn("first2", F.lead("first", 2).over(w))
+    # a chain leaves for the beginning of the next stretch, of which a copy is at hand, or else for what comes first after that
+    after = F.when(F.col("next") == F.col("stretch") + 1, F.coalesce("later1", "first2")).otherwise(F.col("first1"))
+    columns = [*group, "stretch", "begins_ns"]
+    ahead = ends.select(*columns, F.lit(_AHEAD).alias("kind"), after.alias("ts_ns")).where("ts_ns is not null")
+    heads = met.where(~late & (F.col("stretch") > 0)).select(*group, (F.col("stretch") - 1).alias("stretch"), (F.col("begins_ns") - F.col("width")).alias("begins_ns"), F.lit(_AHEAD).alias("kind"), "ts_ns")
+    schema = rows.schema.add("to_ns", "long")
+    jumps = rows.unionByName(heads).unionByName(ahead).groupBy(*group, "stretch").applyInArrow(_crossings, schema)
+    jumps = written(jumps.where("to_ns is not null").select(*group, "ts_ns", "to_ns"), "jumps")
+    reached = entries.select(*group, "ts_ns")
+    for _ in range((stretches - 1).bit_length()):
+        reached = written(reached.unionByName(reached.join(jumps, [*group, "ts_ns"]).select(*group, F.col("to_ns").alias("ts_ns"))).distinct(), "reached")
+        then = jumps.select(*group, F.col("ts_ns").alias("to_ns"), F.col("to_ns").alias("then_ns"))
+        jumps = written(jumps.join(then, [*group, "to_ns"]).select(*group, "ts_ns", F.col("then_ns").alias("to_ns")), "jumps")
+    return reached.join(met.select(*columns, "ts_ns"), [*group, "ts_ns"]).select(*columns, F.lit(_ENTRY).alias("kind"), "ts_ns")
 
 
 def _every_ns(every_s: float) -> int:
     return int(every_s * 1e9 + 0.5)
 
 
-def _grid_rows(book: DataFrame, grid: list[float], phases: int, keys: list[str]) -> DataFrame:
-    """keys, every_s, phase and the averages of the thinned book, with spread_ratio, queue_sign_kept and the full book's figures."""
+def _snapshots(book: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per snapshot, written: a grid reads the levels once."""
+    return written(_depths(book, keys), "snapshots")
+
+
+def _grid_rows(snaps: DataFrame, grid: list[float], phases: int, keys: list[str]) -> DataFrame:
+    """keys, every_s, phase and the averages of the thinned book of these snapshots, with spread_ratio, queue_sign_kept and the full book's figures."""
     if not grid or any(not 0 < g < float("inf") for g in grid) or len(set(grid)) < len(grid):
         raise ValueError("spacings must be finite, positive and without repeats")
-    spark = book.sparkSession
+    spark = snaps.sparkSession
     rows = [(float(g), k, _every_ns(g), _every_ns(g) * k // phases) for g in grid for k in range(phases)]
     spacings = spark.createDataFrame(rows, "every_s double, phase int, every_ns long, offset_ns long")
-    snaps = _depths(book, keys)
     full = _means(snaps, keys)
-    kept = thin(book, spacings, keys).select(*keys, "every_s", "phase", "ts_ns")
+    kept = thin(snaps, spacings, keys).select(*keys, "every_s", "phase", "ts_ns")
     rows = _means(kept.join(snaps, [*keys, "ts_ns"]), [*keys, "every_s", "phase"])
     whole = full.select(*keys, *[F.col(c).alias(f"full_{c}") for c in full.columns if c not in keys])
     rows = rows.join(whole, keys) if keys else rows.crossJoin(whole)
@@ -171,8 +236,9 @@ _FIGURES = ["snapshots", "avg_bid_depth", "avg_ask_depth", "avg_depth_imbalance"
 def book_grid_sweep(book: DataFrame, every_grid: list[float], keys: list[str] = []) -> DataFrame:
     """One row per spacing, and the full book as every_s 0: averages, spread_ratio to the full book, queue_sign_kept; sign_flips, at how many spacings
     the sign isn't kept, repeats."""
-    rows = _grid_rows(book, every_grid, 1, keys)
-    full = _means(_depths(book, keys), keys).withColumn("every_s", F.lit(0.0)).withColumn("spread_ratio", F.lit(1.0)).withColumn("queue_sign_kept", F.lit(True))
+    snaps = _snapshots(book, keys)
+    rows = _grid_rows(snaps, every_grid, 1, keys)
+    full = _means(snaps, keys).withColumn("every_s", F.lit(0.0)).withColumn("spread_ratio", F.lit(1.0)).withColumn("queue_sign_kept", F.lit(True))
     columns = [*keys, "every_s", *_FIGURES, "spread_ratio", "queue_sign_kept"]
     return full.select(columns).unionByName(rows.select(columns)).withColumn("sign_flips", F.count(F.when(~F.col("queue_sign_kept"), 1)).over(Window.partitionBy(*keys)))
 
@@ -187,7 +253,7 @@ def book_grid_across(book: DataFrame, every_grid: list[float], key: str) -> Data
     """One row per spacing over the books of `key`: in how many the queue's sign is kept, which lose it, ratios and the widest drift of the depth
     imbalance; held_spacings, which all books keep, repeats."""
     _several(book, key, "book-grid-across")
-    rows = _grid_rows(book, every_grid, 1, [key])
+    rows = _grid_rows(_snapshots(book, [key]), every_grid, 1, [key])
     drift = F.abs(F.col("avg_depth_imbalance") - F.col("full_avg_depth_imbalance"))
     rows = rows.groupBy("every_s").agg(
         F.count(F.when(F.col("queue_sign_kept"), 1)).alias("sign_kept_books"), F.array_sort(F.collect_list(F.when(~F.col("queue_sign_kept"), F.col(key)))).alias("sign_lost_by"),
@@ -208,7 +274,7 @@ def book_grid_phase(book: DataFrame, every_grid: list[float], phases: int, keys:
     """One row per spacing over `phases` starts: ranges of the figures, and whether the queue's sign is held, lost or split."""
     if phases < 2:
         raise ValueError("phases must be >= 2")
-    rows = _grid_rows(book, every_grid, phases, keys)
+    rows = _grid_rows(_snapshots(book, keys), every_grid, phases, keys)
     kept = F.count(F.when(F.col("queue_sign_kept"), 1))
     out = rows.groupBy(*keys, "every_s").agg(
         F.count(F.lit(1)).alias("phases_run"), F.min("snapshots").alias("snapshots_min"), F.max("snapshots").alias("snapshots_max"),

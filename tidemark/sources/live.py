@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ladder import ladders
+
 _MATCH = "type string, trade_id long, side string, size string, price string, product_id string, time string"
 _TICKER = "type string, product_id string, best_bid string, best_bid_size string, best_ask string, best_ask_size string, time string"
 
@@ -48,31 +51,58 @@ def drop_replayed(ticks: DataFrame) -> DataFrame:
     return met.where("last_ is null or trade_id > last_").select(*ticks.columns)
 
 
+_BOOK = "ts_ns long, product string, side string, level long, price double, size double"
+#: Rows that a stretch is folded from, in this order at one time: what it takes over, its updates, the times asked for.
+_TAKEN_OVER, _UPDATE, _ASKED = 0, 1, 2
+
+
+def _fold_stretch(levels: int, rows: pa.Table) -> pa.Table:
+    """The top levels at the times asked for in a stretch of one product."""
+    rows = rows.sort_by([("kind_first", "ascending"), ("ts_ns", "ascending"), ("kind", "ascending"), ("seq", "ascending")])
+    book, out, product = ladders(), [], rows["product"][0].as_py()
+    for kind, ts, side, price, size in zip(*(rows[c].to_pylist() for c in ("kind", "ts_ns", "side", "price", "size"))):
+        if kind == _ASKED:
+            out += [(ts, product, s, i, p, z) for s in ("bid", "ask") for i, (p, z) in enumerate(book[s].top(levels))]
+        else:
+            book[side].put(price, size)
+    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    fields = [c.split() for c in _BOOK.split(", ")]
+    return pa.table([pa.array([r[i] for r in out], kinds[k]) for i, (_, k) in enumerate(fields)], [n for n, _ in fields])
+
+
 def l2_levels(updates: DataFrame, at: DataFrame, levels: int = 10) -> DataFrame:
     """Top levels of a book at given times: updates (product, seq, ts_ns, side bid/ask, price, size; size 0 removes) folded up to each of `at`.
 
-    at has product and ts_ns.  Returns book rows: ts_ns, product, side, level, price, size.
+    at has product and ts_ns; times may repeat.  seq rises with ts_ns.  Returns book rows: ts_ns, product, side, level, price, size; a
+    product without levels at a time has no row there.
+
+    A stretch of time is folded by itself, from the levels that stand when it begins: the last size of each in the stretches before.  So what is
+    moved are the updates and, for each stretch that is asked about, the levels that it takes over; no snapshot copies a book.
     """
-    # number the times, and give each update the first time that sees it; then each state of a level stands until its next one
-    times = at.select("product", "ts_ns").distinct().withColumn("k", F.row_number().over(Window.partitionBy("product").orderBy("ts_ns")))
-    last = times.groupBy("product").agg(F.max("k").alias("most"))
-    marks = times.select("product", "ts_ns", F.lit(1).alias("mark"), "k", *[F.lit(None).cast(t).alias(c) for c, t in (("seq", "long"), ("side", "string"), ("price", "double"), ("size", "double"))])
-    feed = updates.select("product", "ts_ns", F.lit(0).alias("mark"), F.lit(None).cast("int").alias("k"), "seq", "side", "price", "size")
-    # looked up within a stretch of time; what has no time left in its stretch takes the first of the stretches after it
-    both = feed.unionByName(marks).withColumn("stretch", F.floor(F.col("ts_ns") / STRETCH_NS))
-    firsts = both.groupBy("product", "stretch").agg(F.min("k").alias("k1"))
-    following = Window.partitionBy("product").orderBy("stretch").rowsBetween(1, Window.unboundedFollowing)
-    firsts = firsts.select("product", "stretch", F.min("k1").over(following).alias("later"))
-    ahead = Window.partitionBy("product", "stretch").orderBy("ts_ns", "mark").rowsBetween(0, Window.unboundedFollowing)
-    seen = both.withColumn("k", F.first("k", ignorenulls=True).over(ahead)).where("mark = 0").join(firsts, ["product", "stretch"])
-    seen = seen.withColumn("k", F.coalesce("k", "later")).where("k is not null")
-    states = seen.groupBy("product", "side", "price", "k").agg(F.max_by("size", "seq").alias("size"))
-    after = F.lead("k").over(Window.partitionBy("product", "side", "price").orderBy("k"))
-    states = states.join(last, "product").withColumn("until", F.coalesce(after - 1, F.col("most"))).where("size > 0")
-    last = states.withColumn("k", F.explode(F.sequence("k", "until"))).join(times, ["product", "k"]).select("ts_ns", "product", "side", "price", "size")
-    best = Window.partitionBy("ts_ns", "product", "side").orderBy(F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price")))
-    ranked = last.withColumn("level", (F.row_number().over(best) - 1).cast("long")).where(F.col("level") < levels)
-    return ranked.select("ts_ns", "product", "side", "level", "price", "size")
+    stretch = F.expr(f"ts_ns div {STRETCH_NS}").alias("stretch")
+    asked = at.select("product", "ts_ns", stretch).distinct()
+    feed = updates.select("product", "ts_ns", stretch, "seq", "side", F.col("price").cast("double"), F.col("size").cast("double"))
+
+    # stretches in order, and how many of those asked about come up to each
+    wanted = asked.select("product", "stretch").distinct().withColumn("is_asked", F.lit(1))
+    known = feed.select("product", "stretch").distinct().join(wanted, ["product", "stretch"], "full")
+    w = Window.partitionBy("product").orderBy("stretch")
+    place = F.sum(F.coalesce("is_asked", F.lit(0))).over(w)
+    known = known.withColumn("place", place).withColumn("places", F.max("place").over(Window.partitionBy("product")))
+
+    # a level's last size in a stretch stands from the next stretch on, up to the one that touches the level again
+    ends = feed.groupBy("product", "side", "price", "stretch").agg(F.max_by("size", "seq").alias("size")).join(known, ["product", "stretch"])
+    again = F.lead("place").over(Window.partitionBy("product", "side", "price").orderBy("stretch"))
+    held = ends.withColumn("until", F.coalesce(again, "places")).where("size > 0 and until > place")
+    held = held.select("product", "side", "price", "size", F.explode(F.sequence(F.col("place") + 1, "until")).alias("place"))
+    starts = known.where("is_asked = 1").select("product", "stretch", "place")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    columns = ["product", "stretch", "kind", "kind_first", "ts_ns", "seq", "side", "price", "size"]
+    kind = lambda k: [F.lit(k).alias("kind"), F.lit(min(k, _UPDATE)).alias("kind_first")]
+    rows = held.join(starts, ["product", "place"]).select("product", "stretch", *kind(_TAKEN_OVER), none("ts_ns", "long"), none("seq", "long"), "side", "price", "size").select(columns)
+    rows = rows.unionByName(feed.join(wanted, ["product", "stretch"], "left_semi").select("*", *kind(_UPDATE)).select(columns))
+    rows = rows.unionByName(asked.select("*", *kind(_ASKED), none("seq", "long"), none("side", "string"), none("price", "double"), none("size", "double")).select(columns))
+    return rows.groupBy("product", "stretch").applyInArrow(lambda table: _fold_stretch(levels, table), _BOOK)
 
 
 def bound_capture(rows: DataFrame, count: int | None = None, seconds: float | None = None) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,26 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-_OUT = "ts_ns long, product string, side string, level long, price double, size double"
-
-
-class _Side:
-    """One side of a book: sizes by price, and the prices in order from the best one."""
+from tidemark.functions.ladder import ladders
 
-    def __init__(self, sign: int):
-        self.sign, self.sizes, self.order = sign, {}, []
-
-    def put(self, price: float, size: float) -> None:
-        if size == 0:
-            if self.sizes.pop(price, None) is not None:
-                del self.order[bisect_left(self.order, self.sign * price)]
-        else:
-            if price not in self.sizes:
-                insort(self.order, self.sign * price)
-            self.sizes[price] = size
-
-    def top(self, levels: int) -> list[tuple[float, float]]:
-        return [(p := self.sign * x, self.sizes[p]) for x in self.order[:levels]]
+_OUT = "ts_ns long, product string, side string, level long, price double, size double"
 
 
 class _Book(StatefulProcessor):
@@ -49,14 +31,14 @@ class _Book(StatefulProcessor):
         if seq is not None and updates["seq"].iloc[0] <= seq:
             raise ValueError(f"update {updates['seq'].iloc[0]} of {key[0]} follows {seq}")
         held = {(s, p): z for (s, p), (z,) in self.book.iterator()} if self.book.exists() else {}
-        sides = {"bid": _Side(-1), "ask": _Side(1)}
+        sides = ladders()
         for (side, price), size in held.items():
             sides[side].put(price, size)
         out: list[tuple] = []
         for at, message in updates.groupby("seq", sort=False):
             seeds = bool(message["snapshot"].iloc[0])
             if seeds:  # the whole book anew, after a connection was lost
-                sides = {"bid": _Side(-1), "ask": _Side(1)}
+                sides = ladders()
             for side, price, size in zip(message["side"], message["price"], message["size"]):
                 sides[side].put(float(price), float(size))
             seq, ts = int(at), int(message["ts_ns"].iloc[0])
