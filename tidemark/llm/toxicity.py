@@ -12,6 +12,7 @@ beginnings and words that tell the labels apart best, counted by Spark over thes
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -19,10 +20,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_stash, stash, text_of
+from tidemark.llm.common import drop_stash, few_files, stash, text_of
 
 #: Bounds of the fit: documents of either label, features, and counterfactual sentences of a document.
 SAMPLE, FEATURES, SENTENCES = 6_000, 4_000, 8
@@ -66,7 +67,7 @@ def features_of(word: bytes) -> list[str]:
 
 def _value(count: float, words: int) -> float:
     """Of a feature: the logarithm of how often it comes in a thousand words; short texts count as somewhat longer."""
-    return float(np.log1p(1000.0 * count / (words + 20)))
+    return math.log1p(1000.0 * count / (words + 20))
 
 
 class Space:
@@ -87,8 +88,10 @@ class Space:
 
     def vector(self, words: list[bytes]) -> dict[int, float]:
         sums: dict[int, int] = {}
+        seen = self.seen
         for word, n in Counter(words).items():
-            for p in self.of_word(word):
+            places = seen.get(word)
+            for p in self.of_word(word) if places is None else places:
                 sums[p] = sums.get(p, 0) + n
         return {p: _value(n, len(words)) for p, n in sums.items()}
 
@@ -222,21 +225,27 @@ def fit(
 ) -> Model:
     """A model from the labelled documents whose crc32(doc_id as text) isn't 1 in threes.
 
-    Labels other than 0 and 1, null ones and null doc_ids are not read; a doc_id with several labels has the greatest; documents that repeat a
-    doc_id count each.  Of either label at most `sample` documents are taken, by the hash of doc_id and text, each for as many as it
-    stands for.  Without documents of both labels the model has only an intercept: their share, or 0.5 without any.
+    Labels other than 0 and 1, null ones and null doc_ids are not read; a doc_id with several labels has the greatest, and of documents that repeat a
+    doc_id one is learnt from.  Of either label about `sample` doc_ids are drawn by their hash, and of them those that have a document;
+    each counts for as many labels as it stands for.  Without documents of both labels the model has only an intercept.
     """
-    told = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
+    told = labels.where(~held_out(doc_id)).select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
     told = told.groupBy("id").agg(F.max("toxic").alias("toxic"))
-    own = docs.where(~held_out(doc_id)).select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("body"))
-    met = own.join(told, "id").withColumn("order", F.xxhash64("id", "body"))
-    sizes = {r["toxic"]: r["n"] for r in met.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    sizes = {r["toxic"]: r["n"] for r in told.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     if len(sizes) < 2:
         return Model(intercept=0.0 if not sizes else 6.0 if 1 in sizes else -6.0)
-    first = met.withColumn("place", F.row_number().over(Window.partitionBy("toxic").orderBy("order", "id"))).where(F.col("place") <= sample)
-    taken = stash(first.select(F.col("body").cast("binary").alias("body"), "toxic"), "labelled")
+    # by a threshold for the hash: nothing is sorted, and a label with fewer is taken whole
+    reach = F.when(F.col("toxic") == 1, F.lit(sample / sizes[1])).otherwise(F.lit(sample / sizes[0]))
+    drawn_ids = told.where(F.pmod(F.xxhash64("id", F.lit(12)), F.lit(1 << 30)) < reach * F.lit(float(1 << 30)))
+    own = docs.where(~held_out(doc_id)).select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("body"))
+    met = own.join(F.broadcast(drawn_ids), "id")  # twice `sample` ids, about
+    met = met.groupBy("id", "toxic").agg(F.min(F.struct(F.xxhash64("body").alias("order"), "body"))["body"].alias("body"))
+    taken = stash(few_files(met.select(F.col("body").cast("binary").alias("body"), "toxic")), "labelled")
+    drawn = {r["toxic"]: r["n"] for r in taken.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(drawn) < 2:
+        drop_stash(taken)
+        return Model(intercept=0.0 if not drawn else 6.0 if 1 in drawn else -6.0)
 
-    drawn = {k: min(n, sample) for k, n in sizes.items()}
     bad, good, both = F.col("bad"), F.col("good"), F.col("bad") + F.col("good")
     counts = taken.mapInArrow(_count, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     share = (both + 1) / F.lit(float(sum(drawn.values()) + 2))
