@@ -1,7 +1,9 @@
 """Known answers, invariants and refusals of the engine's operators."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tests import fixtures as X
 from tidemark import plans
 from tidemark.functions import bucket_of, r8
 from tidemark.operators import book, fills, impact, pov, quotes, ticks
+from tidemark.sources import live
 
 CAPS, HALF_LIVES = [0.01, 0.3, 0.5], [0.25, 0.5, 1.0, 2.0, 4.0]
 
@@ -81,12 +84,32 @@ def test_book_grid(spark):
     assert rows[1.0].queue_sign_kept
 
 
-def test_thinning_by_scan_equals_fold(spark, monkeypatch):
-    b = X.heavy_book(spark)
-    spacings = spark.createDataFrame([(2.0, 2 * X.SECOND, 0), (1.5, 3 * X.SECOND // 2, X.SECOND)], "every_s double, every_ns long, offset_ns long")
-    fold = sorted(map(tuple, book.thin(b, spacings).select("every_s", "ts_ns").collect()))
-    monkeypatch.setattr(book, "FOLD_SNAPSHOTS", 0)
-    assert sorted(map(tuple, book.thin(b, spacings).select("every_s", "ts_ns").collect())) == fold
+@pytest.mark.parametrize("stretch", [1, 3, 20, 10_000])
+def test_thinning_by_stretches(spark, monkeypatch, stretch):
+    """Any stretches give what a scan gives, over gaps longer than a stretch and than a spacing."""
+    monkeypatch.setattr(book, "STRETCH_SNAPSHOTS", stretch)
+    rng, times = random.Random(stretch), {}
+    for name in ("a", "b"):
+        t, times[name] = rng.randint(0, 10**6), []
+        for _ in range(150):
+            t += rng.choice([1, 20, 300, 7000]) * rng.randint(1, 9)
+            times[name].append(t)
+    grid = [(e, o) for e in (50, 400, 5000, 100_000) for o in (0, e // 3, e - 1)]
+    spacings = spark.createDataFrame(grid, "every_ns long, offset_ns long")
+    rows = spark.createDataFrame([(n, t) for n in times for t in times[n]], "book string, ts_ns long")
+    want = set()
+    for n, ts in times.items():
+        for e, o in grid:
+            due = ts[0] + o
+            for t in ts:
+                if t >= due:
+                    want.add((n, e, o, t))
+                    due = t + e
+    got = book.thin(rows, spacings, ["book"]).collect()
+    assert len(got) == len(want) and {(r.book, r.every_ns, r.offset_ns, r.ts_ns) for r in got} == want
+    alone = book.thin(rows.where("book = 'a'").drop("book"), spacings).collect()
+    assert {("a", r.every_ns, r.offset_ns, r.ts_ns) for r in alone} == {w for w in want if w[0] == "a"}
+    assert book.thin(rows.limit(0), spacings, ["book"]).count() == 0
 
 
 def test_grid_across_books_and_phases(spark):
@@ -336,3 +359,51 @@ def test_fingerprints(spark):
     assert compat.differences(a, b) == {"summary[0].ticks": ["4", "5"]}
     assert compat.check(a, b, {"summary[0].ticks": ["4", "5"]}) == [] and len(compat.check(a, b, {})) == 1
     assert len(compat.check(a, a, {"x": ["1", "2"]})) == 1 and len(compat.check(a, b, {"summary[0].ticks": ["4", "6"]})) == 1
+
+
+def test_a_walk_over_two_thousand_sessions(spark):
+    """Pooled shares of long histories, with a half-life that fades within them, against sums over all members."""
+    n, slots, half_lives = 2000, 3, [0.0, 0.25, 1.0, 40.0]
+    rng = np.random.default_rng(1)
+    volume = rng.uniform(1, 9, (n, slots))
+    share = volume / volume.sum(axis=1, keepdims=True)
+    rows = [(i, j, i * X.HOUR + j * X.SECOND, float(volume[i, j]), 100.0 + j, float(share[i, j]), float(volume[i].sum()), 100.0) for i in range(n) for j in range(slots)]
+    prof = spark.createDataFrame(rows, "idx int, slot long, bucket_ns long, volume double, vwap double, share double, total double, session_vwap double")
+    folds = {
+        "grown": plans._folds(spark, 2, n, "0", "id"), "window": plans._folds(spark, 60, n, "id - 60", "id"), "held out": plans._folds(spark, 0, n, "0", str(n)),
+    }
+    for name, table in folds.items():
+        made = plans.fold_plans(prof, table, n, [0.5], half_lives, parent_shares=[0.1], windows=name == "window")
+        some = made.where(F.col("input").isin(*[k for k in (0, 1, 2, 59, 60, 61, 997, 1998, 1999)])).collect()
+        assert made.count() == table.count() * slots * (len(half_lives) + 1) and len(some) > 60
+        for r in some:
+            i = r.input
+            history = [j for j in range(n) if j != i] if name == "held out" else list(range(0 if name == "grown" else i - 60, i))
+            age = np.arange(len(history))[::-1]
+            if r.plan == "naive":
+                want = share[history[-1], r.slot]
+            else:
+                w = np.ones(len(history)) if r.half_life == 0 else 0.5 ** (age / r.half_life)
+                want = (w * share[history, r.slot]).sum() / w.sum()
+            assert r.plan_share == pytest.approx(want, rel=1e-9), (name, r)
+            assert r.parent_qty == pytest.approx(0.1 * volume[history].sum(axis=1).mean(), rel=1e-9)
+
+
+def test_books_by_stretches(spark):
+    """Levels that stand over many stretches, are touched again in some and asked about in few, against plain dictionaries."""
+    rng = random.Random(3)
+    hour, updates, t = 3600 * X.SECOND, [], 0
+    for seq in range(600):
+        t += rng.choice([0, X.SECOND, hour // 5, 3 * hour])
+        side = rng.choice(["bid", "ask"])
+        updates.append((rng.choice("PQ"), seq, t, side, 100.0 + rng.randint(0, 9) * (1 if side == "ask" else -1), float(rng.randint(0, 3))))
+    at = sorted({("P" if k % 2 else "Q", rng.randint(0, t + hour)) for k in range(40)} | {("P", updates[50][2]), ("R", 5)})
+    frame = spark.createDataFrame(updates, "product string, seq long, ts_ns long, side string, price double, size double")
+    got = live.l2_levels(frame, spark.createDataFrame([*at, at[0]], "product string, ts_ns long"), 4).collect()
+    want = []
+    for product, when in at:
+        sizes = {(u[3], u[4]): u[5] for u in updates if u[0] == product and u[2] <= when}
+        for side, sign in (("bid", -1), ("ask", 1)):
+            levels = sorted((sign * p, z) for (s, p), z in sizes.items() if s == side and z)[:4]
+            want += [(when, product, side, k, sign * p, z) for k, (p, z) in enumerate(levels)]
+    assert sorted(map(tuple, got)) == sorted(want)

@@ -12,6 +12,7 @@ from tidemark.operators import ticks
 from tidemark.sources import live, synthetic
 from tidemark.streaming import collect
 from tidemark.streaming import session as streaming
+from tidemark.streaming.state import settings
 
 
 @pytest.mark.parametrize("name", ["t.parquet", "t.ndjson"])
@@ -71,7 +72,8 @@ def _stream(spark, tmp_path, parts, name):
     folder = tmp_path / name
     folder.mkdir()
     rows = spark.readStream.schema(X.TICK).option("maxFilesPerTrigger", 1).json(str(folder))
-    query = streaming.stream(rows, "product").writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-c")).start()
+    with settings(spark):
+        query = streaming.stream(rows, "product").writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-c")).start()
     try:
         for k, part in enumerate(parts):
             (folder / f"{k}.json").write_text("".join(json.dumps(r) + "\n" for r in part))
@@ -95,7 +97,7 @@ def test_stream_refuses_old_ticks(spark, tmp_path):
         _stream(spark, tmp_path, [rows[2:], rows[:2]], "late")
 
 
-@pytest.mark.parametrize("name", ["summary", "book_thin", "pov_backtest_slots", "window_sweep", "calibrate_robust_huber", "stream_session", "capture_bounds", "book_grid_phase_across"])
+@pytest.mark.parametrize("name", ["summary", "book_thin", "pov_backtest_slots", "window_sweep", "calibrate_robust_huber", "stream_session", "capture_bounds", "book_grid_phase_across", "l2_stream", "l2_stream_hourly", "replayed_trades_stream", "capture_bounds_stream", "l2_top_levels"])
 def test_queries_match_their_sql(spark, name):
     from tidemark import queries
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.functions import check_grid, r8, require, safe_div
 from tidemark.storage import written
@@ -193,7 +194,7 @@ def _entered(met: DataFrame, rows: DataFrame, entries: DataFrame, group: list[st
     columns = [*group, "stretch", "begins_ns"]
     ahead = ends.select(*columns, F.lit(_AHEAD).alias("kind"), after.alias("ts_ns")).where("ts_ns is not null")
     heads = met.where(~late & (F.col("stretch") > 0)).select(*group, (F.col("stretch") - 1).alias("stretch"), (F.col("begins_ns") - F.col("width")).alias("begins_ns"), F.lit(_AHEAD).alias("kind"), "ts_ns")
-    schema = rows.schema.add("to_ns", "long")
+    schema = StructType([*rows.schema.fields, StructField("to_ns", LongType())])
     jumps = rows.unionByName(heads).unionByName(ahead).groupBy(*group, "stretch").applyInArrow(_crossings, schema)
     jumps = written(jumps.where("to_ns is not null").select(*group, "ts_ns", "to_ns"), "jumps")
     reached = entries.select(*group, "ts_ns")
