@@ -275,8 +275,7 @@ def test_leaks_equal_a_plain_search(spark):
             made = rng.choice([items[j], other(items[j]), items[j].upper()]).split()
             if rng.random() < 0.3:
                 made.insert(12, "inserted")
-            at = rng.randint(0, len(body))
-            body[at:at] = made
+            body.insert(rng.randint(0, len(body)), " ".join(made))  # beside an item, not within it
             want.add((k, j))
         docs.append((k, " ".join(body)))
     template = lambda t: [("#" if w.isdigit() else w) for w in t.lower().split()]
@@ -284,7 +283,18 @@ def test_leaks_equal_a_plain_search(spark):
     plain = {(k, j) for k, t in docs for j, i in items.items() if 2 * len(grams(template(t)) & grams(template(i))) >= len(grams(template(i)))}
     found = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(sorted(items.items()), "item_id long, text string")).collect()
     got = {(r.doc_id, r.item_id) for r in found}
-    assert got <= plain and want & plain == want and len(want - got) <= 0.03 * len(want)
+    assert got <= plain and want <= got, sorted(want - got)
+
+
+def test_texts_that_share_an_id_are_searched_for_each(spark):
+    sum_ = "What is the sum of 12 apples and 30 pears that the farmer counted before lunch"
+    long_ = " ".join(odd.words(random.Random(4), 80).split())
+    items = [(1, sum_), (1, long_), (1, sum_), (None, "Name the largest river that crosses the plain behind the old mill"), (None, "42"), (None, long_[:200]), (2, "short one")]
+    docs = [(1, f"before {sum_} after"), (2, f"before {long_} after"), (3, "x\n42\ny"), (4, "so name the largest river that crosses the plain behind the old mill now"), (5, "Short one"), (6, "nothing of the kind")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = sorted((r.doc_id, -1 if r.item_id is None else r.item_id) for r in decontamination.find_leaks(*frames).collect())
+    assert found == [(1, 1), (2, -1), (2, 1), (3, -1), (4, -1), (5, 2)]
+    assert [r.doc_id for r in decontamination.drop_leaks(*frames).collect()] == [6]
 
 
 def test_names_insertions_and_short_items(spark):

@@ -36,6 +36,9 @@ BROADCAST_WINDOWS = 1_000_000
 #: Up to so many rows to drop, or documents to look at again, are broadcast.
 BROADCAST_DROPS = 500_000
 
+#: An item: a hash of its id and text, and its id.
+_ITEM = ["item", "item_id"]
+
 # Units of measure and money.
 UNITS = (
     "mm cm dm m km inch inches foot feet ft yard yards mile miles metre metres meter meters kilometre kilometres kilometer kilometers "
@@ -128,7 +131,7 @@ def _windows(rows: DataFrame, keys: list[str], body: str, slots: bool = False, o
 
 
 def _whole_lines(given: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, item_id, start, matched, windows, exact: lines of documents that are a whole item, for items without windows."""
+    """keys, item, item_id, start, matched, windows, exact: lines of documents that are a whole item, for items without windows."""
 
     def canonical(rows: DataFrame, names: list[str], body: str) -> DataFrame:
         read = _tokens(rows, names, body, False).where(F.col("line") != "")
@@ -137,12 +140,12 @@ def _whole_lines(given: DataFrame, items: DataFrame, keys: list[str]) -> DataFra
         worded = F.exists(F.split(template, " "), lambda t: ~t.startswith("\x02"))
         return read.select(*names, "literal", F.when(worded, template).otherwise(literal).alias("canon"))
 
-    wanted = canonical(items, ["item_id"], "body").withColumnRenamed("literal", "said")
+    wanted = canonical(items, _ITEM, "body").withColumnRenamed("literal", "said")
     if wanted.count() <= BROADCAST_WINDOWS:
         wanted = F.broadcast(wanted)
     lines = canonical(given.select(*keys, F.posexplode(F.split("body", "\n")).alias("at", "line_text")), [*keys, "at"], "line_text")
-    met = lines.join(wanted, "canon").groupBy(*keys, "item_id").agg(F.min("at").alias("at"), F.max((F.col("literal") == F.col("said")).cast("int")).alias("same"))
-    return met.select(*keys, "item_id", F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("matched"), F.lit(1).cast("long").alias("windows"), (F.col("same") == 1).alias("exact"))
+    met = lines.join(wanted, "canon").groupBy(*keys, *_ITEM).agg(F.min("at").alias("at"), F.max((F.col("literal") == F.col("said")).cast("int")).alias("same"))
+    return met.select(*keys, *_ITEM, F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("matched"), F.lit(1).cast("long").alias("windows"), (F.col("same") == 1).alias("exact"))
 
 
 def find_leaks(
@@ -153,55 +156,57 @@ def find_leaks(
     item), exact (no slot value differs).
 
     Null texts and texts without tokens give no rows, as documents and as items;
-    repeated rows of a document give one.  Other columns are ignored.  Of several places in a document the best is given.  An item
+    repeated rows of a document give one, and so do repeated items.  Items are told apart by id and text: texts that share an id, a null one
+    too, are searched for each by itself, and a document that holds several has a row for each.  Other columns are ignored.  Of several places in a document the best is given.  An item
     that has no window, found as a whole line, has start 0 and one window.
     """
     keys = ["k1", "k2", "doc_id"]
     id_, body = F.col(doc_id).cast("long"), text_of(text)
     given = docs.select(F.xxhash64(id_, body).alias("k1"), F.xxhash64(body, id_, F.lit(7)).alias("k2"), id_.alias("doc_id"), body.alias("body"))
     items = benchmark.select(F.col(item_id).alias("item_id"), text_of(item_text).alias("body")).distinct()
-    wanted = _windows(items, ["item_id"], "body", True, True).select("item_id", "form", "windows", F.col("pos").alias("at"), "key", F.col("first").alias("item_first"), F.col("last").alias("item_last"))
+    items = items.select(F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.col("item_id").isNull(), "body").alias("item"), "item_id", "body")
+    wanted = _windows(items, _ITEM, "body", True, True).select(*_ITEM, "form", "windows", F.col("pos").alias("at"), "key", F.col("first").alias("item_first"), F.col("last").alias("item_last"))
     wanted = stash(few_files(wanted), "benchmark")
-    without = stash(few_files(items.join(wanted.select("item_id").distinct(), "item_id", "left_anti")), "short-items")
+    without = stash(few_files(items.join(wanted.select("item").distinct(), "item", "left_anti")), "short-items")
     if wanted.count() <= BROADCAST_WINDOWS:
         wanted = F.broadcast(wanted)
 
     def meet(some: DataFrame, *slots: str) -> DataFrame:
         met = _windows(some, keys, "body", bool(slots)).join(wanted, ["form", "key"])
-        return met.select(*keys, "item_id", "form", "windows", (F.col("pos") - F.col("at")).alias("start"), "at", *slots)
+        return met.select(*keys, *_ITEM, "form", "windows", (F.col("pos") - F.col("at")).alias("start"), "at", *slots)
 
     # how much of an item's windows neighbouring diagonals hold, before anything is asked about slots
     half = NEIGHBOURS // 2
     buckets = F.explode(F.array(F.struct(F.lit(0), F.floor(F.col("start") / NEIGHBOURS)), F.struct(F.lit(1), F.floor((F.col("start") + half) / NEIGHBOURS))))
     enough = F.col("matched") >= coverage * F.col("windows")
-    held = meet(given).groupBy(*keys, "item_id", "form", "windows", "start").agg(F.collect_set("at").alias("places")).withColumn("bucket", buckets)
-    held = held.groupBy(*keys, "item_id", "form", "windows", "bucket").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched")).where(enough)
+    held = meet(given).groupBy(*keys, *_ITEM, "form", "windows", "start").agg(F.collect_set("at").alias("places")).withColumn("bucket", buckets)
+    held = held.groupBy(*keys, *_ITEM, "form", "windows", "bucket").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched")).where(enough)
     again = stash(few_files(held.select("k1", "k2").distinct()), "candidates")
     if again.count() <= BROADCAST_DROPS:
         again = F.broadcast(again)
     met = meet(given.join(again, ["k1", "k2"], "left_semi"), "first", "last", "item_first", "item_last")
     pair = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.col(a).alias("a"), F.col(b).alias("b")))
     # an item is short, so what is collected for one diagonal is too
-    lines = met.groupBy(*keys, "item_id", "form", "windows", "start").agg(
+    lines = met.groupBy(*keys, *_ITEM, "form", "windows", "start").agg(
         F.collect_set("at").alias("places"),
         F.array_union(F.collect_set(pair("item_first", "first")), F.collect_set(pair("item_last", "last"))).alias("slots"),
     )
     # two overlapping rows of buckets; the strongest diagonal of a bucket speaks for the slots
     near = lines.withColumn("bucket", buckets)
-    near = near.groupBy(*keys, "item_id", "form", "windows", "bucket").agg(
+    near = near.groupBy(*keys, *_ITEM, "form", "windows", "bucket").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched"), F.max(F.struct(F.size("places").alias("n"), (-F.col("start")).alias("back"), "slots")).alias("main")
     )
     slots = F.col("main.slots")
     steady = F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda s: s["a"])))
     found = near.where(enough & steady)
-    best = found.groupBy(*keys, "item_id").agg(
+    best = found.groupBy(*keys, *_ITEM).agg(
         F.max(F.struct("matched", "main.back", "windows", F.forall(slots, lambda s: s["a"] == s["b"]).alias("exact"))).alias("best"), F.max(F.when(F.col("form") == "plain", F.forall(slots, lambda s: s["a"] == s["b"]).cast("int"))).alias("plain_exact")
     )
     best = best.select(
-        *keys, "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.matched").cast("long").alias("matched"),
+        *keys, *_ITEM, (-F.col("best.back")).cast("long").alias("start"), F.col("best.matched").cast("long").alias("matched"),
         F.col("best.windows").cast("long").alias("windows"), (F.coalesce(F.col("plain_exact") == 1, F.lit(False)) & F.col("best.exact")).alias("exact"),
     )
-    return best if without.isEmpty() else best.unionByName(_whole_lines(given, without, keys))
+    return (best if without.isEmpty() else best.unionByName(_whole_lines(given, without, keys))).drop("item")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

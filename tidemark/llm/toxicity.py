@@ -185,7 +185,7 @@ class Sparse:
 
 
 def train(docs: Sparse, toxic: np.ndarray, weight: np.ndarray, changes: Sparse, features: int, shrink: float = SHRINK, counter: float = COUNTER, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic model by Adam's steps over all rows.
+    """Weights and intercept of a logistic model by Adam's steps over all rows, which shorten towards the end.
 
     The loss is the mean log loss of the documents, plus shrink/2 times the squared weights over their number, plus counter/2 times the
     mean squared change of score that exchanging the groups makes."""
@@ -200,7 +200,8 @@ def train(docs: Sparse, toxic: np.ndarray, weight: np.ndarray, changes: Sparse,
         if changes.n:
             slope += counter * changes.back(changes.dot(w), features + 1) / changes.n
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
-        w -= 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+        # steps shorten over the second half, to nothing
+        w -= 0.05 * min(1.0, 2 - 2 * step / steps) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
