@@ -9,18 +9,20 @@ FILL = "ts_ns long, product string, side string, qty double, price double, inter
 SAMPLE = "ts_ns long, product string, participation double, realised_bps double"
 
 
-def lumpy_ticks(spark):
-    rows = [(0, 100.0, 1.0), (SECOND, 102.0, 4.0), (SECOND + SECOND // 2, 104.0, 2.0), (2 * SECOND, 110.0, 3.0)]
+def rising_day(spark):
+    """Volumes of 2, 5 and 3 in three one-second buckets, at rising prices; VWAP 52.7."""
+    rows = [(0, 50.0, 2.0), (SECOND, 51.0, 3.0), (SECOND + SECOND // 4, 53.0, 2.0), (2 * SECOND, 56.0, 3.0)]
     return spark.createDataFrame([(t, "P", p, s, "buy", i) for i, (t, p, s) in enumerate(rows)], TICK)
 
 
-def reshaped_ticks(spark):
-    rows = [(0, 200.0, 6.0), (SECOND, 190.0, 1.0), (2 * SECOND, 210.0, 3.0)]
+def day_after(spark):
+    """Volumes of 5, 2 and 3; VWAP 81."""
+    rows = [(0, 80.0, 5.0), (SECOND, 70.0, 2.0), (2 * SECOND, 90.0, 3.0)]
     return spark.createDataFrame([(HOUR + t, "P", p, s, "buy", i) for i, (t, p, s) in enumerate(rows)], TICK)
 
 
 #: Volumes of three one-second buckets.
-VOLUMES = {"lumpy": (1.0, 6.0, 3.0), "reshaped": (6.0, 1.0, 3.0), "blended": (3.5, 3.5, 3.0), "thin_tail": (10.0, 1.0, 0.6), "pinched": (1.0, 1.0, 0.02)}
+VOLUMES = {"middle": (2.0, 7.0, 4.0), "level": (4.5, 4.5, 4.0), "early": (9.0, 2.0, 0.8), "dry": (1.4, 1.3, 0.06)}
 
 
 def sessions(spark, names):

@@ -10,7 +10,7 @@ from tidemark import cli, sources
 
 def test_verbs(spark, tmp_path, capsys):
     path = str(tmp_path / "t.ndjson")
-    sources.write_ticks(X.lumpy_ticks(spark), path)
+    sources.write_ticks(X.rising_day(spark), path)
     for arguments, key in (
         (["summary", "--input", path], "bars"), (["vwap", "--input", path], "vwap"), (["pov-plan", "--input", path, "--cap", "0.5"], "pov_price"), (["eval", "--input", path], "algo"),
         (["stream", "--input", path], "rows"), (["schedule", "--coef-bps", "25"], "urgency"), (["synth-quotes", "--out", str(tmp_path / "q.ndjson"), "--n", "4"], "rows"), (["convert", "--input", path, "--out", str(tmp_path / "u.parquet")], "rows"),

@@ -1,5 +1,6 @@
 """Known answers, invariants and refusals of the engine's operators."""
 
+import json
 import math
 import random
 
@@ -32,15 +33,15 @@ def test_bucket_floors_negative_times(spark):
 
 
 def test_bars_conserve_volume_and_order_prices(spark):
-    rows = ticks.bars(X.lumpy_ticks(spark), X.SECOND).orderBy("bucket_ns").collect()
-    assert [r.volume for r in rows] == [1.0, 6.0, 3.0]
+    rows = ticks.bars(X.rising_day(spark), X.SECOND).orderBy("bucket_ns").collect()
+    assert [r.volume for r in rows] == [2.0, 5.0, 3.0]
     assert all(r.low <= min(r.open, r.close) and max(r.open, r.close) <= r.high for r in rows)
 
 
 def test_summary_and_twap(spark):
-    r = one(ticks.summary(X.lumpy_ticks(spark), X.SECOND))
-    assert r.ticks == 4 and len(r.bars) == 3 and r.vwap == pytest.approx(104.6)
-    assert r.twap == pytest.approx((100 * 1 + 102 * 0.5 + 104 * 0.5) / 2)
+    r = one(ticks.summary(X.rising_day(spark), X.SECOND))
+    assert r.ticks == 4 and len(r.bars) == 3 and r.vwap == pytest.approx(52.7)
+    assert r.twap == pytest.approx((50 * 1 + 51 * 0.25 + 53 * 0.75) / 2)
     assert r.imbalance == 1.0
 
 
@@ -55,9 +56,9 @@ def test_tick_refusals(spark):
     with pytest.raises(ValueError, match="no ticks"):
         ticks.session_vwap(empty)
     with pytest.raises(ValueError, match="need >= 2 ticks"):
-        ticks.session_twap(X.lumpy_ticks(spark).limit(1))
+        ticks.session_twap(X.rising_day(spark).limit(1))
     with pytest.raises(ValueError, match="zero total size"):
-        ticks.session_vwap(X.lumpy_ticks(spark).withColumn("size", F.lit(0.0)))
+        ticks.session_vwap(X.rising_day(spark).withColumn("size", F.lit(0.0)))
     with pytest.raises(ValueError, match="bucket_ns"):
         ticks.bars(empty, 0)
     with pytest.raises(ValueError, match="no quotes"):
@@ -162,17 +163,17 @@ def test_fill_refusals(spark):
 
 
 def test_pov_schedule(spark):
-    rows = pov.pov_schedule(X.lumpy_ticks(spark), X.SECOND, 1.0, 0.5, 10.0).orderBy("bucket_ns").collect()
-    assert [r.participation for r in rows] == [0.1] * 3 and [r.size for r in rows] == [0.1, 0.6, 0.3] and rows[0].pov_tracking_bps == 0
+    rows = pov.pov_schedule(X.rising_day(spark), X.SECOND, 1.0, 0.5, 10.0).orderBy("bucket_ns").collect()
+    assert [r.participation for r in rows] == [0.1] * 3 and [r.size for r in rows] == [0.2, 0.5, 0.3] and rows[0].pov_tracking_bps == 0
 
 
 @pytest.mark.parametrize(
     "cap, capped, unfilled, spread, spread_unfilled",
-    [(1.0, 197.0, 0.0, 197.0, 0.0), (0.5, 199.0, 0.0, 198.75, 0.0), (0.2, None, 0.1, None, 0.0), (0.05, None, 0.7, None, 0.5)],
+    [(1.0, 78.0, 0.0, 78.0, 0.0), (0.2, 80.0, 0.0, 79.6, 0.0), (0.08, None, 0.4, None, 0.2), (0.05, None, 0.55, None, 0.5)],
 )
 def test_backtest_caps(spark, cap, capped, unfilled, spread, spread_unfilled):
-    r = one(pov.pov_backtest(X.lumpy_ticks(spark), X.reshaped_ticks(spark), X.SECOND, 1.0, cap, 25.0, 5.0))
-    assert r.price == 197.0 and r.session_vwap == 202.0 and r.tracking_bps == -247.52475248
+    r = one(pov.pov_backtest(X.rising_day(spark), X.day_after(spark), X.SECOND, 1.0, cap, 25.0, 5.0))
+    assert r.price == 78.0 and r.session_vwap == 81.0 and r.tracking_bps == -370.37037037
     assert r.capped_unfilled_qty == pytest.approx(unfilled) and r.spread_unfilled_qty == pytest.approx(spread_unfilled)
     if capped is not None:
         assert r.capped_price == capped and r.spread_price == spread
@@ -180,9 +181,9 @@ def test_backtest_caps(spark, cap, capped, unfilled, spread, spread_unfilled):
 
 def test_backtest_refuses_other_slots(spark):
     with pytest.raises(ValueError, match="different slots"):
-        pov.pov_backtest(X.lumpy_ticks(spark), X.reshaped_ticks(spark).where("size > 2"), X.SECOND, 1.0, 0.5, 25.0)
+        pov.pov_backtest(X.rising_day(spark), X.day_after(spark).where("size > 2"), X.SECOND, 1.0, 0.5, 25.0)
     with pytest.raises(ValueError, match="plan capture: no ticks"):
-        pov.pov_backtest(X.lumpy_ticks(spark).where("false"), X.reshaped_ticks(spark), X.SECOND, 1.0, 0.5, 25.0)
+        pov.pov_backtest(X.rising_day(spark).where("false"), X.day_after(spark), X.SECOND, 1.0, 0.5, 25.0)
 
 
 def verdicts(rows, by):
@@ -194,31 +195,31 @@ def verdicts(rows, by):
 
 def test_walks_have_the_known_verdicts(spark):
     walk = lambda names, **k: plans.walk_forward(X.sessions(spark, names), "session", [0, 1, 2, 3], X.SECOND, 0.6, CAPS, HALF_LIVES, 25.0, 5.0, **k).collect()
-    assert verdicts(walk(["lumpy", "blended", "thin_tail", "pinched"]), "input") == [["inert", "loss", "loss"], ["inert", "gain", "unstable"]]
-    rows = walk(["blended", "lumpy", "thin_tail", "pinched"])
-    assert verdicts(rows, "input") == [["loss", "gain", "gain"], ["inert", "gain", "gain"]]
-    assert [c for _, c in sorted({(r.cap, r.consensus) for r in rows})] == ["mixed", "gain", "gain"]
+    assert verdicts(walk(["middle", "level", "early", "dry"]), "input") == [["inert", "loss", "loss"], ["inert", "unstable", "gain"]]
+    rows = walk(["level", "middle", "early", "dry"])
+    assert verdicts(rows, "input") == [["inert", "gain", "gain"], ["inert", "unstable", "gain"]]
+    assert [c for _, c in sorted({(r.cap, r.consensus) for r in rows})] == ["inert", "mixed", "gain"]
 
 
 def test_window_sweep_spans(spark):
-    names = ["lumpy", "blended", "thin_tail", "pinched"]
+    names = ["middle", "level", "early", "dry"]
     rows = plans.window_sweep(X.sessions(spark, names), "session", [0, 1, 2, 3], X.SECOND, 0.6, CAPS, HALF_LIVES, 25.0, 5.0).collect()
     spans = {r.cap: r.last_fold_span_bps for r in rows}
-    assert [spans[c] for c in CAPS] == [0, 0.56041748, 1.58217664]
+    assert [spans[c] for c in CAPS] == [0, 0.79085329, 0.75415014]
 
 
 def test_holdout_agrees(spark):
-    rows = plans.holdout(X.sessions(spark, ["blended", "lumpy", "thin_tail"]), "session", [0, 1, 2], X.SECOND, 1.0, CAPS, HALF_LIVES, 25.0, 5.0).collect()
+    rows = plans.holdout(X.sessions(spark, ["level", "middle", "early"]), "session", [0, 1, 2], X.SECOND, 1.0, CAPS, HALF_LIVES, 25.0, 5.0).collect()
     assert verdicts(rows, "held_out") == [["inert", "gain", "gain"]] * 3 and "mixed" not in {r.consensus for r in rows}
 
 
 def test_stability_counts(spark):
-    rows = plans.stability(X.sessions(spark, ["blended", "lumpy", "pinched"]), "session", [0, 1], 2, X.SECOND, 1.0, CAPS, HALF_LIVES, 25.0, 5.0).collect()
-    assert (rows[0].inert_caps, rows[0].stable_caps, rows[0].unstable_caps) == (1, 1, 1)
+    rows = plans.stability(X.sessions(spark, ["level", "middle", "dry"]), "session", [0, 1], 2, X.SECOND, 1.0, CAPS, HALF_LIVES, 25.0, 5.0).collect()
+    assert (rows[0].inert_caps, rows[0].stable_caps, rows[0].unstable_caps) == (1, 2, 0)
 
 
 def test_sweep_points_equal_single_runs(spark):
-    s = X.sessions(spark, ["lumpy", "blended", "thin_tail"])
+    s = X.sessions(spark, ["middle", "level", "early"])
     swept = {r.cap: r for r in plans.cap_sweep(s, "session", [0, 1], 2, X.SECOND, 0.6, CAPS, 25.0, 5.0).collect()}
     for cap in CAPS:
         alone = plans.pov_forecast(s, "session", [0, 1], 2, X.SECOND, 0.6, cap, 25.0, 5.0).first()
@@ -228,7 +229,7 @@ def test_sweep_points_equal_single_runs(spark):
 
 
 def test_walk_refusals(spark):
-    s = X.sessions(spark, ["lumpy", "blended", "thin_tail", "pinched"])
+    s = X.sessions(spark, ["middle", "level", "early", "dry"])
     with pytest.raises(ValueError, match="exactly one"):
         plans.walk_forward(s, "session", [0, 1, 2, 3], X.SECOND, None, CAPS, HALF_LIVES, 25.0)
     with pytest.raises(ValueError, match="at least 4"):
@@ -238,9 +239,9 @@ def test_walk_refusals(spark):
 
 
 def test_pov_and_twap_fills(spark):
-    t = X.lumpy_ticks(spark)
+    t = X.rising_day(spark)
     r = one(fills.pov_fill(t, side="buy", parent_qty=1.0, participation=0.1, bucket_ns=X.SECOND))
-    assert r.filled_qty == pytest.approx(1.0) and r.fully_filled and r.avg_price == pytest.approx(104.6, abs=1e-6)
+    assert r.filled_qty == pytest.approx(1.0) and r.fully_filled and r.avg_price == pytest.approx(52.7, abs=1e-6)
     assert one(fills.twap_fill(t, side="sell", parent_qty=3.0, bucket_ns=X.SECOND)).fully_filled
     with pytest.raises(ValueError, match="participation"):
         fills.pov_fill(t, side="buy", parent_qty=1.0, participation=0.0, bucket_ns=1)
@@ -267,7 +268,7 @@ def test_post_trade_queries_take_every_order(spark, tmp_path):
 
 
 def test_an_order_that_fills_nothing(spark):
-    r = one(fills.pov_fill(X.lumpy_ticks(spark).withColumn("size", F.lit(0.0)), side="buy", parent_qty=1.0, participation=0.1, bucket_ns=X.SECOND))
+    r = one(fills.pov_fill(X.rising_day(spark).withColumn("size", F.lit(0.0)), side="buy", parent_qty=1.0, participation=0.1, bucket_ns=X.SECOND))
     assert (r.filled_qty, r.avg_price, r.fully_filled, r.fills) == (0.0, 0.0, False, 0)
 
 
@@ -316,7 +317,7 @@ def test_arms_equal_plain_loops(spark):
 
 
 def test_forecast_refusals_and_weights(spark):
-    s = X.sessions(spark, ["lumpy", "blended", "thin_tail"])
+    s = X.sessions(spark, ["middle", "level", "early"])
     run = lambda rows, **k: plans.pov_forecast(rows, "session", [0, 1], 2, X.SECOND, 0.6, 0.5, 25.0, **k)
     with pytest.raises(ValueError, match="different products"):
         run(s.withColumn("product", F.when(F.col("session") == 1, "Q").otherwise("P")))
@@ -331,14 +332,14 @@ def test_forecast_refusals_and_weights(spark):
 
 
 def test_study_summaries(spark):
-    s = X.sessions(spark, ["lumpy", "blended", "lumpy", "blended"])
+    s = X.sessions(spark, ["middle", "level", "middle", "level"])
     rows = plans.window_sweep(s, "session", [0, 1, 2, 3], X.SECOND, 0.6, CAPS, HALF_LIVES, 25.0, 5.0).collect()
     assert {(r.settled_caps, r.all_settled, r.folds_run, r.distinct_folds) for r in rows} == {(3, True, 4, 3)}
     inputs = plans.window_sweep_inputs(s, "session", [0, 1, 2, 3], X.SECOND, 0.6, CAPS, HALF_LIVES, 25.0, 5.0).collect()
     assert sorted({(r.input, r.walks, r.histories) for r in inputs}) == [(2, 2, 1), (3, 2, 2)]
-    walk = plans.walk_forward(X.sessions(spark, ["blended", "lumpy", "thin_tail", "pinched"]), "session", [0, 1, 2, 3], X.SECOND, 0.6, CAPS, HALF_LIVES, 25.0, 5.0).collect()
+    walk = plans.walk_forward(X.sessions(spark, ["level", "middle", "early", "dry"]), "session", [0, 1, 2, 3], X.SECOND, 0.6, CAPS, HALF_LIVES, 25.0, 5.0).collect()
     assert {(r.agreeing_caps, r.all_agree, r.product, r.buckets, r.sessions) for r in walk} == {(2, False, "P", 3, 4)}
-    assert sorted({(r.input, r.inert_caps, r.stable_caps, r.unstable_caps) for r in walk}) == [(2, 0, 3, 0), (3, 1, 2, 0)]
+    assert sorted({(r.input, r.inert_caps, r.stable_caps, r.unstable_caps) for r in walk}) == [(2, 1, 2, 0), (3, 1, 1, 1)]
 
 
 def test_grids_refuse_one_book(spark):
@@ -350,15 +351,23 @@ def test_grids_refuse_one_book(spark):
     assert {r.sign_flips for r in book.book_grid_sweep(X.heavy_book(spark), [1.0, 2.0]).collect()} == {1}
 
 
-def test_fingerprints(spark):
+def test_reports_are_compared_to_the_last_bit(spark):
     from tidemark import compat
 
-    a = compat.fingerprint(X.lumpy_ticks(spark), X.SECOND, 1.0, 0.5)
-    assert a == compat.fingerprint(X.lumpy_ticks(spark), X.SECOND, 1.0, 0.5) and a["summary[0].bars[1].volume"] == (6.0).hex()
-    b = a | {"summary[0].ticks": "5"}
-    assert compat.differences(a, b) == {"summary[0].ticks": ["4", "5"]}
-    assert compat.check(a, b, {"summary[0].ticks": ["4", "5"]}) == [] and len(compat.check(a, b, {})) == 1
-    assert len(compat.check(a, a, {"x": ["1", "2"]})) == 1 and len(compat.check(a, b, {"summary[0].ticks": ["4", "6"]})) == 1
+    kind = "id int, x double, note string, parts array<double>"
+    before = spark.createDataFrame([(1, 0.1, "a", [0.1]), (2, 1.0, None, None), (3, float("nan"), "c", [])], kind)
+    after = spark.createDataFrame([(1, 0.1 + 2**-56, "a", [0.1]), (2, 1.0, None, None), (4, 0.0, "c", [])], kind)
+    assert compat.compare(before, before, ["id"]).count() == 0
+    found = compat.compare(before, after, ["id"])
+    got = {(json.loads(r.place)["id"], r["column"], r.what) for r in found.collect()}
+    assert got == {(1, "x", "changed"), *[(3, c, "lost") for c in ("x", "note", "parts")], *[(4, c, "new") for c in ("x", "note", "parts")]}
+    agreed = spark.createDataFrame(found.where("what <> 'new'").collect(), found.schema)
+    assert {r["column"] for r in compat.unexpected(found, agreed).where("what = 'new'").collect()} == {"x", "note", "parts"}
+    assert compat.unexpected(found, agreed).count() == 3
+    old = spark.createDataFrame([("{}", "y", "1", "2", "changed")], found.schema)
+    assert [r.what for r in compat.unexpected(found.limit(0), old).collect()] == ["settled"]
+    day = ticks.summary(X.rising_day(spark), X.SECOND).withColumn("run", F.lit(1))
+    assert compat.compare(day, day, ["run"]).count() == 0
 
 
 def test_a_walk_over_two_thousand_sessions(spark):

@@ -18,9 +18,9 @@ from tidemark.streaming.state import settings
 @pytest.mark.parametrize("name", ["t.parquet", "t.ndjson"])
 def test_round_trip(spark, tmp_path, name):
     path = str(tmp_path / name)
-    assert sources.write_ticks(X.lumpy_ticks(spark), path) == 4
+    assert sources.write_ticks(X.rising_day(spark), path) == 4
     back = sources.read_ticks(spark, path)
-    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, X.lumpy_ticks(spark).collect()))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, X.rising_day(spark).collect()))
     other = str(tmp_path / ("u.ndjson" if name.endswith("parquet") else "u.parquet"))
     assert sources.convert(spark, path, other) == 4
 
@@ -84,15 +84,15 @@ def _stream(spark, tmp_path, parts, name):
 
 
 def test_stream_equals_batch_for_any_parts(spark, tmp_path):
-    rows = [json.loads(x) for x in X.lumpy_ticks(spark).toJSON().collect()]
-    batch = streaming.replay(X.lumpy_ticks(spark), "product").first()
+    rows = [json.loads(x) for x in X.rising_day(spark).toJSON().collect()]
+    batch = streaming.replay(X.rising_day(spark), "product").first()
     for name, parts in (("one", [rows]), ("two", [rows[:1], rows[1:]]), ("four", [[r] for r in rows])):
         got = _stream(spark, tmp_path, parts, name)
         assert {k: got[k] for k in batch.asDict() if k != "product"} == {k: v for k, v in batch.asDict().items() if k != "product"}
 
 
 def test_stream_refuses_old_ticks(spark, tmp_path):
-    rows = [json.loads(x) for x in X.lumpy_ticks(spark).toJSON().collect()]
+    rows = [json.loads(x) for x in X.rising_day(spark).toJSON().collect()]
     with pytest.raises(Exception, match="not in time order"):
         _stream(spark, tmp_path, [rows[2:], rows[:2]], "late")
 
@@ -132,7 +132,7 @@ def test_whole_studies_reach_every_session(spark, name, column, folds):
 
 
 def test_disorder_is_refused_in_batch_too(spark, tmp_path):
-    rows = [json.loads(x) for x in X.lumpy_ticks(spark).toJSON().collect()]
+    rows = [json.loads(x) for x in X.rising_day(spark).toJSON().collect()]
     (tmp_path / "good.ndjson").write_text("".join(json.dumps(r) + "\n" for r in rows))
     (tmp_path / "bad.ndjson").write_text("".join(json.dumps(r) + "\n" for r in [rows[0], rows[2], rows[1]]))
     streaming.refuse_disorder(sources.read_ticks(spark, str(tmp_path / "good.ndjson")))

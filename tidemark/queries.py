@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 
 from tidemark import plans, sources
 from tidemark.functions import round_report
-from tidemark.operators import book, fills, impact, pov, quotes, ticks
+from tidemark.operators import asof, book, fills, impact, pov, quotes, ticks, windows
 from tidemark.sources import adapters, live, synthetic
 from tidemark.sources.adapters import BAR_NS, DAY_NS, SLOT_NS
 from tidemark.storage import new_path
 from tidemark.streaming import book as book_stream
 from tidemark.streaming import session as streaming
 from tidemark.streaming import trades
-from tidemark.streaming.state import to_table
+from tidemark.streaming import windows as stream_windows
+from tidemark.streaming.state import latest, to_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,6 +141,40 @@ def stream_replay(spark, sf_dir):
     return streaming.replay(adapters.ticks(spark, sf_dir), "session_id", _CHUNK).withColumn("session", F.col("session_id").cast("string")).drop("session_id")
 
 
+_WINDOWED = """SELECT product, start_ns, [[arg_min(price, (ts_ns, trade_id))]] AS open, [[max(price)]] AS high, [[min(price)]] AS low, [[arg_max(price, (ts_ns, trade_id))]] AS close,
+    count(*) AS trades, [[sum(size)]] AS volume, [[sum(price * size) / sum(size)]] AS vwap FROM w GROUP BY ALL"""
+
+
+@_query(f"WITH w AS (SELECT *, 'EVT' AS product, ts_ns // 3600000000000 * 3600000000000 AS start_ns FROM t_ticks) {_WINDOWED}")
+def windowed_bars(spark, sf_dir):
+    """Hourly bars of a stream, by event time."""
+    live_bars = stream_windows.windowed_bars(adapters.ticks(spark, sf_dir, stream=True), "1 hour", "40 days")
+    return latest(to_table(live_bars), ["product", "start_ns"], "trades")
+
+
+@_query(f"WITH w AS (SELECT *, 'EVT' AS product, (ts_ns // 1800000000000 - k) * 1800000000000 AS start_ns FROM t_ticks, range(4) s(k)) {_WINDOWED}")
+def sliding_bars_stream(spark, sf_dir):
+    """Bars of two hours that begin every half hour, of a stream."""
+    live_bars = stream_windows.windowed_bars(adapters.ticks(spark, sf_dir, stream=True), "2 hours", "40 days", "30 minutes")
+    return latest(to_table(live_bars), ["product", "start_ns"], "trades")
+
+
+@_query("""WITH w AS (SELECT *, (ts_ns // 300000000000 - k) * 300000000000 AS start_ns FROM t_ticks, range(12) s(k))
+    SELECT start_ns, count(*) AS trades, [[sum(size)]] AS volume, [[sum(price * size) / sum(size)]] AS vwap FROM w GROUP BY ALL""")
+def rolling_vwap(spark, sf_dir):
+    """The last hour's VWAP, every five minutes."""
+    return windows.rolling_vwap(adapters.ticks(spark, sf_dir), 3_600_000_000_000, 300_000_000_000)
+
+
+@_query("""WITH g AS (SELECT *, CASE WHEN ts_ns - lag(ts_ns) OVER (ORDER BY ts_ns) < 240000000000 THEN 0 ELSE 1 END AS opens FROM t_ticks),
+    b AS (SELECT *, sum(opens) OVER (ORDER BY ts_ns RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS burst FROM g)
+    SELECT product, start_ns, last_ns, trades, [[volume]] AS volume, [[vwap]] AS vwap FROM (
+        SELECT 'EVT' AS product, burst, min(ts_ns) AS start_ns, max(ts_ns) AS last_ns, count(*) AS trades, sum(size) AS volume, sum(price * size) / sum(size) AS vwap FROM b GROUP BY burst)""")
+def trade_bursts(spark, sf_dir):
+    """Runs of trades less than four minutes apart."""
+    return windows.trade_bursts(adapters.ticks(spark, sf_dir), 240_000_000_000, ["product"])
+
+
 # quotes and books
 
 
@@ -149,6 +184,17 @@ def quote_metrics(spark, sf_dir):
     return quotes.quote_metrics(adapters.quotes(spark, sf_dir))
 
 
+@_query("""WITH m AS (SELECT ts_ns AS quote_ns, (bid + ask) / 2 AS mid FROM t_quotes),
+    a AS (SELECT t.*, m.mid FROM t_ticks t ASOF LEFT JOIN m ON t.ts_ns > m.quote_ns),
+    b AS (SELECT a.*, m.mid AS later FROM a ASOF LEFT JOIN m ON a.ts_ns + 300000000000 >= m.quote_ns),
+    c AS (SELECT *, CASE WHEN side = 'buy' THEN 2e0 ELSE -2e0 END * (price - mid) / mid * 1e4 AS e, CASE WHEN side = 'buy' THEN 2e0 ELSE -2e0 END * (price - later) / mid * 1e4 AS r FROM b),
+    d AS (SELECT session_id, count(*) AS trades, count(e) AS priced_trades, sum(size) AS v, sum(e * size) / sum(size) FILTER (e IS NOT NULL) AS es, sum(r * size) / sum(size) FILTER (r IS NOT NULL) AS rs FROM c GROUP BY ALL)
+    SELECT session_id, trades, priced_trades, [[v]] AS volume, [[es]] AS effective_spread_bps, [[rs]] AS realised_spread_bps, [[es - rs]] AS price_impact_bps FROM d""")
+def trade_spreads(spark, sf_dir):
+    """Effective and realised spread against the quotes that stood before each trade and five minutes after it."""
+    return asof.trade_spreads(adapters.ticks(spark, sf_dir), adapters.quotes(spark, sf_dir), 300_000_000_000, ["session_id"])
+
+
 _SNAPS = """(SELECT session_id, ts_ns, sum(size) FILTER (side = 'bid') AS bd, sum(size) FILTER (side = 'ask') AS ad, max(price) FILTER (side = 'bid' AND level = 0) AS bp, max(price) FILTER (side = 'ask' AND level = 0) AS ap,
     max(size) FILTER (side = 'bid' AND level = 0) AS bq, max(size) FILTER (side = 'ask' AND level = 0) AS aq FROM t_book GROUP BY ALL)"""
 

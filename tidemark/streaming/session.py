@@ -189,20 +189,3 @@ def stream(ticks: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS) -> DataFram
 def to_end(reports: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The last report of each session, once the stream has taken all that its source has."""
     return latest(to_table(reports, chunk_rows), "session", "rows")
-
-
-def windowed_bars(ticks: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Bars of a stream by event time, with a watermark: an extension for live use; microsecond windows."""
-    timed = ticks.withColumn("ts", F.timestamp_micros((F.col("ts_ns") / 1000).cast("long"))).withWatermark("ts", late)
-    order = F.struct("ts_ns", "trade_id")
-    out = timed.groupBy("product", F.window("ts", width)).agg(
-        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("size").alias("volume"),
-        F.sum(F.col("price") * F.col("size")).alias("pv"),
-    )
-    return out.select("product", F.col("window.start").alias("start"), "open", "high", "low", "close", "volume", safe_div("pv", "volume").alias("vwap"))
-
-
-def drop_duplicate_trades(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """A stream without the trades that a reconnect sends again within the watermark."""
-    timed = ticks.withColumn("ts", F.timestamp_micros((F.col("ts_ns") / 1000).cast("long"))).withWatermark("ts", late)
-    return timed.dropDuplicatesWithinWatermark(["product", "trade_id"]).drop("ts")

@@ -41,6 +41,6 @@ def to_table(rows: DataFrame, chunk_rows: int | None = None, mode: str = "update
     return spark.read.schema(rows.schema).parquet(out).select(*rows.columns)
 
 
-def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
+def latest(rows: DataFrame, key: str | list[str], order: str) -> DataFrame:
     """Of an updated table, the newest row of each key."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
