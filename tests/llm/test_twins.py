@@ -365,3 +365,26 @@ def test_kept_texts_equal_a_plain_search(spark):
         changed += bool(gone)
         assert got[k] == b"".join(c for j, c in enumerate(chunks) if j not in gone).decode(), k
     assert changed > 20
+
+
+def test_names_count_as_whole_words():
+    from tidemark.llm import html_text
+
+    text = lambda page: html_text.main_text(html_text.parse(page))
+    kept = ["ad-hoc", "related-work", "notice-of-award", "menu-engineering", "social-science", "promotion-law"]
+    gone = ["ad", "top-ad", "ad-banner", "cookie-notice", "site-nav x", "share-links", "sidebar_left", "related", "ad-slot-3"]
+    for name in kept:
+        assert text(f'<body><h1>T</h1><div class="{name}"><p>kept words</p></div></body>') == "T kept words", name
+        assert text(f'<body><h1>T</h1><div id="{name}"><p>kept words</p></div></body>') == "T kept words", name
+    for name in gone:
+        assert text(f'<body><p>a</p><div class="{name}"><p>gone words</p></div><p>b</p></body>') == "a b", name
+
+
+def test_a_form_around_the_page_is_its_frame():
+    from tidemark.llm import html_text
+
+    text = lambda page: html_text.main_text(html_text.parse(page))
+    assert text("<body><form><nav>menu</nav><h1>Title</h1><p>one</p></form></body>") == "Title one"
+    assert text("<body><form><div><article><p>one</p><form><input><p>search</p></form></article></div></form></body>") == "one"
+    assert text("<body><p>one</p><form><p>your mail</p></form></body>") == "one"
+    assert text('<body><p>one</p><form class="newsletter"><h1>Subscribe</h1></form></body>') == "one"

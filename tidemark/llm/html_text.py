@@ -55,6 +55,12 @@ _NOT_TEXT = set(
     "subscription toolbar widget widgets".split()
 )
 
+# Words that say where such an element stands or how it is built, beside one of the words above.
+_LAYOUT = set(
+    "area aside bar bars block bottom box center col column container content footer group header inner item items left line link links list main message "
+    "outer page panel primary right row secondary section site slot text top unit wrap wrapper zone".split()
+)
+
 # A tag ends at its first ">" outside quotes; quotes count after "=" only, and a "<" outside them means that this is no tag.  Repeats
 # are possessive, so a tag that doesn't end costs its own length once.
 _TOKEN = re.compile(
@@ -64,7 +70,18 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)
 _WORDS = re.compile(r"[a-z]+")
 
 
+def _named_out(value: str) -> bool:
+    """Whether a class, id or role has a name that says so as a whole: of several words none may say anything else, so that ad-hoc is no
+    advert and related-work no list of links."""
+    for name in value.split():
+        words = _WORDS.findall(name)
+        if not _NOT_TEXT.isdisjoint(words) and all(w in _NOT_TEXT or w in _LAYOUT for w in words):
+            return True
+    return False
+
+
 class Node:
+    #: named_out is True for an element that is none of the article by its kind, 2 for one by its name.
     __slots__ = ("kind", "dumb", "named_out", "main", "children", "digest", "known", "lang")
 
     def __init__(self, kind: str, attributes: str = ""):
@@ -78,18 +95,17 @@ class Node:
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id", "role"):
-                words = _WORDS.findall(value)
                 self.known += name + "=" + value + ";"
                 if name == "role" and value == "main":
                     self.main = True
-                elif self.kind not in ("html", "body", "article", "main") and not _NOT_TEXT.isdisjoint(words):
-                    self.named_out = True
-                elif self.kind == "article" and {"comment", "comments"} & set(words):
-                    self.named_out, self.main = True, False
+                elif self.kind not in ("html", "body", "article", "main") and _named_out(value):
+                    self.named_out = 2
+                elif self.kind == "article" and {"comment", "comments"} & set(_WORDS.findall(value)) and _named_out(value):
+                    self.named_out, self.main = 2, False
             elif name == "lang" or name == "xml:lang":
                 self.lang = self.lang or value.strip()
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-                self.named_out = True
+                self.named_out = 2
 
 
 class _Open:
@@ -158,6 +174,10 @@ def parse(page: str) -> Node:
             now.close(_CLOSED_BY[kind], _SCOPE[kind])
         node = Node(kind, m[3])
         now.nodes[-1].children.append(node)
+        if (node.main or kind == "h1") and now.places.get("form"):
+            for place in now.places["form"]:  # a form around an article or the page's heading frames the page
+                if now.nodes[place].named_out is True:
+                    now.nodes[place].named_out = False
         if kind in _RAW:
             end = re.compile(rf"</{re.escape(kind)}(?=[\s/>])", re.I).search(page, at)
             at = page.find(">", end.end()) + 1 if end else 0
