@@ -368,8 +368,6 @@ def test_kept_texts_equal_a_plain_search(spark):
 
 
 def test_names_count_as_whole_words():
-    from tidemark.llm import html_text
-
     text = lambda page: html_text.main_text(html_text.parse(page))
     kept = ["ad-hoc", "related-work", "notice-of-award", "menu-engineering", "social-science", "promotion-law"]
     gone = ["ad", "top-ad", "ad-banner", "cookie-notice", "site-nav x", "share-links", "sidebar_left", "related", "ad-slot-3"]
@@ -381,10 +379,19 @@ def test_names_count_as_whole_words():
 
 
 def test_a_form_around_the_page_is_its_frame():
-    from tidemark.llm import html_text
-
     text = lambda page: html_text.main_text(html_text.parse(page))
     assert text("<body><form><nav>menu</nav><h1>Title</h1><p>one</p></form></body>") == "Title one"
     assert text("<body><form><div><article><p>one</p><form><input><p>search</p></form></article></div></form></body>") == "one"
     assert text("<body><p>one</p><form><p>your mail</p></form></body>") == "one"
     assert text('<body><p>one</p><form class="newsletter"><h1>Subscribe</h1></form></body>') == "one"
+
+
+def test_refusals(spark):
+    from tidemark.llm.common import K1
+
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    for drop in (exact_dedup.drop_copies, near_dedup.drop_near_copies):
+        with pytest.raises(ValueError, match="reserved"):
+            drop(docs.withColumn(K1, F.lit(1)))
+    with pytest.raises(ValueError, match="percent"):
+        near_dedup.near_groups(docs, percent=50)

@@ -22,7 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -68,11 +68,16 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """docs with 128 bits of a row's id and text as K1 and K2, the same whenever a row is read."""
+def refuse_reserved(docs: DataFrame) -> None:
+    """ValueError where docs has a column named as one of our own."""
     taken = {c.lower() for c in docs.columns} & {K1, K2, COPY}
     if taken:
         raise ValueError(f"reserved column names: {sorted(taken)}")
+
+
+def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """docs with 128 bits of a row's id and text as K1 and K2, the same whenever a row is read."""
+    refuse_reserved(docs)
     id_, body = F.col(doc_id).cast("long"), text_of(text)
     return docs.select("*", F.xxhash64(id_, body).alias(K1), F.xxhash64(body, id_, F.lit(7)).alias(K2))
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import K1, K2, drop_stash, first_copies, stash, text_of
+from tidemark.llm.common import K1, K2, drop_stash, first_copies, refuse_reserved, stash, text_of
 
 #: Characters of a block: most documents have several.
 BLOCK = 1024
@@ -118,7 +118,9 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bl
 
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """The rows of docs, all columns, without those that exact_groups() drops; of rows that repeat id and text see first_copies()."""
+    """The rows of docs, all columns, without those that exact_groups() drops; of rows that repeat id and text see first_copies().
+    ValueError where docs has one of our own column names."""
+    refuse_reserved(docs)
     kept = exact_groups(docs, text, doc_id, block).where("kept").select(
         F.coalesce("keep_id", F.lit(-(2**63))).alias(K1), F.unhex("text_sha256").alias(K2)
     )

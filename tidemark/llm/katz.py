@@ -13,9 +13,9 @@ log P(w | h) - log P(w) - log alpha(h) for each bigram that has an entry.
 Words travel as 64-bit hashes.  A task sorts the tokens of a chunk of documents and sends each partition of the tables one
 packed row: the sorted keys as byte planes of their differences, and for each key its count or the documents in which it
 stands.  So counting and scoring move some bytes for each distinct key of a chunk and two for each token, not a row for each token.
-Tables are written Parquet: words by a hash of the word, bigrams beside the count of their word, gains by a hash of the
-bigram.  A bigram meets its word where the words of that hash are counted, and its history where those of that hash are, so no
-table is joined by sorting.
+Tables are written Parquet: words by a hash of the word, bigrams beside the count of their word.  A bigram meets its word where
+the words of that hash are counted, and its history where those of that hash are; the tokens to be scored are sent there too, so gains
+are added up where they are made, and no table is joined by sorting.
 
 Skew: a word that has its share of a whole partition, of which there can be no more than partitions, is known to every
 task; its bigrams are dealt by their own hash instead of by the word's, and the sums of such a history are aggregated on the map side.
@@ -44,7 +44,7 @@ GOOD_TURING = 5
 #: Tokens and documents of a chunk; bounds a task's memory.
 TOKENS, DOCUMENTS = 1_000_000, 60_000
 #: Tokens of a partition of the tables, and most keys whose values every task is given (some 3 MB).
-PART_TOKENS, HOT = 4_000_000, 100_000
+PART_TOKENS, HOT = 2_000_000, 100_000
 
 END, BOS = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -52,7 +52,7 @@ END, BOS = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _ROW = "p int, chunk long, a binary, b binary, c binary, d binary, e binary"
 _NAMES = ["p", "chunk", "a", "b", "c", "d", "e"]
 _KINDS = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
-WORDS, GAINS, BACKOFFS, HOT_GAINS, HOT_BACKOFFS = -1, -2, -3, -4, -5
+WORDS, ENTRIES, BACKOFFS = -1, -2, -3
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -73,11 +73,6 @@ def _undelta(raw: bytes) -> np.ndarray:
     return np.cumsum(_unplane(raw, np.uint64), dtype=np.uint64)
 
 
-def _short(x: np.ndarray) -> np.ndarray:
-    """Doubles rounded to 36 bits of fraction (7e-12 of their size), so that their last two bytes are zero."""
-    return ((x.view(np.uint64) + np.uint64(1 << 15)) & np.uint64(0xFFFFFFFFFFFF0000)).view(np.float64)
-
-
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     """The partition of uniformly distributed keys: ranges of their upper half, so sorting by key sorts by partition."""
     return (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
@@ -270,7 +265,7 @@ def _send_entries(batches: Iterator[pa.RecordBatch], parts: int, often: Known) -
         order = np.lexsort((history, where))
         for p, lo, hi in _spans(where[order]):
             some = order[lo:hi]
-            yield _row(p, 0, _deltas(history[some]), _planes(joint[some]), _planes(n[some]), _planes(c[some]))
+            yield _row(p, ENTRIES, _deltas(history[some]), _planes(joint[some]), _planes(n[some]), _planes(c[some]))
 
 
 def _off(n: np.ndarray, d: list[float]) -> np.ndarray:
@@ -279,38 +274,36 @@ def _off(n: np.ndarray, d: list[float]) -> np.ndarray:
     return np.where(n <= GOOD_TURING, np.array(d)[np.minimum(n, GOOD_TURING)] * n, n - 0.5)
 
 
-def _price(batches: Iterator[pa.RecordBatch], parts: int, most: int, d1: list[float], d2: list[float], total: int, often: Known) -> Iterator[pa.RecordBatch]:
-    """One partition of the histories: the gain of each bigram, dealt by the bigram, and log alpha of each history, those of hot keys (with
-    one in `most` of all tokens) once more.
+def _log_alpha(follows: np.ndarray, kept: np.ndarray, covered: np.ndarray) -> np.ndarray:
+    """What a history leaves to the words that don't follow it, over what these have among all words."""
+    return np.log10((1 - kept / follows) / (1 - covered))
+
+
+def _score_pairs(batches: Iterator[pa.RecordBatch], parts: int, d1: list[float], d2: list[float], total: int, often: Known) -> Iterator[pa.RecordBatch]:
+    """One partition of the histories: the gains of its bigrams, summed over the tokens that chunks sent, and log alpha of each history.
 
     often has, for each history that stands too often for one partition, its count and the sums of its bigrams.
     """
     tables, chunks = _gather(batches)
-    words = _table(tables.get(WORDS, []), np.uint64)
-    if not chunks:
-        return
-    history = np.concatenate([_undelta(r["a"]) for r in chunks])
-    joint, n, c = (np.concatenate([_unplane(r[k], np.uint64) for r in chunks]) for k in "bcd")
-    kept, p_word = _off(n, d2), _off(c, d1) / total
-    own, which = np.unique(history, return_inverse=True)
-    at, common = often.find(own)
-    pick = lambda column: often.values[at, column] if often.keys.size else np.zeros(own.size)
-    follows = np.where(common, pick(0), _value(own, words).astype(float))
-    sum_kept = np.where(common, pick(1), np.bincount(which, kept, minlength=own.size))
-    covered = np.where(common, pick(2), np.bincount(which, p_word, minlength=own.size))
-    log_alpha = np.log10((1 - sum_kept / follows) / (1 - covered))
-    gain = _short(np.log10(kept / follows[which]) - np.log10(p_word) - log_alpha[which])
-    order = np.argsort(joint)
-    joint, gain, n = joint[order], gain[order], n[order]
-    for p, lo, hi in _spans(_part(joint, parts)):
-        yield _row(p, GAINS, _deltas(joint[lo:hi]), _planes(gain[lo:hi]))
-    hot = n.astype(float) * most >= total
-    yield _row(0, HOT_GAINS, _deltas(joint[hot]), _planes(gain[hot]))
-    own, log_alpha, follows = own[~common], log_alpha[~common], follows[~common]
-    for p, lo, hi in _spans(_part(own, parts)):
-        yield _row(p, BACKOFFS, _deltas(own[lo:hi]), _planes(log_alpha[lo:hi]))
-    hot = follows * most >= total
-    yield _row(0, HOT_BACKOFFS, _deltas(own[hot]), _planes(log_alpha[hot]))
+    words, entries = _table(tables.get(WORDS, []), np.uint64), tables.get(ENTRIES, [])
+    gains = Known(np.zeros(0, np.uint64), np.zeros(0))
+    if entries:
+        history = np.concatenate([_undelta(r["a"]) for r in entries])
+        joint, n, c = (np.concatenate([_unplane(r[k], np.uint64) for r in entries]) for k in "bcd")
+        entries.clear()
+        kept, p_word = _off(n, d2), _off(c, d1) / total
+        own, which = np.unique(history, return_inverse=True)
+        at, common = often.find(own)
+        pick = lambda column: often.values[at, column] if often.keys.size else np.zeros(own.size)
+        follows = np.where(common, pick(0), _value(own, words).astype(float))
+        log_alpha = _log_alpha(follows, np.where(common, pick(1), np.bincount(which, kept, minlength=own.size)), np.where(common, pick(2), np.bincount(which, p_word, minlength=own.size)))
+        gains = Known(joint, np.log10(kept / follows[which]) - np.log10(p_word) - log_alpha[which])
+        del history, joint, n, c, kept, p_word, which
+        own, log_alpha = own[~common], log_alpha[~common]
+        for p, lo, hi in _spans(_part(own, parts)):
+            yield _row(p, BACKOFFS, _deltas(own[lo:hi]), _planes(log_alpha[lo:hi]))
+    for chunk, sums in _applied(gains, np.zeros(1), chunks, True):
+        yield _row(0, chunk, None, *sums)
 
 
 def _sums(docs: np.ndarray, score: np.ndarray, base: np.ndarray | None, hits: np.ndarray | None) -> list[bytes]:
@@ -321,9 +314,10 @@ def _sums(docs: np.ndarray, score: np.ndarray, base: np.ndarray | None, hits: np
     return [_planes(touched.astype(np.uint16)), _planes(total(score)), _planes(total(base) if base is not None else none), _planes((total(hits.astype(float)) if hits is not None else none).astype(np.uint32))]
 
 
-def _send_scoring(batches: Iterator[pa.RecordBatch], parts: int, bigrams: bool, hot: Known) -> Iterator[pa.RecordBatch]:
-    """The tokens of all text by word or by bigram, with the document of each; hot keys come as sums.  hot has the base's log, log P and log alpha of a
-    word, or the gain of a bigram."""
+def _send_scoring(batches: Iterator[pa.RecordBatch], parts: int, hot: Known, often: Known | None = None) -> Iterator[pa.RecordBatch]:
+    """The tokens of all text by word, or with `often` by bigram to where its history's bigrams are priced, with the document of each; hot keys come as
+    sums.  hot has the base's log, log P and log alpha of a word, or the gain of a bigram."""
+    bigrams = often is not None
     for chunk in _chunks(batches):
         keys = _joint(chunk.history, chunk.words) if bigrams else chunk.words
         at, there = hot.find(keys)
@@ -331,11 +325,12 @@ def _send_scoring(batches: Iterator[pa.RecordBatch], parts: int, bigrams: bool,
             values, docs = hot.values[at[there]], chunk.docs[there].astype(np.int64)
             sums = _sums(docs, values, None, None) if bigrams else _sums(docs, values[:, 1] + values[:, 2], values[:, 0], np.ones(docs.size))
             yield _row(chunk.name % parts, chunk.name, None, *sums)
-        keys, docs = keys[~there], chunk.docs[~there]
-        order = np.argsort(keys, kind="stable")
-        at = _distinct(keys[order])
+        keys, docs, history = keys[~there], chunk.docs[~there], chunk.history[~there]
+        where = _dealt(history, keys, often, parts) if bigrams else _part(keys, parts)
+        order = np.lexsort((keys, where)) if bigrams else np.argsort(keys, kind="stable")
+        at = _distinct(keys[order])  # equal keys go to one partition
         times, own, bounds = np.diff(np.append(at, keys.size)).astype(np.uint32), keys[order[at]], np.append(at, keys.size)
-        for p, lo, hi in _spans(_part(own, parts)):
+        for p, lo, hi in _spans(where[order[at]]):
             yield _row(p, chunk.name, _deltas(own[lo:hi]), _planes(times[lo:hi]), _planes(docs[order[bounds[lo] : bounds[hi]]]))
 
 
@@ -354,19 +349,8 @@ def _word_values(words: np.ndarray, n: np.ndarray, alpha: np.ndarray, d1: list[f
     return np.stack([np.log10((n + 0.5) / (total + 0.5 * (types + 1))), np.log10(_off(n, d1) / total), alpha], axis=1)
 
 
-def _apply(batches: Iterator[pa.RecordBatch], words: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None, unseen: tuple[float, float]) -> Iterator[pa.RecordBatch]:
-    """Sums per chunk and document of a partition's values.  For words, `words` makes their values of the tables, and `unseen` has base and log P of a word
-    without a row; without it the tables are gains of bigrams, 0 without a row."""
-    tables, chunks = _gather(batches)
-    if words is None:
-        known = _table(tables.get(GAINS, []), np.float64)
-        missing = np.zeros(1)
-    else:
-        counts, backoffs = _table(tables.get(WORDS, []), np.uint64), _table(tables.get(BACKOFFS, []), np.float64)
-        at, there = backoffs.find(counts.keys)
-        alpha = np.where(there, backoffs.values[at], 0.0) if backoffs.keys.size else np.zeros(counts.keys.size)
-        known = Known(counts.keys, words(counts.keys, counts.values.astype(np.int64), alpha)) if counts.keys.size else Known(counts.keys, np.zeros((0, 3)))
-        missing = np.array([[unseen[0], unseen[1], 0.0]])
+def _applied(known: Known, missing: np.ndarray, chunks: list[dict], bigrams: bool) -> Iterator[tuple[int, list[bytes]]]:
+    """Each row of a chunk with its sums per document: its keys' values, `missing` for those without one.  Rows of sums pass as they are."""
     value = np.concatenate((known.values, missing))
     for row in chunks:
         out = [row[k] for k in "bcde"]
@@ -374,8 +358,20 @@ def _apply(batches: Iterator[pa.RecordBatch], words: Callable[[np.ndarray, np.nd
             at, there = known.find(_undelta(row["a"]))
             each = np.repeat(np.where(there, at, known.keys.size), _unplane(row["b"], np.uint32))
             docs = _unplane(row["c"], np.uint16).astype(np.int64)
-            out = _sums(docs, value[each], None, None) if words is None else _sums(docs, value[each, 1] + value[each, 2], value[each, 0], each < known.keys.size)
-        yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), *[pa.array([x], pa.binary()) for x in out]], ["chunk", "docs", "score", "base", "hits"])
+            out = _sums(docs, value[each], None, None) if bigrams else _sums(docs, value[each, 1] + value[each, 2], value[each, 0], each < known.keys.size)
+        yield row["chunk"], out
+
+
+def _apply_words(batches: Iterator[pa.RecordBatch], words: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], unseen: tuple[float, float]) -> Iterator[pa.RecordBatch]:
+    """Sums per chunk and document of a partition's words; `words` makes their values of the tables, and `unseen` has base and log P of a word
+    without a row."""
+    tables, chunks = _gather(batches)
+    counts, backoffs = _table(tables.get(WORDS, []), np.uint64), _table(tables.get(BACKOFFS, []), np.float64)
+    at, there = backoffs.find(counts.keys)
+    alpha = np.where(there, backoffs.values[at], 0.0) if backoffs.keys.size else np.zeros(counts.keys.size)
+    known = Known(counts.keys, words(counts.keys, counts.values.astype(np.int64), alpha)) if counts.keys.size else Known(counts.keys, np.zeros((0, 3)))
+    for chunk, sums in _applied(known, np.array([[unseen[0], unseen[1], 0.0]]), chunks, False):
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *[pa.array([x], pa.binary()) for x in sums]], ["chunk", "docs", "score", "base", "hits"])
 
 
 def _meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,11 +439,6 @@ def score(docs: DataFrame, trains: Column | None = None, text: str = "text", doc
         return _score(spark, docs, trains, text, doc_id)
 
 
-def _unpacked(rows: list, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    found = _table([{"a": r["a"], "b": r["b"]} for r in rows if r["chunk"] == kind], np.float64)
-    return found.keys, found.values
-
-
 def _score(spark: SparkSession, docs: DataFrame, trains: Column | None, text: str, doc_id: str) -> DataFrame:
     id_ = F.col(doc_id).cast("long")
     learn = F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % 5 != 1 if trains is None else F.coalesce(trains, F.lit(False))
@@ -482,27 +473,35 @@ def _score(spark: SparkSession, docs: DataFrame, trains: Column | None, text: st
     entries = stash(deal(pairs, lambda b: _count_pairs(b, often), "kind int, history long, word long, n long, c long"), "entries")
     few = {r["word"]: r["n"] for r in entries.where("kind = 1").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row for each small count
     d2, entries = discounts(few), entries.where("kind = 0").drop("kind")
-    # histories that stand too often for one partition, and the start, which is followed as often as texts end
-    follows = {int(k): int(n) for k, n in zip(often.keys.view(np.int64), often.values) if k != END} | {int(BOS.view(np.int64)): ends}
+    # histories that stand too often for one partition, the start, which is followed as often as texts end, and those of hot words
+    follows = {int(k): int(n) for k, n in zip(hot_words.keys.view(np.int64), hot_words.values) if k != END} | {int(BOS.view(np.int64)): ends}
     listed = F.broadcast(spark.createDataFrame([(h,) for h in follows], "history long"))
     p_word = _discounted(F.col("c"), d1) / max(total, 1)
-    sums = entries.join(listed, "history").groupBy("history").agg(F.sum(_discounted(F.col("n"), d2)).alias("kept"), F.sum(p_word).alias("covered")).collect()  # a row for each of those
-    facts = np.array([[follows[r["history"]], r["kept"], r["covered"]] for r in sums]).reshape(-1, 3)
-    common = Known(np.array([r["history"] for r in sums], np.int64).view(np.uint64), facts)
-
-    dealt = packed(entries.select("history", "word", "n", "c"), lambda b: _send_entries(b, parts, common)).unionByName(table)
-    priced = stash(deal(dealt, lambda b: _price(b, parts, most, d1, d2, total, common), _ROW), "gains")
-    drop_stash(entries)
-    heads = priced.where(F.col("chunk").isin(HOT_GAINS, HOT_BACKOFFS)).select("chunk", "a", "b").collect()  # no more than HOT keys of each
-    hot_pairs = Known(*_unpacked(heads, HOT_GAINS))
-    own, sums_of = _unpacked(heads, HOT_BACKOFFS), common.values
-    alphas = Known(np.concatenate((own[0], common.keys)), np.concatenate((own[1], np.log10((1 - sums_of[:, 1] / sums_of[:, 0]) / (1 - sums_of[:, 2])))))
+    sums = entries.join(listed, "history").groupBy("history").agg(F.sum(_discounted(F.col("n"), d2)).alias("kept"), F.sum(p_word).alias("covered")).toArrow()  # a row for each of those
+    heavy = sums["history"].to_numpy()
+    facts = np.stack([np.array([follows[int(h)] for h in heavy], float), sums["kept"].to_numpy(), sums["covered"].to_numpy()], axis=1)
+    alphas = Known(heavy.view(np.uint64), _log_alpha(facts[:, 0], facts[:, 1], facts[:, 2]))
+    many = (facts[:, 0] * parts >= total) | (heavy == BOS.view(np.int64))
+    common = Known(heavy[many].view(np.uint64), facts[many])
+
+    # bigrams with one in `most` of all tokens; their histories stand at least as often
+    top = entries.where(F.col("n") * most >= total).toArrow()
+    history, word, n, c = (top[k].to_numpy().view(np.uint64) for k in ("history", "word", "n", "c"))
+    at, there = alphas.find(history)
+    hot_follows = np.array([follows[int(h)] for h in history.view(np.int64)], float)
+    hot_gain = np.log10(_off(n, d2) / hot_follows) - np.log10(_off(c, d1) / total) - alphas.values[at] if history.size else np.zeros(0)
+    hot_pairs = Known(_joint(history, word), hot_gain)
     at, there = alphas.find(np.array([BOS]))
     start = float(alphas.values[at[0]]) if there[0] else 0.0
 
+    # tokens go to where the bigrams of their history are priced: gains are never written or sent.  They come first in the union, as chunks
+    # are named by their partition
+    dealt = packed(given, lambda b: _send_scoring(b, parts, hot_pairs, common))
+    dealt = dealt.unionByName(packed(entries.select("history", "word", "n", "c"), lambda b: _send_entries(b, parts, common))).unionByName(table)
+    priced = stash(deal(dealt, lambda b: _score_pairs(b, parts, d1, d2, total, common), _ROW), "pair-sums")
+    drop_stash(entries)
     sparse = "chunk long, docs binary, score binary, base binary, hits binary"
-    tokens_by_pair = packed(given, lambda b: _send_scoring(b, parts, True, hot_pairs)).unionByName(priced.where(F.col("chunk") == GAINS))
-    by_pairs = stash(deal(tokens_by_pair, lambda b: _apply(b, None, (0.0, 0.0)), sparse), "pair-sums")
+    by_pairs = priced.where("chunk >= 0").select("chunk", *[F.col(a).alias(b) for a, b in zip("bcde", ("docs", "score", "base", "hits"))])
 
     def values(words: np.ndarray, n: np.ndarray, alpha: np.ndarray) -> np.ndarray:
         return _word_values(words, n, alpha, d1, total, types)
@@ -510,9 +509,8 @@ def _score(spark: SparkSession, docs: DataFrame, trains: Column | None, text: st
     at, there = alphas.find(hot_words.keys)
     hot_alpha = np.where(there, alphas.values[at], 0.0) if alphas.keys.size else np.zeros(hot_words.keys.size)
     hot = Known(hot_words.keys, values(hot_words.keys, hot_words.values.astype(np.int64), hot_alpha) if total else np.zeros((0, 3)))
-    tokens_by_word = packed(given, lambda b: _send_scoring(b, parts, False, hot)).unionByName(table).unionByName(priced.where(F.col("chunk") == BACKOFFS))
-    by_words = stash(deal(tokens_by_word, lambda b: _apply(b, values, unseen), sparse), "word-sums")
-    drop_stash(priced)
+    tokens_by_word = packed(given, lambda b: _send_scoring(b, parts, hot)).unionByName(table).unionByName(priced.where(F.col("chunk") == BACKOFFS))
+    by_words = stash(deal(tokens_by_word, lambda b: _apply_words(b, values, unseen), sparse), "word-sums")
 
     none = [F.lit(None).cast(t).alias(n) for n, t in (("ids", "array<long>"), ("trains", "array<boolean>"), ("lengths", "array<long>"))]
     nothing = [F.lit(None).cast("binary").alias(n) for n in ("docs", "score", "base", "hits")]

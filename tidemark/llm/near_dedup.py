@@ -205,8 +205,11 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, text: str =
     words, or null, is linked with nothing.  component_id is the smallest doc_id reachable,
     kept whether it is the document's own.  Rows that share a doc_id count as one document and stay or go
     together.  Null doc_ids are documents of their own, after all others; a component that has
-    only such has a null component_id and keeps one of them.  Other columns are ignored.
+    only such has a null component_id and keeps one of them.  Other columns are ignored.  ValueError for less than 80 percent: the
+    bands would lose links.
     """
+    if not 80 <= percent <= 100:
+        raise ValueError("percent must be from 80 to 100")
     rows = row_keys(docs, text, doc_id)
     given = rows.select("k1", "k2", F.concat("body", F.lit(" ")).alias("body"), F.coalesce("id", F.lit(NULL_IDS) + F.monotonically_increasing_id()).alias("node"))
     signed = stash(
