@@ -25,6 +25,16 @@ def r8(x: Column | str) -> Column:
     return round_half_away(x, 8)
 
 
+def product_of(rows: DataFrame) -> list[Column]:
+    """The product of a report, for an aggregate of its rows; none where the rows don't name it."""
+    return [F.min("product").alias("product")] if "product" in rows.columns else []
+
+
+def named(rows: DataFrame) -> list[str]:
+    """["product"] where product_of() has given one."""
+    return ["product"] if "product" in rows.columns else []
+
+
 def safe_div(a: Column | str, b: Column | str) -> Column:
     """a / b, null where b is zero."""
     a, b = _column(a), _column(b)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.functions import check_grid, r8, require, safe_div
+from tidemark.functions import check_grid, named, product_of, r8, require, safe_div
 from tidemark.storage import written
 
 #: Snapshots of a stretch of time, on the mean, when a book is thinned: what a task holds.
@@ -27,7 +27,7 @@ def _depths(book: DataFrame, keys: list[str]) -> DataFrame:
     top = lambda s, c: F.max(F.when(on(s) & (F.col("level") == 0), F.col(c)))
     whole = lambda s: F.coalesce(F.sum(F.when(on(s), F.col("size"))), F.lit(0.0))
     return book.groupBy(*keys, "ts_ns").agg(
-        whole("bid").alias("bid_depth"), whole("ask").alias("ask_depth"), top("bid", "price").alias("bid"), top("ask", "price").alias("ask"),
+        *product_of(book), whole("bid").alias("bid_depth"), whole("ask").alias("ask_depth"), top("bid", "price").alias("bid"), top("ask", "price").alias("ask"),
         F.coalesce(top("bid", "size"), F.lit(0.0)).alias("bid_queue"), F.coalesce(top("ask", "size"), F.lit(0.0)).alias("ask_queue"),
     )
 
@@ -35,7 +35,7 @@ def _depths(book: DataFrame, keys: list[str]) -> DataFrame:
 def _means(snapshots: DataFrame, keys: list[str]) -> DataFrame:
     balance = lambda a, b: F.avg(safe_div(F.col(a) - F.col(b), F.col(a) + F.col(b)))
     return snapshots.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("snapshots"),
+        *product_of(snapshots), F.count(F.lit(1)).alias("snapshots"),
         r8(F.avg("bid_depth")).alias("avg_bid_depth"), r8(F.avg("ask_depth")).alias("avg_ask_depth"), r8(balance("bid_depth", "ask_depth")).alias("avg_depth_imbalance"),
         r8(F.avg(F.col("ask") - F.col("bid"))).alias("avg_spread"),
         r8(F.avg("bid_queue")).alias("avg_bid_queue"), r8(F.avg("ask_queue")).alias("avg_ask_queue"), r8(balance("bid_queue", "ask_queue")).alias("avg_queue_imbalance"),
@@ -45,13 +45,13 @@ def _means(snapshots: DataFrame, keys: list[str]) -> DataFrame:
 def depth_metrics(book: DataFrame, keys: list[str] = []) -> DataFrame:
     if not keys and book.isEmpty():
         raise ValueError("no book levels")
-    return _means(_depths(book, keys), keys).select(*keys, "snapshots", "avg_bid_depth", "avg_ask_depth", "avg_depth_imbalance", "avg_spread")
+    return _means(_depths(book, keys), keys).select(*keys, *named(book), "snapshots", "avg_bid_depth", "avg_ask_depth", "avg_depth_imbalance", "avg_spread")
 
 
 def queue_metrics(book: DataFrame, keys: list[str] = []) -> DataFrame:
     if not keys and book.isEmpty():
         raise ValueError("no book levels")
-    return _means(_depths(book, keys), keys).select(*keys, "snapshots", "avg_bid_queue", "avg_ask_queue", "avg_queue_imbalance")
+    return _means(_depths(book, keys), keys).select(*keys, *named(book), "snapshots", "avg_bid_queue", "avg_ask_queue", "avg_queue_imbalance")
 
 
 def _sweeps(book: DataFrame, side: str, sizes: list[float], keys: list[str]) -> DataFrame:
@@ -66,12 +66,12 @@ def _sweeps(book: DataFrame, side: str, sizes: list[float], keys: list[str]) ->
     levels = levels.withColumn("order_size", F.explode(F.array(*[F.lit(float(s)) for s in sizes])))
     levels = levels.withColumn("take", F.greatest(F.lit(0.0), F.least(F.col("order_size") - F.col("ahead"), F.col("size"))))
     snaps = levels.groupBy(*keys, "order_size", "ts_ns").agg(
-        F.sum(F.col("take") * F.col("price")).alias("notional"), F.sum("take").alias("filled"), F.sum(F.when(F.col("take") > 0, 1.0).otherwise(0.0)).alias("levels"), F.sum("size").alias("depth"),
+        *product_of(levels), F.sum(F.col("take") * F.col("price")).alias("notional"), F.sum("take").alias("filled"), F.sum(F.when(F.col("take") > 0, 1.0).otherwise(0.0)).alias("levels"), F.sum("size").alias("depth"),
         (F.min("price") if side == "buy" else F.max("price")).alias("touch"),
     )
     vwap = safe_div("notional", "filled")
     return snaps.groupBy(*keys, "order_size").agg(
-        F.count(F.lit(1)).alias("snapshots"), F.count(F.when(F.col("filled") >= F.col("order_size") - 1e-9, 1)).alias("filled_snapshots"),
+        *product_of(snaps), F.count(F.lit(1)).alias("snapshots"), F.count(F.when(F.col("filled") >= F.col("order_size") - 1e-9, 1)).alias("filled_snapshots"),
         F.avg(vwap).alias("vwap"), F.avg(sign * (vwap - F.col("touch")) / F.col("touch") * 1e4).alias("slippage"), F.avg("levels").alias("levels"),
         F.avg(F.col("filled") / F.col("order_size")).alias("fill"), F.avg("depth").alias("depth"),
     )
@@ -81,7 +81,7 @@ def sweep_cost(book: DataFrame, side: str, order_size: float, keys: list[str] =
     """Cost of taking order_size from every snapshot: buy from the asks upwards, sell to the bids downwards."""
     out = _sweeps(book, side, [order_size], keys)
     return out.select(
-        *keys, F.lit(side).alias("side"), "order_size", "snapshots", "filled_snapshots", r8("vwap").alias("avg_sweep_vwap"), r8("slippage").alias("avg_slippage_bps"),
+        *keys, *named(out), F.lit(side).alias("side"), "order_size", "snapshots", "filled_snapshots", r8("vwap").alias("avg_sweep_vwap"), r8("slippage").alias("avg_slippage_bps"),
         r8("levels").alias("avg_levels_consumed"), r8("fill").alias("avg_fill_ratio"),
     )
 
@@ -105,7 +105,7 @@ def sweep_curve(book: DataFrame, side: str, sizes: list[float], keys: list[str]
     if not keys:
         require(rows, {"fewer than two sizes were filled by every snapshot": F.coalesce(F.col("n"), F.lit(0)) < 2})
     return rows.select(
-        *keys, F.lit(side).alias("side"), "snapshots", r8("depth").alias("avg_depth"), "points", F.col("n").cast("long").alias("fitted_points"), r8("coef").alias("coef_bps"),
+        *keys, *named(rows), F.lit(side).alias("side"), "snapshots", r8("depth").alias("avg_depth"), "points", F.col("n").cast("long").alias("fitted_points"), r8("coef").alias("coef_bps"),
         r8(F.sqrt(F.col("res") / F.col("n"))).alias("rmse_bps"), r8(F.when(F.col("tot") == 0, 0.0).otherwise(1 - F.col("res") / F.col("tot"))).alias("r_squared"),
         "order_size", r8("p").alias("participation"), F.col("y").alias("measured_bps"), r8(F.col("coef") * F.sqrt("p")).alias("modelled_bps"), r8("residual").alias("residual_bps"),
         r8("fill").alias("fill_ratio"), "fitted",

@@ -131,13 +131,13 @@ def shortfall(fills: DataFrame, parent_qty: float, arrival: float, coef_bps: flo
     rows = shortfall_slices(fills, arrival, coef_bps, perm_coef_bps)
     by = lambda c: F.sum(F.col(c) * F.col("weight"))
     sums = rows.agg(
-        F.min("side").alias("side"), F.count(F.lit(1)).alias("fills"), F.sum("qty").alias("filled"), F.sum(F.col("qty") * F.col("price")).alias("notional"), F.max_by("price", "ts_ns").alias("final"),
+        F.min("product").alias("product"), F.min("side").alias("side"), F.count(F.lit(1)).alias("fills"), F.sum("qty").alias("filled"), F.sum(F.col("qty") * F.col("price")).alias("notional"), F.max_by("price", "ts_ns").alias("final"),
         by("realised").alias("realised"), by("modelled").alias("modelled"), by("residual").alias("residual"),
     )
     unfilled, rate = F.lit(float(parent_qty)) - F.col("filled"), F.col("filled") / parent_qty
     missed = unfilled / parent_qty * _signed(F.col("final"), arrival)
     return sums.select(
-        "side", "fills", F.lit(float(parent_qty)).alias("parent_qty"), r8("filled").alias("filled_qty"), r8(unfilled).alias("unfilled_qty"), r8(rate).alias("fill_rate"), F.lit(float(arrival)).alias("arrival_price"),
+        "product", "side", "fills", F.lit(float(parent_qty)).alias("parent_qty"), r8("filled").alias("filled_qty"), r8(unfilled).alias("unfilled_qty"), r8(rate).alias("fill_rate"), F.lit(float(arrival)).alias("arrival_price"),
         r8(F.col("notional") / F.col("filled")).alias("avg_price"), r8("final").alias("final_price"), r8("realised").alias("realised_bps"), r8("modelled").alias("modelled_bps"), r8("residual").alias("residual_bps"),
         r8(missed).alias("opportunity_bps"), r8(rate * F.col("realised") + missed).alias("total_bps"),
     )
@@ -155,7 +155,7 @@ def _legs(fills: DataFrame, arrival: float, coefs: DataFrame, perm_coef_bps: flo
         F.struct(F.lit("twap").alias("name"), F.lit(1).alias("place"), (F.col("filled") / F.col("n")).alias("q")),
         F.struct(F.lit("volume").alias("name"), F.lit(2).alias("place"), (F.col("filled") * F.col("interval_volume") / F.col("traded")).alias("q")),
     ))
-    rows = rows.select("ts_ns", "side", "price", "interval_volume", "filled", "n", "coef_bps", plans.alias("s")).select("*", "s.*").withColumn("p", F.col("q") / F.col("interval_volume"))
+    rows = rows.select("product", "ts_ns", "side", "price", "interval_volume", "filled", "n", "coef_bps", plans.alias("s")).select("*", "s.*").withColumn("p", F.col("q") / F.col("interval_volume"))
     rows = rows.withColumn("participation", F.when(F.col("p") > 1, F.raise_error(F.lit("a strategy takes more than an interval's volume")).cast("double")).otherwise(F.col("p")))
     rows = rows.withColumn("weight", F.col("q") / F.col("filled")).withColumn("drift", _signed(F.col("price"), arrival))
     return rows.withColumn("impact", F.col("coef_bps") * F.sqrt("participation") + perm_coef_bps * F.col("participation")).drop("s", "p")
@@ -167,7 +167,7 @@ def _strategies(fills: DataFrame, arrival: float, coefs: DataFrame, perm_coef_bp
     drift, impact = F.sum(F.col("weight") * F.col("drift")), F.sum(F.col("weight") * F.col("impact"))
     # each strategy's parts make up what was filled: a sum of many equal parts would only add rounding
     return rows.groupBy("coef_bps", "name", "place").agg(
-        F.first("side").alias("side"), F.max("n").alias("intervals"), F.max("filled").alias("qty"), drift.alias("drift"), impact.alias("impact"), (drift + impact).alias("cost")
+        F.min("product").alias("product"), F.first("side").alias("side"), F.max("n").alias("intervals"), F.max("filled").alias("qty"), drift.alias("drift"), impact.alias("impact"), (drift + impact).alias("cost")
     )
 
 
@@ -179,7 +179,7 @@ def counterfactual(fills: DataFrame, arrival: float, coef_bps: float, perm_coef_
     w, other = Window.partitionBy(), F.col("place") > 0  # three rows
     rows = rows.withColumn("best_alternative", F.min_by("name", F.when(other, F.struct("cost_bps", "place"))).over(w))
     rows = rows.withColumn("edge_bps", r8(F.min(F.when(other, F.col("cost_bps"))).over(w) - F.max(F.when(~other, F.col("cost_bps"))).over(w)))
-    return rows.select("side", "intervals", r8(F.lit(float(arrival))).alias("arrival_price"), "name", r8("qty").alias("qty"), r8("drift").alias("drift_bps"), r8("impact").alias("impact_bps"), "cost_bps", "best_alternative", "edge_bps")
+    return rows.select("product", "side", "intervals", r8(F.lit(float(arrival))).alias("arrival_price"), "name", r8("qty").alias("qty"), r8("drift").alias("drift_bps"), r8("impact").alias("impact_bps"), "cost_bps", "best_alternative", "edge_bps")
 
 
 def counterfactual_legs(fills: DataFrame, arrival: float, coef_bps: float, perm_coef_bps: float = 0.0) -> DataFrame:
@@ -199,8 +199,8 @@ def sensitivity(fills: DataFrame, arrival: float, coef_grid: list[float], perm_c
     coefs = fills.sparkSession.createDataFrame([(g,) for g in grid], "coef_bps double")
     rows = _strategies(fills, arrival, coefs, perm_coef_bps).withColumn("cost_bps", r8("cost"))
     alt = F.when(F.col("place") > 0, F.struct("cost_bps", "place", "name"))
-    points = rows.groupBy("coef_bps").agg(F.max(F.when(F.col("place") == 0, F.col("cost_bps"))).alias("realised_cost_bps"), F.min(alt).alias("b"))
-    points = points.select("coef_bps", "realised_cost_bps", F.col("b.name").alias("best_alternative"), F.col("b.cost_bps").alias("best_cost_bps"), r8(F.col("b.cost_bps") - F.col("realised_cost_bps")).alias("edge_bps"))
+    points = rows.groupBy("coef_bps").agg(F.min("product").alias("product"), F.max(F.when(F.col("place") == 0, F.col("cost_bps"))).alias("realised_cost_bps"), F.min(alt).alias("b"))
+    points = points.select("product", "coef_bps", "realised_cost_bps", F.col("b.name").alias("best_alternative"), F.col("b.cost_bps").alias("best_cost_bps"), r8(F.col("b.cost_bps") - F.col("realised_cost_bps")).alias("edge_bps"))
     w = Window.orderBy("coef_bps")  # a row for each point of the grid
     points = points.withColumn("next_coef", F.lead("coef_bps").over(w)).withColumn("next_edge", F.lead("edge_bps").over(w))
     flips = F.col("edge_bps") * F.col("next_edge") < 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import r8, safe_div
+from tidemark.functions import named, product_of, r8
 
 
 def impact_curve(slices: DataFrame, coef_bps: float, perm_coef_bps: float = 0.0, keys: list[str] = []) -> DataFrame:
@@ -13,7 +13,7 @@ def impact_curve(slices: DataFrame, coef_bps: float, perm_coef_bps: float = 0.0,
         raise ValueError("no impact slices")
     cost, perm = F.sqrt("participation") * coef_bps, F.col("participation") * perm_coef_bps
     return slices.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("slices"), F.lit(float(coef_bps)).alias("coef_bps"), F.lit(float(perm_coef_bps)).alias("perm_coef_bps"),
+        *product_of(slices), F.count(F.lit(1)).alias("slices"), F.lit(float(coef_bps)).alias("coef_bps"), F.lit(float(perm_coef_bps)).alias("perm_coef_bps"),
         r8(F.avg(cost)).alias("avg_impact_bps"), r8(F.max(cost)).alias("max_impact_bps"), r8(F.sum(cost)).alias("total_impact_bps"),
         r8(F.avg(perm)).alias("avg_perm_impact_bps"), r8(F.sum(perm)).alias("total_perm_impact_bps"), r8(F.sum(cost) + F.sum(perm)).alias("total_cost_bps"),
     )
@@ -24,7 +24,7 @@ def _fit(samples: DataFrame, weight, ridge: float, keys: list[str]) -> DataFrame
     p, y, w = F.col("participation"), F.col("realised_bps"), weight
     s = F.sqrt(p)
     sums = samples.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), (F.sum(w * p) + ridge).alias("s11"), F.sum(w * s * p).alias("s12"), (F.sum(w * p * p) + ridge).alias("s22"),
+        *product_of(samples), F.count(F.lit(1)).alias("n"), (F.sum(w * p) + ridge).alias("s11"), F.sum(w * s * p).alias("s12"), (F.sum(w * p * p) + ridge).alias("s22"),
         F.sum(w * s * y).alias("b1"), F.sum(w * p * y).alias("b2"), F.sum(p).alias("u11"), F.sum(s * p).alias("u12"), F.sum(p * p).alias("u22"), F.sum(s * y).alias("v1"),
         F.sum(p * y).alias("v2"), F.sum(y * y).alias("yy"), F.sum(y).alias("y"),
     )
@@ -35,11 +35,11 @@ def _fit(samples: DataFrame, weight, ridge: float, keys: list[str]) -> DataFrame
     c, k = F.col("coef"), F.col("perm")
     res = F.greatest(F.lit(0.0), F.col("yy") - 2 * (c * F.col("v1") + k * F.col("v2")) + c * c * F.col("u11") + 2 * c * k * F.col("u12") + k * k * F.col("u22"))
     tot = F.col("yy") - F.col("y") * F.col("y") / F.col("n")
-    return out.select(*keys, "coef", "perm", "n", F.sqrt(res / F.col("n")).alias("rmse"), F.when(tot == 0, 0.0).otherwise(1 - res / tot).alias("r2"))
+    return out.select(*keys, *named(out), "coef", "perm", "n", F.sqrt(res / F.col("n")).alias("rmse"), F.when(tot == 0, 0.0).otherwise(1 - res / tot).alias("r2"))
 
 
 def _report(fit: DataFrame, keys: list[str]) -> DataFrame:
-    return fit.select(*keys, F.col("n").alias("samples"), r8("coef").alias("coef_bps"), r8("perm").alias("perm_coef_bps"), r8("rmse").alias("rmse_bps"), r8("r2").alias("r_squared"))
+    return fit.select(*keys, *named(fit), F.col("n").alias("samples"), r8("coef").alias("coef_bps"), r8("perm").alias("perm_coef_bps"), r8("rmse").alias("rmse_bps"), r8("r2").alias("r_squared"))
 
 
 def calibrate_impact(samples: DataFrame, keys: list[str] = []) -> DataFrame:
@@ -73,28 +73,46 @@ def calibrate_impact_robust(samples: DataFrame, huber_delta: float | None = None
     return _report(fit, keys)
 
 
-def optimal_schedule(
-    spark: SparkSession, slices: int, total_size: float, per_slice_volume: float, coef_bps: float, perm_coef_bps: float = 0.0, sigma_bps: float = 0.0
-) -> DataFrame:
-    """The schedule of least impact plus risk among exponential ones of urgency 0.0 to 4.0: one row per slice, totals repeated."""
-    if slices < 1 or not total_size > 0 or not per_slice_volume > 0 or min(coef_bps, perm_coef_bps, sigma_bps) < 0:
-        raise ValueError("slices, total_size and per_slice_volume must be positive, coefficients not negative")
-    n = slices
-    grid = spark.range(41).select((F.col("id") / 10.0).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slice"))
+def optimal_schedules(orders: DataFrame, slices: int, coef_bps: float, perm_coef_bps: float = 0.0, keys: list[str] = []) -> DataFrame:
+    """For each order the schedule of least impact plus risk among exponential ones of urgency 0.0 to 4.0: one row per slice, totals repeated.
+
+    orders: keys (which tell them apart), total_size, per_slice_volume, sigma_bps.  An order is worked out by itself, over 41 urgencies times its
+    slices; the grid of weights is the same for all and small.  ValueError by Spark where even slices take more than the volume.
+    """
+    if slices < 1 or min(coef_bps, perm_coef_bps) < 0:
+        raise ValueError("slices must be positive, coefficients not negative")
+    spark, n = orders.sparkSession, slices
+    weights = spark.range(41).select((F.col("id") / 10.0).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slice"))
     w = Window.partitionBy("k")
-    grid = grid.withColumn("raw", F.exp(-F.col("k") * F.col("slice") / n)).withColumn("weight", F.col("raw") / F.sum("raw").over(w))
-    grid = grid.withColumn("size", F.col("weight") * total_size).withColumn("participation", F.col("size") / per_slice_volume)
-    grid = grid.withColumn("temp", F.sqrt("participation") * coef_bps * F.col("weight")).withColumn("perm", F.col("participation") * perm_coef_bps * F.col("weight"))
-    grid = grid.withColumn("remaining", 1 - F.sum("weight").over(w.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)))
-    sums = grid.groupBy("k").agg((F.sum("temp") + F.sum("perm")).alias("impact"), (sigma_bps * F.sqrt(F.sum(F.col("remaining") ** 2) / n)).alias("risk"), F.max("participation").alias("most"))
-    sums = sums.withColumn("total", F.col("impact") + F.col("risk"))
-    twap = sums.where("k = 0").select(
-        F.when(F.col("most") > 1, F.raise_error(F.lit("even slices take more than the volume")).cast("double")).otherwise(F.col("impact")).alias("t_impact"), F.col("risk").alias("t_risk"), F.col("total").alias("t_total")
+    weights = weights.withColumn("raw", F.exp(-F.col("k") * F.col("slice") / n)).withColumn("weight", F.col("raw") / F.sum("raw").over(w))
+    weights = weights.withColumn("remaining", 1 - F.sum("weight").over(w.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0))).drop("raw")
+    # what an order of unit participation costs at each urgency: an order's own figures only scale it
+    unit = weights.groupBy("k").agg(
+        F.sum(F.pow("weight", F.lit(1.5))).alias("temp1"), F.sum(F.col("weight") ** 2).alias("perm1"), F.sqrt(F.sum(F.col("remaining") ** 2) / n).alias("risk1"), F.max("weight").alias("most1")
+    )
+    load = F.col("total_size") / F.col("per_slice_volume")
+    sums = orders.withColumn("load", load).crossJoin(F.broadcast(unit))  # 41 rows
+    sums = sums.withColumn("impact", F.sqrt("load") * coef_bps * F.col("temp1") + F.col("load") * perm_coef_bps * F.col("perm1")).withColumn("risk", F.col("sigma_bps") * F.col("risk1"))
+    sums = sums.withColumn("total", F.col("impact") + F.col("risk")).withColumn("most", F.col("load") * F.col("most1"))
+    even = lambda c: F.max(F.when(F.col("k") == 0, F.col(c)))
+    best = sums.groupBy(*keys, "total_size", "per_slice_volume").agg(
+        F.min_by(F.struct("k", "impact", "risk", "total"), F.when(F.col("most") <= 1, F.struct(r8("total"), F.col("k")))).alias("b"),
+        F.when(even("most") > 1, F.raise_error(F.lit("even slices take more than the volume")).cast("double")).otherwise(even("impact")).alias("t_impact"), even("risk").alias("t_risk"), even("total").alias("t_total"),
     )
-    best = sums.where("most <= 1").agg(F.min_by(F.struct("k", "impact", "risk", "total"), F.struct(r8("total"), F.col("k"))).alias("b")).select("b.*")
-    out = grid.join(F.broadcast(best.crossJoin(twap)), "k")
+    out = best.select(*keys, "total_size", "per_slice_volume", "b.*", "t_impact", "t_risk", "t_total").join(F.broadcast(weights), "k")
+    out = out.withColumn("size", F.col("weight") * F.col("total_size")).withColumn("participation", F.col("size") / F.col("per_slice_volume"))
     return out.select(
-        F.col("k").alias("urgency"), r8("impact").alias("impact_bps"), r8("risk").alias("risk_bps"), r8("total").alias("total_bps"), r8("t_impact").alias("twap_impact_bps"), r8("t_risk").alias("twap_risk_bps"),
+        *keys, F.col("k").alias("urgency"), r8("impact").alias("impact_bps"), r8("risk").alias("risk_bps"), r8("total").alias("total_bps"), r8("t_impact").alias("twap_impact_bps"), r8("t_risk").alias("twap_risk_bps"),
         r8("t_total").alias("twap_total_bps"), r8(F.col("t_total") - F.col("total")).alias("saving_bps"), "slice", r8("weight").alias("weight"), r8("size").alias("size"),
-        r8("participation").alias("participation"), r8("temp").alias("temp_bps"), r8("perm").alias("perm_bps"), r8("remaining").alias("remaining"),
+        r8("participation").alias("participation"), r8(F.sqrt("participation") * coef_bps * F.col("weight")).alias("temp_bps"), r8(F.col("participation") * perm_coef_bps * F.col("weight")).alias("perm_bps"), r8("remaining").alias("remaining"),
     )
+
+
+def optimal_schedule(
+    spark: SparkSession, slices: int, total_size: float, per_slice_volume: float, coef_bps: float, perm_coef_bps: float = 0.0, sigma_bps: float = 0.0
+) -> DataFrame:
+    """optimal_schedules() of one order."""
+    if not total_size > 0 or not per_slice_volume > 0 or sigma_bps < 0:
+        raise ValueError("slices, total_size and per_slice_volume must be positive, coefficients not negative")
+    order = spark.range(1).select(F.lit(float(total_size)).alias("total_size"), F.lit(float(per_slice_volume)).alias("per_slice_volume"), F.lit(float(sigma_bps)).alias("sigma_bps"))
+    return optimal_schedules(order, slices, coef_bps, perm_coef_bps)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark import plans, sources
 from tidemark.functions import round_report
 from tidemark.operators import asof, book, fills, impact, pov, quotes, ticks, windows
-from tidemark.sources import adapters, live, synthetic
+from tidemark.sources import adapters, live
 from tidemark.sources.adapters import BAR_NS, DAY_NS, SLOT_NS
 from tidemark.storage import new_path
 from tidemark.streaming import book as book_stream
@@ -178,7 +178,7 @@ def trade_bursts(spark, sf_dir):
 # quotes and books
 
 
-@_query("""SELECT count(*) AS quotes, [[avg(ask - bid)]] AS avg_spread, [[avg((bid + ask) / 2)]] AS avg_mid, [[avg((bid * ask_size + ask * bid_size) / (bid_size + ask_size))]] AS avg_microprice,
+@_query("""SELECT 'EVT' AS product, count(*) AS quotes, [[avg(ask - bid)]] AS avg_spread, [[avg((bid + ask) / 2)]] AS avg_mid, [[avg((bid * ask_size + ask * bid_size) / (bid_size + ask_size))]] AS avg_microprice,
     [[avg((bid_size - ask_size) / (bid_size + ask_size))]] AS avg_book_imbalance FROM t_quotes""")
 def quote_metrics(spark, sf_dir):
     return quotes.quote_metrics(adapters.quotes(spark, sf_dir))
@@ -199,12 +199,12 @@ _SNAPS = """(SELECT session_id, ts_ns, sum(size) FILTER (side = 'bid') AS bd, su
     max(size) FILTER (side = 'bid' AND level = 0) AS bq, max(size) FILTER (side = 'ask' AND level = 0) AS aq FROM t_book GROUP BY ALL)"""
 
 
-@_query(f"SELECT session_id, count(*) AS snapshots, [[avg(bd)]] AS avg_bid_depth, [[avg(ad)]] AS avg_ask_depth, [[avg((bd - ad) / (bd + ad))]] AS avg_depth_imbalance, [[avg(ap - bp)]] AS avg_spread FROM {_SNAPS} GROUP BY ALL")
+@_query(f"SELECT session_id, 'EVT' AS product, count(*) AS snapshots, [[avg(bd)]] AS avg_bid_depth, [[avg(ad)]] AS avg_ask_depth, [[avg((bd - ad) / (bd + ad))]] AS avg_depth_imbalance, [[avg(ap - bp)]] AS avg_spread FROM {_SNAPS} GROUP BY ALL")
 def depth_metrics(spark, sf_dir):
     return book.depth_metrics(adapters.book(spark, sf_dir), ["session_id"])
 
 
-@_query(f"SELECT session_id, count(*) AS snapshots, [[avg(bq)]] AS avg_bid_queue, [[avg(aq)]] AS avg_ask_queue, [[avg((bq - aq) / (bq + aq))]] AS avg_queue_imbalance FROM {_SNAPS} GROUP BY ALL")
+@_query(f"SELECT session_id, 'EVT' AS product, count(*) AS snapshots, [[avg(bq)]] AS avg_bid_queue, [[avg(aq)]] AS avg_ask_queue, [[avg((bq - aq) / (bq + aq))]] AS avg_queue_imbalance FROM {_SNAPS} GROUP BY ALL")
 def queue_metrics(spark, sf_dir):
     return book.queue_metrics(adapters.book(spark, sf_dir), ["session_id"])
 
@@ -220,7 +220,7 @@ def _sweep_sql(side: str, sizes: str) -> str:
             FROM swept GROUP BY q)"""
 
 
-_COST = "SELECT '{side}' AS side, q AS order_size, snapshots, filled_snapshots, [[vwap]] AS avg_sweep_vwap, [[slip]] AS avg_slippage_bps, [[levels]] AS avg_levels_consumed, [[fill]] AS avg_fill_ratio FROM costs"
+_COST = "SELECT 'EVT' AS product, '{side}' AS side, q AS order_size, snapshots, filled_snapshots, [[vwap]] AS avg_sweep_vwap, [[slip]] AS avg_slippage_bps, [[levels]] AS avg_levels_consumed, [[fill]] AS avg_fill_ratio FROM costs"
 
 
 @_query(f"WITH {_sweep_sql('buy', '2e0')} {_COST.format(side='buy')}")
@@ -398,7 +398,7 @@ def l2_stream_hourly(spark, sf_dir):
 # impact and calibration
 
 
-@_query("""SELECT count(*) AS slices, 10e0 AS coef_bps, 20e0 AS perm_coef_bps, [[avg(sqrt(participation) * 10)]] AS avg_impact_bps, [[max(sqrt(participation) * 10)]] AS max_impact_bps, [[sum(sqrt(participation) * 10)]] AS total_impact_bps,
+@_query("""SELECT 'EVT' AS product, count(*) AS slices, 10e0 AS coef_bps, 20e0 AS perm_coef_bps, [[avg(sqrt(participation) * 10)]] AS avg_impact_bps, [[max(sqrt(participation) * 10)]] AS max_impact_bps, [[sum(sqrt(participation) * 10)]] AS total_impact_bps,
     [[avg(participation * 20)]] AS avg_perm_impact_bps, [[sum(participation * 20)]] AS total_perm_impact_bps, [[sum(sqrt(participation) * 10 + participation * 20)]] AS total_cost_bps FROM t_samples""")
 def impact_curve(spark, sf_dir):
     return impact.impact_curve(adapters.samples(spark, sf_dir), 10.0, 20.0)
@@ -419,7 +419,7 @@ def _fit_sql(passes: int, delta: float | None, ridge: float) -> str:
         previous = k
     last = f"""q AS (SELECT count(*) AS n, sum((realised_bps - c{previous} * sqrt(participation) - m{previous} * participation) ** 2) AS res, sum((realised_bps - mean) ** 2) AS tot
         FROM t_samples, f{previous}, (SELECT avg(realised_bps) AS mean FROM t_samples))"""
-    return f"WITH {', '.join(steps)}, {last} SELECT n AS samples, [[c{previous}]] AS coef_bps, [[m{previous}]] AS perm_coef_bps, [[sqrt(res / n)]] AS rmse_bps, [[1 - res / tot]] AS r_squared FROM q, f{previous}"
+    return f"WITH {', '.join(steps)}, {last} SELECT 'EVT' AS product, n AS samples, [[c{previous}]] AS coef_bps, [[m{previous}]] AS perm_coef_bps, [[sqrt(res / n)]] AS rmse_bps, [[1 - res / tot]] AS r_squared FROM q, f{previous}"
 
 
 @_query(_fit_sql(1, None, 0))
@@ -437,15 +437,19 @@ def calibrate_ridge(spark, sf_dir):
     return impact.calibrate_impact_robust(adapters.samples(spark, sf_dir), ridge_lambda=0.01)
 
 
-@_query("""WITH g AS (SELECT u / 10e0 AS k, i, exp(-(u / 10e0) * i / 6) AS raw FROM range(41) a(u), range(6) b(i)),
+@_query("""WITH o AS (SELECT session_id, sum(size) / 10 AS q, sum(size) / 6 AS v, stddev_pop(price) / avg(price) * 100 AS sigma FROM t_ticks GROUP BY session_id),
+    g AS (SELECT u / 10e0 AS k, i, exp(-(u / 10e0) * i / 6) AS raw FROM range(41) a(u), range(6) b(i)),
     w AS (SELECT k, i, raw / sum(raw) OVER (PARTITION BY k) AS w FROM g),
-    p AS (SELECT *, w * 3 AS size, w * 3 / 2 AS p, 1 - sum(w) OVER (PARTITION BY k ORDER BY i) AS remaining FROM w),
-    s AS (SELECT k, sum(sqrt(p) * 25 * w + p * 5 * w) AS impact, 8 * sqrt(sum(remaining ** 2) / 6) AS risk FROM p GROUP BY k HAVING max(p) <= 1),
-    b AS (SELECT k, impact, risk FROM s ORDER BY floor((impact + risk) * 1e8 + 0.5), k LIMIT 1), t AS (SELECT impact AS ti, risk AS tr FROM s WHERE k = 0)
-    SELECT k AS urgency, [[impact]] AS impact_bps, [[risk]] AS risk_bps, [[impact + risk]] AS total_bps, [[ti]] AS twap_impact_bps, [[tr]] AS twap_risk_bps, [[ti + tr]] AS twap_total_bps, [[ti + tr - impact - risk]] AS saving_bps,
-        CAST(i AS INTEGER) AS slice, [[w]] AS weight, [[size]] AS size, [[p]] AS participation, [[sqrt(p) * 25 * w]] AS temp_bps, [[p * 5 * w]] AS perm_bps, [[remaining]] AS remaining FROM p JOIN b USING (k), t""")
+    p AS (SELECT *, w * q AS size, w * q / v AS p, 1 - sum(w) OVER (PARTITION BY session_id, k ORDER BY i) AS remaining FROM w, o),
+    s AS (SELECT session_id, k, sum(sqrt(p) * 25 * w + p * 5 * w) AS impact, any_value(sigma) * sqrt(sum(remaining ** 2) / 6) AS risk FROM p GROUP BY session_id, k HAVING max(p) <= 1),
+    b AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY floor((impact + risk) * 1e8 + 0.5), k) AS place FROM s), t AS (SELECT session_id, impact AS ti, risk AS tr FROM s WHERE k = 0)
+    SELECT session_id, k AS urgency, [[impact]] AS impact_bps, [[risk]] AS risk_bps, [[impact + risk]] AS total_bps, [[ti]] AS twap_impact_bps, [[tr]] AS twap_risk_bps, [[ti + tr]] AS twap_total_bps, [[ti + tr - impact - risk]] AS saving_bps,
+        CAST(i AS INTEGER) AS slice, [[w]] AS weight, [[size]] AS size, [[p]] AS participation, [[sqrt(p) * 25 * w]] AS temp_bps, [[p * 5 * w]] AS perm_bps, [[remaining]] AS remaining FROM p JOIN b USING (session_id, k) JOIN t USING (session_id) WHERE place = 1""")
 def optimal_schedule(spark, sf_dir):
-    return impact.optimal_schedule(spark, 6, 3.0, 2.0, 25.0, 5.0, 8.0)
+    """A tenth of each session's volume in six slices, by the session's own volume and spread of prices."""
+    volume = F.sum("size")
+    orders = adapters.ticks(spark, sf_dir).groupBy("session_id").agg((volume / 10).alias("total_size"), (volume / 6).alias("per_slice_volume"), (F.stddev_pop("price") / F.avg("price") * 100).alias("sigma_bps"))
+    return impact.optimal_schedules(orders, 6, 25.0, 5.0, ["session_id"])
 
 
 # post-trade
@@ -457,7 +461,7 @@ def optimal_schedule(spark, sf_dir):
 @_query("""WITH a AS (SELECT *, qty / interval_volume AS p, qty / sum(qty) OVER () AS w, (price - 100) / 100 * 1e4 AS r FROM t_fills),
     b AS (SELECT count(*) AS n, sum(qty) AS filled, 1.25e0 * sum(qty) AS parent, sum(qty * price) / sum(qty) AS px, arg_max(price, ts_ns) AS last, sum(w * r) AS realised, sum(w * (25 * sqrt(p) + 5 * p)) AS modelled FROM a),
     c AS (SELECT *, parent - filled AS unfilled, (parent - filled) / parent * (last - 100) / 100 * 1e4 AS missed FROM b)
-    SELECT 'buy' AS side, n AS fills, parent AS parent_qty, [[filled]] AS filled_qty, [[unfilled]] AS unfilled_qty, [[filled / parent]] AS fill_rate, 100e0 AS arrival_price, [[px]] AS avg_price, [[last]] AS final_price, [[realised]] AS realised_bps,
+    SELECT 'EVT' AS product, 'buy' AS side, n AS fills, parent AS parent_qty, [[filled]] AS filled_qty, [[unfilled]] AS unfilled_qty, [[filled / parent]] AS fill_rate, 100e0 AS arrival_price, [[px]] AS avg_price, [[last]] AS final_price, [[realised]] AS realised_bps,
         [[modelled]] AS modelled_bps, [[realised - modelled]] AS residual_bps, [[missed]] AS opportunity_bps, [[filled / parent * realised + missed]] AS total_bps FROM c""")
 def shortfall(spark, sf_dir):
     rows = adapters.fills(spark, sf_dir)
@@ -479,7 +483,7 @@ def _strategy_sql(coefs: str) -> str:
         b AS (SELECT coef, max(cost) FILTER (place = 0) AS made, min(cost) FILTER (place > 0) AS best, arg_min(name, (cost, place)) FILTER (place > 0) AS who FROM k GROUP BY coef)"""
 
 
-@_query(f"{_strategy_sql('25e0')} SELECT 'buy' AS side, n AS intervals, 100e0 AS arrival_price, name, [[qty]] AS qty, [[drift]] AS drift_bps, [[impact]] AS impact_bps, [[cost]] AS cost_bps, who AS best_alternative, [[best - made]] AS edge_bps FROM k JOIN b USING (coef)")
+@_query(f"{_strategy_sql('25e0')} SELECT 'EVT' AS product, 'buy' AS side, n AS intervals, 100e0 AS arrival_price, name, [[qty]] AS qty, [[drift]] AS drift_bps, [[impact]] AS impact_bps, [[cost]] AS cost_bps, who AS best_alternative, [[best - made]] AS edge_bps FROM k JOIN b USING (coef)")
 def counterfactual(spark, sf_dir):
     return fills.counterfactual(adapters.fills(spark, sf_dir), 100.0, COEF, PERM)
 
@@ -496,7 +500,7 @@ COEFS = [5.0, 10.0, 20.0, 30.0, 40.0]
 @_query(f"""{_strategy_sql(', '.join(f'{c}e0' for c in COEFS))}, e AS (SELECT *, best - made AS edge, lead(best - made) OVER o AS ne, lead(coef) OVER o AS nc FROM b WINDOW o AS (ORDER BY coef)),
     t AS (SELECT min(edge) AS lo, max(edge) AS hi, count(*) FILTER (edge * ne < 0) AS flips, arg_min(coef + (nc - coef) * -edge / (ne - edge), coef) FILTER (edge * ne < 0) AS be,
         count(DISTINCT who) = 1 AND (min(edge) > 0 OR max(edge) < 0) AS stable FROM e)
-    SELECT coef AS coef_bps, [[made]] AS realised_cost_bps, who AS best_alternative, [[best]] AS best_cost_bps, [[edge]] AS edge_bps, [[lo]] AS edge_min_bps, [[hi]] AS edge_max_bps, flips AS sign_flips, [[be]] AS breakeven_coef_bps, stable AS verdict_stable FROM e, t""")
+    SELECT 'EVT' AS product, coef AS coef_bps, [[made]] AS realised_cost_bps, who AS best_alternative, [[best]] AS best_cost_bps, [[edge]] AS edge_bps, [[lo]] AS edge_min_bps, [[hi]] AS edge_max_bps, flips AS sign_flips, [[be]] AS breakeven_coef_bps, stable AS verdict_stable FROM e, t""")
 def sensitivity(spark, sf_dir):
     return fills.sensitivity(adapters.fills(spark, sf_dir), 100.0, COEFS, PERM)
 
@@ -868,39 +872,3 @@ def capture_bounds_stream(spark, sf_dir):
     """The same with count and end of a capture as state."""
     rows = adapters._events(spark, sf_dir, stream=True).selectExpr("ts_ns", "event_id as seq", "'EVT' as product")
     return to_table(trades.bounded(rows, count=500, seconds=3600.0), mode="append")
-
-
-def _held(rows: DataFrame, checks: dict[str, str]) -> DataFrame:
-    """What a made capture promises, a row per promise."""
-    row = F.struct(*[F.expr(c).alias(k) for k, c in checks.items()])
-    return rows.select(row.alias("r")).select(F.explode(F.array(*[F.struct(F.lit(k).alias("promise"), F.col(f"r.{k}").cast("boolean").alias("kept")) for k in checks])).alias("p")).select("p.*")
-
-
-_PROMISED = "SELECT unnest(['rows', 'prices', 'sizes', 'times']) AS promise, true AS kept"
-
-
-@_query(_PROMISED)
-def synthetic_ticks(spark, sf_dir):
-    rows = synthetic.synthetic_ticks(spark, 2000).agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("p"), F.min("size").alias("s"), F.count_distinct("ts_ns").alias("t"))
-    return _held(rows, {"rows": "n = 2000", "prices": "p > 0", "sizes": "s > 0", "times": "t = 2000"})
-
-
-@_query(_PROMISED)
-def synthetic_quotes(spark, sf_dir):
-    rows = synthetic.synthetic_quotes(spark, 2000).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("ask") - F.col("bid")).alias("p"), F.min(F.least("bid_size", "ask_size")).alias("s"), F.count_distinct("ts_ns").alias("t"))
-    return _held(rows, {"rows": "n = 2000", "prices": "p > 0", "sizes": "s > 0", "times": "t = 2000"})
-
-
-@_query(_PROMISED)
-def synthetic_book(spark, sf_dir):
-    snaps = synthetic.synthetic_book(spark, 200, 5).groupBy("ts_ns").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("side") == "ask", F.col("price"))).alias("ask"), F.max(F.when(F.col("side") == "bid", F.col("price"))).alias("bid"), F.min("size").alias("s")
-    )
-    rows = snaps.agg(F.sum("n").alias("n"), F.min(F.col("ask") - F.col("bid")).alias("p"), F.min("s").alias("s"), F.count(F.lit(1)).alias("t"))
-    return _held(rows, {"rows": "n = 2000", "prices": "p > 0", "sizes": "s > 0", "times": "t = 200"})
-
-
-@_query(_PROMISED)
-def large_capture(spark, sf_dir):
-    rows = synthetic.large_ticks(spark, 50_000).agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("p"), F.min("size").alias("s"), F.count_distinct("ts_ns").alias("t"))
-    return _held(rows, {"rows": "n = 50000", "prices": "p > 0", "sizes": "s > 0", "times": "t = 50000"})
