@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import plans, sources
-from tidemark.functions import round_report
+from tidemark.functions import round_report, tables
 from tidemark.operators import asof, book, fills, impact, pov, quotes, ticks, windows
 from tidemark.sources import adapters, live
 from tidemark.sources.adapters import BAR_NS, DAY_NS, SLOT_NS
 from tidemark.storage import new_path
 from tidemark.streaming import book as book_stream
+from tidemark.streaming import events
 from tidemark.streaming import session as streaming
 from tidemark.streaming import trades
 from tidemark.streaming import windows as stream_windows
@@ -175,6 +176,22 @@ def trade_bursts(spark, sf_dir):
     return windows.trade_bursts(adapters.ticks(spark, sf_dir), 240_000_000_000, ["product"])
 
 
+@_query(f"""SELECT CAST(session_id AS VARCHAR) AS session, ts_ns // {BAR_NS} * {BAR_NS} AS start_ns, [[arg_min(price, (ts_ns, trade_id))]] AS open, [[max(price)]] AS high, [[min(price)]] AS low,
+    [[arg_max(price, (ts_ns, trade_id))]] AS close, [[sum(size)]] AS volume, [[sum(price * size) / sum(size)]] AS vwap FROM t_ticks GROUP BY ALL""")
+def sql_bars(spark, sf_dir):
+    """Bars by a table function of SQL."""
+    tables.register(adapters.ticks(spark, sf_dir), "session_id")
+    return spark.sql(f"SELECT * FROM tidemark_bars({BAR_NS})")
+
+
+@_query(f"""SELECT CAST(session_id AS VARCHAR) AS session, n AS ticks, [[v]] AS vwap, [[b]] AS buy_volume, [[s]] AS sell_volume, [[(b - s) / (b + s)]] AS imbalance
+    FROM {_FLOW} JOIN (SELECT session_id, count(*) AS n, sum(price * size) / sum(size) AS v FROM t_ticks GROUP BY ALL) USING (session_id)""")
+def sql_session_report(spark, sf_dir):
+    """Two reports joined in SQL."""
+    tables.register(adapters.ticks(spark, sf_dir), "session_id")
+    return spark.sql("SELECT session, ticks, vwap, buy_volume, sell_volume, imbalance FROM tidemark_vwap() JOIN tidemark_order_flow() USING (session)")
+
+
 # quotes and books
 
 
@@ -872,3 +889,17 @@ def capture_bounds_stream(spark, sf_dir):
     """The same with count and end of a capture as state."""
     rows = adapters._events(spark, sf_dir, stream=True).selectExpr("ts_ns", "event_id as seq", "'EVT' as product")
     return to_table(trades.bounded(rows, count=500, seconds=3600.0), mode="append")
+
+
+@_query("""SELECT event, CAST(streams AS BIGINT) AS streams, CAST(rows AS BIGINT) AS rows FROM (SELECT * FROM (VALUES ('start', 1, 0), ('complete', 1, 0)) v(event, streams, rows) UNION ALL SELECT 'progress', 1, count(*) FROM events)""")
+def stream_log(spark, sf_dir):
+    """What the log of a finished stream tells."""
+    folder = new_path(spark, "log")
+    log = events.StreamLog(spark, folder)
+    spark.streams.addListener(log)
+    try:
+        replayed_trades_stream(spark, sf_dir)
+        found = events.ended(spark, folder, 1)
+    finally:
+        spark.streams.removeListener(log)
+    return found.groupBy("event").agg(F.count_distinct("query").alias("streams"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
