@@ -311,7 +311,8 @@ def _sums(docs: np.ndarray, score: np.ndarray, base: np.ndarray | None, hits: np
     touched = np.unique(docs)
     total = lambda x: np.bincount(docs, x, minlength=int(touched[-1]) + 1)[touched] if touched.size else np.zeros(0)
     none = np.zeros(0)
-    return [_planes(touched.astype(np.uint16)), _planes(total(score)), _planes(total(base) if base is not None else none), _planes((total(hits.astype(float)) if hits is not None else none).astype(np.uint32))]
+    # documents by their differences, which are mostly one
+    return [_planes(np.diff(touched, prepend=0).astype(np.uint16)), _planes(total(score)), _planes(total(base) if base is not None else none), _planes((total(hits.astype(float)) if hits is not None else none).astype(np.uint32))]
 
 
 def _send_scoring(batches: Iterator[pa.RecordBatch], parts: int, hot: Known, often: Known | None = None) -> Iterator[pa.RecordBatch]:
@@ -358,6 +359,8 @@ def _applied(known: Known, missing: np.ndarray, chunks: list[dict], bigrams: boo
             at, there = known.find(_undelta(row["a"]))
             each = np.repeat(np.where(there, at, known.keys.size), _unplane(row["b"], np.uint32))
             docs = _unplane(row["c"], np.uint16).astype(np.int64)
+            if bigrams:  # most bigrams of unseen text have no gain
+                docs, each = docs[each < known.keys.size], each[each < known.keys.size]
             out = _sums(docs, value[each], None, None) if bigrams else _sums(docs, value[each, 1] + value[each, 2], value[each, 0], each < known.keys.size)
         yield row["chunk"], out
 
@@ -389,7 +392,7 @@ def _total(table: pa.Table) -> pa.Table:
     n = len(about[0]["ids"])
     score, base, hits = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
     for row in sums:
-        at = _unplane(row["docs"], np.uint16)
+        at = np.cumsum(_unplane(row["docs"], np.uint16), dtype=np.int64)
         score[at] += _unplane(row["score"], np.float64)
         if row["base"]:
             base[at] += _unplane(row["base"], np.float64)
