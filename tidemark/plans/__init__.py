@@ -77,7 +77,8 @@ def _pools(prof: DataFrame, half_lives: list[float], sessions: int) -> DataFrame
     Within blocks of _FADES half-lives the sums are prefix sums of scaled shares; a block takes over the sum at the end of the one before.
     """
     w = Window.partitionBy("slot").orderBy("idx")
-    rows = prof.withColumn("newer", F.lag("share").over(w)).withColumn("totals", F.sum("total").over(w))
+    rows = prof
+    runs = []
     for k, h in enumerate(half_lives):
         decay = 1.0 if h == 0 else 0.5 ** (1.0 / h)
         span = sessions if h == 0 else max(1, min(sessions, int(_FADES * h)))
@@ -85,13 +86,14 @@ def _pools(prof: DataFrame, half_lives: list[float], sessions: int) -> DataFrame
         if span >= sessions:
             run = power(F.col("idx")) * F.sum(F.col("share") * power(-F.col("idx"))).over(w)
         else:
-            block, at = F.expr(f"idx div {span}"), F.col("idx") % span
-            rows = rows.withColumn("block_", block).withColumn("local_", power(at) * F.sum(F.col("share") * power(-at)).over(Window.partitionBy("slot", "block_").orderBy("idx")))
-            ended = F.max(F.when(at == span - 1, F.struct("block_", "local_"))).over(w.rowsBetween(Window.unboundedPreceding, -1))["local_"]
-            run = F.col("local_") + F.coalesce(power(at + 1) * ended, F.lit(0.0))
-        rows = rows.withColumn(f"run_{k}", run)
-        rows = rows.withColumn(f"before_{k}", F.coalesce(F.lag(f"run_{k}").over(w), F.lit(0.0)))
-    return rows
+            block, at, local = F.expr(f"idx div {span}"), F.col("idx") % span, f"local_{k}"
+            rows = rows.withColumn("block_", block).withColumn(local, power(at) * F.sum(F.col("share") * power(-at)).over(Window.partitionBy("slot", "block_").orderBy("idx")))
+            ended = F.max(F.when(at == span - 1, F.struct(block.alias("block"), F.col(local).alias("local")))).over(w.rowsBetween(Window.unboundedPreceding, -1))["local"]
+            run = F.col(local) + F.coalesce(power(at + 1) * ended, F.lit(0.0))
+        runs.append(run.alias(f"run_{k}"))
+    # all sums by one pass over the windows, and what stood before them by one more
+    rows = rows.select("*", F.lag("share").over(w).alias("newer"), F.sum("total").over(w).alias("totals"), *runs)
+    return rows.select("*", *[F.coalesce(F.lag(f"run_{k}").over(w), F.lit(0.0)).alias(f"before_{k}") for k in range(len(half_lives))])
 
 
 def fold_plans(
