@@ -145,3 +145,34 @@ def test_a_capture_ends_at_its_bounds(spark, tmp_path):
         assert sorted(r.seq for r in to_table(trades.bounded(live, **bounds), mode="append").collect()) == list(range(want))
     with pytest.raises(ValueError, match="count"):
         trades.bounded(live)
+
+
+def blocked_messages():
+    """Rising messages whose blocks of four end with a seed, with an empty side, or with neither."""
+    rng, out = random.Random(4), []
+    for k in range(61):
+        if k % 20 == 3:
+            out.append(message(k, k, ("bid", 100.0, 1.0), ("ask", 101.0, 1.0), snapshot=True))
+        elif k % 12 in (6, 7, 8):  # one side has no levels for a while, over the end of a block
+            out.append(message(k, k, *[("ask", 101.0 + d, 0.0) for d in range(3)]))
+        else:
+            out.append(message(k, k, (rng.choice(["bid", "ask"]), 0.0, 1.0)))
+            out[-1][0]["price"] = (101.0 if out[-1][0]["side"] == "ask" else 98.0) + rng.randint(0, 2)
+            out[-1][0]["size"] = float(rng.randint(1, 2))
+    return out
+
+
+def blocked_book(spark, tmp_path, monkeypatch, every):
+    from tidemark.streaming import order
+
+    monkeypatch.setattr(order, "BLOCK", 4)
+    messages = blocked_messages()
+    parts = [[u for m in messages[a:b] for u in m] for a, b in ((0, 30), (30, 61))]
+    for part in parts:
+        random.Random(1).shuffle(part)
+    got = to_table(book.l2_stream(source(spark, tmp_path, "blocks", parts, UPDATE), 2, every), mode="append").collect()
+    assert sorted((r.ts_ns, r.side, r.level, r.price, r.size) for r in got) == plain_book(messages, 2, every)
+
+
+def test_a_book_is_folded_in_blocks_of_messages(spark, tmp_path, monkeypatch):
+    blocked_book(spark, tmp_path, monkeypatch, None)
