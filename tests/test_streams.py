@@ -176,3 +176,8 @@ def blocked_book(spark, tmp_path, monkeypatch, every):
 
 def test_a_book_is_folded_in_blocks_of_messages(spark, tmp_path, monkeypatch):
     blocked_book(spark, tmp_path, monkeypatch, None)
+
+
+@pytest.mark.parametrize("every", [2.5, 9.0])
+def test_a_grid_of_time_goes_on_from_block_to_block(spark, tmp_path, monkeypatch, every):
+    blocked_book(spark, tmp_path, monkeypatch, every)
