@@ -181,3 +181,21 @@ def test_a_book_is_folded_in_blocks_of_messages(spark, tmp_path, monkeypatch):
 @pytest.mark.parametrize("every", [2.5, 9.0])
 def test_a_grid_of_time_goes_on_from_block_to_block(spark, tmp_path, monkeypatch, every):
     blocked_book(spark, tmp_path, monkeypatch, every)
+
+
+def test_rising_trades_are_found_in_blocks(spark, tmp_path, monkeypatch):
+    from tidemark.streaming import order
+
+    monkeypatch.setattr(order, "BLOCK", 3)
+    rng, schema = random.Random(8), "product string, trade_id long, seq long"
+    rows = [("PQ"[k % 5 == 0], k + rng.randint(-4, 2), k) for k in range(-5, 60)]
+    parts = [rows[:31], rows[31:]]
+    want, newest = [], {}
+    for product, at, seq in rows:
+        if at > newest.get(product, -100):
+            want.append(seq)
+            newest[product] = at
+    for part in parts:
+        rng.shuffle(part)
+    live = source(spark, tmp_path, "blocks", [[dict(zip(("product", "trade_id", "seq"), r)) for r in p] for p in parts], schema)
+    assert sorted(r.seq for r in to_table(trades.rising_trades(live), mode="append").collect()) == want

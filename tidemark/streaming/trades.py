@@ -6,9 +6,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.streaming.order import blocks, in_order, unfolded, unpacked
+
+_LOWEST = np.iinfo(np.int64).min
+_RISING = "product string, block long, packed binary, before long"
+_BOUNDED = "product string, block long, packed binary, take long"
+
+
+def _rising(table: pa.Table) -> tuple[pa.Table, dict]:
+    """The trades of a block whose id is above all before them in it."""
+    ids = table["trade_id"].to_numpy().astype(np.int64)
+    before = np.maximum.accumulate(np.concatenate([[_LOWEST], ids]))
+    return table.filter(pa.array(ids > before[:-1])), {"top": int(before[-1])}
+
 
 class _Rising(StatefulProcessor):
     """One product: the greatest trade_id so far."""
@@ -17,11 +32,12 @@ class _Rising(StatefulProcessor):
         self.newest = handle.getValueState("newest", "trade_id long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        df = pd.concat(list(rows)).sort_values("seq")
-        ids = df["trade_id"].to_numpy(np.int64)
-        before = np.maximum.accumulate(np.concatenate([[self.newest.get()[0] if self.newest.exists() else np.iinfo(np.int64).min], ids]))
-        self.newest.update((int(before[-1]),))
-        yield df[ids > before[:-1]]
+        newest = self.newest.get()[0] if self.newest.exists() else _LOWEST
+        for b in in_order(rows):
+            if b.top > newest:
+                yield pd.DataFrame([(key[0], b.block, b.packed, newest)], columns=["product", "block", "packed", "before"])
+                newest = int(b.top)
+        self.newest.update((newest,))
 
     def close(self) -> None:
         pass
@@ -40,17 +56,18 @@ class _Bounds(StatefulProcessor):
         done, first, over = self.taken.get() if self.taken.exists() else (0, None, False)
         if over:
             return
-        df = pd.concat(list(rows)).sort_values("seq")
-        first = int(df["ts_ns"].iloc[0]) if first is None else first
-        if self.span_ns is not None:
-            past = df["ts_ns"].to_numpy() >= first + self.span_ns
-            over = bool(past.any())
-            df = df.iloc[: int(past.argmax())] if over else df
-        if self.count is not None:
-            df = df.iloc[: self.count - done]
-        done += len(df)
-        self.taken.update((done, first, over or done == self.count))
-        yield df
+        for b in in_order(rows):
+            first, take = int(b.first_ns) if first is None else first, int(b.n)
+            if self.span_ns is not None and b.most_ns >= first + self.span_ns:
+                take, over = int((unpacked(b.packed)["ts_ns"].to_numpy() >= first + self.span_ns).argmax()), True
+            if self.count is not None:
+                take = min(take, self.count - done)
+            done += take
+            over = over or done == self.count
+            yield pd.DataFrame([(key[0], b.block, b.packed, take)], columns=["product", "block", "packed", "take"])
+            if over:
+                break
+        self.taken.update((done, first, over))
 
     def close(self) -> None:
         pass
@@ -59,8 +76,9 @@ class _Bounds(StatefulProcessor):
 def rising_trades(trades: DataFrame) -> DataFrame:
     """A streaming table of trades (product, trade_id, seq, any others) without those whose id is not above all before them, per product, however
     long ago that was: no watermark, one number of state a product.  seq is the order of arrival; a micro-batch's rows of a product
-    are put in order in one task.  Start it within state.settings(), in append mode."""
-    return trades.groupBy("product").transformWithStateInPandas(_Rising(), trades.schema, "Append", "None")
+    are put in order in blocks of it.  Start it within state.settings(), in append mode."""
+    found = blocks(trades, _rising, "top long").groupBy("product").transformWithStateInPandas(_Rising(), _RISING, "Append", "None")
+    return unfolded(found, lambda b, rows: iter(rows.filter(pc.greater(rows["trade_id"], b["before"])).to_batches()), trades.schema)
 
 
 def bounded(rows: DataFrame, count: int | None = None, seconds: float | None = None) -> DataFrame:
@@ -68,4 +86,11 @@ def bounded(rows: DataFrame, count: int | None = None, seconds: float | None = N
     and nothing after it.  Start it within state.settings(), in append mode."""
     if count is None and seconds is None:
         raise ValueError("a capture needs a count, a number of seconds, or both")
-    return rows.groupBy("product").transformWithStateInPandas(_Bounds(count, None if seconds is None else round(seconds * 1e9)), rows.schema, "Append", "None")
+
+    def describe(table: pa.Table) -> tuple[pa.Table, dict]:
+        table = table if count is None else table.slice(0, count)  # of a block, no more can be taken
+        return table, {"n": table.num_rows, "first_ns": table["ts_ns"][0].as_py(), "most_ns": pc.max(table["ts_ns"]).as_py()}
+
+    state = _Bounds(count, None if seconds is None else round(seconds * 1e9))
+    found = blocks(rows, describe, "n long, first_ns long, most_ns long").groupBy("product").transformWithStateInPandas(state, _BOUNDED, "Append", "None")
+    return unfolded(found, lambda b, table: iter(table.slice(0, b["take"]).to_batches()), rows.schema)
