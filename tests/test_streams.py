@@ -199,3 +199,14 @@ def test_rising_trades_are_found_in_blocks(spark, tmp_path, monkeypatch):
         rng.shuffle(part)
     live = source(spark, tmp_path, "blocks", [[dict(zip(("product", "trade_id", "seq"), r)) for r in p] for p in parts], schema)
     assert sorted(r.seq for r in to_table(trades.rising_trades(live), mode="append").collect()) == want
+
+
+def test_a_capture_ends_in_any_block(spark, tmp_path, monkeypatch):
+    from tidemark.streaming import order
+
+    monkeypatch.setattr(order, "BLOCK", 3)
+    rows = [("P", k * S, k) for k in range(20)]
+    for name, bounds, want in (("n", {"count": 7}, 7), ("s", {"seconds": 7.5}, 8), ("sn", {"count": 11, "seconds": 10}, 10), ("ns", {"count": 9, "seconds": 10}, 9), ("late", {"seconds": 15}, 15)):
+        parts = [[dict(zip(("product", "ts_ns", "seq"), r)) for r in p] for p in (rows[:12][::-1], rows[12:])]
+        live = source(spark, tmp_path, name, parts, "product string, ts_ns long, seq long")
+        assert sorted(r.seq for r in to_table(trades.bounded(live, **bounds), mode="append").collect()) == list(range(want))
