@@ -416,3 +416,12 @@ def test_books_by_stretches(spark):
             levels = sorted((sign * p, z) for (s, p), z in sizes.items() if s == side and z)[:4]
             want += [(when, product, side, k, sign * p, z) for k, (p, z) in enumerate(levels)]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_sweeps_are_dealt_by_rows(spark, monkeypatch):
+    rows = spark.range(0, 400, 1, 4).selectExpr("id div 4 as ts_ns", "'P' as product", "if(id % 2 = 0, 'bid', 'ask') as side", "id % 4 div 2 as level", "100 + id % 4 as price", "1e0 + id % 3 as size")
+    want = sorted(map(tuple, book.sweep_curve(rows, "buy", [0.5, 1.5]).collect()))
+    monkeypatch.setattr(book, "TASK_ROWS", 10)
+    curve = book.sweep_curve(rows, "buy", [0.5, 1.5])
+    assert "hashpartitioning(ts_ns" in curve._jdf.queryExecution().executedPlan().toString() and ", 20)" in curve._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, curve.collect())) == want and len(want) == 2

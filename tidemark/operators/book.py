@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -17,6 +17,8 @@ from tidemark.storage import written
 
 #: Snapshots of a stretch of time, on the mean, when a book is thinned: what a task holds.
 STRETCH_SNAPSHOTS = 500_000
+#: Rows that a task sorts, on the mean.
+TASK_ROWS = 2_000_000
 #: Rows of a stretch: its own times, times of what comes after it, and where it is entered.
 _TIME, _AHEAD, _ENTRY = 0, 1, 2
 
@@ -54,21 +56,33 @@ def queue_metrics(book: DataFrame, keys: list[str] = []) -> DataFrame:
     return _means(_depths(book, keys), keys).select(*keys, *named(book), "snapshots", "avg_bid_queue", "avg_ask_queue", "avg_queue_imbalance")
 
 
+def _parts(spark: SparkSession, rows: int) -> int:
+    """Into how many tasks so many rows are dealt: as many as the session has, or more, of TASK_ROWS at most on the mean."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def _sweeps(book: DataFrame, side: str, sizes: list[float], keys: list[str]) -> DataFrame:
-    """keys, order_size and the averages of walking the book with it; one window and two aggregates for all sizes."""
+    """keys, order_size and the averages of walking the book with it; one sort for all sizes."""
     if side not in ("buy", "sell"):
         raise ValueError("side must be 'buy' or 'sell'")
     if any(not 0 < s < float("inf") for s in sizes):
         raise ValueError("order_size must be finite and positive")
     sign, taken = (1, "ask") if side == "buy" else (-1, "bid")
-    walk = Window.partitionBy(*keys, "ts_ns").orderBy(sign * F.col("price"), "level")
-    levels = book.where(F.col("side") == taken).withColumn("ahead", F.sum("size").over(walk.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    levels = levels.withColumn("order_size", F.explode(F.array(*[F.lit(float(s)) for s in sizes])))
-    levels = levels.withColumn("take", F.greatest(F.lit(0.0), F.least(F.col("order_size") - F.col("ahead"), F.col("size"))))
-    snaps = levels.groupBy(*keys, "order_size", "ts_ns").agg(
-        *product_of(levels), F.sum(F.col("take") * F.col("price")).alias("notional"), F.sum("take").alias("filled"), F.sum(F.when(F.col("take") > 0, 1.0).otherwise(0.0)).alias("levels"), F.sum("size").alias("depth"),
-        (F.min("price") if side == "buy" else F.max("price")).alias("touch"),
-    )
+    snap = Window.partitionBy(*keys, "ts_ns")
+    walk = snap.orderBy(sign * F.col("price"), "level")
+    levels = book.where(F.col("side") == taken).select(*keys, "ts_ns", *named(book), "level", "price", "size")
+    levels = levels.repartition(_parts(book.sparkSession, levels.count()), *keys, "ts_ns")
+    levels = levels.withColumn("ahead", F.sum("size").over(walk.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).withColumn("nth", F.row_number().over(walk))
+    take = [F.greatest(F.lit(0.0), F.least(F.lit(float(s)) - F.col("ahead"), F.col("size"))) for s in sizes]
+    swept = [
+        F.struct(F.lit(float(s)).alias("order_size"), F.sum(t * F.col("price")).over(snap).alias("notional"), F.sum(t).over(snap).alias("filled"), F.sum(F.when(t > 0, 1.0).otherwise(0.0)).over(snap).alias("levels"))
+        for s, t in zip(sizes, take)
+    ]
+    # windows over what is sorted once hold a snapshot at a time; sizes are unfolded from a row per snapshot
+    snaps = levels.select(
+        *keys, *named(book), "nth", F.sum("size").over(snap).alias("depth"), (F.min("price") if side == "buy" else F.max("price")).over(snap).alias("touch"), F.array(*swept).alias("swept"),
+    ).where("nth = 1")
+    snaps = snaps.withColumn("s", F.explode("swept")).select(*keys, *named(book), "depth", "touch", "s.*")
     vwap = safe_div("notional", "filled")
     return snaps.groupBy(*keys, "order_size").agg(
         *product_of(snaps), F.count(F.lit(1)).alias("snapshots"), F.count(F.when(F.col("filled") >= F.col("order_size") - 1e-9, 1)).alias("filled_snapshots"),
