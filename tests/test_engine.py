@@ -425,3 +425,13 @@ def test_sweeps_are_dealt_by_rows(spark, monkeypatch):
     curve = book.sweep_curve(rows, "buy", [0.5, 1.5])
     assert "hashpartitioning(ts_ns" in curve._jdf.queryExecution().executedPlan().toString() and ", 20)" in curve._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, curve.collect())) == want and len(want) == 2
+
+
+def test_thinning_is_dealt_by_rows(spark, monkeypatch):
+    rows = spark.range(0, 300, 1, 2).selectExpr("id * 7 % 300 as ts_ns", "id % 2 as b")
+    spacings = spark.createDataFrame([(10, 0), (7, 3)], "every_ns long, offset_ns long")
+    want = sorted(map(tuple, book.thin(rows, spacings, ["b"]).collect()))
+    monkeypatch.setattr(book, "TASK_ROWS", 50)
+    thinned = book.thin(rows, spacings, ["b"])
+    assert ", 12)" in thinned._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, thinned.collect())) == want and want

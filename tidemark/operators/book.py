@@ -126,18 +126,20 @@ def sweep_curve(book: DataFrame, side: str, sizes: list[float], keys: list[str]
     )
 
 
-def _own(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
-    """The snapshots of a stretch in order of time, and their times."""
-    own = rows.filter(pc.equal(rows["kind"], _TIME)).sort_by("ts_ns")
-    return own, own["ts_ns"].to_numpy()
+def _own(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Where the snapshots of a stretch are, in order of time, and their times."""
+    ts = rows["ts_ns"].to_numpy()
+    at = np.flatnonzero(rows["kind"].to_numpy() == _TIME)
+    at = at[np.argsort(ts[at], kind="stable")]
+    return at, ts[at]
 
 
 def _crossings(rows: pa.Table) -> pa.Table:
     """For each snapshot at which a stretch may be entered, the one at which a later stretch is entered when that one is kept."""
     own, ts = _own(rows)
     if not len(ts):
-        return own.append_column("to_ns", pa.array([], pa.int64()))
-    every, begins = own["every_ns"][0].as_py(), own["begins_ns"][0].as_py()
+        return rows.slice(0, 0).append_column("to_ns", pa.array([], pa.int64()))
+    every, begins = rows["every_ns"][0].as_py(), rows["begins_ns"][0].as_py()
     after = np.searchsorted(ts, ts + every)
     last = np.where(after < len(ts), after, np.arange(len(ts)))
     while True:  # pointers double until each stands on the last snapshot kept in the stretch
@@ -149,20 +151,20 @@ def _crossings(rows: pa.Table) -> pa.Table:
     ahead = np.sort(rows.filter(pc.not_equal(rows["kind"], _TIME))["ts_ns"].to_numpy())
     place = np.searchsorted(ahead, ts[last[entries]] + every)
     to = pa.array([int(ahead[p]) if p < len(ahead) else None for p in place], pa.int64())
-    return own.take(pa.array(entries)).append_column("to_ns", to)
+    return rows.take(pa.array(own[entries])).append_column("to_ns", to)
 
 
 def _kept(rows: pa.Table) -> pa.Table:
     """The snapshots of a stretch that are kept from its entry on."""
     own, ts = _own(rows)
     entry = rows.filter(pc.equal(rows["kind"], _ENTRY))["ts_ns"].to_pylist()
-    after = np.searchsorted(ts, ts + own["every_ns"][0].as_py()).tolist() if len(ts) else []
+    after = np.searchsorted(ts, ts + rows["every_ns"][0].as_py()).tolist() if len(ts) else []
     found = []
     for at in np.searchsorted(ts, entry).tolist():
         while at < len(ts):
             found.append(at)
             at = after[at]
-    return own.take(pa.array(found, pa.int64()))
+    return rows.take(pa.array(own[np.array(found, np.int64)], pa.int64()))
 
 
 def thin(book: DataFrame, spacings: DataFrame, keys: list[str] = []) -> DataFrame:
@@ -190,14 +192,15 @@ def thin(book: DataFrame, spacings: DataFrame, keys: list[str] = []) -> DataFram
     first = met.where(F.col("ts_ns") >= F.col("t0") + F.col("offset_ns")).groupBy(*group).agg(F.min(F.struct("ts_ns", "stretch", "begins_ns")).alias("f")).select(*group, "f.*")
     entries = first.select(*columns, F.lit(_ENTRY).alias("kind"), "ts_ns")
 
-    most = sets.agg(F.max((F.col("t1") - F.col("t0")) / F.col("width"))).first()[0] or 0
+    most, dealt = sets.agg(F.coalesce(F.max((F.col("t1") - F.col("t0")) / F.col("width")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    parts = _parts(book.sparkSession, dealt)
     if most >= 1:
-        entries = _entered(met, rows, entries, group, int(most) + 1)
-    kept = rows.unionByName(entries).groupBy(*group, "stretch").applyInArrow(_kept, rows.schema)
+        entries = _entered(met, rows, entries, group, int(most) + 1, parts)
+    kept = rows.unionByName(entries).repartition(parts, *group, "stretch").groupBy(*group, "stretch").applyInArrow(_kept, rows.schema)
     return kept.select(*group, "ts_ns")
 
 
-def _entered(met: DataFrame, rows: DataFrame, entries: DataFrame, group: list[str], stretches: int) -> DataFrame:
+def _entered(met: DataFrame, rows: DataFrame, entries: DataFrame, group: list[str], stretches: int, parts: int) -> DataFrame:
     """The entry of every stretch that the chains come through, from their first ones."""
     late = F.col("ts_ns") >= F.col("begins_ns") + F.col("every_ns")
     ends = met.groupBy(*group, "stretch", "begins_ns", "width").agg(F.min("ts_ns").alias("first"), F.min(F.when(late, F.col("ts_ns"))).alias("later"))
@@ -209,7 +212,7 @@ def _entered(met: DataFrame, rows: DataFrame, entries: DataFrame, group: list[st
     ahead = ends.select(*columns, F.lit(_AHEAD).alias("kind"), after.alias("ts_ns")).where("ts_ns is not null")
     heads = met.where(~late & (F.col("stretch") > 0)).select(*group, (F.col("stretch") - 1).alias("stretch"), (F.col("begins_ns") - F.col("width")).alias("begins_ns"), F.lit(_AHEAD).alias("kind"), "ts_ns")
     schema = StructType([*rows.schema.fields, StructField("to_ns", LongType())])
-    jumps = rows.unionByName(heads).unionByName(ahead).groupBy(*group, "stretch").applyInArrow(_crossings, schema)
+    jumps = rows.unionByName(heads).unionByName(ahead).repartition(parts, *group, "stretch").groupBy(*group, "stretch").applyInArrow(_crossings, schema)
     jumps = written(jumps.where("to_ns is not null").select(*group, "ts_ns", "to_ns"), "jumps")
     reached = entries.select(*group, "ts_ns")
     for _ in range((stretches - 1).bit_length()):
