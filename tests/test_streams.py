@@ -3,7 +3,9 @@
 import json
 import os
 import random
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +212,32 @@ def test_a_capture_ends_in_any_block(spark, tmp_path, monkeypatch):
         parts = [[dict(zip(("product", "ts_ns", "seq"), r)) for r in p] for p in (rows[:12][::-1], rows[12:])]
         live = source(spark, tmp_path, name, parts, "product string, ts_ns long, seq long")
         assert sorted(r.seq for r in to_table(trades.bounded(live, **bounds), mode="append").collect()) == list(range(want))
+
+
+def block_of_messages(n, rng, seeds):
+    """A block's table of n updates, some of one message, in which sides fall empty."""
+    seq = sorted(rng.randrange(n) for _ in range(n))
+    first = {q: (rng.random() < seeds, q * 5 + rng.randrange(40)) for q in seq}
+    rows = [(q, first[q][1], rng.choice(["bid", "ask"]), float(rng.randrange(4)), float(rng.choice([0, 0, 1])), first[q][0]) for q in seq]
+    return pa.table(dict(zip(("seq", "ts_ns", "side", "price", "size", "snapshot"), map(list, zip(*rows)))))
+
+
+def test_when_a_block_writes_last_is_what_its_fold_says():
+    rng, wrote = random.Random(5), 0
+    for k in range(300):
+        table = block_of_messages(rng.randint(1, 40), rng, (0, 0.05, 0.3)[k % 3])
+        before = [(s, float(p), 1.0) for s in ("bid", "ask") for p in range(4) if rng.random() < 0.4]
+        every, last = rng.choice([0, 1, 30, 10**6]), rng.choice([None, 0, 60])
+        want = [ts for ts, _ in book._fold(2, every, table, before, last, None)]
+        assert book._last_written(every, table, before, last) == (want[-1] if want else last)
+        wrote += bool(want)
+    assert wrote > 100
+
+
+def test_the_step_that_blocks_take_one_after_the_other_is_short():
+    table = block_of_messages(200_000, random.Random(6), 0.001)
+    began = time.perf_counter()
+    book._last_written(3600 * S, table, [], None)
+    serial = time.perf_counter() - began
+    assert sum(1 for _ in book._fold(3, 3600 * S, table, [], None, None)) > 0
+    assert serial < (time.perf_counter() - began - serial) / 3

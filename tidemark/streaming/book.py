@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import heapq
 import json
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -65,23 +67,35 @@ def _fold(levels: int, every_ns: int | None, table: pa.Table, book: list, writte
 
 
 def _last_written(every_ns: int, table: pa.Table, book: list, written_ns: int | None) -> int | None:
-    """When a block writes last, on a grid of time: only which sides have levels matters."""
-    held = {"bid": set(), "ask": set()}
-    for s, p, _ in book:
-        held[s].add(p)
-    bids, asks = held["bid"], held["ask"]
-    side, price, size = _updates(table)
-    for ts, seeds, begin, end in _messages(table):
-        if seeds:
-            bids.clear()
-            asks.clear()
-        for k in range(begin, end):
-            if size[k]:
-                held[side[k]].add(price[k])
-            else:
-                held[side[k]].discard(price[k])
-        if not seeds and bids and asks and (written_ns is None or ts - written_ns >= every_ns):
-            written_ns = ts
+    """When a block writes last, on a grid of time: only which sides have levels matters.  The one step that a product's blocks take one after the
+    other, so it goes by arrays, and from one written message to the next."""
+    seq, ts, seeds = table["seq"].to_numpy(), table["ts_ns"].to_numpy(), table["snapshot"].to_numpy(zero_copy_only=False)
+    begins = np.flatnonzero(np.diff(seq, prepend=seq[0] - 1))
+    ts, seeds, ends = ts[begins], seeds[begins], np.append(begins[1:], len(seq)) - 1
+    # the book before counts as updates too; from each seed on, levels are others
+    n = len(book)
+    bid = np.concatenate([np.array([s == "bid" for s, _, _ in book], bool), pc.equal(table["side"], "bid").to_numpy()])
+    price = np.concatenate([np.array([p for _, p, _ in book], float), table["price"].to_numpy()])
+    held = np.concatenate([np.ones(n, bool), table["size"].to_numpy() != 0])
+    epoch = np.zeros(n + len(seq), np.int64)
+    epoch[n + begins[seeds]] = 1
+    epoch = np.cumsum(epoch)
+    at = np.lexsort((price, bid, epoch))  # a level's updates in a row, in order
+    same = np.concatenate([[False], (np.diff(epoch[at]) == 0) & (bid[at][1:] == bid[at][:-1]) & (price[at][1:] == price[at][:-1])])
+    moved = np.empty(len(at), np.int64)
+    moved[at] = held[at].astype(np.int64) - (same & np.roll(held[at], 1))
+    both = ~seeds
+    for side in (bid, ~bid):
+        count = np.concatenate([[0], np.cumsum(moved * side)])
+        since = count[np.concatenate([[0], n + begins[seeds]])]
+        both &= count[n + ends + 1] > since[epoch[n + ends]]
+    ts = ts[both]
+    newest, k = np.maximum.accumulate(ts).tolist(), 0
+    while k < len(newest):
+        # all before a written message are earlier than it, so the newest so far tell which is next
+        k = k if written_ns is None else bisect_left(newest, written_ns + max(every_ns, 1), k)
+        if k < len(newest):
+            written_ns = int(ts[k])
     return written_ns
 
 
