@@ -241,3 +241,35 @@ def test_the_step_that_blocks_take_one_after_the_other_is_short():
     serial = time.perf_counter() - began
     assert sum(1 for _ in book._fold(3, 3600 * S, table, [], None, None)) > 0
     assert serial < (time.perf_counter() - began - serial) / 3
+
+
+def test_a_task_sends_on_no_more_than_a_capture_may_take(spark, monkeypatch):
+    came = []
+
+    def seen(rows, *_):
+        came.append(rows.groupBy("product").agg(F.count("*"), F.min("seq"), F.max("seq")).sort("product").collect())
+        raise InterruptedError
+
+    monkeypatch.setattr(trades, "blocks", seen)
+    rows = spark.range(0, 250_000, 1, 2).selectExpr("if(id % 5 = 0, null, if(id % 5 < 3, 'P', 'Q')) as product", "id as ts_ns", "249999 - id as seq")
+    with pytest.raises(InterruptedError):
+        trades.bounded(rows, count=7, seconds=60)
+    want = {r.product: sorted(x for x in r.seqs)[:7] for r in rows.groupBy("product").agg(F.collect_list("seq").alias("seqs")).collect()}
+    assert [r[0] for r in came[0]] == [None, "P", "Q"]
+    assert all(7 <= n <= 14 and first == want[product][0] for product, n, first, _ in came[0])
+
+
+@pytest.mark.parametrize("held", [4, 100])
+def test_what_a_task_sends_on_holds_all_that_a_capture_may_take(monkeypatch, held):
+    monkeypatch.setattr(trades, "_HELD", held)
+    rng = random.Random(held)
+    rows = [(rng.choice(["P", "Q", "R", None]), k) for k in range(200)]
+    rng.shuffle(rows)
+    batches = [pa.RecordBatch.from_pydict({"product": [p for p, _ in rows[a : a + 9]], "seq": [s for _, s in rows[a : a + 9]]}) for a in range(0, 200, 9)]
+    for count in (1, 3, 500):
+        got = [(r["product"], r["seq"]) for b in trades._foremost(iter(batches), count) for r in b.to_pylist()]
+        assert len(set(got)) == len(got) and set(got) <= set(rows)
+        for product in ("P", "Q", "R", None):
+            first = sorted(s for p, s in rows if p == product)[:count]
+            assert sorted(s for p, s in got if p == product)[: len(first)] == first
+    assert list(trades._foremost(iter([]), 3)) == []

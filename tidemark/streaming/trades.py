@@ -14,6 +14,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidemark.streaming.order import blocks, in_order, unfolded, unpacked
 
 _LOWEST = np.iinfo(np.int64).min
+#: Rows that a task holds while it looks for the foremost.
+_HELD = 100_000
 _RISING = "product string, block long, packed binary, before long"
 _BOUNDED = "product string, block long, packed binary, take long"
 
@@ -73,6 +75,29 @@ class _Bounds(StatefulProcessor):
         pass
 
 
+def _first(table: pa.Table, count: int) -> pa.Table:
+    table = table.sort_by([("product", "ascending"), ("seq", "ascending")])
+    product = table["product"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    begins = np.flatnonzero(np.diff(product, prepend=-1))
+    place = np.arange(len(product)) - np.repeat(begins, np.diff(np.append(begins, len(product))))
+    return table.filter(pa.array(place < count))
+
+
+def _foremost(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
+    """Of a task's rows, those that no `count` others of their product come before: a capture can't reach the rest.  Where there are so many
+    products that these pass the rows held, they go on as they are, and the task begins anew."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= _HELD:
+            held = _first(pa.Table.from_batches(held), count).combine_chunks().to_batches()
+            if 2 * sum(b.num_rows for b in held) > _HELD:
+                yield from held
+                held = []
+    if held:
+        yield from _first(pa.Table.from_batches(held), count).to_batches()
+
+
 def rising_trades(trades: DataFrame) -> DataFrame:
     """A streaming table of trades (product, trade_id, seq, any others) without those whose id is not above all before them, per product, however
     long ago that was: no watermark, one number of state a product.  seq is the order of arrival; a micro-batch's rows of a product
@@ -91,6 +116,9 @@ def bounded(rows: DataFrame, count: int | None = None, seconds: float | None = N
         table = table if count is None else table.slice(0, count)  # of a block, no more can be taken
         return table, {"n": table.num_rows, "first_ns": table["ts_ns"][0].as_py(), "most_ns": pc.max(table["ts_ns"]).as_py()}
 
+    schema = rows.schema
+    if count is not None:  # no task sends on more than a capture may take of it
+        rows = rows.mapInArrow(lambda batches: _foremost(batches, count), schema)
     state = _Bounds(count, None if seconds is None else round(seconds * 1e9))
     found = blocks(rows, describe, "n long, first_ns long, most_ns long").groupBy("product").transformWithStateInPandas(state, _BOUNDED, "Append", "None")
-    return unfolded(found, lambda b, table: iter(table.slice(0, b["take"]).to_batches()), rows.schema)
+    return unfolded(found, lambda b, table: iter(table.slice(0, b["take"]).to_batches()), schema)
